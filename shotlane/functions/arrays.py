@@ -1,0 +1,20 @@
+"""Order statistics of small arrays, linear interpolation between ranks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def array_percentile(arr: Column, p: float) -> Column:
+    """Percentile of a bounded array (at most a few dozen entries); null for an empty one."""
+    s = F.array_sort(F.filter(arr, lambda v: v.isNotNull()))
+    pos = F.lit(p) * (F.size(s) - 1)
+    lo = F.floor(pos).cast("int")
+    a = F.get(s, lo)
+    b = F.coalesce(F.get(s, lo + 1), a)
+    return F.when(F.size(s) > 0, a + (b - a) * (pos - lo))
+
+
+def array_median(arr: Column) -> Column:
+    return array_percentile(arr, 0.5)
