@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shotlane.config import DEFAULT, Settings
 from shotlane.functions import geometry as G
@@ -422,7 +423,7 @@ def track_metrics(scores: DataFrame) -> DataFrame:
 
 # ---- health ----------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def condition_number(h: pd.Series) -> pd.Series:
     """2-norm condition number of 3x3 matrices, one batched decomposition per Arrow batch."""
     if len(h) == 0:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shotlane.config import DEFAULT, Settings
 from shotlane.functions import geometry as G
@@ -406,7 +407,7 @@ def _components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
     return np.array([root(i) for i in range(n)], dtype=np.int32)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _component_ids(y: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
     return pd.Series([_components(np.asarray(a), np.asarray(b), np.asarray(c)) for a, b, c in zip(y, x0, x1)])
 

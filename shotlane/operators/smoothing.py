@@ -155,9 +155,10 @@ def clamp_hook_tail(dense: DataFrame, out: str = "x_m", keys: Sequence[str] = SH
 def smooth_trajectory(pos: DataFrame, fps: float | Column = DEFAULT.default_fps, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
     """Full cleanup of kept detections: dedupe, densify, spline, anchors, forward-only y, x against distance, hook clamp.
 
-    A shot with one distinct frame passes through unchanged.
+    A shot with one distinct frame passes through unchanged.  A column fps is kept.
     """
     sigma, length = conf.smooth_sigma_m, conf.lane_length_m
+    keep = ["fps"] if "fps" in pos.columns else []
     fps = F.lit(float(fps)) if not isinstance(fps, Column) else fps
     rows = first_per_frame(pos.withColumn("_fps", fps), order=("timestamp_s",), keys=keys)
     series = rows.groupBy(*keys).agg(
@@ -179,7 +180,7 @@ def smooth_trajectory(pos: DataFrame, fps: float | Column = DEFAULT.default_fps,
     stamp = F.when(F.col("_n") < 2, F.col("_t0")).otherwise(F.col("f") / F.greatest(F.col("_fps"), F.lit(1e-6)))
     return out.select(
         *keys, F.col("f").cast("int").alias("frame_index"), stamp.alias("timestamp_s"),
-        F.col("x").alias("x_m"), F.col("y").alias("y_m"),
+        F.col("x").alias("x_m"), F.col("y").alias("y_m"), *[F.col("_fps").alias(c) for c in keep],
     )
 
 
@@ -240,113 +241,119 @@ def resample(traj: DataFrame, mode: str, factor: int = 3, keys: Sequence[str] =
 
 # ---- departure -------------------------------------------------------------
 
-def tail_rate(pos: DataFrame, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
-    """Forward rate (metres per frame) at the tail; a stalled tail takes the median forward step of the shot."""
-    w = Window.partitionBy(*keys).orderBy("frame_index")
-    back = Window.partitionBy(*keys).orderBy(F.desc("frame_index"))
-    rows = pos.withColumn("_dy", F.col("y_m") - F.lag("y_m").over(w)).withColumn("_r", F.row_number().over(back))
+def _line(s0, s1, s2, t0, t1):
+    det = F.nullif(s0 * s2 - s1 * s1, F.lit(0.0))
+    return (s0 * t1 - s1 * t0) / det, (s2 * t0 - s1 * t1) / det
+
+
+def _rates(pos: DataFrame, conf: Settings, keys: Sequence[str]) -> DataFrame:
+    """Adds _r (1 on the last row), tail_slope, median_step and rate to every row."""
+    whole = Window.partitionBy(*keys)
+    rows = pos.withColumn("_dy", F.col("y_m") - F.lag("y_m").over(whole.orderBy("frame_index"))).withColumn(
+        "_r", F.row_number().over(whole.orderBy(F.desc("frame_index"))))
     tail = F.col("_r") <= conf.fit_window
     fwd = F.when(F.col("_dy") > 1e-4, F.col("_dy"))
-    slope = F.regr_slope(F.when(tail, F.col("y_m")), F.when(tail, F.col("frame_index").cast("double")))
-    agg = rows.groupBy(*keys).agg(
-        F.coalesce(slope, F.lit(0.0)).alias("tail_slope"),
-        F.when(F.count(fwd) >= 3, F.percentile(fwd, F.lit(0.5))).otherwise(0.0).alias("median_step"),
-    )
+    slope = F.regr_slope(F.when(tail, F.col("y_m")), F.when(tail, F.col("frame_index").cast("double"))).over(whole)
+    rows = rows.withColumn("tail_slope", F.coalesce(slope, F.lit(0.0))).withColumn("_steps", F.count(fwd).over(whole)).withColumn(
+        "median_step", F.when(F.col("_steps") >= 3, F.percentile(fwd, F.lit(0.5)).over(whole)).otherwise(0.0))
     stalled = (F.col("tail_slope") < 0.30 * F.col("median_step")) & (F.col("median_step") > 1e-4)
-    return agg.withColumn("rate", F.when(stalled, F.col("median_step")).otherwise(F.col("tail_slope")))
+    return rows.withColumn("rate", F.when(stalled, F.col("median_step")).otherwise(F.col("tail_slope"))).drop("_dy", "_steps")
 
 
-def _solve_line(s, t):
-    det = F.nullif(s[0] * s[2] - s[1] * s[1], F.lit(0.0))
-    return (s[0] * t[1] - s[1] * t[0]) / det, (s[2] * t[0] - s[1] * t[1]) / det
+def _curve(rows: DataFrame, conf: Settings, keys: Sequence[str]) -> DataFrame:
+    """Adds last_x and x_at_end to every row: where the tail curve reaches the lane end.
 
-
-def predict_x_at_y(pos: DataFrame, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
-    """x where the tail curve reaches the lane end: weighted line and parabola by normal equations, then hook rules."""
-    back = Window.partitionBy(*keys).orderBy(F.desc("frame_index"))
-    tail = pos.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= conf.curve_window)
-    last = tail.groupBy(*keys).agg(F.max_by("x_m", "frame_index").alias("last_x"))
-    pts = tail.groupBy(*keys, "y_m").agg(F.percentile("x_m", F.lit(0.5)).alias("x_m"))
+    Weighted line and parabola by normal equations over the tail's distinct y
+    (centred, so that the sums stay well conditioned), then the hook rules.
+    """
     whole = Window.partitionBy(*keys)
-    pts = (
-        pts.withColumn("_i", F.row_number().over(whole.orderBy("y_m"))).withColumn("_n", F.count(F.lit(1)).over(whole))
-        .withColumn("_c", F.avg("y_m").over(whole))
-        .withColumn("_u", F.col("y_m") - F.col("_c"))
+    same_y = Window.partitionBy(*keys, "y_m")
+    # one representative row per distinct y of the tail, with the median x there
+    rep = (F.col("_r") <= conf.curve_window) & (F.row_number().over(same_y.orderBy("_r")) == 1)
+    rows = rows.withColumn("_rep", rep).withColumn("_x", F.percentile(F.when(F.col("_r") <= conf.curve_window, F.col("x_m")), F.lit(0.5)).over(same_y))
+    one = F.col("_rep").cast("int")
+    rows = (
+        rows.withColumn("_i", F.sum(one).over(whole.orderBy("y_m", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("n", F.sum(one).over(whole)).withColumn("c", F.avg(F.when(F.col("_rep"), F.col("y_m"))).over(whole))
+        .withColumn("_u", F.col("y_m") - F.col("c"))
     )
-    weight = (0.5 + (F.col("_i") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))) if conf.tail_weights else F.lit(1.0)
-    pts = pts.withColumn("_w", weight * weight)
-    third = F.floor(F.col("_n") / 3)
+    weight = (0.5 + (F.col("_i") - 1) / F.greatest(F.col("n") - 1, F.lit(1))) if conf.tail_weights else F.lit(1.0)
+    u, x, w, i, n = F.col("_u"), F.col("_x"), weight * weight, F.col("_i"), F.col("n")
+    third = F.floor(n / 3)
     tail_n = F.greatest(F.lit(3), third)
-    u, x, w = F.col("_u"), F.col("x_m"), F.col("_w")
-    early, late = F.col("_i") <= third, F.col("_i") > F.col("_n") - third
-    med = lambda cond, c: F.percentile(F.when(cond, F.col(c)), F.lit(0.5))
-    at = lambda cond, c: F.max(F.when(cond, F.col(c)))
-    agg = pts.groupBy(*keys).agg(
-        F.first("_n").alias("n"), F.first("_c").alias("c"),
-        *[F.sum(w * F.pow(u, F.lit(float(p)))).alias(f"s{p}") for p in range(5)],
-        *[F.sum(w * x * F.pow(u, F.lit(float(p)))).alias(f"t{p}") for p in range(3)],
-        (F.max("y_m") - F.min("y_m")).alias("span"),
-        med(early, "x_m").alias("ex"), med(late, "x_m").alias("lx"),
-        med(early, "y_m").alias("ey"), med(late, "y_m").alias("ly"),
-        (at(F.col("_i") == F.col("_n"), "x_m") - at(F.col("_i") == F.col("_n") - tail_n + 1, "x_m")).alias("tdx"),
-        (at(F.col("_i") == F.col("_n"), "y_m") - at(F.col("_i") == F.col("_n") - tail_n + 1, "y_m")).alias("tdy"),
-    )
+    of = lambda e, cond=None: F.when(F.col("_rep") if cond is None else F.col("_rep") & cond, e)
+    med = lambda cond, c: F.percentile(of(F.col(c), cond), F.lit(0.5))
+    at = lambda cond, c: F.max(of(F.col(c), cond))
+    early, late = i <= third, i > n - third
+    aggs = {
+        **{f"s{p}": F.sum(of(w * F.pow(u, F.lit(float(p))))) for p in range(5)},
+        **{f"t{p}": F.sum(of(w * x * F.pow(u, F.lit(float(p))))) for p in range(3)},
+        "ymax": F.max(of(F.col("y_m"))), "ymin": F.min(of(F.col("y_m"))),
+        "ex": med(early, "_x"), "lx": med(late, "_x"), "ey": med(early, "y_m"), "ly": med(late, "y_m"),
+        "x1": at(i == n, "_x"), "x0": at(i == n - tail_n + 1, "_x"), "y0": at(i == n - tail_n + 1, "y_m"),
+        "last_x": F.max(F.when(F.col("_r") == 1, F.col("x_m"))),
+    }
+    fits = rows.withColumns({k: v.over(whole) for k, v in aggs.items()})
     s, t = [F.col(f"s{p}") for p in range(5)], [F.col(f"t{p}") for p in range(3)]
     target = F.lit(conf.lane_length_m) - F.col("c")
-    slope, icpt = _solve_line(s, t)
-    det = F.nullif(
-        s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * s[3] - s[2] * s[2]), F.lit(0.0))
-    q0 = (t[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (t[1] * s[4] - t[2] * s[3]) + s[2] * (t[1] * s[3] - t[2] * s[2])) / det
-    q1 = (s[0] * (t[1] * s[4] - t[2] * s[3]) - t[0] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * t[2] - s[2] * t[1])) / det
-    q2 = (s[0] * (s[2] * t[2] - s[3] * t[1]) - s[1] * (s[1] * t[2] - s[2] * t[1]) + t[0] * (s[1] * s[3] - s[2] * s[2])) / det
-    hook = (F.col("n") >= 9) & (F.abs(F.col("lx") - F.col("ex")) >= 0.04) & (F.col("ly") - F.col("ey") > 1.0)
+    slope, icpt = _line(s[0], s[1], s[2], t[0], t[1])
+    m1, m2, m3 = s[2] * s[4] - s[3] * s[3], s[1] * s[4] - s[2] * s[3], s[1] * s[3] - s[2] * s[2]
+    det = F.nullif(s[0] * m1 - s[1] * m2 + s[2] * m3, F.lit(0.0))
+    r1, r2 = t[1] * s[4] - t[2] * s[3], s[1] * t[2] - s[2] * t[1]
+    q0 = (t[0] * m1 - s[1] * r1 + s[2] * (t[1] * s[3] - t[2] * s[2])) / det
+    q1 = (s[0] * r1 - t[0] * m2 + s[2] * r2) / det
+    q2 = (s[0] * (s[2] * t[2] - s[3] * t[1]) - s[1] * r2 + t[0] * m3) / det
+    hook = (n >= 9) & (F.abs(F.col("lx") - F.col("ex")) >= 0.04) & (F.col("ly") - F.col("ey") > 1.0)
     side = F.when(hook, F.signum(F.col("lx") - F.col("ex"))).otherwise(0.0) if conf.hook_inertia else F.lit(0.0)
     fits = (
-        agg.join(last, list(keys))
-        .withColumn("line_slope", slope).withColumn("x_line", icpt + F.col("line_slope") * target)
-        .withColumn("curve", q2).withColumn("x_quad", q0 + q1 * target + F.col("curve") * target * target)
-        .withColumn("side", side)
+        fits.withColumn("slope", slope).withColumn("curve", q2).withColumn("side", side)
+        .withColumn("x_line", icpt + F.col("slope") * target).withColumn("x_quad", q0 + q1 * target + F.col("curve") * target * target)
+        .withColumn("tdy", F.col("ymax") - F.col("y0"))
+        .withColumn("delta", (F.col("x1") - F.col("x0")) / F.nullif(F.col("tdy"), F.lit(0.0)) - F.col("slope"))
     )
-    delta = F.col("tdx") / F.nullif(F.col("tdy"), F.lit(0.0)) - F.col("line_slope")
-    turning = (F.abs("tdy") > 1e-6) & (F.col("n") >= 6)
+    turning = (F.abs("tdy") > 1e-6) & (n >= 6)
     strong = turning & (F.col("curve") * F.col("delta") > 0.0) & (F.abs("delta") > 0.02)
-    blend = F.when(strong, F.lit(conf.quad_blend_strong)).otherwise(F.lit(conf.quad_blend))
+    b = F.when(strong, F.lit(conf.quad_blend_strong)).otherwise(F.lit(conf.quad_blend))
     push = F.when(turning & (F.col("side") != 0.0) & (F.col("curve") * F.col("side") > 0.0), F.lit(conf.quad_exaggerate)).otherwise(0.0)
-    mixed = F.col("b") * F.col("x_quad") + (1.0 - F.col("b")) * F.col("x_line") + push * (F.col("x_quad") - F.col("x_line"))
-    line_only = (F.col("n") < 5) | (F.col("span") < 1.0) | F.col("curve").isNull() | (F.abs("curve") > conf.curvature_cap)
-    raw = F.when(F.coalesce(line_only, F.lit(True)), F.col("x_line")).otherwise(mixed)
-    reversed_ = (F.col("side") != 0.0) & ((F.col("raw") - F.col("last_x")) * F.col("side") < 0.0)
-    return (
-        fits.withColumn("delta", delta).withColumn("b", blend).withColumn("raw", raw)
-        .select(*keys, "last_x", F.when(
-            (F.col("n") < 2) | (F.col("span") < 0.35) | F.col("raw").isNull() | reversed_, F.col("last_x")
-        ).otherwise(F.col("raw")).alias("x_at_end"))
-    )
+    mixed = b * F.col("x_quad") + (1.0 - b) * F.col("x_line") + push * (F.col("x_quad") - F.col("x_line"))
+    span = F.col("ymax") - F.col("ymin")
+    line_only = (n < 5) | (span < 1.0) | F.col("curve").isNull() | (F.abs("curve") > conf.curvature_cap)
+    fits = fits.withColumn("raw", F.when(F.coalesce(line_only, F.lit(True)), F.col("x_line")).otherwise(mixed))
+    back = (F.col("side") != 0.0) & ((F.col("raw") - F.col("last_x")) * F.col("side") < 0.0)
+    stay = (n < 2) | (span < 0.35) | F.col("raw").isNull() | back
+    return fits.select(*rows.columns, "last_x", F.when(stay, F.col("last_x")).otherwise(F.col("raw")).alias("x_at_end")).drop(
+        "_rep", "_x", "_i", "n", "c", "_u")
+
 
+def tail_rate(pos: DataFrame, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
+    """Forward rate (metres per frame) at the tail; a stalled tail takes the median forward step of the shot."""
+    return _rates(pos, conf, keys).where("_r = 1").select(*keys, "tail_slope", "median_step", "rate")
+
+
+def predict_x_at_y(pos: DataFrame, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
+    """x where the tail curve reaches the lane end."""
+    return _curve(_rates(pos, conf, keys), conf, keys).where("_r = 1").select(*keys, "last_x", "x_at_end")
+
+
+def append_departure(pos: DataFrame, fps: float | Column = DEFAULT.default_fps, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
+    """Positions with at most one more point per shot, where the ball leaves the lane.
 
-def departure_points(pos: DataFrame, fps: float | Column = DEFAULT.default_fps, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
-    """At most one point per shot, where the ball leaves the lane."""
+    The point is worked out on the last row by windows and emitted next to it:
+    the input is read once and moved once.
+    """
     fps = F.lit(float(fps)) if not isinstance(fps, Column) else fps
-    ends = pos.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max("frame_index").alias("f"), F.max_by("y_m", "frame_index").alias("y"),
-        F.first(fps).alias("fps"),
-    )
-    rows = ends.join(tail_rate(pos, conf, keys), list(keys)).join(predict_x_at_y(pos, conf, keys), list(keys))
+    rows = _curve(_rates(pos.withColumn("_fps", fps), conf, keys), conf, keys)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     hold = lambda v, lo, hi: F.least(F.greatest(v, lo), hi)
     cap = F.lit(conf.max_departure_dx_m)
     x = hold(F.col("x_at_end"), F.col("last_x") - cap, F.col("last_x") + cap)
     x = hold(x, F.lit(-conf.x_margin_m), F.lit(conf.lane_width_m + conf.x_margin_m))
     per_m = 1.0 / F.greatest(F.col("rate"), F.lit(1e-4))
-    step = hold(F.rint((F.lit(conf.lane_length_m) - F.col("y")) * per_m), F.lit(1.0), F.lit(60.0)).cast("int")
-    open_end = (F.col("n") >= 2) & (F.abs("rate") >= 1e-4) & (F.col("y") < conf.lane_length_m - 0.02)
-    frame = F.col("f") + step
-    return rows.where(open_end).select(
-        *keys, frame.cast("int").alias("frame_index"),
-        (frame / F.greatest(F.col("fps"), F.lit(1e-6))).alias("timestamp_s"),
-        x.alias("x_m"), F.lit(conf.lane_length_m).alias("y_m"),
-    )
-
-
-def append_departure(pos: DataFrame, fps: float | Column = DEFAULT.default_fps, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
-    cols = [*keys, "frame_index", "timestamp_s", "x_m", "y_m"]
-    return pos.select(*cols).unionByName(departure_points(pos, fps, conf, keys))
+    step = hold(F.rint((F.lit(conf.lane_length_m) - F.col("y_m")) * per_m), F.lit(1.0), F.lit(60.0)).cast("int")
+    leaves = (F.col("_r") == 1) & (F.col("_n") >= 2) & (F.abs("rate") >= 1e-4) & (F.col("y_m") < conf.lane_length_m - 0.02)
+    frame = (F.col("frame_index") + step).cast("int")
+    here = F.struct(F.col("frame_index").cast("int").alias("frame_index"), "timestamp_s", "x_m", "y_m")
+    gone = F.struct(
+        frame.alias("frame_index"), (frame / F.greatest(F.col("_fps"), F.lit(1e-6))).alias("timestamp_s"),
+        x.alias("x_m"), F.lit(conf.lane_length_m).alias("y_m"))
+    return rows.select(*keys, F.inline(F.when(leaves, F.array(here, gone)).otherwise(F.array(here))))

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shotlane import schemas
 from shotlane.config import DEFAULT, Settings
@@ -20,7 +19,7 @@ from shotlane.operators.kinematics import kinematics_from_points
 from shotlane.session import cut
 
 BUCKETS = 256
-RUN_SECTIONS = T.StructType.fromDDL(
+RUN_SECTIONS = (
     "slug string, section string, name string, payload string, video_key string, sd_key string, "
     "id string, created_at timestamp, updated_at timestamp, section_at timestamp, bucket int"
 )
@@ -81,7 +80,7 @@ def upsert_run_sections(spark: SparkSession, path: str, updates: DataFrame, buck
     current = open_runs(spark, path).where(F.col("bucket").isin(touched))
     merged = merge_run_sections(current, stamped.drop("bucket")).withColumn("bucket", _bucket(buckets))
     staged = cut(merged, "run-merge")
-    staged.select(*RUN_SECTIONS.names).repartition("bucket", "slug").write.mode("overwrite").option(
+    staged.select(*schemas.columns(RUN_SECTIONS)).repartition("bucket", "slug").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

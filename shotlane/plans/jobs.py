@@ -35,11 +35,9 @@ class ShotAnalysis:
 
 def clean_positions(raw: DataFrame, fps="fps", conf: Settings = DEFAULT) -> DataFrame:
     """Trim, smooth and extend raw ball positions (shot_id, frame_index, timestamp_s, x_m, y_m, fps)."""
-    raw = sq.first_per_frame(raw)
-    kept = trim_detections(raw, conf)
-    smooth = smooth_trajectory(kept, F.col(fps), conf)
-    rate = raw.groupBy("shot_id").agg(F.max(fps).alias("fps"))
-    return append_departure(smooth.join(rate, "shot_id"), F.col("fps"), conf)
+    raw = sq.first_per_frame(raw.withColumn("fps", F.col(fps)))
+    smooth = smooth_trajectory(trim_detections(raw, conf), F.col("fps"), conf)
+    return append_departure(smooth, F.col("fps"), conf)
 
 
 def analyse_positions(raw: DataFrame, fps="fps", conf: Settings = DEFAULT) -> DataFrame:

@@ -1,42 +1,41 @@
-"""Explicit schemas; nothing is inferred."""
+"""Explicit schemas as DDL text; nothing is inferred."""
 
-from pyspark.sql import types as T
 
-
-def _st(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+def columns(ddl: str) -> list[str]:
+    """Column names of a flat DDL text."""
+    return [part.split()[0] for part in ddl.split(", ")]
 
 
 POINT = "struct<x:double,y:double>"
 QUAD = f"array<{POINT}>"
 
-DETECTIONS = _st(
+DETECTIONS = (
     "shot_id string, frame_index int, det_id long, class_name string, confidence double, "
     "x0 double, y0 double, x1 double, y1 double"
 )
-MASK_RUNS = _st("shot_id string, frame_index int, det_id long, class_name string, y int, x0 int, x1 int")
-POSITIONS = _st("shot_id string, frame_index int, timestamp_s double, x_m double, y_m double")
-JOINTS = _st("shot_id string, frame_index int, person_id int, joint_id int, x double, y double, z double")
+MASK_RUNS = ("shot_id string, frame_index int, det_id long, class_name string, y int, x0 int, x1 int")
+POSITIONS = ("shot_id string, frame_index int, timestamp_s double, x_m double, y_m double")
+JOINTS = ("shot_id string, frame_index int, person_id int, joint_id int, x double, y double, z double")
 
-SHOT_RECORD = _st(
+SHOT_RECORD = (
     "id string, timestamp string, source string, shot_number int, video_key string, fps double, "
     "ball_positions array<struct<x:double,y:double>>, "
     "skeleton_frames array<array<struct<joint_id:int,x:double,y:double,z:double>>>"
 )
 # a section payload stays JSON text: its shape depends on the section
-RUN_RECORD = _st(
+RUN_RECORD = (
     "id string, created_at string, updated_at string, name string, slug string, video_key string, "
     "sd_key string, sections map<string,string>, _corrupt_record string"
 )
-SENSOR = _st("BufferData array<struct<Timestamp:string>>, AccelerometerJumpTimestamps array<string>")
-GROUND_TRUTH = _st(
+SENSOR = ("BufferData array<struct<Timestamp:string>>, AccelerometerJumpTimestamps array<string>")
+GROUND_TRUTH = (
     "global_frame_idx int, episode_idx int, frame_in_episode int, t_sec double, x double, y double, "
     "vx_units_per_sec double, vy_units_per_sec double, speed_units_per_sec double, "
     "ax_units_per_sec2 double, ay_units_per_sec2 double, accel_units_per_sec2 double, "
     "lane_s double, lane_frac double, lat_from_center double, lat_from_start double, "
     "episode_total_break double, episode_end_speed double"
 )
-TRAINING_HISTORY = _st(
+TRAINING_HISTORY = (
     "epoch int, train_box_loss double, train_cls_loss double, train_dfl_loss double, "
     "val_box_loss double, val_cls_loss double, val_dfl_loss double, map50 double, map50_95 double"
 )
@@ -52,7 +51,7 @@ TRAINING_HISTORY_HEADER = {
     "metrics/mAP50(B)": "map50",
     "metrics/mAP50-95(B)": "map50_95",
 }
-TRIALS = _st("objective double, run_dir string, _corrupt_record string")
+TRIALS = ("objective double, run_dir string, _corrupt_record string")
 
 # column order of the evaluation file (a file format: fixed values)
 EVAL_COLUMNS = [

@@ -62,7 +62,7 @@ def read_training_history(spark: SparkSession, path: str) -> DataFrame:
     """Training history; header names and cells carry blanks, and columns are taken by name."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
-    types = {f.name: f.dataType for f in schemas.TRAINING_HISTORY}
+    types = dict(part.split() for part in schemas.TRAINING_HISTORY.split(", "))
     return raw.select(*[
         F.trim(F.col(f"`{src}`")).cast(types[dst]).alias(dst) for src, dst in schemas.TRAINING_HISTORY_HEADER.items() if src in raw.columns])
 
