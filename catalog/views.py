@@ -62,7 +62,7 @@ SQL = {
   SELECT 'run ' || CAST(o_custkey AS VARCHAR) AS name, 'run_' || CAST(o_custkey AS VARCHAR) AS slug,
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'aggregated' WHEN '2' THEN 'laneballs' WHEN '3' THEN 'fourdbody' ELSE 'other' END AS section,
     CAST(o_orderkey AS VARCHAR) AS payload, 'videos/' || CAST(o_orderkey AS VARCHAR) || '.mp4' AS video_key,
-    CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'sd' || CAST(o_orderkey AS VARCHAR) END AS sd_key, o_orderdate AS updated_at, o_orderkey
+    CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'sd' || CAST(o_orderkey AS VARCHAR) END AS sd_key, o_orderdate AS updated_at, o_totalprice
   FROM orders)""",
     "pairs": """pairs AS (
   SELECT shot_id AS episode_idx, frame_index, timestamp_s, x_m, y_m, y_m AS s_bev, x_m AS l_bev, 0.9e0 * y_m + (cents % 7) / 1e1 AS lane_s, 0.5e0 * x_m + (cents % 11) / 1e2 AS y
@@ -188,7 +188,7 @@ class Tables:
             F.concat(F.lit("run "), F.col("o_custkey").cast("string")).alias("name"),
             F.when(p == "1", "aggregated").when(p == "2", "laneballs").when(p == "3", "fourdbody").otherwise("other").alias("section"),
             key.alias("payload"), F.concat(F.lit("videos/"), key, F.lit(".mp4")).alias("video_key"),
-            F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("sd"), key)).alias("sd_key"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), "o_orderkey")
+            F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("sd"), key)).alias("sd_key"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), "o_totalprice")
 
     def pairs(self) -> DataFrame:
         return self.roll().select(

@@ -252,7 +252,10 @@ def correct_top_corners(q: Column) -> Column:
 # ---- homography ------------------------------------------------------------
 
 def homography(q: Column, width_m: float = DEFAULT.lane_width_m, length_m: float = DEFAULT.lane_length_m) -> Column:
-    """Image quad to lane metres: tl,tr at the far end, bl at the origin; last element is 1."""
+    """Image quad to lane metres: tl,tr at the far end, bl at the origin.
+
+    The last element is 1, or 0 when the image origin maps to infinity.
+    """
     (x0, y0), (x1, y1), (x2, y2), (x3, y3) = (corner(q, i) for i in range(4))
     # projective map of the unit square onto the quad
     sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
@@ -269,8 +272,8 @@ def homography(q: Column, width_m: float = DEFAULT.lane_width_m, length_m: float
     rows = [w * m[0], w * m[1], w * m[2],
             ln * (m[6] - m[3]), ln * (m[7] - m[4]), ln * (m[8] - m[5]),
             m[6], m[7], m[8]]
-    last = F.nullif(m[8], F.lit(0.0))
-    return F.array(*[v / last for v in rows])
+    scale = F.when(m[8] != 0.0, m[8]).otherwise(F.nullif(F.greatest(F.abs(m[6]), F.abs(m[7])), F.lit(0.0)))
+    return F.array(*[v / scale for v in rows])
 
 
 def project(x: Column, y: Column, hm: Column) -> Column:

@@ -133,7 +133,7 @@ def polygon_runs(polys: DataFrame, keys: Sequence[str] = MASK, poly: str = "poly
         top, bottom = F.greatest(top, F.lit(0)), F.least(bottom, G._c(height).cast("long") - 1)
     rows = polys.select(*keys, F.col(poly).alias("_p"), *([G._c(width).alias("_w")] if width is not None else []),
                         top.alias("_top"), bottom.alias("_bottom")).where("_top <= _bottom")
-    rows = rows.withColumn("y", F.explode(F.sequence("_top", "_bottom")))
+    rows = rows.withColumn("y", F.explode(F.sequence("_top", "_bottom"))).withColumn("y", F.col("y").cast("int"))
 
     def spans(upper: bool) -> Column:
         xs = G.row_crossings(F.col("_p"), F.col("y").cast("double"), upper)
@@ -144,7 +144,7 @@ def polygon_runs(polys: DataFrame, keys: Sequence[str] = MASK, poly: str = "poly
                 F.floor(F.get(xs, (2 * i + 1).cast("int")) + 1e-9).cast("int").alias("x1")),
         )
 
-    flat = rows.select(*keys, F.col("y").cast("int").alias("y"), *(["_w"] if width is not None else []),
+    flat = rows.select(*keys, "y", *(["_w"] if width is not None else []),
                        F.inline(F.array_distinct(F.concat(spans(True), spans(False)))))
     flat = flat.where(F.col("x0").isNotNull() & F.col("x1").isNotNull())
     if width is not None:
@@ -165,7 +165,7 @@ def _row_overlap(runs: DataFrame, polys: DataFrame, keys: Sequence[str], poly: s
     lo = F.greatest(F.ceil(F.col("_s.lo") - 1e-9), F.lit(0))
     hi = F.least(F.floor(F.col("_s.hi") + 1e-9), F.col("width") - 1)
     ov = F.greatest(F.least(F.col("x1"), hi) - F.greatest(F.col("x0"), lo) + 1, F.lit(0))
-    return lanes.withColumn("_s", span).withColumn("overlap", F.coalesce(ov, F.lit(0)).cast("long"))
+    return lanes.withColumn("_s", span).withColumn("overlap", F.when(F.col("_s.lo").isNull(), 0).otherwise(ov).cast("long"))
 
 
 def _bands(poly: Column, height: Column, n: int) -> Column:
@@ -185,7 +185,7 @@ def _poly_area(poly: Column, a: Column, b: Column, width: Column) -> Column:
     def width_at(acc, y):
         s = G.row_span(poly, y.cast("double"))
         n = F.least(F.floor(s["hi"] + 1e-9), width - 1) - F.greatest(F.ceil(s["lo"] - 1e-9), F.lit(0)) + 1
-        return acc + F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("long")
+        return acc + F.when(s["lo"].isNull(), 0).otherwise(F.greatest(n, F.lit(0))).cast("long")
 
     return F.when(b > a, F.aggregate(F.sequence(a, b - 1), F.lit(0).cast("long"), width_at)).otherwise(F.lit(0).cast("long"))
 
