@@ -25,7 +25,7 @@ def _cands(t):
 
 _REASON = _EVAL + """rz AS (SELECT q.*, CASE WHEN abs(trx - tlx) < 4 OR abs(brx - blx) < 8 THEN 'too_narrow' WHEN abs(trx - tlx) >= abs(brx - blx) * 0.98e0 THEN 'top_not_narrower' WHEN vp = 0 THEN 'bad_vanishing_point'
       WHEN sc.geometry_score < 0.16e0 OR sc.support_score < 0.12e0 OR sc.y_span_ratio < 0.045e0 THEN 'low_geometry_or_support'
-      WHEN 0.55e0 * (0.65e0 * coverage + (1e0 - 0.65e0) * purity) + 0.25e0 * sc.geometry_score + 0.2e0 * sc.support_score < 0.2e0 THEN 'below_min_score_pre_nested' END AS reason FROM quads q JOIN sc USING (det_id) JOIN v USING (det_id));; """
+      WHEN 0.55e0 * (0.65e0 * coverage + (1e0 - 0.65e0) * purity) + 0.25e0 * sc.geometry_score + 0.2e0 * sc.support_score < 0.2e0 THEN 'below_min_score_pre_nested' END AS reason FROM quads q JOIN sc USING (det_id) JOIN (SELECT det_id, vp FROM v) v USING (det_id));; """
 
 
 @query("validate_candidates", "det_id | reason", "quads runs", _REASON + "SELECT det_id, reason FROM rz")
@@ -102,7 +102,7 @@ def _(t):
 
 _SUM = _VOTES + """sm AS (SELECT shot_id, track_id, count(*) AS seen_count, sum(mask_area) AS total_mask_area, sum(score) AS total_score, sum(geometry_score) AS total_geometry_score, sum(support_score) AS total_support_score,
       max(frame_index) AS last_seen_frame FROM tk GROUP BY ALL);;
-    bs AS (SELECT * FROM tk WHERE accepted QUALIFY row_number() OVER (PARTITION BY shot_id, track_id ORDER BY score DESC, frame_index) = 1);;
+    bs AS (SELECT * FROM tk WHERE accepted QUALIFY row_number() OVER (PARTITION BY shot_id, track_id ORDER BY score DESC, frame_index, det_id) = 1);;
     su AS (SELECT sm.*, coalesce(ball_votes, 0) AS ball_votes, bs.score AS best_score, bs.frame_index AS best_frame, bs.support_score AS best_support_score, bs.tlx, bs.tly, bs.trx, bs.try, bs.brx, bs.bry, bs.blx, bs.bly
       FROM sm LEFT JOIN vt USING (shot_id, track_id) LEFT JOIN bs USING (shot_id, track_id));; """
 
@@ -157,11 +157,11 @@ def _(t):
 
 
 _STABLE = _TOP + f"""ob AS (SELECT * FROM tp WHERE rank_no <= 40);;
-    md AS (SELECT shot_id, tid, count(*) AS n, quantile_cont(0.5e0 * (tly + try), 0.5) AS ty, quantile_cont(0.5e0 * (bly + bry), 0.5) AS by0 FROM ob GROUP BY ALL HAVING count(*) >= 3);;
-    lg AS (SELECT ob.*, ty, by0, n, (blx - tlx) / (bly - tly) AS ls, (brx - trx) / (bry - try) AS rs FROM ob JOIN md USING (shot_id, tid));;
+    md AS (SELECT shot_id, tid, count(*) AS cnt, quantile_cont(0.5e0 * (tly + try), 0.5) AS ty, quantile_cont(0.5e0 * (bly + bry), 0.5) AS by0 FROM ob GROUP BY ALL HAVING count(*) >= 3);;
+    lg AS (SELECT ob.*, ty, by0, cnt, (blx - tlx) / (bly - tly) AS ls, (brx - trx) / (bry - try) AS rs FROM ob JOIN md USING (shot_id, tid));;
     lx AS (SELECT *, ls * ty + (tlx - ls * tly) AS a, rs * ty + (trx - rs * try) AS b, rs * by0 + (trx - rs * try) AS c, ls * by0 + (tlx - ls * tly) AS d FROM lg);;
-    qd AS (SELECT shot_id, tid, max(n) AS n, max(ty) AS ty, max(by0) AS by0, quantile_cont(a, 0.5) AS a, quantile_cont(b, 0.5) AS b, quantile_cont(c, 0.9) AS c, quantile_cont(d, 0.1) AS d FROM lx GROUP BY ALL);;
-    cl AS (SELECT shot_id, tid AS track_id, n, {', '.join(f'least(greatest({v}, 0), {m - 1}) AS {k}' for k, v, m in (('tlx', 'a', WIDTH), ('tly', 'ty', HEIGHT), ('trx', 'b', WIDTH), ('try', 'ty', HEIGHT), ('brx', 'c', WIDTH), ('bry', 'by0', HEIGHT), ('blx', 'd', WIDTH), ('bly', 'by0', HEIGHT)))} FROM qd);; """
+    qd AS (SELECT shot_id, tid, max(cnt) AS cnt, max(ty) AS ty, max(by0) AS by0, quantile_cont(a, 0.5) AS a, quantile_cont(b, 0.5) AS b, quantile_cont(c, 0.9) AS c, quantile_cont(d, 0.1) AS d FROM lx GROUP BY ALL);;
+    cl AS (SELECT shot_id, tid AS track_id, cnt, {', '.join(f'least(greatest({v}, 0), {m - 1}) AS {k}' for k, v, m in (('tlx', 'a', WIDTH), ('tly', 'ty', HEIGHT), ('trx', 'b', WIDTH), ('try', 'ty', HEIGHT), ('brx', 'c', WIDTH), ('bry', 'by0', HEIGHT), ('blx', 'd', WIDTH), ('bly', 'by0', HEIGHT)))} FROM qd);; """
 
 
 @query("aggregate_quad", f"shot_id track_id observations || {QUAD8}", "top4", _STABLE + f"""
@@ -172,7 +172,7 @@ _STABLE = _TOP + f"""ob AS (SELECT * FROM tp WHERE rank_no <= 40);;
     vq AS (SELECT *, CASE WHEN tt IS NULL THEN 1 WHEN tly + tt * (bly - tly) > tly OR tlx + tt * (blx - tlx) < -{WIDTH} OR tlx + tt * (blx - tlx) > 2 * {WIDTH} THEN 0 ELSE 1 END AS vp FROM vv);;
     gg AS (SELECT *, CASE WHEN wt <= 0 OR wb <= 0 THEN 0 ELSE 0.35e0 * CASE WHEN ratio >= 0.98e0 THEN 0 ELSE 1 - least(abs(ratio - 0.45e0) / 0.45e0, 1) END + 0.25e0 * least(wb / greatest(0.06e0 * {WIDTH}, 1), 1) + 0.2e0 * least(sp / 0.16e0, 1)
       + 0.1e0 * greatest(0, 1 - 1.8e0 * abs(0.5e0 * (tlx + trx) - 0.5e0 * (blx + brx)) / greatest(wb, 1)) + 0.1e0 * vp END AS geom FROM vq);;
-    SELECT shot_id, track_id, n AS observations, {', '.join(f'trunc({c}) AS {c}' for c in QUAD8.split())} FROM gg WHERE wt > 0 AND wb > 0 AND ratio < 0.98e0 AND geom >= 0.16e0 AND sp >= 0.045e0""")
+    SELECT shot_id, track_id, cnt AS observations, {', '.join(f'trunc({c} + 1e-9) AS {c}' for c in QUAD8.split())} FROM gg WHERE wt > 0 AND wb > 0 AND ratio < 0.98e0 AND geom >= 0.16e0 AND sp >= 0.045e0""")
 def _(t):
     return ln.aggregate_quad(ln.match_observations(t.top4(), _tracks(t))).select("shot_id", "track_id", "observations", *flat())
 
@@ -255,7 +255,7 @@ def _(t):
 
 @query("frames_with_ball_px", "shot_id frame_index || ball_px ball_py", "traj det", f"""
     fr AS (SELECT DISTINCT shot_id, frame_index FROM det);;
-    SELECT shot_id, frame_index, least(greatest(x_m * 100 + 20, 0), {WIDTH - 1}) AS ball_px, least(greatest(y_m * 8 - 10, 0), {HEIGHT - 1}) AS ball_py FROM fr LEFT JOIN traj USING (shot_id, frame_index)""")
+    SELECT shot_id, frame_index, CASE WHEN x_m IS NOT NULL THEN least(greatest(x_m * 100 + 20, 0), {WIDTH - 1}) END AS ball_px, CASE WHEN y_m IS NOT NULL THEN least(greatest(y_m * 8 - 10, 0), {HEIGHT - 1}) END AS ball_py FROM fr LEFT JOIN traj USING (shot_id, frame_index)""")
 def _(t):
     from shotlane.operators.frames import frames_with_ball_px
 

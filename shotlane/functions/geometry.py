@@ -31,8 +31,8 @@ def corner(poly: Column, i: int) -> tuple[Column, Column]:
 
 
 def trunc(c: Column) -> Column:
-    """Cut toward zero, as an integer image coordinate is stored."""
-    return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")
+    """Cut toward zero, as an integer image coordinate is stored; a whole number short by rounding noise stays whole."""
+    return F.when(c < 0, F.ceil(c - 1e-9)).otherwise(F.floor(c + 1e-9)).cast("double")
 
 
 def trunc_quad(poly: Column) -> Column:

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from shotlane.config import DEFAULT, Settings
 from shotlane.functions import geometry as G
-from shotlane.functions.arrays import array_median, array_percentile
 from shotlane.operators.masks import MASK
 
 FRAME = ["shot_id", "frame_index"]
@@ -195,7 +194,7 @@ def ball_votes(cands: DataFrame, balls: DataFrame, order: str = "det_id") -> Dat
 def summarise_tracks(assigned: DataFrame, cands: DataFrame, votes: DataFrame | None = None) -> DataFrame:
     """One row per track: counts, sums and the best accepted candidate (the earliest wins ties)."""
     rows = assigned.join(cands.select(*MASK, "polygon", "score", "geometry_score", "support_score", "mask_area"), MASK)
-    best = F.when(F.col("accepted"), F.struct(F.col("score").alias("s"), (-F.col("frame_index")).alias("f")))
+    best = F.when(F.col("accepted"), F.struct(F.col("score").alias("s"), (-F.col("frame_index")).alias("f"), (-F.col("det_id")).alias("d")))
     pick = F.struct(
         F.col("score").alias("best_score"), F.col("frame_index").alias("best_frame"), F.col("polygon").alias("best_quad"),
         F.col("geometry_score").alias("best_geometry_score"), F.col("support_score").alias("best_support_score"))
@@ -278,29 +277,27 @@ def aggregate_quad(obs: DataFrame, conf: Settings = DEFAULT, variant: str = "med
     if variant == "pins":
         return _aggregate_quad_pins(obs, keys)
     top = top_observations(obs, conf.observations_used, keys)
-    g = top.groupBy(*keys).agg(
-        F.collect_list("polygon").alias("_q"), F.min_by(F.struct("height", "width"), F.struct("frame_index", "det_id")).alias("_hw"))
-    g = g.where(F.size("_q") >= conf.observations_min).select(*keys, "_q", "_hw.*")
-    mid = lambda i, j: array_median(F.transform("_q", lambda q: 0.5 * (G.corner(q, i)[1] + G.corner(q, j)[1])))
-    g = g.withColumn("_ty", mid(0, 1)).withColumn("_by", mid(3, 2))
-    legs = F.filter(
-        F.transform("_q", lambda q: F.struct(*[_legs(q, F.col(y), left).alias(n) for n, y, left in (
-            ("tl", "_ty", True), ("tr", "_ty", False), ("bl", "_by", True), ("br", "_by", False))])),
-        lambda r: r["tl"].isNotNull() & r["tr"].isNotNull())
-    g = g.withColumn("_l", legs)
-    col = lambda n: F.transform("_l", lambda r: r[n])
-    raw = lambda i: array_median(F.transform("_q", lambda q: G.corner(q, i)[0]))
-    enough = F.size("_l") >= 3
-    xs = [
-        F.when(enough, array_median(col("tl"))).otherwise(raw(0)), F.when(enough, array_median(col("tr"))).otherwise(raw(1)),
-        F.when(enough, array_percentile(col("br"), 0.90)).otherwise(raw(2)), F.when(enough, array_percentile(col("bl"), 0.10)).otherwise(raw(3)),
-    ]
+    whole = Window.partitionBy(*keys)
+    half = F.lit(0.5)
+    y = [G.corner(F.col("polygon"), i)[1] for i in range(4)]
+    rows = top.withColumn("_ty", F.percentile(0.5 * (y[0] + y[1]), half).over(whole)).withColumn("_by", F.percentile(0.5 * (y[3] + y[2]), half).over(whole))
+    q = F.col("polygon")
+    legs = {n: _legs(q, F.col(c), left) for n, c, left in (("_tl", "_ty", True), ("_tr", "_ty", False), ("_bl", "_by", True), ("_br", "_by", False))}
+    rows = rows.withColumns(legs).withColumn("_leg", F.col("_tl").isNotNull() & F.col("_tr").isNotNull())
+    at = lambda c, p: F.percentile(F.when(F.col("_leg"), F.col(c)), F.lit(p))
+    raw = lambda i: F.percentile(G.corner(q, i)[0], half)
+    # plain aggregates, one number per column: later steps refer to them many times
+    g = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("int").alias("observations"), F.count(F.when(F.col("_leg"), 1)).alias("_legs"), F.first("_ty").alias("ty"), F.first("_by").alias("by"),
+        at("_tl", 0.5).alias("l0"), at("_tr", 0.5).alias("l1"), at("_br", 0.9).alias("l2"), at("_bl", 0.1).alias("l3"),
+        *[raw(i).alias(f"r{i}") for i in range(4)], F.max("height").alias("height"), F.max("width").alias("width"),
+    ).where(F.col("observations") >= conf.observations_min)
     hold = lambda v, n: F.least(F.greatest(v, F.lit(0.0)), F.col(n) - 1.0)
-    ys = ["_ty", "_ty", "_by", "_by"]
-    g = g.withColumn("polygon", F.array(*[G.point(hold(x, "width"), hold(F.col(y), "height")) for x, y in zip(xs, ys)]))
-    g = g.withColumn("_g", G.geometry_scores(F.col("polygon"), "height", "width"))
+    x = [hold(F.when(F.col("_legs") >= 3, F.col(f"l{i}")).otherwise(F.col(f"r{i}")), "width") for i in range(4)]
+    corners = [(x[i], hold(F.col("ty" if i < 2 else "by"), "height")) for i in range(4)]
+    g = g.withColumn("polygon", G.quad(*corners)).withColumn("_g", G.geometry_scores(F.col("polygon"), "height", "width"))
     ok = (F.col("_g.width_ratio") < 0.98) & (F.col("_g.geometry_score") >= 0.16) & (F.col("_g.y_span_ratio") >= 0.045)
-    return g.where(ok).select(*keys, G.trunc_quad(F.col("polygon")).alias("polygon"), F.size("_q").alias("observations"))
+    return g.where(ok).select(*keys, G.trunc_quad(F.col("polygon")).alias("polygon"), "observations")
 
 
 def _meet(a1, b1, a2, b2):
