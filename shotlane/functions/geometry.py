@@ -17,6 +17,11 @@ def _c(v) -> Column:
     return v if isinstance(v, Column) else (F.col(v) if isinstance(v, str) else F.lit(float(v)))
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value worked out once, however often fn mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def point(x, y) -> Column:
     return F.struct(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"))
 
@@ -101,14 +106,7 @@ def order_quad(poly: Column, rule: str = "rows") -> Column:
     ``sums``: extremes of x+y and y-x (first corner wins ties).
     """
     if rule == "rows":
-        by_y = F.array_sort(F.transform(poly, lambda p, i: F.struct(p["y"].alias("y"), i.alias("i"), p["x"].alias("x"))))
-
-        def left_right(pair: Column) -> Column:
-            return F.array_sort(F.transform(pair, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y"))))
-
-        top, bottom = left_right(F.slice(by_y, 1, 2)), left_right(F.slice(by_y, 3, 2))
-        picks = [F.get(top, F.lit(0)), F.get(top, F.lit(1)), F.get(bottom, F.lit(1)), F.get(bottom, F.lit(0))]
-        return F.array(*[point(trunc(p["x"]), trunc(p["y"])) for p in picks])
+        return let(poly, _order_rows)
 
     def low(key):
         return F.array_min(F.transform(poly, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p"))))["p"]
@@ -125,6 +123,17 @@ def order_quad(poly: Column, rule: str = "rows") -> Column:
     return F.array(*[point(p["x"], p["y"]) for p in picks])
 
 
+def _order_rows(poly: Column) -> Column:
+    by_y = F.array_sort(F.transform(poly, lambda p, i: F.struct(p["y"].alias("y"), i.alias("i"), p["x"].alias("x"))))
+
+    def left_right(pair: Column) -> Column:
+        return F.array_sort(F.transform(pair, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y"))))
+
+    top, bottom = left_right(F.slice(by_y, 1, 2)), left_right(F.slice(by_y, 3, 2))
+    picks = [F.get(top, F.lit(0)), F.get(top, F.lit(1)), F.get(bottom, F.lit(1)), F.get(bottom, F.lit(0))]
+    return F.array(*[point(trunc(p["x"]), trunc(p["y"])) for p in picks])
+
+
 def point_in_polygon(px: Column, py: Column, poly: Column) -> Column:
     """True inside or on the edge."""
     nxt = F.concat(F.slice(poly, 2, F.size(poly) - 1), F.slice(poly, 1, 1))
@@ -146,20 +155,15 @@ def point_in_polygon(px: Column, py: Column, poly: Column) -> Column:
     return on_edge | (F.size(crossings) % 2 == 1)
 
 
-def row_span(poly: Column, y: Column) -> Column:
-    """Leftmost and rightmost x of a convex polygon on image row ``y``; nulls when the row misses it."""
-    nxt = F.concat(F.slice(poly, 2, F.size(poly) - 1), F.slice(poly, 1, 1))
-    hits = F.flatten(F.zip_with(
-        poly, nxt,
-        lambda p, q: F.when(
-            (y < F.least(p["y"], q["y"])) | (y > F.greatest(p["y"], q["y"])), F.array().cast("array<double>")
-        ).when(
-            p["y"] == q["y"], F.array(p["x"], q["x"])
-        ).otherwise(
-            F.array(p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)))
-        ),
-    ))
-    return F.struct(F.array_min(hits).alias("lo"), F.array_max(hits).alias("hi"))
+def quad_span(corners: list[tuple[Column, Column]], y: Column) -> tuple[Column, Column]:
+    """Leftmost and rightmost x of a quad on row ``y``, from plain corner columns; nulls when the row misses it.
+
+    Level edges add nothing: their ends belong to the edges next to them.
+    """
+    hits = []
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        hits.append(F.when(y.between(F.least(ay, by), F.greatest(ay, by)), ax + (y - ay) * (bx - ax) / F.nullif(by - ay, F.lit(0.0))))
+    return F.least(*hits), F.greatest(*hits)
 
 
 def row_crossings(poly: Column, y: Column, upper: bool) -> Column:
@@ -202,8 +206,12 @@ def valid_vanishing_point(q: Column, h, w) -> Column:
 
 def geometry_scores(q: Column, h, w) -> Column:
     """Struct of geometry score, width ratio, bottom width and y-span ratio of a lane quad."""
-    (tlx, tly), (trx, try_), (brx, bry), (blx, bly) = (corner(q, i) for i in range(4))
     h, w = _c(h), _c(w)
+    return let(q, lambda p: _geometry_scores(p, h, w))
+
+
+def _geometry_scores(q: Column, h: Column, w: Column) -> Column:
+    (tlx, tly), (trx, try_), (brx, bry), (blx, bly) = (corner(q, i) for i in range(4))
     wt, wb = F.abs(trx - tlx), F.abs(brx - blx)
     ratio = wt / F.greatest(wb, F.lit(1.0))
     span = (F.greatest(bry, bly) - F.least(tly, try_)) / F.greatest(h, F.lit(1.0))
@@ -256,37 +264,44 @@ def homography(q: Column, width_m: float = DEFAULT.lane_width_m, length_m: float
 
     The last element is 1, or 0 when the image origin maps to infinity.
     """
+    return let(q, lambda p: _homography(p, width_m, length_m))
+
+
+def _homography(q: Column, width_m: float, length_m: float) -> Column:
+    # in steps, each worked out once: projective terms, map of the unit square onto the quad, its adjugate, scale
     (x0, y0), (x1, y1), (x2, y2), (x3, y3) = (corner(q, i) for i in range(4))
-    # projective map of the unit square onto the quad
     sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
     dx1, dx2, dy1, dy2 = x1 - x2, x3 - x2, y1 - y2, y3 - y2
     den = F.nullif(dx1 * dy2 - dx2 * dy1, F.lit(0.0))
-    g, h = (sx * dy2 - dx2 * sy) / den, (dx1 * sy - sx * dy1) / den
-    a, b, c = x1 - x0 + g * x1, x3 - x0 + h * x3, x0
-    d, e, f = y1 - y0 + g * y1, y3 - y0 + h * y3, y0
-    # its adjugate maps the quad onto the square
-    m = [e - f * h, c * h - b, b * f - c * e,
-         f * g - d, a - c * g, c * d - a * f,
-         d * h - e * g, b * g - a * h, a * e - b * d]
-    w, ln = F.lit(width_m), F.lit(length_m)
-    rows = [w * m[0], w * m[1], w * m[2],
-            ln * (m[6] - m[3]), ln * (m[7] - m[4]), ln * (m[8] - m[5]),
-            m[6], m[7], m[8]]
-    scale = F.when(m[8] != 0.0, m[8]).otherwise(F.nullif(F.greatest(F.abs(m[6]), F.abs(m[7])), F.lit(0.0)))
-    return F.array(*[v / scale for v in rows])
+
+    def square(v: Column) -> Column:
+        g, h = v[0], v[1]
+        return F.array(x1 - x0 + g * x1, x3 - x0 + h * x3, x0, y1 - y0 + g * y1, y3 - y0 + h * y3, y0, g, h)
+
+    def adjugate(v: Column) -> Column:
+        a, b, c, d, e, f, g, h = (v[k] for k in range(8))
+        return F.array(e - f * h, c * h - b, b * f - c * e, f * g - d, a - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d)
+
+    def lane(m: Column) -> Column:
+        w, ln = F.lit(width_m), F.lit(length_m)
+        return F.array(*[w * m[k] for k in range(3)], *[ln * (m[k + 3] - m[k]) for k in (3, 4, 5)], m[6], m[7], m[8])
+
+    def scaled(m: Column) -> Column:
+        scale = F.when(m[8] != 0.0, m[8]).otherwise(F.nullif(F.greatest(F.abs(m[6]), F.abs(m[7])), F.lit(0.0)))
+        return let(scale, lambda s: F.transform(m, lambda v: v / s))
+
+    terms = F.array((sx * dy2 - dx2 * sy) / den, (dx1 * sy - sx * dy1) / den)
+    return let(let(let(let(terms, square), adjugate), lane), scaled)
 
 
 def project(x: Column, y: Column, hm: Column) -> Column:
     """Point through a homography; null when the point maps to infinity."""
-    e = [F.get(hm, F.lit(i)) for i in range(9)]
-    den = e[6] * x + e[7] * y + e[8]
-    return F.when(
-        F.abs(den) >= 1e-9,
-        F.struct(
-            ((e[0] * x + e[1] * y + e[2]) / den).alias("x"),
-            ((e[3] * x + e[4] * y + e[5]) / den).alias("y"),
-        ),
-    )
+    def apply(e: Column) -> Column:
+        den = e[6] * x + e[7] * y + e[8]
+        return F.when(F.abs(den) >= 1e-9, F.struct(
+            ((e[0] * x + e[1] * y + e[2]) / den).alias("x"), ((e[3] * x + e[4] * y + e[5]) / den).alias("y")))
+
+    return let(hm, apply)
 
 
 def inverse3(hm: Column) -> Column:
@@ -309,13 +324,7 @@ def unproject(x: Column, y: Column, hm: Column, width, height) -> Column:
 
     The inverse is divided by the determinant, so that the near-zero test means the same as going forward.
     """
-    det = F.nullif(determinant(hm), F.lit(0.0))
-    p = project(x, y, F.transform(inverse3(hm), lambda v: v / det))
+    inv = let(hm, lambda m: let(F.nullif(determinant(m), F.lit(0.0)), lambda d: F.transform(inverse3(m), lambda v: v / d)))
     w, h = _c(width), _c(height)
-    return F.when(
-        p.isNotNull(),
-        F.struct(
-            F.least(F.greatest(p["x"], F.lit(0.0)), F.greatest(w - 1.0, F.lit(0.0))).alias("x"),
-            F.least(F.greatest(p["y"], F.lit(0.0)), F.greatest(h - 1.0, F.lit(0.0))).alias("y"),
-        ),
-    )
+    hold = lambda v, n: F.least(F.greatest(v, F.lit(0.0)), F.greatest(n - 1.0, F.lit(0.0)))
+    return let(project(x, y, inv), lambda p: F.when(p.isNotNull(), F.struct(hold(p["x"], w).alias("x"), hold(p["y"], h).alias("y"))))

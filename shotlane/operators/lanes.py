@@ -123,7 +123,7 @@ class TrackTable:
         return t
 
     def step(self, frame: int, quads: Sequence[np.ndarray]) -> list[tuple]:
-        """Match one frame's quads in order; each track is used once.  Returns (id, accepted, created, quad, centre)."""
+        """Match one frame's quads in order; a track takes one match per frame.  Returns (id, accepted, created, quad, centre)."""
         free = set(range(len(self.ids)))
         out = []
         for q in quads:
@@ -142,6 +142,8 @@ class TrackTable:
                 out.append((self.ids[k], ok, False, self.quads[k].copy(), self.centres[k]))
             else:
                 self.ids.append(self.next_id), self.quads.append(q.copy()), self.centres.append(cx), self.seen.append(frame)
+                # a track opened in this frame may still take a later quad of it
+                free.add(len(self.ids) - 1)
                 out.append((self.next_id, True, True, q.copy(), cx))
                 self.next_id += 1
         live = [k for k in range(len(self.ids)) if frame - self.seen[k] < self.conf.stale_frames]
@@ -162,7 +164,7 @@ def track_lanes(cands: DataFrame, conf: Settings = DEFAULT, order: str = "det_id
         F.flatten(F.transform("polygon", lambda p: F.array(p["x"], p["y"]))).alias("_q"),
     )
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_index", "_o"], kind="stable")
         table = TrackTable(conf)
         out = []
@@ -191,10 +193,10 @@ def ball_votes(cands: DataFrame, balls: DataFrame, order: str = "det_id") -> Dat
     )
 
 
-def summarise_tracks(assigned: DataFrame, cands: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+def summarise_tracks(assigned: DataFrame, cands: DataFrame, votes: DataFrame | None = None, order: str = "det_id") -> DataFrame:
     """One row per track: counts, sums and the best accepted candidate (the earliest wins ties)."""
-    rows = assigned.join(cands.select(*MASK, "polygon", "score", "geometry_score", "support_score", "mask_area"), MASK)
-    best = F.when(F.col("accepted"), F.struct(F.col("score").alias("s"), (-F.col("frame_index")).alias("f"), (-F.col("det_id")).alias("d")))
+    rows = assigned.join(cands.select(*MASK, F.col(order).alias("_o"), "polygon", "score", "geometry_score", "support_score", "mask_area"), MASK)
+    best = F.when(F.col("accepted"), F.struct(F.col("score").alias("s"), (-F.col("frame_index")).alias("f"), (-F.col("_o")).alias("o")))
     pick = F.struct(
         F.col("score").alias("best_score"), F.col("frame_index").alias("best_frame"), F.col("polygon").alias("best_quad"),
         F.col("geometry_score").alias("best_geometry_score"), F.col("support_score").alias("best_support_score"))

@@ -154,74 +154,67 @@ def polygon_runs(polys: DataFrame, keys: Sequence[str] = MASK, poly: str = "poly
 
 # ---- trapezoid support -----------------------------------------------------
 
-def _row_overlap(runs: DataFrame, polys: DataFrame, keys: Sequence[str], poly: str) -> DataFrame:
-    """Each run next to its mask's polygon: overlap of the run with the polygon's span on that row.
+_XY = [(f"_x{i}", f"_y{i}") for i in range(4)]
 
-    The polygon side is one row per mask, so the join is on the mask key alone
-    and the span of a row is computed, not looked up.
-    """
-    lanes = runs.select(*keys, "y", "x0", "x1").join(polys.select(*keys, F.col(poly).alias("_p"), "height", "width"), list(keys))
-    span = G.row_span(F.col("_p"), F.col("y").cast("double"))
-    lo = F.greatest(F.ceil(F.col("_s.lo") - 1e-9), F.lit(0))
-    hi = F.least(F.floor(F.col("_s.hi") + 1e-9), F.col("width") - 1)
-    ov = F.greatest(F.least(F.col("x1"), hi) - F.greatest(F.col("x0"), lo) + 1, F.lit(0))
-    return lanes.withColumn("_s", span).withColumn("overlap", F.when(F.col("_s.lo").isNull(), 0).otherwise(ov).cast("long"))
-
-
-def _bands(poly: Column, height: Column, n: int) -> Column:
-    """Row ranges [start, stop) of the n support bands."""
-    tl, tr, br, bl = (G.corner(poly, i)[1] for i in range(4))
-    y0 = F.floor(F.greatest(F.floor(F.least(tl, tr)), F.lit(0)))
-    y1 = F.floor(F.least(F.ceil(F.greatest(br, bl)), height - 1))
-    step = (y1 - y0) / F.lit(float(n))
-    return F.when(y1 > y0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
-        F.greatest(F.floor(i * step + y0), F.lit(0)).alias("a"),
-        F.least(F.ceil(F.when(i == n - 1, y1.cast("double")).otherwise((i + 1) * step + y0)), height).alias("b"),
-    )))
 
+def _corner_columns(poly: str) -> list[Column]:
+    return [G.corner(F.col(poly), i)[k].alias(_XY[i][k]) for i in range(4) for k in (0, 1)]
 
-def _poly_area(poly: Column, a: Column, b: Column, width: Column) -> Column:
-    """Pixels of a convex polygon in rows [a, b)."""
-    def width_at(acc, y):
-        s = G.row_span(poly, y.cast("double"))
-        n = F.least(F.floor(s["hi"] + 1e-9), width - 1) - F.greatest(F.ceil(s["lo"] - 1e-9), F.lit(0)) + 1
-        return acc + F.when(s["lo"].isNull(), 0).otherwise(F.greatest(n, F.lit(0))).cast("long")
 
-    return F.when(b > a, F.aggregate(F.sequence(a, b - 1), F.lit(0).cast("long"), width_at)).otherwise(F.lit(0).cast("long"))
+def _span_pixels(y: Column, width: Column) -> tuple[Column, Column]:
+    """First and last pixel of the quad in columns _x0.._y3 on row y."""
+    lo, hi = G.quad_span([(F.col(a), F.col(b)) for a, b in _XY], y.cast("double"))
+    return F.greatest(F.ceil(lo - 1e-9), F.when(lo.isNotNull(), F.lit(0))), F.least(F.floor(hi + 1e-9), F.when(hi.isNotNull(), width - 1))
 
 
 def evaluate_trapezoid(runs: DataFrame, polys: DataFrame, keys: Sequence[str] = MASK, poly: str = "polygon", conf: Settings = DEFAULT) -> DataFrame:
     """Coverage, purity, band support and total score of one lane quad per mask.
 
-    ``polys`` has keys, polygon, height, width.  All band sums are conditional
-    aggregates of a single grouping.
+    ``polys`` has keys, polygon, height, width.  The polygon side is one row per
+    mask, so the join is on the mask key alone; a run meets the quad's span on
+    its row, and the total and all band sums are aggregates of a single grouping.
     """
     n = conf.support_bands
-    info = polys.withColumn("_b", _bands(F.col(poly), F.col("height"), n))
-    over = _row_overlap(runs, polys, keys, poly).withColumn("_b", _bands(F.col("_p"), F.col("height"), n))
+    top, bottom = F.least("_y0", "_y1"), F.greatest("_y2", "_y3")
+    # rows [start, stop) the bands divide; the join makes them plain columns for what follows
+    edge = polys.select(*keys, "width", "height", *_corner_columns(poly)).withColumn(
+        "_b0", F.greatest(F.floor(top), F.lit(0))).withColumn("_b1", F.least(F.ceil(bottom), F.col("height") - 1))
+    step = (F.col("_b1") - F.col("_b0")) / F.lit(float(n))
+    start = lambda i: F.greatest(F.floor(i * step + F.col("_b0")), F.lit(0))
+    stop = lambda i: F.least(F.ceil(F.col("_b1").cast("double") if i == n - 1 else (i + 1) * step + F.col("_b0")), F.col("height"))
+
+    lanes = runs.select(*keys, "y", "x0", "x1").join(edge, list(keys))
+    first, last = _span_pixels(F.col("y"), F.col("width"))
+    lanes = lanes.withColumn("_lo", first).withColumn("_hi", last)
+    over = lanes.withColumn("_ov", F.when(F.col("_lo").isNull(), 0).otherwise(
+        F.greatest(F.least(F.col("x1"), F.col("_hi")) - F.greatest(F.col("x0"), F.col("_lo")) + 1, F.lit(0))).cast("long"))
+    y = F.col("y")
     sums = over.groupBy(*keys).agg(
-        F.sum("overlap").alias("_inter"), F.sum(F.col("x1") - F.col("x0") + 1).alias("_lane"),
-        F.array(*[
-            F.sum(F.when((F.col("y") >= F.get("_b", F.lit(i))["a"]) & (F.col("y") < F.get("_b", F.lit(i))["b"]), F.col("overlap")).otherwise(0))
-            for i in range(n)
-        ]).alias("_fill"),
-    )
-    ys = F.transform(poly, lambda p: p["y"])
-    area = _poly_area(
-        F.col(poly), F.greatest(F.ceil(F.array_min(ys)), F.lit(0)), F.least(F.floor(F.array_max(ys)) + 1, F.col("height").cast("long")), F.col("width"))
-    band_area = F.transform("_b", lambda b: _poly_area(F.col(poly), b["a"], b["b"].cast("long"), F.col("width")))
-    joined = info.join(sums, list(keys), "left").withColumn("_area", area).withColumn("_ba", band_area)
+        F.sum("_ov").alias("_inter"), F.sum(F.col("x1") - F.col("x0") + 1).alias("_lane"),
+        *[F.sum(F.when((y >= start(i)) & (y < stop(i)), F.col("_ov")).otherwise(0)).alias(f"_f{i}") for i in range(n)])
+
+    # pixels of the quad itself, whole and per band, from one pass over its rows
+    rows = edge.withColumn("y", F.explode(F.sequence(
+        F.greatest(F.ceil(F.least("_y0", "_y1", "_y2", "_y3")), F.lit(0)),
+        F.greatest(F.least(F.floor(F.greatest("_y0", "_y1", "_y2", "_y3")), F.col("height") - 1), F.lit(0)))))
+    rows = rows.withColumn("_lo", first).withColumn("_hi", last)
+    rows = rows.withColumn("_px", F.coalesce(F.greatest(F.col("_hi") - F.col("_lo") + 1, F.lit(0)), F.lit(0)))
+    area = rows.groupBy(*keys).agg(
+        F.sum("_px").alias("_area"), F.max((F.col("_b1") > F.col("_b0")).cast("int")).alias("_banded"),
+        *[F.sum(F.when((y >= start(i)) & (y < stop(i)), F.col("_px")).otherwise(0)).alias(f"_a{i}") for i in range(n)])
+
     fills = F.filter(
-        F.zip_with("_ba", "_fill", lambda a, f: F.when(a > 0, F.least(F.coalesce(f, F.lit(0)) / a / 0.55, F.lit(1.0)))),
+        F.array(*[F.when((F.col("_banded") == 1) & (F.col(f"_a{i}") > 0), F.least(
+            F.coalesce(F.col(f"_f{i}"), F.lit(0)) / F.nullif(F.col(f"_a{i}"), F.lit(0)) / 0.55, F.lit(1.0))) for i in range(n)]),
         lambda v: v.isNotNull())
-    fills = F.coalesce(fills, F.array().cast("array<double>"))
-    mean = F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("_v"), F.lit(0))
-    share = F.size(F.filter("_v", lambda v: v > 0.20)) / F.nullif(F.size("_v"), F.lit(0))
-    support = F.coalesce(F.least(F.greatest(0.65 * mean + 0.35 * share, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, e: a + e) / F.nullif(F.size(v), F.lit(0))
+    share = lambda v: F.size(F.filter(v, lambda e: e > 0.20)) / F.nullif(F.size(v), F.lit(0))
+    support = G.let(fills, lambda v: F.least(F.greatest(0.65 * mean(v) + 0.35 * share(v), F.lit(0.0)), F.lit(1.0)))
+    joined = polys.join(area, list(keys), "left").join(sums, list(keys), "left")
     ok = (F.col("_area") > 0) & (F.coalesce(F.col("_lane"), F.lit(0)) > 0)
     cw = conf.coverage_weight
     out = (
-        joined.withColumn("_v", fills).withColumn("support_score", support)
+        joined.withColumn("support_score", F.when(F.size(fills) > 0, support).otherwise(0.0))
         .withColumn("_g", G.geometry_scores(F.col(poly), "height", "width"))
         .withColumn("coverage", F.when(ok, F.col("_inter") / F.nullif(F.col("_lane"), F.lit(0))).otherwise(0.0))
         .withColumn("purity", F.when(ok, F.col("_inter") / F.nullif(F.col("_area"), F.lit(0))).otherwise(0.0))

@@ -49,9 +49,10 @@ def _lane_candidates(lane_runs: DataFrame, shots: DataFrame, conf: Settings) ->
     area = mk.mask_area(lane_runs)
     top = ln.top_lane_masks(area, conf.max_lane_masks)
     runs = lane_runs.join(top.select(*mk.MASK), mk.MASK)
-    clean = mk.significant_components(runs, conf)
+    # read by four steps below: written once instead of relabelled each time
+    clean = cut(mk.significant_components(runs, conf), "lane-masks")
     sizes = top.select(*mk.MASK, "lane_no").join(shots.select("shot_id", "height", "width"), "shot_id")
-    quads = mk.quad_from_boundaries(clean, sizes)
+    quads = cut(mk.quad_from_boundaries(clean, sizes), "mask-quads")
     found = quads.where("polygon is not null").withColumn("polygon", G.order_quad(F.col("polygon"))).drop("reason")
     scored = ln.validate_candidates(mk.evaluate_trapezoid(clean, found, conf=conf), conf)
     bad = quads.where("polygon is null").select(*mk.MASK, "lane_no", "height", "width", "reason")
@@ -80,7 +81,7 @@ def analyse_shots(runs: DataFrame, shots: DataFrame, conf: Settings = DEFAULT) -
     assigned = ln.track_lanes(ok, conf, order="lane_no")
     assigned = cut(assigned, "assigned")
     votes = ln.ball_votes(ok.join(assigned.select(*mk.MASK, "track_id"), mk.MASK), balls, order="lane_no")
-    tracks = cut(ln.lane_quality(ln.summarise_tracks(assigned, ok, votes)), "tracks")
+    tracks = cut(ln.lane_quality(ln.summarise_tracks(assigned, ok, votes, order="lane_no")), "tracks")
     obs = ln.nearest_pins(ok, pins)
     matched = ln.match_observations(obs, tracks)
     stable = ln.aggregate_quad(matched, conf)
