@@ -200,13 +200,16 @@ def episode_ranges(truth: DataFrame, labels: DataFrame, frame: str = "global_fra
     have = labels.select(*k, F.col(label_frame).alias("f")).distinct()
     ep = truth.groupBy(*k, "episode_idx").agg(F.min(frame).alias("lo"), F.max(frame).alias("hi"))
     part = (lambda: Window.partitionBy(*k)) if k else (lambda: Window.partitionBy(F.lit(0)))
-    runs = have.withColumn("_g", F.col("f") - F.row_number().over(part().orderBy("f"))).groupBy(*k, "_g").agg(F.min("f").alias("rs"), F.max("f").alias("re"))
-    runs = runs.withColumn("_i", F.row_number().over(part().orderBy("rs"))).withColumn("_runs", F.count(F.lit(1)).over(part()))
+    # run ends are frames without a labelled neighbour: only they, not the frames, are ranked
+    edge = lambda step: have.join(have.select(*k, (F.col("f") - step).alias("f")), [*k, "f"], "left_anti").withColumn("_i", F.row_number().over(part().orderBy("f")))
+    starts = edge(-1).withColumn("_runs", F.count(F.lit(1)).over(part())).withColumnRenamed("f", "rs")
+    runs = starts.join(edge(1).withColumnRenamed("f", "re"), [*k, "_i"])
     eps = ep.withColumn("_i", F.row_number().over(part().orderBy("episode_idx"))).withColumn("_eps", F.count(F.lit(1)).over(part()))
     paired = eps.join(runs, [*k, "_i"], "left").withColumn("_pair", F.coalesce(F.col("_eps") == F.col("_runs"), F.lit(False)))
-    # nearest labelled frame inside the range, and the one just before it
-    inside = paired.where("not _pair").select(*k, "episode_idx", "lo", "hi")
-    near = inside.join(have, k, "left") if k else inside.join(have, F.col("f").between(F.col("lo") - 1, F.col("hi")), "left")
+    # labelled frames inside the range, and the one just before it; ranges meet frames by stretches of 256 frames
+    piece = lambda c: F.floor(c / F.lit(256)).cast("int")
+    inside = paired.where("not _pair").select(*k, "episode_idx", "lo", "hi").withColumn("_b", F.explode(F.sequence(piece(F.col("lo") - 1), piece(F.col("hi")))))
+    near = inside.join(have.withColumn("_b", piece(F.col("f"))), [*k, "_b"], "left")
     hit = F.col("f").between(F.col("lo"), F.col("hi"))
     shrunk = near.groupBy(*k, "episode_idx", "lo", "hi").agg(
         F.min(F.when(hit, F.col("f"))).alias("_min"), F.max(F.when(hit, F.col("f"))).alias("_max"),

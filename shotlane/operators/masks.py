@@ -240,7 +240,7 @@ def _row_percentiles(targets: DataFrame, runs: DataFrame, keys: Sequence[str], h
     column holds, and an order statistic is read from the running count.
     """
     met = runs.select(*keys, "y", "x0", "x1").join(targets.select(*keys, "rows"), list(keys))
-    met = met.withColumn("row", F.explode(F.filter("rows", lambda r: F.abs(r - F.col("y")) <= half))).drop("rows")
+    met = met.withColumn("row", F.explode(F.sequence(F.col("y") - half, F.col("y") + half))).where(F.array_contains("rows", F.col("row"))).drop("rows")
     key = [*keys, "row"]
     edges = met.select(*key, F.inline(F.array(
         F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("d")))))
@@ -443,28 +443,55 @@ def bev_centroid(runs: DataFrame, homographies: DataFrame, keys: Sequence[str] =
     """Ball centre in the top-down view.
 
     ``projected`` maps the mask's centroid.  ``warped`` averages the top-down
-    pixels whose source pixel is in the mask: the candidates are the box of the
-    projected mask box, tested row by row against the runs.
+    pixels whose source pixel is in the mask: on one top-down row, those coming
+    from one run are an interval with closed-form ends, so no pixel is listed.
     """
     if mode == "projected":
         c = mask_centroid(runs, keys).join(homographies, list(on))
         return c.withColumn("_p", G.project(F.col("cx"), F.col("cy"), F.col("homography"))).where("_p is not null").select(
             *keys, F.col("_p.x").alias("bev_x"), F.col("_p.y").alias("bev_y"))
     w, h = out_size
-    box = mask_boxes(runs, keys).join(homographies, list(on))
-    ends = F.array(*[
-        G.project(F.col(x) + dx, F.col(y) + dy, F.col("homography"))
-        for x, dx in (("x0", -0.5), ("x1", 0.5)) for y, dy in (("y0", -0.5), ("y1", 0.5))
-    ])
-    lim = lambda v, lo, hi: F.least(F.greatest(v, F.lit(lo)), F.lit(hi)).cast("int")
-    box = box.withColumn("_e", ends).withColumn("_inv", G.inverse3(F.col("homography")))
-    us, vs = F.transform("_e", lambda p: p["x"]), F.transform("_e", lambda p: p["y"])
-    grid = box.select(
-        *keys, "_inv",
-        F.explode(F.sequence(lim(F.floor(F.array_min(vs)), 0, h - 1), lim(F.ceil(F.array_max(vs)), 0, h - 1))).alias("v"),
-        lim(F.floor(F.array_min(us)), 0, w - 1).alias("_u0"), lim(F.ceil(F.array_max(us)), 0, w - 1).alias("_u1"),
-    ).withColumn("u", F.explode(F.sequence("_u0", "_u1")))
-    src = grid.withColumn("_s", G.project(F.col("u").cast("double"), F.col("v").cast("double"), F.col("_inv"))).select(
-        *keys, "u", "v", F.floor(F.col("_s.x") + 0.5).cast("int").alias("_x"), F.floor(F.col("_s.y") + 0.5).cast("int").alias("y"))
-    hit = src.join(runs.select(*keys, "y", "x0", "x1"), [*keys, "y"]).where("_x between x0 and x1")
-    return hit.groupBy(*keys).agg(F.avg("u").alias("bev_x"), F.avg("v").alias("bev_y"))
+    el = lambda m, n: [F.get(m, F.lit(k)).alias(f"{n}{k}") for k in range(9)]
+    hom = homographies.select(*on, *el(F.col("homography"), "_h"), *el(G.inverse3(F.col("homography")), "_i"))
+    met = runs.select(*keys, *[c for c in on if c not in keys], "y", "x0", "x1").join(hom, list(on))
+    H, I = ([F.col(f"_{n}{k}") for k in range(9)] for n in "hi")
+
+    def fwd(x: Column, y: Column) -> tuple[Column, Column]:
+        den = F.nullif(H[6] * x + H[7] * y + H[8], F.lit(0.0))
+        return (H[0] * x + H[1] * y + H[2]) / den, (H[3] * x + H[4] * y + H[5]) / den
+
+    ends = [fwd(F.col(x) + dx, F.col("y") + dy) for x, dx in (("x0", -0.5), ("x1", 0.5)) for dy in (-0.5, 0.5)]
+    met = met.withColumns({f"_v{k}": v for k, (_, v) in enumerate(ends)})
+    vs = [F.col(f"_v{k}") for k in range(4)]
+    lim = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(h - 1)).cast("int")
+    low, high = F.floor(F.least(*vs)), F.ceil(F.greatest(*vs))
+    rows = met.where((high >= 0) & (low <= h - 1)).withColumn("_v", F.explode(F.sequence(lim(low), lim(high))))
+    mu, mv = fwd((F.col("x0") + F.col("x1")) / 2.0, F.col("y").cast("double"))
+    rows = rows.withColumn("_side", F.signum(I[6] * mu + I[7] * mv + I[8]))
+    # source pixel conditions as a*u + b >= 0 (the upper ones strict), linear in u on one top-down row
+    v = F.col("_v")
+    den = (I[6], I[7] * v + I[8])
+
+    def edge(num, at: Column, upper: bool) -> tuple[Column, Column]:
+        sign = F.col("_side") * (-1 if upper else 1)
+        return sign * (num[0] - at * den[0]), sign * (num[1] - at * den[1])
+
+    sx, sy = (I[0], I[1] * v + I[2]), (I[3], I[4] * v + I[5])
+    conds = [(edge(sx, F.col("x0") - 0.5, False), False), (edge(sx, F.col("x1") + 0.5, True), True),
+             (edge(sy, F.col("y") - 0.5, False), False), (edge(sy, F.col("y") + 0.5, True), True)]
+    cols = {}
+    for k, ((a, b), _) in enumerate(conds):
+        cols[f"_a{k}"], cols[f"_b{k}"] = a, b
+    rows = rows.withColumns(cols)
+    lows, highs, fine = [F.lit(0)], [F.lit(w - 1)], F.lit(True)
+    for k, (_, strict) in enumerate(conds):
+        a, b = F.col(f"_a{k}"), F.col(f"_b{k}")
+        cut_at = -b / F.nullif(a, F.lit(0.0))
+        lows.append(F.when(a > 0, (F.floor(cut_at) + 1) if strict else F.ceil(cut_at)))
+        highs.append(F.when(a < 0, (F.ceil(cut_at) - 1) if strict else F.floor(cut_at)))
+        fine = fine & ((a != 0) | ((b > 0) if strict else (b >= 0)))
+    rows = rows.withColumn("_lo", F.greatest(*lows)).withColumn("_hi", F.least(*highs)).where(fine & (F.col("_lo") <= F.col("_hi")))
+    n = F.col("_hi") - F.col("_lo") + 1
+    total = F.sum(n)
+    return rows.groupBy(*keys).agg(
+        (F.sum((F.col("_lo") + F.col("_hi")) * n) / (2.0 * total)).alias("bev_x"), (F.sum(v * n) / total).alias("bev_y"))

@@ -74,8 +74,8 @@ def stream_ema(joints: DataFrame, alpha: float = DEFAULT.ema_alpha, ttl_ms: int
 
 
 class _Tracks(StatefulProcessor):
-    def __init__(self, conf: Settings, ttl_ms: int | None):
-        self.conf, self.ttl_ms = conf, ttl_ms
+    def __init__(self, conf: Settings, order: str, ttl_ms: int | None):
+        self.conf, self.order, self.ttl_ms = conf, order, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("tracks", "frame_index int, next_id int, tracks string", self.ttl_ms)
@@ -86,11 +86,11 @@ class _Tracks(StatefulProcessor):
             frame, next_id, packed = self.state.get()[:3]
             table = TrackTable.load(self.conf, json.loads(packed), next_id)
         out = []
-        for f, part in _sorted(rows, ["frame_index", "_o"]).groupby("frame_index", sort=True):
+        for f, part in _sorted(rows, ["frame_index", self.order]).groupby("frame_index", sort=True):
             if frame is not None and f <= frame:
                 out += [(key[0], int(f), int(d), None, None, None, None, None, True) for d in part["det_id"]]
                 continue
-            got = table.step(int(f), [np.asarray(q, dtype=float).reshape(4, 2) for q in part["_q"]])
+            got = table.step(int(f), [np.asarray(q, dtype=float).reshape(4, 2) for q in part["corners"]])
             out += [(key[0], int(f), int(d), i, ok, new, q.ravel().tolist(), c, False) for d, (i, ok, new, q, c) in zip(part["det_id"], got)]
             frame = int(f)
         if frame is not None:
@@ -104,11 +104,12 @@ class _Tracks(StatefulProcessor):
 def stream_tracks(cands: DataFrame, conf: Settings = DEFAULT, order: str = "det_id", ttl_ms: int | None = None) -> DataFrame:
     """Lane tracker per shot; tracks unseen for stale_frames frames are dropped from the state."""
     flat = cands.select(
-        "shot_id", "frame_index", "det_id", F.col(order).alias("_o"), F.flatten(F.transform("polygon", lambda p: F.array(p["x"], p["y"]))).alias("_q"))
+        "shot_id", "frame_index", "det_id", *([order] if order != "det_id" else []),
+        F.flatten(F.transform("polygon", lambda p: F.array(p["x"], p["y"]))).alias("corners"))
     schema = _types(cands, "shot_id") + (
         ", frame_index int, det_id long, track_id int, accepted boolean, created boolean, track_quad array<double>, track_centroid_x double, late boolean")
     return flat.groupBy("shot_id").transformWithStateInPandas(
-        statefulProcessor=_Tracks(conf, ttl_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+        statefulProcessor=_Tracks(conf, order, ttl_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 class _Velocity(StatefulProcessor):

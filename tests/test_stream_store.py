@@ -97,7 +97,7 @@ def test_run_documents_skip_corrupt_and_name_from_file(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{nope")
     runs = rd.read_runs(spark, str(tmp_path))
     assert {(r["slug"], r["name"]) for r in runs.collect()} == {("Good_one", "Good one"), ("plain", "plain")}
-    assert rd.run_sections_of(runs).select("section", "payload").collect() == [("laneballs", '{"fps":30}')]
+    assert rd.run_sections_of(runs).select("section", "payload").collect() == [("laneballs", '{"fps": 30}')]
 
 
 def test_label_files_round_trip_with_an_empty_one(spark, tmp_path):
