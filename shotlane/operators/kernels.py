@@ -92,18 +92,25 @@ def _dense(t: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _jumps(t: np.ndarray) -> np.ndarray:
     """Third-derivative jump of each B-spline at each inner knot, scaled by the mean knot spacing."""
     inner = t.size - 8
-    scale = inner + 1
-    width = (t[-4] - t[3]) / scale
+    width = (t[-4] - t[3]) / (inner + 1)
+    r = np.arange(inner)[:, None]
+    j = r + np.arange(5)
+    gaps = t[r + 4][:, :, None] - t[j[:, :, None] + np.arange(5)]
+    # the knot itself is one of the five: it does not count
+    gaps[gaps == 0.0] = width
     out = np.zeros((inner, t.size - 4))
-    for r in range(inner):
-        z = t[r + 4]
-        for j in range(r, r + 5):
-            knots = t[j:j + 5]
-            gaps = np.delete(z - knots, np.flatnonzero(knots == z)[:1])
-            out[r, j] = (t[j + 4] - t[j]) / np.prod(gaps / width) / width
+    out[r, j] = (t[j + 4] - t[j]) / np.prod(gaps / width, axis=2) / width
     return out
 
 
+def _solve(normal: np.ndarray, rhs: np.ndarray, a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Normal equations; the slow orthogonal solver only where they are singular."""
+    try:
+        return np.linalg.solve(normal, rhs)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(a, y, rcond=None)[0]
+
+
 def smoothing_spline(x: np.ndarray, y: np.ndarray, budget: float, at: np.ndarray) -> np.ndarray:
     """Smooth y(x) so that the squared residuals sum to ``budget``; x strictly increasing, at least 4 points.
 
@@ -119,7 +126,7 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, budget: float, at: np.ndarray
     def fit(inner: np.ndarray):
         t = np.concatenate([np.full(4, lo), inner, np.full(4, hi)])
         a = _dense(t, x)
-        c = np.linalg.lstsq(a, y, rcond=None)[0]
+        c = _solve(a.T @ a, a.T @ y, a, y)
         res = (y - a @ c) ** 2
         return t, a, c, res, float(res.sum())
 
@@ -169,16 +176,17 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, budget: float, at: np.ndarray
         return _dense(t, np.clip(at, lo, hi)) @ c
 
     rough = _jumps(t)
+    fit_part, rough_part, rhs = a.T @ a, rough.T @ rough, a.T @ y
 
     def smooth(p: float):
-        c = np.linalg.lstsq(np.vstack([a, rough / p]), np.concatenate([y, np.zeros(rough.shape[0])]), rcond=None)[0]
+        c = _solve(fit_part + rough_part / p ** 2, rhs, np.vstack([a, rough / p]), np.concatenate([y, np.zeros(rough.shape[0])]))
         return c, float(((y - a @ c) ** 2).sum())
 
     # residual falls from the cubic's (p -> 0) to the free knots' (p -> inf): bracket, then bisect on log p
-    small, large = 1e-8, 1.0
+    small, large = 1e-4, 1.0
     while smooth(large)[1] > budget and large < 1e12:
         small, large = large, large * 10.0
-    while smooth(small)[1] < budget and small > 1e-14:
+    while smooth(small)[1] < budget and small > 1e-7:
         large, small = small, small / 10.0
     c, fp = smooth(large)
     for _ in range(60):
