@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +26,23 @@ def build_session(master: str | None = None, app: str = "shotlane", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where unset (tests)."""
+    """This application's folder below the shared one named by ``spark.checkpoint.dir``; only a local session may leave that unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    local = tempfile.mkdtemp(prefix="shotlane-")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        configured = "file:///tmp/checkpoints"
+    return f"{configured.rstrip('/')}/shotlane-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; frames that read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
