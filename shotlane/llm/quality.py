@@ -96,7 +96,7 @@ def _metadata_vector() -> Column:
 
 
 def _fit(rows: DataFrame, features: str, strength: float) -> tuple[np.ndarray, float]:
-    model = LogisticRegression(featuresCol=features, labelCol="y", weightCol="w", regParam=strength, maxIter=15, standardization=True).fit(rows)
+    model = LogisticRegression(featuresCol=features, labelCol="y", weightCol="w", regParam=strength, maxIter=10, standardization=True).fit(rows)
     return np.asarray(model.coefficients.toArray()), float(model.intercept)
 
 

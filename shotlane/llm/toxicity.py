@@ -37,7 +37,7 @@ from shotlane.session import cut
 _U = np.uint64
 #: Levels of a token: whole word, then its first so many bytes.
 LEVELS = (None, 6, 5, 4, 3)
-PER_CLASS, MODEL_TOKENS, PRIOR, DRIFT = 12_000, 200_000, 8.0, 1.0
+PER_CLASS, MODEL_TOKENS, PRIOR, DRIFT = 12_000, 200_000, 4.0, 2.0
 RESULT = ["score", "predicted", "passages"]
 
 
@@ -213,9 +213,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     trial = _token_table(part[part.toxic > 0], sizes[False, 1], sizes[False, 0])
     tuned = lambda: map_text(rows.filter("tune"), ["label"], [StructField("n", LongType()), StructField("best", DoubleType()), StructField("seen", DoubleType())], _evidence_step(trial)).toPandas()
     clean = tuned().query("label == 0")
-    # extreme-value fit on clean documents: S - ln(n) / lambda is Gumbel, its spread gives lambda and its mean K
-    trial.lam = 1 / max(float(np.std(clean.best)) * np.sqrt(6) / np.pi, 0.25)
-    trial.log_k = float(np.mean(trial.lam * clean.best - np.log(np.maximum(clean.n, 1)))) + 3.0  # E below about 0.05 counts as significant
+    # extreme-value fit on clean documents: lambda S - ln(K n) is Gumbel; lambda from the spread of S between its median and its
+    # 99th percentile, K from the 99th percentile, so that single odd documents don't set them; E below about 0.05 counts as significant
+    g50, g99 = -np.log(-np.log(0.5)), -np.log(-np.log(0.99))
+    spread = float(np.quantile(clean.best, 0.99) - np.quantile(clean.best, 0.5))
+    trial.lam = (g99 - g50) / max(spread, 0.5)
+    trial.log_k = float(np.quantile(trial.lam * clean.best - np.log(np.maximum(clean.n, 1)), 0.99)) - g99 + 3.0
     seen = tuned()
     y = seen.label.to_numpy(float)
     weight = np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, (1 - y).sum())) * len(y) / (n1 + n0)
