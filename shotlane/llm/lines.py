@@ -43,7 +43,9 @@ def boilerplate(lines: DataFrame, sites: int, long_sites: int) -> DataFrame:
     sure = F.col("about") > F.col("need") * (1 + 3 * ERROR) + 1
     hopeless = F.col("about") < F.col("need") * (1 - 3 * ERROR) - 1
     near = spread.filter(~sure & ~hopeless)
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"))
+    # one row per line and site before anything is dealt by line; an inner join, as a semi-join would be pushed below the distinct
+    pairs = lines.filter("site IS NOT NULL").select("h1", "h2", "site").distinct()
+    exact = pairs.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("*").alias("sites"))
     kept = near.join(exact, ["h1", "h2"]).filter("sites >= need").select("h1", "h2", "sites", "first")
     return spread.filter(sure).select("h1", "h2", F.col("about").alias("sites"), "first").unionByName(kept)
 
