@@ -37,7 +37,7 @@ from shotlane.session import cut
 _U = np.uint64
 #: Levels of a token: whole word, then its first so many bytes.
 LEVELS = (None, 6, 5, 4, 3)
-PER_CLASS, MODEL_TOKENS, PRIOR, DRIFT = 12_000, 200_000, 4.0, 2.0
+PER_CLASS, MODEL_TOKENS, PRIOR, DRIFT = 6_000, 200_000, 4.0, 2.0
 RESULT = ["score", "predicted", "passages"]
 
 
@@ -89,15 +89,22 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def _count_step():
     def step(texts: pa.Array) -> list:
         w = W.split(texts)
-        out = [[] for _ in range(len(texts))]
-        bounds = np.concatenate([[0], np.cumsum(w.counts())])
-        forms = [w.hashes(n).astype(np.int64) for n in LEVELS]
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            for level, h in enumerate(forms):
-                up = forms[level + 1][a:b] if level + 1 < len(LEVELS) else np.zeros(b - a, dtype=np.int64)
-                keys, first = np.unique(h[a:b], return_index=True)
-                out[i] += [{"level": level, "token": k, "parent": p} for k, p in zip(keys.tolist(), up[first].tolist())]
-        return [pa.array(out, pa.list_(pa.struct([("level", pa.int32()), ("token", pa.int64()), ("parent", pa.int64())])))]
+        forms = [w.hashes(n).astype(np.int64) for n in LEVELS] + [np.zeros(len(w.start), dtype=np.int64)]
+        rows, levels, tokens, parents = [], [], [], []
+        for level, h in enumerate(forms[:-1]):
+            order = np.lexsort((h, w.row))
+            r, k = w.row[order], h[order]
+            new = np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])) if len(r) else np.zeros(0, dtype=bool)
+            rows.append(r[new])
+            levels.append(np.full(len(rows[-1]), level, dtype=np.int32))
+            tokens.append(k[new])
+            parents.append(forms[level + 1][order][new])
+        row = np.concatenate(rows)
+        order = np.argsort(row, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
+        columns = [np.concatenate(x)[order] for x in (levels, tokens, parents)]
+        found = pa.StructArray.from_arrays([pa.array(x) for x in columns], names=["level", "token", "parent"])
+        return [pa.ListArray.from_arrays(pa.array(ends), found)]
 
     return step
 
