@@ -46,7 +46,7 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     return docs.select([F.col(c).alias(names.get(c, c)) for c in docs.columns]), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
 
 
-def map_text(df: DataFrame, keep: list[str], fields: list[StructField], start: Callable[[], Callable[[pa.Array], list]], slice_bytes: int = 4 << 20) -> DataFrame:
+def map_text(df: DataFrame, keep: list[str], fields: list[StructField], start: Callable[[], Callable[[pa.Array], list]], slice_bytes: int = 2 << 20) -> DataFrame:
     """``keep`` columns of every row plus ``fields`` computed from its whole text.
 
     ``start()`` runs once per task and returns a function from an Arrow array of

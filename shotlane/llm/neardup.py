@@ -112,7 +112,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row key, fp and component_id (smallest doc_id reachable) of every row."""
     seen = cut(fingerprints(docs), "fingerprints")
     fps = cut(seen.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
-    roots = components(links(fps.select("fp")))
+    # a row becomes over a hundred: spread the distinct fingerprints before that
+    roots = components(links(fps.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return seen.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")

@@ -37,7 +37,7 @@ from shotlane.session import cut
 _U = np.uint64
 #: Levels of a token: whole word, then its first so many bytes.
 LEVELS = (None, 6, 5, 4, 3)
-PER_CLASS, MODEL_TOKENS, PRIOR, DRIFT = 6_000, 200_000, 4.0, 2.0
+PER_CLASS, MODEL_TOKENS, PRIOR, DRIFT = 6_000, 100_000, 4.0, 2.0
 RESULT = ["score", "predicted", "passages"]
 
 
