@@ -46,6 +46,12 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     return docs.select([F.col(c).alias(names.get(c, c)) for c in docs.columns]), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """As ``set_aside``, with the row key beside."""
+    held, back = set_aside(docs)
+    return docs.select([F.col(c).alias(h) for c, h in zip(docs.columns, held.columns)] + row_key()), back
+
+
 def map_text(df: DataFrame, keep: list[str], fields: list[StructField], start: Callable[[], Callable[[pa.Array], list]], slice_bytes: int = 2 << 20) -> DataFrame:
     """``keep`` columns of every row plus ``fields`` computed from its whole text.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shotlane.llm.common import two_hashes, whole_text
+from shotlane.llm.common import K1, K2, keyed, two_hashes, whole_text
 from shotlane.session import cut
 
 PREFIX, SHARE = 16, 8
@@ -54,9 +54,9 @@ def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents with one row of each group of equal texts; columns unchanged."""
-    from shotlane.llm.common import K1, K2, row_key
-
-    # a kept row is known by doc_id and text; equal rows beyond the first go through dropDuplicates
+    # a kept row is known by its id and text; of rows equal in both, dropDuplicates leaves one
     kept = groups(docs, keep).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    tagged = docs.select("*", *row_key(), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("__id"), F.sha2(whole_text(), 256).alias("__sha"))
-    return tagged.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates([K1, K2]).select(docs.columns)
+    held, back = keyed(docs)
+    mine = held.columns[docs.columns.index("doc_id")]
+    tagged = held.withColumns({"__id": F.coalesce(F.col(mine).cast("string"), F.lit("-")), "__sha": F.sha2(whole_text(), 256)})
+    return tagged.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates([K1, K2]).select(back)

@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotlane.llm.common import K1, K2, row_key, two_hashes, whole_text
+from shotlane.llm.common import K1, K2, keyed, row_key, two_hashes, whole_text
 from shotlane.session import cut
 
 SITES, LONG_SITES, LONG_WORDS, ERROR = 5, 3, 50, 0.13
+REMOVED = "__lines_removed"
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
@@ -51,19 +52,21 @@ def boilerplate(lines: DataFrame, sites: int, long_sites: int) -> DataFrame:
 
 
 def edited(docs: DataFrame, site: str = "source", sites: int = SITES, long_sites: int = LONG_SITES) -> DataFrame:
-    """All columns of ``docs`` with the cleaned text, plus __removed (number of lines taken out)."""
+    """All columns of ``docs`` with the cleaned text, plus __lines_removed (number of lines taken out)."""
     lines = cut(_lines(docs, site), "lines")
     bad = boilerplate(lines, sites, long_sites)
     hits = lines.join(bad, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = hits.groupBy(K1, K2).agg(F.collect_set("at").alias("__gone"))
-    joined = docs.select("*", *row_key()).join(gone, [K1, K2], "left")
+    held, back = keyed(docs)
+    joined = held.join(gone, [K1, K2], "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    return joined.withColumns({"text": text, "__removed": F.coalesce(F.size("__gone"), F.lit(0))}).select(*docs.columns, F.when(F.col("__removed") > 0, F.col("__removed")).otherwise(0).cast("long").alias("__removed"))
+    kept = [b for b, c in zip(back, docs.columns) if c != REMOVED]
+    return joined.withColumn("text", text).select(*kept, F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(REMOVED))
 
 
 def clean(docs: DataFrame, site: str = "source", sites: int = SITES, long_sites: int = LONG_SITES) -> DataFrame:
     """The documents with boilerplate lines taken out, columns unchanged; ``n_chars`` follows the text where there is such a column."""
-    out = edited(docs, site, sites, long_sites).filter("__removed = 0 OR trim(translate(text, '\\t\\r\\n', '   ')) <> ''")
-    chars = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")) if "n_chars" in docs.columns else None
+    out = edited(docs, site, sites, long_sites).filter("__lines_removed = 0 OR trim(translate(text, '\\t\\r\\n', '   ')) <> ''")
+    chars = F.when(F.col("__lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")) if "n_chars" in docs.columns else None
     return out.select([chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 from pyspark.sql.window import Window
 
-from shotlane.llm.common import K1, K2, components, map_text, row_key
+from shotlane.llm.common import K1, K2, components, keyed, map_text, row_key
 from shotlane.session import cut
 
 RADIUS, SHINGLE = 3, 3
@@ -131,5 +131,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     judged = rows.join(best, "root")
     dropped = judged.filter(~is_best).select(K1, K2)
     repeated = bool(judged.filter(is_best).groupBy("root").count().filter("count > 1").limit(1).count())
-    out = docs.select("*", *row_key()).join(dropped, [K1, K2], "left_anti")
-    return (out.dropDuplicates([K1, K2]) if repeated else out).select(docs.columns)
+    held, back = keyed(docs)
+    out = held.join(dropped, [K1, K2], "left_anti")
+    return (out.dropDuplicates([K1, K2]) if repeated else out).select(back)

@@ -22,7 +22,7 @@ def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.edited(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.col("__removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+    return out.select("doc_id", F.col(lines.REMOVED).alias("n_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
