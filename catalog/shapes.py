@@ -200,17 +200,18 @@ def _(t):
     return mk.mask_iou(t.runs(), _truth_runs(t))
 
 
-_MAP = _IOU + """m AS (SELECT shot_id, frame_index, sum(len(list_filter(generate_series(0, 9), lambda k: intersection / union_area >= 0.5e0 + k * ((0.5e0 + 0.05e0) - 0.5e0)))) / 20e0 AS map_50_95 FROM u WHERE class_name IN ('lane', 'ball') GROUP BY ALL);; """
+_MAP = _IOU + """m AS (SELECT shot_id, frame_index, sum(len(list_filter(generate_series(0, 9), lambda k: intersection / union_area >= 0.5e0 + k * ((0.5e0 + 0.05e0) - 0.5e0)))) / 20e0 AS map_50_95 FROM u WHERE class_name IN ('lane', 'ball') GROUP BY ALL);;
+    f AS (SELECT DISTINCT shot_id, frame_index FROM det);; fm AS (SELECT shot_id, frame_index, coalesce(map_50_95, 0e0) AS map_50_95 FROM f LEFT JOIN m USING (shot_id, frame_index));; """
 
 
-@query("map_50_95", "shot_id frame_index || map_50_95", "runs", _MAP + "SELECT * FROM m")
+@query("map_50_95", "shot_id frame_index || map_50_95", "runs", _MAP + "SELECT * FROM fm")
 def _(t):
-    return mk.map_50_95(mk.mask_iou(t.runs(), _truth_runs(t)))
+    return mk.map_50_95(mk.mask_iou(t.runs(), _truth_runs(t)), t.det())
 
 
-@query("episode_map", "shot_id frames || map_50_95", "runs", _MAP + "SELECT shot_id, avg(map_50_95) AS map_50_95, count(*) AS frames FROM m GROUP BY 1")
+@query("episode_map", "shot_id frames || map_50_95", "runs", _MAP + "SELECT shot_id, avg(map_50_95) AS map_50_95, count(*) AS frames FROM fm GROUP BY 1")
 def _(t):
-    return mk.episode_map(mk.map_50_95(mk.mask_iou(t.runs(), _truth_runs(t))))
+    return mk.episode_map(mk.map_50_95(mk.mask_iou(t.runs(), _truth_runs(t)), t.det()))
 
 
 @query("coverage_ratio", "shot_id frame_index lane_area || coverage", "runs", f"""

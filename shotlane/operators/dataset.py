@@ -189,7 +189,7 @@ def dataset_stats(items: DataFrame) -> DataFrame:
     return items.groupBy("split").agg(F.count(F.lit(1)).alias("images"))
 
 
-def episode_ranges(truth: DataFrame, labels: DataFrame, frame: str = "global_frame_idx", label_frame: str = "frame_index", keys: Sequence[str] = ()) -> DataFrame:
+def episode_ranges(truth: DataFrame, labels: DataFrame, frame: str = "global_frame_idx", label_frame: str = "frame_index", *, keys: Sequence[str]) -> DataFrame:
     """Frame range of each episode from the labelled frames: episode_idx, start_frame, end_frame (inclusive).
 
     As many contiguous label runs as episodes: they pair up in order.  Else each
@@ -199,7 +199,9 @@ def episode_ranges(truth: DataFrame, labels: DataFrame, frame: str = "global_fra
     k = list(keys)
     have = labels.select(*k, F.col(label_frame).alias("f")).distinct()
     ep = truth.groupBy(*k, "episode_idx").agg(F.min(frame).alias("lo"), F.max(frame).alias("hi"))
-    part = (lambda: Window.partitionBy(*k)) if k else (lambda: Window.partitionBy(F.lit(0)))
+    if not k:
+        raise ValueError("keys must name the dataset")
+    part = lambda: Window.partitionBy(*k)
     # run ends are frames without a labelled neighbour: only they, not the frames, are ranked
     edge = lambda step: have.join(have.select(*k, (F.col("f") - step).alias("f")), [*k, "f"], "left_anti").withColumn("_i", F.row_number().over(part().orderBy("f")))
     starts = edge(-1).withColumn("_runs", F.count(F.lit(1)).over(part())).withColumnRenamed("f", "rs")

@@ -54,7 +54,7 @@ def cut_body_frames(rows: DataFrame, ranges: DataFrame) -> DataFrame:
         F.col("body_stop_frame").isNull() | (F.col("frame_index") < F.col("body_stop_frame"))).drop("body_stop_frame")
 
 
-def subsample_frames(frames: DataFrame, max_frames: int = DEFAULT.max_frames, videos: DataFrame | None = None) -> DataFrame:
+def subsample_frames(frames: DataFrame, max_frames: int, videos: DataFrame | None = None) -> DataFrame:
     """Keep every step-th frame so that at most max_frames remain, renumbered; fps falls by the same step.
 
     Frames are numbered 0,1,2... in the video, so the new number is a division

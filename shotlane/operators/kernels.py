@@ -6,6 +6,8 @@ shot long, at most the frames of its video.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 
 
@@ -22,46 +24,52 @@ def isotonic(values: np.ndarray) -> np.ndarray:
 
 
 def spread_flat(values: np.ndarray) -> np.ndarray:
-    out = np.asarray(values, dtype=float).copy()
-    n = out.size
-    if n <= 2:
-        return out
-    start = 0
-    while start < n:
-        stop = start + 1
-        while stop < n and abs(out[stop] - out[start]) < 1e-9:
-            stop += 1
-        if stop - start > 1 and 0 < start and stop < n and out[stop] > out[start - 1]:
-            out[start:stop] = np.linspace(out[start - 1], out[stop], stop - start + 2)[1:-1]
-        start = stop
-    return np.maximum.accumulate(out)
+    """Each level stretch between two others becomes a ramp from the value before it to the one after.
+
+    Worked on stretches (start, size, level): the value a stretch ends with depends
+    only on the one before it, so the ends are one fold and the points then follow at once.
+    """
+    v = np.asarray(values, dtype=float)
+    first = np.flatnonzero(np.append(True, np.abs(np.diff(v)) >= 1e-9)[: v.size])
+    size, level = np.diff(np.append(first, v.size)), v[first]
+    following = np.append(level[1:], np.nan)[: level.size]
+
+    def end(before: float, stretch) -> float:
+        own, after, n = stretch
+        return before + (after - before) * n / (n + 1) if n > 1 and after > before else own
+
+    before = np.array([*accumulate(zip(level, following, size), end, initial=np.nan)][: level.size])
+    ramp = (size > 1) & (following > before)
+    place = np.arange(v.size) - np.repeat(first, size) + 1
+    tilt = np.repeat(np.where(ramp, (following - before) / (size + 1), 0.0), size)
+    return np.maximum.accumulate(np.repeat(np.where(ramp, before, level), size) + tilt * place)
 
 
 def anchor_ends(smooth: np.ndarray, raw: np.ndarray, length: int = 5) -> np.ndarray:
-    out = np.asarray(smooth, dtype=float).copy()
-    if out.size <= 2:
-        return out
-    m = min(length, out.size)
-    ramp = np.linspace(0.5, 0.0, m)
-    out[:m] += ramp * (raw[:m] - out[:m])
-    out[-m:] += ramp[::-1] * (raw[-m:] - out[-m:])
-    return out
+    """A blend of both: half raw at either end, fading to all smooth ``length`` points in."""
+    n = len(smooth)
+    if n <= 2:
+        return np.array(smooth, dtype=float)
+    reach = max(min(length, n) - 1, 1)
+    at = np.arange(n)
+    kept = [1 - np.clip(0.5 * (1 - d / reach), 0.0, None) for d in (at, n - 1 - at)]
+    return raw + kept[0] * kept[1] * (np.asarray(smooth, dtype=float) - raw)
+
+
+def hook_side(x: np.ndarray, y: np.ndarray) -> int:
+    """+1 or -1 where the middle of the shot clearly moves to one side while rolling on, else 0."""
+    lo, hi = int(0.20 * len(x)), int(0.80 * len(x))
+    if len(x) < 12 or hi - lo <= 4 or y[hi] - y[lo] <= 1.0 or abs(x[hi] - x[lo]) < 0.04:
+        return 0
+    return int(np.sign(x[hi] - x[lo]))
 
 
 def clamp_hook(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Once the shot clearly hooks one way, its last eighth may not step back the other way."""
-    out = np.asarray(x, dtype=float).copy()
-    n = out.size
-    lo, hi = int(n * 0.20), int(n * 0.80)
-    if n < 12 or hi <= lo + 4:
-        return out
-    dx, dy = out[hi] - out[lo], y[hi] - y[lo]
-    if abs(dx) < 0.04 or dy <= 1.0:
-        return out
-    side = 1.0 if dx > 0 else -1.0
-    for i in range(max(hi, n - max(6, n // 8)) + 1, n):
-        if (out[i] - out[i - 1]) * side < -1e-3:
-            out[i] = out[i - 1]
+    out, side = np.array(x, dtype=float), hook_side(x, y)
+    if side:
+        tail = max(int(0.80 * len(out)), len(out) - max(6, len(out) // 8))
+        out[tail:] = [*accumulate(out[tail:], lambda held, new: held if side * (new - held) < -1e-3 else new)]
     return out
 
 
@@ -204,17 +212,17 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, budget: float, at: np.ndarray
 def clean_trajectory(frames: np.ndarray, xs: np.ndarray, ys: np.ndarray, sigma: float, length_m: float):
     """Dense, smoothed, forward-only x and y for every frame between the first and last detection."""
     frames = np.asarray(frames, dtype=float)
-    n = frames.size
     every = np.arange(frames[0], frames[-1] + 1.0)
-    x, y = np.interp(every, frames, xs), np.interp(every, frames, ys)
-    budget = n * sigma ** 2
-    if n >= 4:
-        x = anchor_ends(smoothing_spline(frames, xs, budget, every), x)
-        y = anchor_ends(smoothing_spline(frames, ys, budget, every), y)
+    enough, budget = frames.size >= 4, frames.size * sigma ** 2
+
+    def fitted(axis, values, at, line):
+        return anchor_ends(smoothing_spline(axis, values, budget, at), line) if enough else line
+
+    x, y = (fitted(frames, values, every, np.interp(every, frames, values)) for values in (xs, ys))
     y = np.clip(spread_flat(isotonic(y)), 0.0, length_m)
-    if n >= 4 and y.size >= 6:
-        axis = np.maximum.accumulate(y) + np.arange(y.size) * 1e-6
-        x = anchor_ends(smoothing_spline(axis, x, budget, axis), x)
+    if every.size >= 6:
+        rolled = np.maximum.accumulate(y) + 1e-6 * np.arange(every.size)
+        x = fitted(rolled, x, rolled, x)
     return every, clamp_hook(x, y), y
 
 

@@ -7,6 +7,7 @@ support_score, mask_area.  A frame holds at most the four largest lane masks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from shotlane.config import DEFAULT, Settings
 from shotlane.functions import geometry as G
 from shotlane.operators.masks import MASK
+from shotlane.session import cut
 
 FRAME = ["shot_id", "frame_index"]
 TRACK = ["shot_id", "track_id"]
@@ -464,32 +466,44 @@ def health_report(shots: DataFrame, frame_stats: DataFrame, selected: DataFrame,
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in doubles])
 
 
-def fit_homography(points: DataFrame, keys: Sequence[str] = ("shot_id",), threshold: float = 3.0, min_inlier_ratio: float = 0.25, max_condition: float = 1e8, tries: int = 64, sample: int = 128) -> DataFrame:
+def draws_needed(inlier_share: float, confidence: float = 0.99) -> int:
+    """Draws of four points after which one is all inliers with the wanted confidence."""
+    return math.ceil(math.log(1 - confidence) / math.log(1 - inlier_share ** 4))
+
+
+def fit_homography(points: DataFrame, keys: Sequence[str] = ("shot_id",), threshold: float = 3.0, min_inlier_ratio: float = 0.25, max_condition: float = 1e8, confidence: float = 0.99) -> DataFrame:
     """Homography from N point pairs per key, robust to outliers.
 
-    points: keys, point_id, x, y (source), u, v (target).  Trial matrices come
-    from a bounded hash-ordered sample of each key; every point then votes on
-    them, and the winner's inliers enter an 8x8 least-squares system as sums.
-    No key is ever gathered, so its number of points does not matter.
+    points: keys, point_id, x, y (source), u, v (target).  Every draw takes four
+    points out of all points of its key by hashes of the key and the draw, and
+    there are as many draws as the accepted inlier share needs.  Every point then votes
+    on every draw, and the winner's inliers enter an 8x8 least-squares system as sums.  Votes and
+    sums are map-side aggregates; no key is ever gathered.
 
     Output: keys, homography, inliers, points, inlier_ratio, reason (null when usable).
     """
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64("point_id"), "point_id")
-    few = points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
-    arr = lambda c: F.sort_array(F.collect_list(F.struct("_r", F.col(c).cast("double").alias("v"))))["v"]
-    picked = few.groupBy(*keys).agg(*[arr(c).alias(c) for c in "xyuv"])
-
-    @F.pandas_udf("array<array<double>>")
-    def trials(x: pd.Series, y: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([_trial_matrices(*[np.asarray(c, dtype=float) for c in row], tries) for row in zip(x, y, u, v)])
-
-    hyp = picked.select(*keys, trials("x", "y", "u", "v").alias("_h"))
-    voted = points.join(hyp, list(keys)).select(
-        *keys, F.transform("_h", lambda h: F.when(_reproj(h) <= threshold, 1).otherwise(0)).alias("_ok"), "_h")
-    counts = voted.groupBy(*keys).agg(
-        F.array(*[F.sum(F.coalesce(F.get("_ok", F.lit(i)), F.lit(0))) for i in range(tries)]).alias("_n"), F.first("_h").alias("_h"))
-    best = F.array_position("_n", F.array_max("_n")).cast("int") - 1
-    win = counts.select(*keys, F.get("_h", best).alias("_w"))
+    k = list(keys)
+    w = Window.partitionBy(*k).orderBy(F.xxhash64("point_id"), "point_id")
+    ranked = points.withColumn("_r", F.row_number().over(w) - 1)
+    n = points.groupBy(*k).agg(F.count(F.lit(1)).alias("_count")).where("_count >= 4")
+    size = F.col("_count").cast("double")
+    distinct = (size - 1) * (size - 2) * (size - 3) / (size * size * size)  # chance that four picks differ
+    draws = F.when(F.col("_count") == 4, 1).otherwise(F.ceil(draws_needed(min_inlier_ratio, confidence) / distinct)).cast("int")
+    picks = n.select(*k, "_count", F.explode(F.sequence(F.lit(1), draws)).alias("_d"))
+    rank = lambda j: F.when(F.col("_count") == 4, F.lit(j).cast("long")).otherwise(F.pmod(F.xxhash64(*k, "_d", F.lit(j)), F.col("_count")))
+    picks = picks.withColumn("_p", F.array(*[rank(j) for j in range(4)])).where(F.size(F.array_distinct("_p")) == 4)
+    chosen = picks.select(*k, "_d", F.explode("_p").alias("_r")).join(ranked, [*k, "_r"])
+    arr = lambda c: F.sort_array(F.collect_list(F.struct("_r", F.col(c).cast("double").alias("v"))))["v"]  # noqa: E731  four values
+    quads = chosen.groupBy(*k, "_d").agg(*[arr(c).alias(c) for c in "xyuv"])
+
+    @F.pandas_udf("array<double>")
+    def trial(x: pd.Series, y: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([_trial_matrix(*[np.asarray(c, dtype=float) for c in row]) for row in zip(x, y, u, v)])
+
+    hyp = cut(quads.select(*k, "_d", trial("x", "y", "u", "v").alias("_w")).where("_w IS NOT NULL"), "trials")
+    votes = points.join(hyp, k).where(_reproj(F.col("_w")) <= threshold).groupBy(*k, "_d").agg(F.count(F.lit(1)).alias("_n"))
+    top = votes.groupBy(*k).agg(F.max(F.struct("_n", (-F.col("_d")).alias("_m"))).alias("_top")).select(*k, (-F.col("_top")["_m"]).alias("_d"))
+    win = points.select(*k).distinct().join(hyp.join(top, [*k, "_d"]).select(*k, "_w"), k, "left")
     inl = points.join(win, list(keys))
     mean_row = inl.withColumn("_in", F.coalesce(_reproj(F.col("_w")) <= threshold, F.lit(False)))
     x, y, u, v = (F.col(c).cast("double") for c in "xyuv")
@@ -526,18 +540,9 @@ def _rows(x, y, u, v):
     return a, np.concatenate([u, v])
 
 
-def _trial_matrices(x, y, u, v, tries: int) -> list[list[float]]:
-    n = x.size
-    if n < 4:
-        return []
-    rng = np.random.default_rng(7)
-    picks = [np.arange(4)] if n == 4 else [rng.choice(n, 4, replace=False) for _ in range(tries)]
-    out = []
-    for p in picks:
-        a, b = _rows(x[p], y[p], u[p], v[p])
-        if np.linalg.matrix_rank(a) == 8:
-            out.append([*np.linalg.solve(a, b).tolist(), 1.0])
-    return out
+def _trial_matrix(x, y, u, v) -> list[float] | None:
+    a, b = _rows(x, y, u, v)
+    return [*np.linalg.solve(a, b).tolist(), 1.0] if np.linalg.matrix_rank(a) == 8 else None
 
 
 def _solve_normal(s: np.ndarray, start, inliers: int):

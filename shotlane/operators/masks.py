@@ -96,12 +96,13 @@ _STEP = (0.5 + 0.05) - 0.5
 IOU_THRESHOLDS = [0.5 + i * _STEP for i in range(10)]
 
 
-def map_50_95(iou: DataFrame, keys: Sequence[str] = ("shot_id", "frame_index"), classes: Sequence[str] = ("lane", "ball")) -> DataFrame:
-    """Share of passed thresholds, averaged over the classes; a class with no mask at all passes none."""
+def map_50_95(iou: DataFrame, frames: DataFrame, keys: Sequence[str] = ("shot_id", "frame_index"), classes: Sequence[str] = ("lane", "ball")) -> DataFrame:
+    """Share of passed thresholds, averaged over the classes, for every frame of ``frames``; a class or frame with no mask at all passes none."""
     hits = F.size(F.filter(F.array(*[F.lit(t) for t in IOU_THRESHOLDS]), lambda t: F.col("iou") >= t))
-    return iou.where(F.col("class_name").isin(list(classes))).groupBy(*keys).agg(
+    passed = iou.where(F.col("class_name").isin(list(classes))).groupBy(*keys).agg(
         (F.sum(hits) / (10.0 * len(classes))).alias("map_50_95")
     )
+    return frames.select(*keys).distinct().join(passed, list(keys), "left").select(*keys, F.coalesce("map_50_95", F.lit(0.0)).alias("map_50_95"))
 
 
 def episode_map(frame_map: DataFrame, keys: Sequence[str] = ("shot_id",)) -> DataFrame:

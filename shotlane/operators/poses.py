@@ -103,17 +103,16 @@ def collect_skeleton(joints: DataFrame, keys: Sequence[str] = ("shot_id", "frame
     )
 
 
-def ema(joints: DataFrame, alpha: float = DEFAULT.ema_alpha, keys: Sequence[str] = BODY) -> DataFrame:
+def ema(joints: DataFrame, alpha: float = DEFAULT.ema_alpha, keys: Sequence[str] = BODY, order: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Exponential moving average of each joint over the frames it is seen in; state survives gaps.
 
-    Repeats of a joint in a frame: the last one wins (pass a frame-unique
-    ordering through ``person_id`` in the keys to keep people apart).  The fold
+    Repeats of a joint in a frame count once: the last by ``order`` (arrival, if the rows have such a column).  The fold
     covers one joint of one shot, at most the frames of the video.
     """
     if alpha >= 1.0:
         return joints
     a = max(alpha, 0.01)
-    pts = joints.select(*keys, "frame_index", "x", "y", "z")
+    pts = first_per_frame(joints.select(*dict.fromkeys([*keys, "frame_index", "x", "y", "z", *order])), order=order, keys=list(keys), last=True)
     series = pts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame_index", "x", "y", "z"))).alias("_s"))
 
     def mix(prev, r, c):

@@ -65,7 +65,21 @@ def open_runs(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], RUN_SECTIONS)
 
 
-def upsert_run_sections(spark: SparkSession, path: str, updates: DataFrame, buckets: int = BUCKETS) -> None:
+def _bucket_count(spark: SparkSession, path: str, asked: int | None) -> int:
+    """The store's number of buckets, kept beside its rows; the first upsert sets it and another number is refused."""
+    try:
+        stored = spark.read.schema("buckets int").parquet(f"{path}/_meta").first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        stored = asked or BUCKETS
+        spark.range(1).select(F.lit(stored).alias("buckets")).write.parquet(f"{path}/_meta")
+    if asked not in (None, stored):
+        raise ValueError(f"the store has {stored} buckets, not {asked}")
+    return stored
+
+
+def upsert_run_sections(spark: SparkSession, path: str, updates: DataFrame, buckets: int | None = None) -> None:
     """Merge updates into the store at path.
 
     Only touched buckets are read and rewritten (at most ``buckets`` numbers
@@ -73,6 +87,7 @@ def upsert_run_sections(spark: SparkSession, path: str, updates: DataFrame, buck
     is never read and overwritten by one job, and a retry finds the same rows.
     Updates carry their own updated_at, so applying a batch twice changes nothing.
     """
+    buckets = _bucket_count(spark, path, buckets)
     stamped = cut(updates.withColumn("bucket", F.pmod(F.xxhash64(slug("name")), F.lit(buckets)).cast("int")), "run-updates")
     touched = [r[0] for r in stamped.select("bucket").distinct().collect()]
     if not touched:
@@ -91,9 +106,9 @@ def _wanted(spark: SparkSession, values: Sequence, column: str, type_: str) -> D
 
 
 def query_shots(shots: DataFrame, numbers: Sequence[int], source: str | None = None) -> DataFrame:
-    """Stored shots of the asked numbers; absent ones are left out.  The list comes from the caller, so it is broadcast."""
+    """Stored shots of the asked numbers; absent ones are left out.  The list comes from the caller, so it is small; AQE picks the join."""
     rows = shots if source is None else shots.where(F.col("source") == source)
-    return rows.join(F.broadcast(_wanted(shots.sparkSession, numbers, "shot_number", "int")), "shot_number", "left_semi")
+    return rows.join((_wanted(shots.sparkSession, numbers, "shot_number", "int")), "shot_number", "left_semi")
 
 
 def query_runs(runs: DataFrame, names: Sequence[str]) -> DataFrame:
