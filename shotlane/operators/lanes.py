@@ -471,26 +471,14 @@ def draws_needed(inlier_share: float, confidence: float = 0.99) -> int:
     return math.ceil(math.log(1 - confidence) / math.log(1 - inlier_share ** 4))
 
 
-def fit_homography(points: DataFrame, keys: Sequence[str] = ("shot_id",), threshold: float = 3.0, min_inlier_ratio: float = 0.25, max_condition: float = 1e8, confidence: float = 0.99) -> DataFrame:
-    """Homography from N point pairs per key, robust to outliers.
-
-    points: keys, point_id, x, y (source), u, v (target).  Every draw takes four
-    points out of all points of its key by hashes of the key and the draw, and
-    there are as many draws as the accepted inlier share needs.  Every point then votes
-    on every draw, and the winner's inliers enter an 8x8 least-squares system as sums.  Votes and
-    sums are map-side aggregates; no key is ever gathered.
-
-    Output: keys, homography, inliers, points, inlier_ratio, reason (null when usable).
-    """
-    k = list(keys)
-    w = Window.partitionBy(*k).orderBy(F.xxhash64("point_id"), "point_id")
-    ranked = points.withColumn("_r", F.row_number().over(w) - 1)
-    n = points.groupBy(*k).agg(F.count(F.lit(1)).alias("_count")).where("_count >= 4")
+def _best_draw(points: DataFrame, ranked: DataFrame, open_: DataFrame, k: list[str], first: int, last: int, threshold: float) -> DataFrame:
+    """The draw with the most votes of each open key: keys, _d, _n (votes), _w (matrix); keys without a usable draw are left out."""
     size = F.col("_count").cast("double")
     distinct = (size - 1) * (size - 2) * (size - 3) / (size * size * size)  # chance that four picks differ
-    draws = F.when(F.col("_count") == 4, 1).otherwise(F.ceil(draws_needed(min_inlier_ratio, confidence) / distinct)).cast("int")
-    picks = n.select(*k, "_count", F.explode(F.sequence(F.lit(1), draws)).alias("_d"))
-    rank = lambda j: F.when(F.col("_count") == 4, F.lit(j).cast("long")).otherwise(F.pmod(F.xxhash64(*k, "_d", F.lit(j)), F.col("_count")))
+    small = F.col("_count") == 4
+    draws = F.sequence(F.when(small, 1).otherwise(F.ceil(F.lit(first) / distinct)).cast("int"), F.when(small, 1).otherwise(F.ceil(F.lit(last) / distinct)).cast("int"))
+    picks = open_.select(*k, "_count", F.explode(draws).alias("_d"))
+    rank = lambda j: F.when(small, F.lit(j).cast("long")).otherwise(F.pmod(F.xxhash64(*k, "_d", F.lit(j)), F.col("_count")))
     picks = picks.withColumn("_p", F.array(*[rank(j) for j in range(4)])).where(F.size(F.array_distinct("_p")) == 4)
     chosen = picks.select(*k, "_d", F.explode("_p").alias("_r")).join(ranked, [*k, "_r"])
     arr = lambda c: F.sort_array(F.collect_list(F.struct("_r", F.col(c).cast("double").alias("v"))))["v"]  # noqa: E731  four values
@@ -502,8 +490,37 @@ def fit_homography(points: DataFrame, keys: Sequence[str] = ("shot_id",), thresh
 
     hyp = cut(quads.select(*k, "_d", trial("x", "y", "u", "v").alias("_w")).where("_w IS NOT NULL"), "trials")
     votes = points.join(hyp, k).where(_reproj(F.col("_w")) <= threshold).groupBy(*k, "_d").agg(F.count(F.lit(1)).alias("_n"))
-    top = votes.groupBy(*k).agg(F.max(F.struct("_n", (-F.col("_d")).alias("_m"))).alias("_top")).select(*k, (-F.col("_top")["_m"]).alias("_d"))
-    win = points.select(*k).distinct().join(hyp.join(top, [*k, "_d"]).select(*k, "_w"), k, "left")
+    top = votes.groupBy(*k).agg(F.max(F.struct("_n", (-F.col("_d")).alias("_m"))).alias("_top")).select(*k, (-F.col("_top")["_m"]).alias("_d"), F.col("_top")["_n"].alias("_n"))
+    return top.join(hyp, [*k, "_d"])
+
+
+def fit_homography(points: DataFrame, keys: Sequence[str] = ("shot_id",), threshold: float = 3.0, min_inlier_ratio: float = 0.25, max_condition: float = 1e8, confidence: float = 0.99) -> DataFrame:
+    """Homography from N point pairs per key, robust to outliers.
+
+    points: keys, point_id, x, y (source), u, v (target).  Every draw takes four
+    points out of all points of its key by hashes of the key and the draw, and
+    there are as many draws as the share of inliers found, or else the accepted one, needs.  Every point then votes
+    on every draw, and the winner's inliers enter an 8x8 least-squares system as sums.  Votes and
+    sums are map-side aggregates; no key is ever gathered.
+
+    Output: keys, homography, inliers, points, inlier_ratio, reason (null when usable).
+    """
+    k = list(keys)
+    w = Window.partitionBy(*k).orderBy(F.xxhash64("point_id"), "point_id")
+    ranked = points.withColumn("_r", F.row_number().over(w) - 1)
+    n = cut(points.groupBy(*k).agg(F.count(F.lit(1)).alias("_count")), "point-counts")
+    open_, tops, done = n.where("_count >= 4"), [], 0
+    # few draws find a large inlier share; only keys that did not reach it get the rest
+    for share in sorted({max(0.5, min_inlier_ratio), min_inlier_ratio}, reverse=True):
+        upto = draws_needed(share, confidence)
+        best = cut(_best_draw(points, ranked, open_, k, done + 1, upto, threshold), "draws")
+        tops.append(best)
+        done = upto
+        reached = best.join(open_, k).where(F.col("_n") >= share * F.col("_count")).select(*k)
+        open_ = open_.join(reached, k, "left_anti")
+    every = tops[0] if len(tops) == 1 else tops[0].unionByName(tops[1])
+    top = every.groupBy(*k).agg(F.max_by("_w", F.struct("_n", (-F.col("_d")).alias("_m"))).alias("_w"))
+    win = n.select(*k).join(top, k, "left")
     inl = points.join(win, list(keys))
     mean_row = inl.withColumn("_in", F.coalesce(_reproj(F.col("_w")) <= threshold, F.lit(False)))
     x, y, u, v = (F.col(c).cast("double") for c in "xyuv")
