@@ -214,7 +214,7 @@ def _(t):
 
 
 @query("upsert_run_sections", _RUN, "updates", "late AS (SELECT * FROM updates WHERE o_totalprice > 250000);; early AS (SELECT * FROM updates WHERE o_totalprice <= 250000);; "
-       "allu AS (SELECT *, 0 AS b FROM early UNION ALL SELECT *, 1 AS b FROM late);; " + _MERGED.replace("@UP@", "allu").replace("{'u':", "{'b': b, 'u':"))
+       "allu AS (SELECT *, 0 AS b FROM early UNION ALL SELECT *, 1 AS b FROM late);; " + _MERGED.replace("@UP@", "allu").replace("{'u': updated_at,", "{'u': updated_at, 'b': b,"))
 def _(t):
     path = scratch_path(t.spark, "run-store")
     u = t.updates()

@@ -36,7 +36,7 @@ SQL = {
     CASE event_type WHEN 'click' THEN 'ball' WHEN 'view' THEN 'lane' ELSE 'pins' END AS class_name,
     (event_id * 37) % 200 AS x0, (event_id * 7) % 110 AS y0,
     (event_id * 37) % 200 + 49 + event_id % 70 AS x1, (event_id * 7) % 110 + 20 + event_id % 30 AS y1, value / 500e0 AS confidence
-  FROM events WHERE event_type IN ('click', 'view', 'purchase'))""",
+  FROM events)""",
     # narrower toward the top, like a lane seen from its foul line
     "runs": """runs AS (
   SELECT shot_id, frame_index, det_id, class_name, y, x0 + (y1 - y) // 2 AS x0, x1 - (y1 - y) // 3 AS x1
@@ -69,7 +69,7 @@ SQL = {
   FROM roll)""",
     "evalp": """evalp AS (
   SELECT CASE event_type WHEN 'click' THEN 'none' WHEN 'view' THEN 'linear' ELSE 'cubic' END AS interpolation_mode, user_id AS episode_idx,
-    (event_id % 4 + 1) / 4e0 AS fraction, avg(value) AS m FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2, 3)""",
+    (event_id % 4 + 1) / 4e0 AS fraction, avg(value) AS m FROM events WHERE event_type <> 'error' GROUP BY 1, 2, 3)""",
     "evalt": "evalt AS (SELECT user_id AS episode_idx, (event_id % 4 + 1) / 4e0 AS fraction, avg(value) AS m FROM events WHERE event_type = 'error' GROUP BY 1, 2)",
     "history": """history AS (
   SELECT 12 * (year(o_orderdate) - 1990) + month(o_orderdate) AS epoch, avg(o_totalprice) / 1e5 AS train_box_loss, max(o_totalprice) / 1e5 AS val_box_loss,
@@ -143,7 +143,7 @@ class Tables:
         return self._pick("x_roll", F.col("y_fwd") + ((F.col("cents") % 100) - 50) / 1e2)
 
     def det(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_type").isin("click", "view", "purchase"))
+        e = self.table("events")
         i = F.col("event_id")
         num = lambda c: c.cast("int")
         return e.select(
@@ -196,7 +196,8 @@ class Tables:
             (F.lit(0.9) * F.col("y_m") + (F.col("cents") % 7) / 1e1).alias("lane_s"), (F.lit(0.5) * F.col("x_m") + (F.col("cents") % 11) / 1e2).alias("y"))
 
     def evalp(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_type").isin("click", "view", "purchase"))
+        # the errors are the truth (evalt), all others the predictions
+        e = self.table("events").where("event_type <> 'error'")
         mode = F.when(F.col("event_type") == "click", "none").when(F.col("event_type") == "view", "linear").otherwise("cubic")
         return e.groupBy(mode.alias("interpolation_mode"), F.col("user_id").alias("episode_idx"), ((F.col("event_id") % 4 + 1) / 4.0).alias("fraction")).agg(F.avg("value").alias("m"))
 

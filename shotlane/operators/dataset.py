@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotlane import schemas
 from shotlane.functions import geometry as G
 from shotlane.functions.text import file_stem, norm_class
 from shotlane.session import cut
@@ -122,11 +121,11 @@ def label_line(class_id: Column, poly: Column) -> Column:
 
 
 def parse_labels(lines: DataFrame, keep: str = "all", min_coords: int = 0, keys: Sequence[str] = ("image",), text: str = "line", order: str = "line_no") -> DataFrame:
-    """Label lines to objects: image, object_no, class_id, polygon.
+    """Label lines to objects: image, object_no, class_id, polygon, error.
 
     ``all`` skips lines of fewer than three tokens; ``last_per_class`` keeps the
     last line of each class.  A polygon of odd length or under min_coords
-    numbers is an error.
+    numbers comes out null with an error text (null where the line was good).
     """
     tok = F.split(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), r"\s+")
     rows = lines.select(*keys, F.col(order).alias("object_no"), tok.alias("_t")).where((F.get("_t", F.lit(0)) != "") & (F.size("_t") >= (3 if keep == "all" else 1)))
@@ -135,10 +134,10 @@ def parse_labels(lines: DataFrame, keep: str = "all", min_coords: int = 0, keys:
     rows = rows.withColumn("class_id", F.floor(F.get("_t", F.lit(0)).cast("double")).cast("int"))
     xy = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / 2) - 1, F.lit(0))), lambda i: G.point(
         F.get("_t", (2 * i + 1).cast("int")).cast("double"), F.get("_t", (2 * i + 2).cast("int")).cast("double")))
-    rows = rows.withColumn("polygon", F.when(bad, F.raise_error(F.lit("expected polygon pairs")).cast(schemas.QUAD)).otherwise(xy)).drop("_t")
+    rows = rows.withColumns({"polygon": F.when(~bad, xy), "error": F.when(bad, F.lit("expected polygon pairs"))}).drop("_t")
     if keep == "last_per_class":
-        rows = rows.groupBy(*keys, "class_id").agg(F.max_by(F.struct("object_no", "polygon"), "object_no").alias("_o")).select(*keys, "_o.object_no", "class_id", "_o.polygon")
-    return rows.select(*keys, "object_no", "class_id", "polygon")
+        rows = rows.groupBy(*keys, "class_id").agg(F.max_by(F.struct("object_no", "polygon", "error"), "object_no").alias("_o")).select(*keys, "class_id", "_o.*")
+    return rows.select(*keys, "object_no", "class_id", "polygon", "error")
 
 
 def build_label_set(bundles: DataFrame, objects: DataFrame, colour_map: DataFrame, votes: DataFrame, id_map: DataFrame, classes: Sequence[str] = TARGET_CLASSES, min_area: float = 10.0, min_points: int = 3) -> DataFrame:
@@ -236,12 +235,12 @@ def training_summary(history: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         *[e for c in ("map50", "map50_95") if c in history.columns for e in (F.max(c).alias(f"best_{c}"), (best(c) + 1).alias(f"best_{c}_epoch"))])
 
 
-def top_trials(trials: DataFrame, k: int = 5, direction: str = "maximize", tie: str = "run_dir") -> DataFrame:
+def top_trials(trials: DataFrame, k: int, direction: str = "maximize", tie: str = "run_dir") -> DataFrame:
     key = F.desc("objective") if direction.lower() == "maximize" else F.asc("objective")
     return trials.where(F.col("objective").isNotNull()).orderBy(key, tie).limit(k)
 
 
-def top_checkpoints(ckpts: DataFrame, k: int = 5, direction: str = "maximize", keys: Sequence[str] = ()) -> DataFrame:
+def top_checkpoints(ckpts: DataFrame, k: int, direction: str = "maximize", keys: Sequence[str] = ()) -> DataFrame:
     """The k best checkpoints (per key); the earlier step wins ties, missing objectives never enter."""
     key = F.desc("objective") if direction.lower() == "maximize" else F.asc("objective")
     rows = ckpts.where(F.col("objective").isNotNull())

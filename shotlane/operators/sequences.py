@@ -52,19 +52,31 @@ def finite_diff(pos: DataFrame, keys: Sequence[str] = SHOT) -> DataFrame:
     return step.withColumn("accel_mps2", accel).drop("_dt", "_dx", "_dy", "_prev")
 
 
+NON_FINITE = "non-finite position"
+
+
+def non_finite(*columns: str) -> Column:
+    """Whether one of the values is NaN or infinite; nulls are not."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(False))
+    return out
+
+
 def gap_velocity(pos: DataFrame, dt: float = 1.0 / 30.0, keys: Sequence[str] = SHOT) -> DataFrame:
     """Velocity and acceleration over the true frame gap.
 
-    Missing detections (null x_m or y_m) keep the latest values seen; a
-    non-finite coordinate is an error.
+    Missing detections (null x_m or y_m) keep the latest values seen.  A
+    non-finite coordinate ends its shot, not the job: from that frame on the
+    shot's rows carry an error text and no values.
     """
-    for c in ("x_m", "y_m"):
-        bad = F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
-        pos = pos.withColumn(c, F.when(bad, F.raise_error(F.lit("non-finite position")).cast("double")).otherwise(F.col(c)))
-    seen = F.col("x_m").isNotNull() & F.col("y_m").isNotNull()
     w = _by_frame(keys)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = [c for c in pos.columns if c != "error"]
+    pos = pos.select(*columns, F.when(F.max(non_finite("x_m", "y_m")).over(upto), F.lit(NON_FINITE)).alias("error"))
+    good = F.col("error").isNull()
+    seen = F.col("x_m").isNotNull() & F.col("y_m").isNotNull() & good
 
     def last_seen(c: Column, frame) -> Column:
         return F.last(F.when(seen, c), ignorenulls=True).over(frame)
@@ -90,8 +102,7 @@ def gap_velocity(pos: DataFrame, dt: float = 1.0 / 30.0, keys: Sequence[str] = S
         "_a", F.last("_a", ignorenulls=True).over(upto)
     )
     return out.select(
-        *pos.columns, F.col("_v.vx").alias("vx"), F.col("_v.vy").alias("vy"),
-        F.col("_a.ax").alias("ax"), F.col("_a.ay").alias("ay"),
+        *columns, *[F.when(good, F.col(f"{s}.{c}")).alias(c) for s, c in (("_v", "vx"), ("_v", "vy"), ("_a", "ax"), ("_a", "ay"))], "error",
     )
 
 

@@ -21,7 +21,7 @@ from shotlane.session import cut
 BUCKETS = 256
 RUN_SECTIONS = (
     "slug string, section string, name string, payload string, video_key string, sd_key string, "
-    "id string, created_at timestamp, updated_at timestamp, section_at timestamp, bucket int"
+    "id string, created_at timestamp, updated_at timestamp, section_at timestamp, sd_key_at timestamp, bucket int"
 )
 
 
@@ -33,26 +33,29 @@ def merge_run_sections(current: DataFrame, updates: DataFrame) -> DataFrame:
     """Current rows and updates to the new state, one row per (slug, section).
 
     updates: name, section, payload, video_key, sd_key (null keeps the old one),
-    updated_at.  The newest update of a section wins; a run keeps its id and
+    updated_at.  The newest update of a section wins, at equal times the later
+    arrival, so a late batch never replaces what is newer; a run keeps its id and
     created_at, takes name, key and updated_at from its newest update.  All
     three levels are map-side aggregates, so a run updated very often is cheap.
     """
+    stamp = F.when(F.col("sd_key").isNotNull(), F.col("updated_at"))
     new = updates.select(
         slug("name").alias("slug"), "section", "name", "payload", "video_key", "sd_key",
         F.lit(None).cast("string").alias("id"), F.col("updated_at").alias("created_at"), "updated_at", F.col("updated_at").alias("section_at"),
-        F.lit(1).alias("_new"))
-    old = current.select("slug", "section", "name", "payload", "video_key", "sd_key", "id", "created_at", "updated_at", "section_at", F.lit(0).alias("_new"))
+        stamp.alias("sd_key_at"), F.lit(1).alias("_new"))
+    old = current.select(
+        "slug", "section", "name", "payload", "video_key", "sd_key", "id", "created_at", "updated_at", "section_at",
+        (F.col("sd_key_at") if "sd_key_at" in current.columns else stamp).alias("sd_key_at"), F.lit(0).alias("_new"))
     rows = old.unionByName(new)
-    latest = lambda c, when: F.max_by(c, F.struct("_new", when))
     sections = rows.groupBy("slug", "section").agg(F.max_by(
-        F.struct("payload", "section_at"), F.struct("_new", "section_at", "payload")).alias("_p")).select("slug", "section", "_p.*")
+        F.struct("payload", "section_at"), F.struct("section_at", "_new", "payload")).alias("_p")).select("slug", "section", "_p.*")
     runs = rows.groupBy("slug").agg(
-        F.max_by(F.struct("name", "video_key"), F.struct("_new", "updated_at", "name", "section", "video_key")).alias("_n"),
-        F.max_by("sd_key", F.when(F.col("sd_key").isNotNull(), F.struct("_new", "updated_at", "section", "sd_key"))).alias("sd_key"),
+        F.max_by(F.struct("name", "video_key"), F.struct("updated_at", "_new", "name", "section", "video_key")).alias("_n"),
+        F.max_by(F.struct("sd_key", "sd_key_at"), F.when(F.col("sd_key").isNotNull(), F.struct("sd_key_at", "_new", "section", "sd_key"))).alias("_k"),
         F.max("id").alias("id"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
-    ).select("slug", "_n.*", "sd_key", F.coalesce("id", F.sha2(F.concat_ws("|", "slug", F.col("created_at").cast("string")), 256)).alias("id"), "created_at", "updated_at")
+    ).select("slug", "_n.*", "_k.*", F.coalesce("id", F.sha2(F.concat_ws("|", "slug", F.col("created_at").cast("string")), 256)).alias("id"), "created_at", "updated_at")
     return sections.join(runs, "slug").select(
-        "slug", "section", "name", "payload", "video_key", "sd_key", "id", "created_at", "updated_at", "section_at")
+        "slug", "section", "name", "payload", "video_key", "sd_key", "id", "created_at", "updated_at", "section_at", "sd_key_at")
 
 
 def open_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +117,7 @@ def query_shots(shots: DataFrame, numbers: Sequence[int], source: str | None = N
 def query_runs(runs: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows of the asked runs with the name as asked; names are compared as slugs."""
     want = _wanted(runs.sparkSession, names, "asked_name", "string").withColumn("slug", slug("asked_name"))
-    return runs.join(F.broadcast(want), "slug")
+    return runs.join(want, "slug")
 
 
 def missing_keys(wanted: DataFrame, store: DataFrame, key: str) -> DataFrame:

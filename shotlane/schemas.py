@@ -51,7 +51,6 @@ TRAINING_HISTORY_HEADER = {
     "metrics/mAP50(B)": "map50",
     "metrics/mAP50-95(B)": "map50_95",
 }
-TRIALS = ("objective double, run_dir string, _corrupt_record string")
 
 # column order of the evaluation file (a file format: fixed values)
 EVAL_COLUMNS = [

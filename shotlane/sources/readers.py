@@ -68,6 +68,7 @@ def read_training_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Sweep results, one JSON object per line; bad lines are skipped."""
-    df = spark.read.schema(schemas.TRIALS).option("mode", "PERMISSIVE").json(path)
-    return df.where("_corrupt_record is null").drop("_corrupt_record")
+    """Sweep results, one JSON object per line: objective, run_dir and all other fields as text by name; bad lines are skipped."""
+    rows = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("_m")).where("_m is not null")
+    other = F.map_filter("_m", lambda k, v: ~k.isin("objective", "run_dir"))
+    return rows.select(F.col("_m")["objective"].try_cast("double").alias("objective"), F.col("_m")["run_dir"].alias("run_dir"), other.alias("fields"))

@@ -17,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shotlane.config import DEFAULT, Settings
+from shotlane.operators.dataset import top_checkpoints
 from shotlane.operators.lanes import TrackTable
+from shotlane.operators.sequences import NON_FINITE, non_finite
 from shotlane.operators.store import upsert_run_sections
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -120,21 +122,23 @@ class _Velocity(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.positions = handle.getListState("positions", "frame_index int, x double, y double", self.ttl_ms)
-        self.latest = handle.getValueState("latest", "last_frame int, v_frame int, vx double, vy double, ax double, ay double", self.ttl_ms)
+        self.latest = handle.getValueState("latest", "last_frame int, v_frame int, vx double, vy double, ax double, ay double, failed boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         buf = [(int(p[0]), float(p[1]), float(p[2])) for p in self.positions.get()] if self.positions.exists() else []
-        last, vf, vx, vy, ax, ay = (self.latest.get() if self.latest.exists() else (None,) * 6)[:6]
+        last, vf, vx, vy, ax, ay, failed = (self.latest.get() if self.latest.exists() else (None,) * 7)[:7]
         out = []
         for r in _sorted(rows, ["frame_index"]).drop_duplicates("frame_index", keep="first").itertuples(index=False):
             f = int(r.frame_index)
             if last is not None and f <= last:
-                out.append((key[0], f, None, None, None, None, True))
+                out.append((key[0], f, None, None, None, None, True, None))
                 continue
             last = f
+            failed = bool(failed or r.bad)
+            if failed:
+                out.append((key[0], f, None, None, None, None, False, NON_FINITE))
+                continue
             if not (pd.isna(r.x_m) or pd.isna(r.y_m)):
-                if not (np.isfinite(r.x_m) and np.isfinite(r.y_m)):
-                    raise ValueError("non-finite position")
                 if buf:
                     step = self.dt * (f - buf[-1][0])
                     nx, ny = (r.x_m - buf[-1][1]) / step, (r.y_m - buf[-1][2]) / step
@@ -143,23 +147,23 @@ class _Velocity(StatefulProcessor):
                         ax, ay = (nx - vx) / vstep, (ny - vy) / vstep
                     vf, vx, vy = f, float(nx), float(ny)
                 buf = [*buf, (f, float(r.x_m), float(r.y_m))][-self.depth:]
-            out.append((key[0], f, vx, vy, ax, ay, False))
+            out.append((key[0], f, vx, vy, ax, ay, False, None))
         self.positions.clear()
         if buf:
             self.positions.put(buf)
         if last is not None:
             num = lambda v: None if v is None else float(v)
-            self.latest.update((int(last), None if vf is None else int(vf), num(vx), num(vy), num(ax), num(ay)))
-        yield pd.DataFrame(out, columns=["shot_id", "frame_index", "vx", "vy", "ax", "ay", "late"])
+            self.latest.update((int(last), None if vf is None else int(vf), num(vx), num(vy), num(ax), num(ay), bool(failed)))
+        yield pd.DataFrame(out, columns=["shot_id", "frame_index", "vx", "vy", "ax", "ay", "late", "error"])
 
     def close(self) -> None:
         pass
 
 
 def stream_velocity(pos: DataFrame, dt: float = 1.0 / 30.0, depth: int = 12, ttl_ms: int | None = None) -> DataFrame:
-    """Latest velocity and acceleration after each frame of each shot."""
-    schema = _types(pos, "shot_id", "frame_index") + ", vx double, vy double, ax double, ay double, late boolean"
-    return pos.select("shot_id", "frame_index", "x_m", "y_m").groupBy("shot_id").transformWithStateInPandas(
+    """Latest velocity and acceleration after each frame of each shot; a non-finite coordinate ends its shot with an error text, as in the batch operator."""
+    schema = _types(pos, "shot_id", "frame_index") + ", vx double, vy double, ax double, ay double, late boolean, error string"
+    return pos.select("shot_id", "frame_index", "x_m", "y_m", non_finite("x_m", "y_m").alias("bad")).groupBy("shot_id").transformWithStateInPandas(
         statefulProcessor=_Velocity(dt, depth, ttl_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
@@ -179,16 +183,25 @@ def stream_upsert(updates: DataFrame, store: str, checkpoint: str, trigger: dict
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_top_checkpoints(ckpts: DataFrame, path: str, checkpoint: str, k: int = 5, direction: str = "maximize"):
-    """Keep the k best checkpoints seen so far at path; each batch is merged with the k rows kept before."""
-    from shotlane.operators.dataset import top_checkpoints
-    from shotlane.session import cut
+def open_top_checkpoints(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The list written last (by a batch under ``before``, if given)."""
+    rows = spark.read.parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    return rows.where(F.col("batch") == F.lit(rows.agg(F.max("batch")).first()[0])).drop("batch")
+
 
+def stream_top_checkpoints(ckpts: DataFrame, path: str, checkpoint: str, k: int, direction: str = "maximize"):
+    """Keep the k best checkpoints seen so far; each batch is merged with the k rows kept before.
+
+    Every batch writes a folder of its own below path and reads only older ones, so a failure or a replay loses
+    nothing; ``open_top_checkpoints`` reads the newest.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-        known = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
-        rows = batch if not known else spark.read.schema(batch.schema).parquet(path).unionByName(batch).distinct()
-        cut(top_checkpoints(rows, k, direction), "top-checkpoints").coalesce(1).write.mode("overwrite").parquet(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        rows = batch if not known else open_top_checkpoints(spark, path, batch_id).unionByName(batch).distinct()
+        top_checkpoints(rows, k, direction).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return ckpts.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -195,10 +195,11 @@ def test_gap_velocity_carries_over_misses(spark):
     assert got[2]["ax"] is None and got[3]["ax"] == pytest.approx(0.0, abs=1e-9)
 
 
-def test_non_finite_position_is_an_error(spark):
-    df = spark.createDataFrame([("a", 0, math.inf, 0.0)], "shot_id string, frame_index int, x_m double, y_m double")
-    with pytest.raises(Exception, match="non-finite"):
-        sq.gap_velocity(df).collect()
+def test_non_finite_position_ends_its_shot_only(spark):
+    df = spark.createDataFrame([("a", 0, 0.0, 0.0), ("a", 1, math.inf, 0.0), ("a", 2, 0.1, 0.1), ("b", 0, 0.0, 0.0), ("b", 1, 1.0, 0.0)], "shot_id string, frame_index int, x_m double, y_m double")
+    got = sq.gap_velocity(df, dt=1.0).orderBy("shot_id", "frame_index").collect()
+    assert [r["error"] for r in got] == [None, sq.NON_FINITE, sq.NON_FINITE, None, None]
+    assert [r["vx"] for r in got] == [None, None, None, None, 1.0]
 
 
 def test_hot_frame_is_reduced_before_the_shuffle(spark):

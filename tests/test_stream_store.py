@@ -64,6 +64,15 @@ def test_stream_velocity_equals_batch_and_flags_late_rows(spark, tmp_path):
     assert sf.late_rows(out).count() == 0
 
 
+def test_stream_velocity_ends_a_shot_with_a_broken_position(spark, tmp_path):
+    rows = [(s, f, float("inf") if (s, f) == ("bad", 4) else 0.1 * f, 0.2 * f) for s in ("bad", "good") for f in range(8)]
+    df = spark.createDataFrame(rows, "shot_id string, frame_index int, x_m double, y_m double")
+    cols = ["shot_id", "frame_index", "vx", "error"]
+    got = replay(spark, df, 4, sf.stream_velocity, tmp_path).select(*cols).orderBy(*cols[:2]).collect()
+    assert got == sq.gap_velocity(df).select(*cols).orderBy(*cols[:2]).collect()
+    assert [r["frame_index"] for r in got if r["error"]] == [4, 5, 6, 7] and {r["shot_id"] for r in got if r["error"]} == {"bad"}
+
+
 def test_stream_upsert_is_repeatable(spark, tmp_path):
     src, store = f"{tmp_path}/u", scratch_path(spark, "stream-store")
     up = lambda s, p, t: spark.createDataFrame([("Shot 1", s, p, "v.mp4", None, t)], "name string, section string, payload string, video_key string, sd_key string, updated_at string").withColumn(
@@ -110,8 +119,37 @@ def test_label_files_round_trip_with_an_empty_one(spark, tmp_path):
     (tmp_path / "one.txt").write_text("0 0.1 0.2 0.3 0.4 0.5 0.6\n\n1 0 0 1 0 1 1\n")
     got = rd.read_labels(spark, str(tmp_path / "one.txt")).orderBy("object_no").collect()
     assert [(r["image"], r["class_id"], len(r["polygon"])) for r in got] == [("one", 0, 3), ("one", 1, 3)]
-    with pytest.raises(Exception, match="polygon pairs"):
-        rd.read_labels(spark, str(tmp_path / "one.txt"), min_coords=8).collect()
+    bad = rd.read_labels(spark, str(tmp_path / "one.txt"), min_coords=8).collect()
+    assert [(r["polygon"], r["error"]) for r in bad] == [(None, "expected polygon pairs")] * 2 and all(r["error"] is None for r in got)
+
+
+def test_a_late_batch_does_not_replace_newer_sections(spark):
+    from datetime import datetime
+
+    cols = "name string, section string, payload string, video_key string, sd_key string, updated_at timestamp"
+    path = scratch_path(spark, "late-runs")
+    one = lambda payload, video, sd, day: st.upsert_run_sections(spark, path, spark.createDataFrame([("r", "laneballs", payload, video, sd, datetime(2026, 1, day))], cols))
+    one("first", "v1", "sd1", 1)
+    one("new", "v3", None, 3)
+    one("late", "v2", "sd2", 2)
+    r = st.open_runs(spark, path).collect()
+    assert [(x["payload"], x["video_key"], x["sd_key"], x["updated_at"].day) for x in r] == [("new", "v3", "sd2", 3)]
+
+
+def test_stream_keeps_the_best_checkpoints_in_a_folder_per_batch(spark, tmp_path):
+    src, kept = f"{tmp_path}/in", f"{tmp_path}/kept"
+    for i in range(3):
+        spark.createDataFrame([(10 * i + j, float((7 * (10 * i + j)) % 23)) for j in range(10)], "step long, objective double").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("step long, objective double").option("maxFilesPerTrigger", 1).parquet(src)
+    sf.stream_top_checkpoints(stream, kept, f"{tmp_path}/cp", 4).awaitTermination(120)
+    want = sorted(((float((7 * s) % 23), -s) for s in range(30)), reverse=True)[:4]
+    assert sorted(((r["objective"], -r["step"]) for r in sf.open_top_checkpoints(spark, kept).collect()), reverse=True) == want
+
+
+def test_trial_rows_keep_all_fields(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"objective": 0.5, "run_dir": "a", "params": {"lr": 0.1}, "epochs": 3}\n{oops\n\n{"run_dir": "b"}\n')
+    got = {r["run_dir"]: (r["objective"], r["fields"]) for r in rd.read_trials(spark, str(tmp_path / "t.jsonl")).collect()}
+    assert got == {"a": (0.5, {"params": '{"lr":0.1}', "epochs": "3"}), "b": (None, {})}
 
 
 def test_shot_records_and_sensor_files(spark, tmp_path):
