@@ -71,19 +71,22 @@ class Model:
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, past the last, score), in order, in linear time."""
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[list] = []  # first, last+1, sum before, sum after
-    for i in np.flatnonzero(scores > 0):
-        seg = [int(i), int(i) + 1, sums[i], sums[i + 1]]
+    at = np.flatnonzero(scores > 0)
+    found: list[tuple[int, int, float, float]] = []  # first, past the last, sum before, sum after
+    lower: list[int] = []  # the nearest earlier segment with a smaller sum before, so that no segment is passed over twice
+    for i, before, after in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist()):
+        seg, j = (i, i + 1, before, after), len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= seg[2]:
-                j -= 1
+                j = lower[j]
             if j < 0 or found[j][3] >= seg[3]:
-                found.append(seg)
                 break
-            seg = [found[j][0], seg[1], found[j][2], seg[3]]
-            del found[j:]
-    return [(a, b, float(r - l)) for a, b, l, r in found]
+            seg, k = (found[j][0], seg[1], found[j][2], seg[3]), lower[j]
+            del found[j:], lower[j:]
+            j = k
+        found.append(seg)
+        lower.append(j)
+    return [(a, b, r - l) for a, b, l, r in found]
 
 
 def _count_step():
