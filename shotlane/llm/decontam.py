@@ -92,7 +92,7 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = map_text(items, ["item"], [StructField("found", ArrayType(one))], _item_step)
     pairs = cut(rows.select("item", F.inline("found")).distinct(), "bench-windows")
     a, b = F.xxhash64(F.lit(5), F.col("item")), F.xxhash64(F.lit(7), F.col("item"))
-    sets = pairs.groupBy("length", "print", "window").agg(F.xxhash64(F.bit_xor(a), F.bit_xor(b), F.sum(F.shiftrightunsigned(a, 16)), F.count("*")).alias("set_id"))
+    sets = pairs.groupBy("length", "print", "window").agg(F.xxhash64(F.bit_xor(a), F.bit_xor(b), F.sum(F.shiftrightunsigned(a, 33)), F.count("*")).alias("set_id"))
     sets = cut(sets, "bench-sets")
     return sets, pairs.join(sets, ["length", "print", "window"]).select("set_id", "item").distinct()
 

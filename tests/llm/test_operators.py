@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -133,6 +134,17 @@ def test_maximal_segments_are_brute_force():
         assert max((x for *_, x in got), default=0) == max(best, 0)
 
 
+def test_long_texts_are_worked_in_linear_time(spark):
+    scores = np.random.default_rng(4).normal(-1, 1, 400_000)  # the running sum falls all along
+    t0 = time.process_time()
+    assert len(toxicity.maximal_segments(scores)) > 10_000 and time.process_time() - t0 < 5
+    shared = "\n".join(f"common {i}\nown %d {i}" for i in range(2000))
+    docs = spark.createDataFrame([(d, shared.replace("%d", str(d)), "en", f"site {d}", 1) for d in range(6)], COLUMNS)
+    for r in lines.edited(docs).collect():
+        want = [x for x in shared.replace("%d", str(r["doc_id"])).split("\n") if r["doc_id"] == 0 or not x.startswith("common")]
+        assert (r["text"].split("\n"), r["__lines_removed"]) == (want, 0 if r["doc_id"] == 0 else 2000)
+
+
 def test_urls_follow_the_rules(spark):
     rows = [("http://a.example.org/es/1", "example.org/es/", "block"), ("https://EXAMPLE.org/en/12?x", "example.org/en/1", "block"), ("http://notexample.org/es/1", "org/", "allow"), ("http://x.com/de/", "com/de/", "block"),
             ("http://x.com/fr/a#b", "com/fr/", "allow"), ("http://x.com", None, "allow"), ("nothing", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("http://x.com/de/", "com/de/", "block")]
