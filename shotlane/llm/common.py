@@ -52,7 +52,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     return docs.select([F.col(c).alias(h) for c, h in zip(docs.columns, held.columns)] + row_key()), back
 
 
-def map_text(df: DataFrame, keep: list[str], fields: list[StructField], start: Callable[[], Callable[[pa.Array], list]], slice_bytes: int = 2 << 20) -> DataFrame:
+def map_text(df: DataFrame, keep: list[str], fields: list[StructField], start: Callable[[], Callable[[pa.Array], list]], slice_bytes: int = 512 << 10) -> DataFrame:
     """``keep`` columns of every row plus ``fields`` computed from its whole text.
 
     ``start()`` runs once per task and returns a function from an Arrow array of
