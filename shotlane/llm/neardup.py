@@ -22,6 +22,13 @@ follows from two such links, so components are those of the full link graph.  Co
 A fingerprint is the majority of the 64-bit hashes (XXH64, seed 42) of all 3-word shingles, repeats
 included.  Defined cases: fewer than three words make one shingle; no words (null, empty)
 give fingerprint zero, linked like any other; a null doc_id never names a component unless all its ids are null.
+
+``one_of_each``, the stage of the pipeline, has its own contract: five-word shingles and Jaccard similarity ``SIMILAR`` = 0.8.
+Texts that similar are some ten bits of a SimHash apart, out of reach of a ball, so the stage's
+fingerprint has one bit of each of ``BITS`` minimum hashes of the shingle set: two texts differ in a bit with chance
+(1 - J) / 2.  Every 32-bit band of it is ball-hashed at radius two (one bit on each side), and every
+candidate is verified on the whole shingle sets.  Equal shingle sets are one node.  Bands hold their distinct values
+only, so a variant has at most 33 members, and a value's texts are linked to its smallest one.
 """
 
 from __future__ import annotations
@@ -31,13 +38,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField
+from pyspark.sql.types import ArrayType, LongType, StructField
 from pyspark.sql.window import Window
 
 from shotlane.llm.common import K1, K2, components, keyed, map_text, row_key
 from shotlane.session import cut
 
 RADIUS, SHINGLE = 3, 3
+#: Of the stage: words of a shingle, similarity, bits of the fingerprint, and the distance that no pair as similar has (over six standard errors).
+STAGE_SHINGLE, SIMILAR, BITS, FAR = 5, 0.8, 256, 56
 _PART = 1 << 15
 
 
@@ -119,12 +128,103 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return seen.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (then row key); columns unchanged.
+_A = np.random.default_rng(5).integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = np.random.default_rng(6).integers(0, 1 << 32, BITS, dtype=np.uint32)
+
+
+def shingles(text: bytes, size: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, no words give none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
+    n = max(1, len(words) - size + 1)
+    digest = xxhash.xxh64_intdigest
+    found = np.fromiter((digest(joined[i:j], 42) for i, j in zip((ends - lengths)[:n].tolist(), (ends - 1)[-n:].tolist())), np.uint64, n)
+    return np.unique(found.view(np.int64))
+
+
+def min_bits(sets: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS minimum hashes of a shingle set, as four longs."""
+    h = (sets.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    low = np.full(BITS, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(h), 2048):
+        np.minimum(low, ((h[None, a : a + 2048] ^ _B[:, None]) * _A[:, None]).min(axis=1), out=low)
+    low ^= low >> np.uint32(16)
+    bits = (low * np.uint32(0x85EBCA6B)) >> np.uint32(31)
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _set_id(sets: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(sets.tobytes(), 7)).view(np.int64)) if len(sets) else 0
+
+
+def _signature_step():
+    def step(texts: pa.Array) -> list:
+        sets = [shingles(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+        bits = np.stack([min_bits(x) for x in sets]) if sets else np.zeros((0, BITS // 64), np.int64)
+        return [pa.array([_set_id(x) for x in sets], pa.int64()), *[pa.array(bits[:, i]) for i in range(BITS // 64)]]
+
+    return step
+
+
+def _shingle_step():
+    def step(texts: pa.Array) -> list:
+        sets = [shingles(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+        return [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))]
+
+    return step
+
+
+SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
+
+
+def candidate_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of set ids to verify, from distinct rows (fp, *SIGNATURE): star links within the ball of a band."""
+    bands = [F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) if k == 0 else F.shiftrightunsigned(c, 32) for c in SIGNATURE for k in (0, 1)]
+    keyed_ = F.array([F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(b) for i, b in enumerate(bands)])
+    rows = cut(sets.select("fp", F.explode(keyed_).alias("w")), "bands")
+    hubs = cut(rows.groupBy("w").agg(F.min("fp").alias("hub")), "band-hubs")
+    # the texts of one value to its smallest; then values within two bits of each other, their smallest texts
+    own = rows.join(hubs, "w").filter("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+    ball = hubs.select("w", "hub", F.explode(_flips([0, *LOW])).alias("m")).select("hub", F.col("w").bitwiseXOR(F.col("m")).alias("x"))
+    near = ball.withColumn("v", F.min("hub").over(Window.partitionBy("x"))).filter("hub <> v").select(F.col("hub").alias("u"), "v")
+    return own.unionByName(near).distinct()
+
+
+def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, row key, fp (id of the shingle set) and root (the smallest fp reachable) of every row."""
+    fields = [StructField("fp", LongType()), *[StructField(c, LongType()) for c in SIGNATURE]]
+    seen = cut(map_text(docs.select("doc_id", "text", *row_key()), ["doc_id", K1, K2], fields, _signature_step), "signatures")
+    least = seen.groupBy("fp").agg(*[F.min(c).alias(c) for c in SIGNATURE], F.min(F.struct(K1, K2)).alias("k"))
+    sets = cut(least.select("fp", *SIGNATURE, F.col("k")[K1].alias(K1), F.col("k")[K2].alias(K2)), "shingle-sets")
+    spread = sets.filter("fp <> 0").select("fp", *SIGNATURE).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    pairs = candidate_pairs(spread)
+    of = lambda name: sets.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}{c}") for c in SIGNATURE])
+    apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in SIGNATURE), F.lit(0))
+    close = cut(pairs.join(of("u"), "u").join(of("v"), "v").filter(apart <= FAR).select("u", "v"), "close-pairs")
+    # shingle sets of the texts that are in a pair, one text of each set
+    asked = close.select(F.col("u").alias("fp")).unionByName(close.select(F.col("v").alias("fp"))).distinct()
+    wanted = sets.join(asked, "fp", "left_semi").select(K1, K2)
+    texts = docs.select("text", *row_key()).join(wanted, [K1, K2], "left_semi")
+    held = cut(map_text(texts, [], [StructField("fp", LongType()), StructField("shingles", ArrayType(LongType()))], _shingle_step), "shingles")
+    held = held.groupBy("fp").agg(F.first("shingles").alias("shingles")) if held.groupBy("fp").count().filter("count > 1").limit(1).count() else held
+    both = close.join(held.select(F.col("fp").alias("u"), F.col("shingles").alias("su")), "u").join(held.select(F.col("fp").alias("v"), F.col("shingles").alias("sv")), "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    linked = both.filter(shared >= similar * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+    roots = components(linked)
+    rooted = sets.select("fp").join(roots, sets.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return seen.select("doc_id", K1, K2, "fp").join(rooted, "fp")
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One document of each group of five-word Jaccard similarity ``similar``, the one with the smallest doc_id (then row key); columns unchanged.
 
     Where doc_id and text are both repeated, one of the equal rows stays.
     """
-    rows = cut(near_duplicates(docs), "near-groups")
+    rows = cut(similar_groups(docs, similar), "near-groups")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", K1, K2)
     best = rows.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best")[K1].alias("b1"), F.col("best")[K2].alias("b2"))
     is_best = (F.col(K1) == F.col("b1")) & (F.col(K2) == F.col("b2"))

@@ -235,6 +235,22 @@ def test_links_reach_all_pairs_within_three_bits(spark):
     assert {f: got.get(f, f) for f in every} == {f: top(f) for f in every}
 
 
+def test_near_dedup_stage_reaches_similar_texts(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        edited, other = list(words), list(words)
+        for k in (20, 70, 120, 170):  # 20 of 196 five-word shingles change: similarity 176 / 216
+            edited[k] = "edited"
+        for k in range(10, 200, 12):  # most shingles change
+            other[k] = "other"
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(edited)), (3 * i + 2, " ".join(other))]
+    left = {r["doc_id"] for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(3 * i in left and 3 * i + 2 in left for i in range(60))
+    assert sum(3 * i + 1 in left for i in range(60)) <= 5
+
+
 def test_odd_rows_and_empty_tables(spark, odd, empty, bench, labels):
     n = odd.count()
     for docs, rows in ((odd, n), (empty, 0)):
