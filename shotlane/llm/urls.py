@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from shotlane.session import cut
 
-SUPPORT, CONFIDENCE = 0.05, 0.9
+#: A rule needs LEAST_URLS labelled urls whatever the size, or SUPPORT of them where that is fewer.
+SUPPORT, LEAST_URLS, CONFIDENCE = 0.05, 20, 0.9
 
 
 @dataclass(frozen=True)
@@ -77,10 +78,11 @@ def tokens(url: str = "url") -> Column:
     return F.array_distinct(F.concat(scheme, hosts, segments, keys, leading, end))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Association rules (rule_id, antecedent, verdict, confidence, support) from rows (tokens, verdict)."""
+def mine(labelled: DataFrame, support: float | None = None, confidence: float = CONFIDENCE) -> DataFrame:
+    """Association rules (rule_id, antecedent, verdict, confidence, support) from rows (tokens, verdict); ``support`` is a share, None for that of LEAST_URLS."""
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), F.col("verdict")))).alias("items"))
     n = baskets.count()
+    support = min(SUPPORT, LEAST_URLS / max(n, 1)) if support is None else support
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     sets = cut(model.freqItemsets, "itemsets")
     is_label = lambda x: x.startswith("label:")
@@ -108,7 +110,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("url_id").agg(F.max(key).alias("best")).select("url_id", F.col("best.verdict").alias("mined"), F.col("best.rule").alias("mined_rule"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, support: float | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict and mined_rule of every row."""
     name, verdict = given_rule(rules)
     rows = split_url(pages.select("page_id", F.col("url").cast("string").alias("url"))).withColumns({"rule": name, "given": verdict})

@@ -168,6 +168,12 @@ def test_mined_rules_and_matches_are_brute_force(spark):
     assert {r["url_id"]: r["mined"] for r in urls.match(asked, rules).collect()} == {1: "block", 3: "block"}
 
 
+def test_rare_patterns_become_rules(spark):
+    rows = [(i, f"https://a{i}.example.org/{'en/1' if i < 24 else 'fr/3'}{i}") for i in range(800)] + [(1000 + i, f"https://b{i}.other.net/{p}{i}") for i, p in enumerate(["en/1"] * 5 + ["fr/3"] * 5)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[1000 + i] for i in range(10)] == ["block"] * 5 + ["allow"] * 5
+
+
 def test_base_spans_are_the_patterns(spark, texts):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     hard = ["a@b.c@d.e x@y @z.w 1.2.3.4.5.6.7.8 256.1.1.1 4111 1111 1111 1111 4111111111111112 +1 (2) 345-6789 +12", "a..b@-.-.x é@é.com 1@2.3"]
