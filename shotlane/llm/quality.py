@@ -5,14 +5,15 @@
 * Metadata view: what is known about the page without reading it - source, language, stated length.
 
 Each view is a logistic regression (Spark ML).  In each round both are fitted to the
-labelled rows and to the rows the *other* view was sure about, their
-calibrated probabilities are computed for the pool, and confident ones (both sides,
+labelled rows and to rows the *other* view was sure about; then their
+calibrated probabilities are computed for every unlabelled document, and confident ones (both sides,
 ``sure``) become pseudo-labels for the other view.  A view that separates nothing is never sure
 and hands over nothing.  At the end the two calibrated log-odds are combined by a
 logistic regression on labelled rows kept out of the fit, and every document is scored.
 
-The fit uses a bounded sample: ``per_class`` labelled rows of each class and ``pool`` unlabelled rows, by hash
-of the id.  Every document's whole text is scored, in one pass, without a shuffle.
+The fit uses bounded samples by hash of the id: ``per_class`` labelled rows of each class and, of the rows that a view is
+sure about in a round, ``per_pseudo`` of each class, drawn from all unlabelled documents.  Every round scores every unlabelled document's whole
+text in a pass of its own, and the end scores all documents in another.
 
 Defined cases: null and empty texts have all-zero text features; null metadata is a value of its own;
 equal rows get equal scores; without labels of both classes the score is the share of label 1 (0 if there is none).
@@ -32,7 +33,7 @@ from shotlane.llm import words as W
 from shotlane.llm.common import held_out, label_sample, map_text, whole_text
 from shotlane.session import cut
 
-PER_CLASS, POOL, ROUNDS, SURE = 8_000, 8_000, 2, 0.95
+PER_CLASS, PER_PSEUDO, ROUNDS, SURE = 8_000, 8_000, 2, 0.95
 N_WORD, N_GAP, N_SHAPE = 128, 128, 12
 N_TEXT = N_WORD + N_GAP + N_SHAPE
 SOURCES, LANGS, SIZES = 32, 8, 12
@@ -96,7 +97,7 @@ def _metadata_vector() -> Column:
 
 
 def _fit(rows: DataFrame, features: str, strength: float) -> tuple[np.ndarray, float]:
-    model = LogisticRegression(featuresCol=features, labelCol="y", weightCol="w", regParam=strength, maxIter=10, standardization=True).fit(rows)
+    model = LogisticRegression(featuresCol=features, labelCol="y", weightCol="w", regParam=strength, maxIter=15, standardization=True).fit(rows)
     return np.asarray(model.coefficients.toArray()), float(model.intercept)
 
 
@@ -112,42 +113,75 @@ class Model:
         self.text, self.meta, self.combined, self.share = text, meta, combined, share
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, pool: int = POOL, rounds: int = ROUNDS, sure: float = SURE) -> Model:
+def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """label and both feature vectors of the documents in ``ids`` (doc_id, label), a bounded sample."""
+    picked = docs.select("doc_id", "text", *metadata_bins()).join(F.broadcast(ids), "doc_id")
+    rows = cut(map_text(picked, ["doc_id", "label", "m_source", "m_lang", "m_size"], [StructField("x", ArrayType(FloatType()))], _feature_step), "quality-sample")
+    return rows.select("doc_id", "label", array_to_vector(F.col("x").cast("array<double>")).alias("fa"), _metadata_vector().alias("fb")).repartition(8, "doc_id")
+
+
+def _pseudo_rows(docs: DataFrame, taken: DataFrame, text: tuple, meta: tuple, most: int, sure: float) -> dict[str, DataFrame]:
+    """Rows of pseudo-labels by the view that learns from them: at most ``most`` of each class that the other view is sure about, of all documents but ``taken``."""
+    edge = float(np.log(sure / (1 - sure)))
+    sides = _logits(docs, text, meta).filter(f"doc_id IS NOT NULL AND (abs(text_logit) >= {edge} OR abs(meta_logit) >= {edge})")
+    seen = cut(sides.select("doc_id", "text_logit", "meta_logit").join(taken, "doc_id", "left_anti"), "quality-sure")
+    out = {}
+    for f, said in (("fa", "meta_logit"), ("fb", "text_logit")):
+        parts = [seen.filter(on).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("label", F.lit(y)) for y, on in ((0, F.col(said) <= -edge), (1, F.col(said) >= edge))]
+        # a repeated id that got both counts as the larger one
+        ids = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
+        out[f] = cut(_features(docs, ids), "quality-pseudo")
+    return out
+
+
+def _logits(docs: DataFrame, text: tuple, meta: tuple) -> DataFrame:
+    """doc_id and the calibrated log-odds of both views, text_logit and meta_logit, of every row."""
+    beta, shift = text
+
+    def start():
+        def step(texts: pa.Array) -> list:
+            return [pa.array(text_features(texts) @ beta + shift, pa.float64())]
+
+        return step
+
+    rows = map_text(docs.select("doc_id", "text", *metadata_bins()), ["doc_id", "m_source", "m_lang", "m_size"], [StructField("text_logit", DoubleType())], start)
+    weights = F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in meta[0]) + "]"), "array<double>")
+    at = lambda i: F.element_at(weights, (i + 1).cast("int"))
+    return rows.withColumn("meta_logit", at(F.col("m_source")) + at(F.col("m_lang") + SOURCES) + at(F.col("m_size") + SOURCES + LANGS) + F.lit(meta[1]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, per_pseudo: int = PER_PSEUDO, rounds: int = ROUNDS, sure: float = SURE) -> Model:
     shares = dict(labels.filter(~held_out()).groupBy(F.col(label).cast("int")).count().collect())
     n1, n0 = shares.get(1, 0), shares.get(0, 0)
     nothing = Model(None, None, None, n1 / max(1, n1 + n0))
     if not n1 or not n0:
         return nothing
     known = label_sample(labels, label, per_class)
-    # pool rows: unlabelled ids (held-out ones count as unlabelled, their labels are not read), by hash
-    free = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(labels.filter(~held_out()).select("doc_id").distinct(), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    ids = F.broadcast(known.unionByName(free.withColumn("label", F.lit(None).cast("int"))))  # at most 2 * per_class + pool rows
-    picked = docs.select("doc_id", "text", *metadata_bins()).join(ids, "doc_id").withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0)
-    rows = cut(map_text(picked, ["doc_id", "label", "tune", "m_source", "m_lang", "m_size"], [StructField("x", ArrayType(FloatType()))], _feature_step), "quality-sample")
-    rows = rows.select("doc_id", "label", "tune", array_to_vector(F.col("x").cast("array<double>")).alias("fa"), _metadata_vector().alias("fb")).repartition(8, "doc_id")
+    taken = labels.filter(~held_out()).select("doc_id").distinct()  # all others are unlabelled, held-out ones too: their labels are not read
+    rows = _features(docs, known).withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0)
     rows = cut(rows, "quality-features")
-    sizes = {(r["tune"], r["label"]): r["count"] for r in rows.filter("label IS NOT NULL").groupBy("tune", "label").count().collect()}
+    sizes = {(r["tune"], r["label"]): r["count"] for r in rows.groupBy("tune", "label").count().collect()}
     if len(sizes) < 4:
         return nothing
     of = {v: sizes[False, v] for v in (0, 1)}
     weight = lambda y: F.when(y == 1, n1 / of[1]).otherwise(n0 / of[0]) / ((n1 + n0) / (of[0] + of[1]))
-    pseudo = {"fa": F.lit(None).cast("int"), "fb": F.lit(None).cast("int")}  # what the other view said, by view
-    for _ in range(rounds + 1):
+    own = rows.filter("not tune").select(F.col("label").cast("double").alias("y"), weight(F.col("label")).alias("w"), "fa", "fb")
+    fold = lambda f: (views[f][0][0] * views[f][1][0], views[f][0][1] * views[f][1][0] + views[f][1][1])
+    pseudo: dict[str, DataFrame] = {}  # what the other view said, by view; the fold that calibrates takes none
+    for k in range(rounds + 1):
         views = {}
         for f, strength in (("fa", 0.002), ("fb", 0.05)):
-            y = F.coalesce("label", pseudo[f])
-            train = rows.filter("not tune").withColumn("y", y.cast("double")).filter("y IS NOT NULL").withColumn("w", F.when(F.col("label").isNotNull(), weight(F.col("y"))).otherwise(F.lit(0.3)))
+            train = own.select("y", "w", f)
+            if f in pseudo:
+                train = train.unionByName(pseudo[f].select(F.col("label").cast("double").alias("y"), F.lit(0.3).alias("w"), f))
             beta = _fit(train, f, strength)
-            tune = rows.filter("tune AND label IS NOT NULL").select(F.col("label").cast("double").alias("y"), _margin(f, beta).alias("m"), weight(F.col("label")).alias("w"))
+            tune = rows.filter("tune").select(F.col("label").cast("double").alias("y"), _margin(f, beta).alias("m"), weight(F.col("label")).alias("w"))
             views[f] = (beta, _line(tune, "m"))
-        p = {f: 1 / (1 + F.exp(-(_margin(f, b) * c[0] + F.lit(c[1])))) for f, (b, c) in views.items()}
-        sure_of = lambda q: F.when(q >= sure, 1).when(q <= 1 - sure, 0)
-        # only rows without a label take a pseudo-label; the fold that calibrates takes none
-        pseudo = {"fa": sure_of(p["fb"]), "fb": sure_of(p["fa"])}
-    tune = rows.filter("tune AND label IS NOT NULL").select(F.col("label").cast("double").alias("y"), weight(F.col("label")).alias("w"), *[(_margin(f, b) * c[0] + F.lit(c[1])).alias(f"z{f}") for f, (b, c) in views.items()])
+        if k < rounds:
+            pseudo = _pseudo_rows(docs, taken, fold("fa"), fold("fb"), per_pseudo, sure)
+    tune = rows.filter("tune").select(F.col("label").cast("double").alias("y"), weight(F.col("label")).alias("w"), *[(_margin(f, b) * c[0] + F.lit(c[1])).alias(f"z{f}") for f, (b, c) in views.items()])
     got = tune.toPandas()  # part of the bounded sample: three numbers a row
     a, b, c = _plane(got[["zfa", "zfb"]].to_numpy(), got.y.to_numpy(), got.w.to_numpy())
-    fold = lambda f: (views[f][0][0] * views[f][1][0], views[f][0][1] * views[f][1][0] + views[f][1][1])
     return Model(fold("fa"), fold("fb"), (a, b, c), n1 / (n1 + n0))
 
 
@@ -175,18 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, text_logit and meta_logit (calibrated log-odds of the views) and predicted (score of a half or more) of every row."""
     if model.text is None:
         return docs.select("doc_id", F.lit(float(model.share)).alias("score"), F.lit(0.0).alias("text_logit"), F.lit(0.0).alias("meta_logit"), F.lit(int(model.share >= 0.5)).alias("predicted"))
-    beta, shift = model.text
-
-    def start():
-        def step(texts: pa.Array) -> list:
-            return [pa.array(text_features(texts) @ beta + shift, pa.float64())]
-
-        return step
-
-    rows = map_text(docs.select("doc_id", "text", *metadata_bins()), ["doc_id", "m_source", "m_lang", "m_size"], [StructField("text_logit", DoubleType())], start)
-    meta = F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in model.meta[0]) + "]"), "array<double>")
-    at = lambda i: F.element_at(meta, (i + 1).cast("int"))
-    rows = rows.withColumn("meta_logit", at(F.col("m_source")) + at(F.col("m_lang") + SOURCES) + at(F.col("m_size") + SOURCES + LANGS) + F.lit(model.meta[1]))
+    rows = _logits(docs, model.text, model.meta)
     a, b, c = model.combined
     clip = lambda x: F.greatest(F.least(F.col(x), F.lit(20.0)), F.lit(-20.0))
     p = 1 / (1 + F.exp(-(clip("text_logit") * a + clip("meta_logit") * b + F.lit(c))))

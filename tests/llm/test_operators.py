@@ -123,6 +123,21 @@ def test_held_out_labels(spark):
         assert got.score.between(0, 1).all()
 
 
+def test_co_training_learns_from_every_unlabelled_document(spark):
+    rng = np.random.default_rng(4)
+    common = lambda: " ".join(f"c{x}" for x in rng.integers(0, 20, 30))
+    order = [r[0] for r in spark.range(10_000).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, common(), "en", None, 90) for i in order[:8_000]]
+    rows += [(i, common() + (" gladword" if k % 2 else " sadword") * 10, "en", "good" if k % 2 else "bad", 90) for k, i in enumerate(order[8_000:])]
+    rows += [(20_000 + k, common(), "en", "good" if k % 2 else "bad", 90) for k in range(400)]
+    rows += [(30_000, common() + " gladword" * 10, "en", None, 90), (30_001, common() + " sadword" * 10, "en", None, 90)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    labels = spark.createDataFrame([(20_000 + k, k % 2) for k in range(400)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["text_logit"] for r in quality.score(docs.filter("doc_id >= 30000"), model).collect()}
+    assert got[30_000] > 0.2 + got[30_001]
+
+
 def test_maximal_segments_are_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(200):
