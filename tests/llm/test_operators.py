@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shotlane.llm import bpe, decontam, exact, lines, neardup, pii, quality, queries, sharding, toxicity, urls
-from shotlane.llm.common import components
+from shotlane.llm.common import K1, K2, components
 
 SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "documents benchmark labels pages".split()
@@ -200,6 +200,16 @@ def test_base_spans_are_the_patterns(spark, texts):
     assert all(set((r["base_text"] or "").split(",")) <= set(r["spans"].split(",")) for r in got.values())
 
 
+def test_loose_candidates_without_a_cue_are_judged(spark):
+    rows = [(i, f"call +1 (555) 555-{1000 + i} or 10.0.0.{i}") for i in range(200)] + [(1000 + i, f"size 10.{i}.300.999 and 1234 5678 9012 {3000 + i}") for i in range(200)]
+    rows += [(5000, "reach us (555) 123-4567 daily"), (5001, "oui 4111.1111.1111.1111 merci")]
+    seen = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {(r[K1], r[K2]): r["doc_id"] for r in seen.select("doc_id", K1, K2).collect()}
+    found, threshold = pii.judged(seen)
+    got = {(ids[r[K1], r[K2]], r["kind"], r["start"], r["end"]): r["p"] for r in found.collect()}
+    assert {(5000, 3, 9, 23), (5001, 2, 4, 23)} <= set(got) and pii.loose_spans('"186661156f3f"') == [] and all(0 <= p <= 1 for p in got.values()) and 0.5 <= threshold
+
+
 def test_tokens_are_tiktoken(spark, texts, odd):
     import public_tokenizers as P
     import tiktoken
