@@ -3,9 +3,8 @@
 1. Every line is hashed (128 bits, surrounding white space dropped); texts stay where they are.
 2. One HyperLogLog sketch of sites per line hash, merged by aggregation, with map-side combine, so a line
    that a third of all rows share costs one sketch per task.
-3. Far above the threshold the sketch decides; near it (within three standard errors and one, or with
-   two sites or more from below) the line gets its exact count of distinct sites.  The sketch never
-   overstates small counts by a whole site, and a line with fewer sites than two cannot reach a threshold.
+3. Far above the threshold (by three standard errors and one) the sketch decides; every other line of two
+   sites or more gets its exact count of distinct sites.  A line with fewer sites than two cannot reach a threshold.
 4. A line on at least ``sites`` sites (``long_sites`` if it has over ``long_words`` words) is boilerplate and goes from every
    document but the one with the smallest doc_id that has it.
 
@@ -42,8 +41,7 @@ def boilerplate(lines: DataFrame, sites: int, long_sites: int) -> DataFrame:
     spread = lines.groupBy("h1", "h2", "long").agg(F.approx_count_distinct("site", ERROR).alias("about"), F.min(of).alias("s0"), F.max(of).alias("s1"), F.min("doc_id").alias("first"))
     spread = cut(spread.filter("s0 < s1").withColumn("need", need), "line-sites")  # two sites or more
     sure = F.col("about") > F.col("need") * (1 + 3 * ERROR) + 1
-    hopeless = F.col("about") < F.col("need") * (1 - 3 * ERROR) - 1
-    near = spread.filter(~sure & ~hopeless)
+    near = spread.filter(~sure)
     # one row per line and site before anything is dealt by line; an inner join, as a semi-join would be pushed below the distinct
     pairs = lines.filter("site IS NOT NULL").select("h1", "h2", "site").distinct()
     exact = pairs.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("*").alias("sites"))

@@ -234,6 +234,13 @@ def brute_fingerprint(t: str) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_five_sites_that_a_sketch_takes_for_two_are_counted(spark):
+    docs = spark.createDataFrame([(i, "shared line\nown words", f"site{204440 + i}") for i in range(5)], "doc_id long, text string, source string")
+    assert docs.agg(F.approx_count_distinct("source", lines.ERROR)).first()[0] == 2
+    got = {r["doc_id"]: r[lines.REMOVED] for r in lines.edited(docs).collect()}
+    assert got == {0: 0, 1: 2, 2: 2, 3: 2, 4: 2}
+
+
 def test_near_duplicates_are_brute_force(spark, texts):
     got = {r["doc_id"]: r for r in neardup.near_duplicates(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
     assert {d: r["fp"] % (1 << 64) for d, r in got.items()} == {d: brute_fingerprint(t) for d, t in texts.items()}
