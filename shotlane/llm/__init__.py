@@ -1,4 +1,4 @@
-"""Operators for large-scale training-data pipelines: ten of them, one module each, and their registered queries.
+"""Operators for large-scale training-data pipelines: thirteen of them, one module each, and their registered queries.
 
 Nothing outside this package imports it.  All operators share these rules:
 

@@ -81,13 +81,14 @@ class Words:
         return out
 
 
-def split(texts: pa.Array) -> Words:
+def split(texts: pa.Array, inside_word: np.ndarray = IS_WORD) -> Words:
+    """The words of every text; ``inside_word`` says which bytes belong to one."""
     texts = texts.cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets is not None and len(texts) else np.zeros(1, dtype=np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
     offsets = offsets - offsets[0]
-    inside = IS_WORD[raw]
+    inside = inside_word[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     if len(raw):
         edge[0], edge[-1] = inside[0], inside[-1]
