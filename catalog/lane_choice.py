@@ -1,10 +1,13 @@
 """Lane candidates, tracks, quads, ball contacts and the whole shot job."""
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from catalog.core import query
 from catalog.shapes import QUAD8, _EVAL, _bite, flat
 from catalog.views import HEIGHT, WIDTH
+from shotlane.config import POSTER
 from shotlane.functions import geometry as G
 from shotlane.operators import lanes as ln
 from shotlane.operators import masks as mk
@@ -298,3 +301,62 @@ def _(t):
 @query("analyse_shots_kinematics", "shot_id quarter sample_count || start_m end_m mean_speed_mps mean_acceleration_mps2")
 def _(t):
     return jobs.analyse_shots(t.runs(), _shots(t)).kinematics
+
+
+# ---- lanes in bands apart: greedy tracking that SQL can follow ---------------
+
+_BANDS = """bd AS (SELECT *, lane_no * 200 + det_id % 9 AS lx FROM top4);;
+    """
+# a band's track ends once stale frames have passed without it
+_LIVES = _BANDS + """lv AS (SELECT *, CASE WHEN p IS NULL OR frame_index - 1 - p >= STALE THEN 1 ELSE 0 END AS created FROM (SELECT *, lag(frame_index) OVER (PARTITION BY shot_id, lane_no ORDER BY frame_index) AS p FROM bd));;
+    lf AS (SELECT *, sum(created) OVER (PARTITION BY shot_id, lane_no ORDER BY frame_index) AS life FROM lv);;
+    ids AS (SELECT shot_id, lane_no, life, row_number() OVER (PARTITION BY shot_id ORDER BY frame_index, lane_no) - 1 AS track_id FROM lf WHERE created = 1);;
+    asg AS (SELECT lf.*, ids.track_id FROM lf JOIN ids USING (shot_id, lane_no, life));;
+    """
+
+
+def _bands(t):
+    """The lanes of ``top4``, each moved to a band of its own by lane_no: bands are 200 px apart, a lane moves by 8 px at most."""
+    lx = (F.col("lane_no") * 200 + F.col("det_id") % 9).cast("double")
+    quad = G.quad((lx, F.lit(100.0)), (lx + 40, F.lit(100.0)), (lx + 50, F.lit(400.0)), (lx - 10, F.lit(400.0)))
+    return t.top4().withColumn("polygon", quad)
+
+
+@query("track_lanes_bands", "shot_id frame_index det_id track_id accepted created", "top4", _LIVES.replace("STALE", "100000") + "SELECT shot_id, frame_index, det_id, track_id, 1 AS accepted, created FROM asg")
+def _(t):
+    a = ln.track_lanes(_bands(t), order="lane_no")
+    return a.withColumn("accepted", F.col("accepted").cast("int")).withColumn("created", F.col("created").cast("int"))
+
+
+_POSTER = _LIVES.replace("STALE", "6") + """pt AS (SELECT shot_id, track_id, count(*) AS seen_count, min(frame_index) AS born_frame, max(frame_index) AS last_seen_frame, sum(mask_area) AS total_mask_area, max(frame_index) + 6 AS gone_frame FROM asg GROUP BY ALL);;
+    pb AS (SELECT shot_id, track_id, score AS best_score, frame_index AS best_frame, lx AS best_x FROM asg QUALIFY row_number() OVER (PARTITION BY shot_id, track_id ORDER BY score DESC, frame_index, lane_no) = 1);;
+    fr AS (SELECT shot_id, max(frame_index) + shot_id % 5 AS last_frame FROM top4 GROUP BY shot_id);;
+    al AS (SELECT pt.*, best_score, best_frame, best_x, CASE WHEN gone_frame > last_frame THEN 1 ELSE 0 END AS alive FROM pt JOIN pb USING (shot_id, track_id) JOIN fr USING (shot_id));;
+    """
+
+
+def _poster_tracks(t):
+    conf = dataclasses.replace(POSTER, stale_frames=6)
+    last = t.top4().groupBy("shot_id").agg(F.max("frame_index").alias("_m")).select("shot_id", (F.col("_m") + F.col("shot_id") % 5).alias("last_frame"))
+    bands = _bands(t)
+    return ln.poster_tracks(ln.track_lanes(bands, conf, order="lane_no"), bands, last, conf=conf, order="lane_no")
+
+
+@query("poster_tracks", "shot_id track_id seen_count born_frame last_seen_frame gone_frame best_frame alive || total_mask_area best_score best_x", "top4", _POSTER + "SELECT * FROM al")
+def _(t):
+    p = _poster_tracks(t)
+    return p.withColumn("alive", F.col("alive").cast("int")).withColumn("best_x", F.get("best_quad", F.lit(0))["x"])
+
+
+@query("poster_choice", "shot_id track_id", "top4", _POSTER + """
+    SELECT shot_id, track_id FROM al WHERE alive = 1 QUALIFY row_number() OVER (PARTITION BY shot_id ORDER BY total_mask_area / seen_count DESC, track_id) = 1""")
+def _(t):
+    return ln.poster_active_lane(_poster_tracks(t).where("alive"))
+
+
+@query("match_observations_hot", "shot_id det_id track_id", "top4", _MATCH.replace("b.shot_id = o.shot_id", "b.shot_id % 3 = o.shot_id % 3") + "SELECT shot_id % 3 AS shot_id, det_id, min(tid) AS track_id FROM mt GROUP BY ALL")
+def _(t):
+    third = (F.col("shot_id") % 3).alias("shot_id")
+    tracks = _tracks(t)
+    met = ln.match_observations(t.top4().withColumn("shot_id", third), tracks.withColumn("shot_id", third))
+    return met.groupBy("shot_id", "det_id").agg(F.min("track_id").alias("track_id"))

@@ -34,6 +34,14 @@ def _(t):
     return ps.ema(t.joints())
 
 
+@query("ema_joints_repeats", JOINT, "joints", _EMA.replace("JT", "joints") + "SELECT * FROM walk")
+def _(t):
+    """Every joint arrives twice; the second arrival, with the smaller values, counts."""
+    j = t.joints().withColumn("arrival", F.lit(2))
+    first = j.withColumns({c: F.col(c) + 1.0 for c in "xyz"}).withColumn("arrival", F.lit(1))
+    return ps.ema(j.unionByName(first), order=("arrival",))
+
+
 @query("analyse_poses", JOINT, "joints", "cutj AS (SELECT * FROM joints WHERE frame_index < 30 + shot_id % 3 * 10 + 30);; " + _EMA.replace("JT", "cutj") + "SELECT * FROM walk")
 def _(t):
     j = t.joints()

@@ -127,19 +127,32 @@ def _(t):
     return h.withColumn("is_reflection", F.col("is_reflection").cast("int")).withColumn("is_degenerate", F.col("is_degenerate").cast("int"))
 
 
-@query("fit_homography", "shot_id inliers points usable || x_m y_m", "", """
-    n AS (SELECT user_id AS shot_id, count(*) AS points, count(CASE WHEN event_id % 9 <> 4 THEN 1 END) AS inliers FROM events GROUP BY 1);;
-    SELECT shot_id, inliers, points, 1 AS usable, (2 * 100e0 + 0.5e0 * 50e0 + 3) / (1 + 100e0 * 1e-3 + 50e0 * 2e-3) AS x_m, (0.1e0 * 100e0 + 3 * 50e0 + 7) / (1 + 100e0 * 1e-3 + 50e0 * 2e-3) AS y_m FROM n""")
-def _(t):
+_FIT = """
+    n AS (SELECT KEY AS shot_id, count(*) AS points, count(CASE WHEN event_id % 9 <> 4 THEN 1 END) AS inliers FROM events GROUP BY 1);;
+    SELECT shot_id, inliers, points, 1 AS usable, (2 * 100e0 + 0.5e0 * 50e0 + 3) / (1 + 100e0 * 1e-3 + 50e0 * 2e-3) AS x_m, (0.1e0 * 100e0 + 3 * 50e0 + 7) / (1 + 100e0 * 1e-3 + 50e0 * 2e-3) AS y_m FROM n"""
+
+
+def _fitted(t, key):
     x, y = (F.col("event_id") * 13 % 301).cast("double"), (F.col("event_id") * 7 % 199).cast("double")
     den = 1 + x * 1e-3 + y * 2e-3
     far = F.when(F.col("event_id") % 9 == 4, 900.0).otherwise(0.0)
     pts = t.table("events").select(
-        F.col("user_id").alias("shot_id"), F.col("event_id").alias("point_id"), x.alias("x"), y.alias("y"), ((2 * x + 0.5 * y + 3) / den + far).alias("u"), ((0.1 * x + 3 * y + 7) / den).alias("v"))
+        key.alias("shot_id"), F.col("event_id").alias("point_id"), x.alias("x"), y.alias("y"), ((2 * x + 0.5 * y + 3) / den + far).alias("u"), ((0.1 * x + 3 * y + 7) / den).alias("v"))
     f = ln.fit_homography(pts).withColumn("p", G.project(F.lit(100.0), F.lit(50.0), F.col("homography")))
     return f.select("shot_id", "inliers", "points", F.col("reason").isNull().cast("int").alias("usable"), F.col("p.x").alias("x_m"), F.col("p.y").alias("y_m"))
 
 
+@query("fit_homography", "shot_id inliers points usable || x_m y_m", "", _FIT.replace("KEY", "user_id"))
+def _(t):
+    return _fitted(t, F.col("user_id"))
+
+
+@query("fit_homography_hot", "shot_id inliers points usable || x_m y_m", "", _FIT.replace("KEY", "CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END"))
+def _(t):
+    """One shot holds a third of all points."""
+    return _fitted(t, F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("user_id")))
+
+
 @query("normalise_polygon", f"det_id || {QUAD8} px py", "quads", f"""
     SELECT det_id, tlx / {WIDTH} AS tlx, tly / {HEIGHT} AS tly, trx / {WIDTH} AS trx, try / {HEIGHT} AS try, brx / {WIDTH} AS brx, bry / {HEIGHT} AS bry, blx / {WIDTH} AS blx, bly / {HEIGHT} AS bly,
       round_even(tlx / {WIDTH} * 639, 0) AS px, round_even(tly / {HEIGHT} * 479, 0) AS py FROM quads""")

@@ -7,18 +7,22 @@ support_score, mask_area.  A frame holds at most the four largest lane masks
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotlane.config import DEFAULT, Settings
+from shotlane.config import DEFAULT, POSTER, Settings
 from shotlane.functions import geometry as G
 from shotlane.operators.masks import MASK
+from shotlane.operators.scans import exact_ranks
 from shotlane.session import cut
 
 FRAME = ["shot_id", "frame_index"]
@@ -83,14 +87,18 @@ def penalise_nested(cands: DataFrame, order: str = "det_id") -> DataFrame:
 def nearest_pins(lanes: DataFrame, pins: DataFrame, lane_x: str = "centroid_x", keys: Sequence[str] = MASK) -> DataFrame:
     """The pins box of the same frame whose centre is nearest to the lane's; the first wins ties.
 
-    Boxes are joined on the frame and reduced at once by a map-side minimum.
+    Lanes and the boxes' centres (the first box of each) are sorted by x within a frame; a lane only looks at the centre before and after it.
     """
-    b = pins.select(*FRAME, F.col("det_id").alias("_pid"), F.struct("x0", "y0", "x1", "y1").alias("_box"))
-    rest = [c for c in lanes.columns if c not in keys]
-    near = F.struct(F.abs((F.col("_box.x0") + F.col("_box.x1")) / 2.0 - F.col(lane_x)).alias("d"), F.col("_pid"))
-    met = lanes.join(b, FRAME, "left").groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in rest], F.min_by("_box", near).alias("pins_box"))
-    return met.select(*lanes.columns, "pins_box")
+    centre = (F.col("x0") + F.col("x1")) / 2.0
+    boxes = pins.groupBy(*FRAME, centre.alias("_x")).agg(F.min(F.struct(F.col("det_id").alias("_pid"), F.struct("x0", "y0", "x1", "y1").alias("_box"))).alias("_c"))
+    boxes = boxes.select(*FRAME, "_x", F.struct(F.col("_x").alias("x"), F.col("_c._pid").alias("p"), F.col("_c._box").alias("b")).alias("_c"))
+    row = F.struct(*lanes.columns).alias("_lane")
+    both = lanes.select(*FRAME, F.col(lane_x).cast("double").alias("_x"), row).unionByName(boxes, allowMissingColumns=True)
+    w = Window.partitionBy(*FRAME).orderBy("_x", F.col("_lane").isNotNull())
+    met = both.withColumn("_a", F.last("_c", True).over(w)).withColumn("_z", F.first("_c", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    key = lambda c: F.struct(F.abs(F.col(c)["x"] - F.col("_x")).alias("d"), F.col(c)["p"].alias("p"), F.col(c)["b"].alias("b"))
+    nearest = F.array_min(F.filter(F.array(F.when(F.col("_a").isNotNull(), key("_a")), F.when(F.col("_z").isNotNull(), key("_z"))), lambda e: e.isNotNull()))
+    return met.where("_lane IS NOT NULL").select("_lane.*", nearest["b"].alias("pins_box"))
 
 
 # ---- tracker ---------------------------------------------------------------
@@ -126,6 +134,7 @@ class TrackTable:
 
     def step(self, frame: int, quads: Sequence[np.ndarray]) -> list[tuple]:
         """Match one frame's quads in order; a track takes one match per frame.  Returns (id, accepted, created, quad, centre)."""
+        self._drop_stale(frame - 1)  # frames without candidates pass too
         free = set(range(len(self.ids)))
         out = []
         for q in quads:
@@ -148,35 +157,57 @@ class TrackTable:
                 free.add(len(self.ids) - 1)
                 out.append((self.next_id, True, True, q.copy(), cx))
                 self.next_id += 1
+        self._drop_stale(frame)
+        return out
+
+    def _drop_stale(self, frame: int) -> None:
         live = [k for k in range(len(self.ids)) if frame - self.seen[k] < self.conf.stale_frames]
         if len(live) < len(self.ids):
             for name in ("ids", "quads", "centres", "seen"):
                 setattr(self, name, [getattr(self, name)[k] for k in live])
-        return out
 
 
 def track_lanes(cands: DataFrame, conf: Settings = DEFAULT, order: str = "det_id") -> DataFrame:
     """Greedy frame-by-frame association of candidates with tracks.
 
-    Sequential by nature, so a shot is one group; with at most four candidates
-    per frame that is a few thousand rows.  Columns: see ASSIGNED.
+    Sequential by nature, so a shot is walked by one task, frame after frame from sorted rows: what is held are the open
+    tracks and one frame, however long the shot is.  Columns: see ASSIGNED.
     """
     flat = cands.select(
-        "shot_id", "frame_index", "det_id", F.col(order).alias("_o"),
-        F.flatten(F.transform("polygon", lambda p: F.array(p["x"], p["y"]))).alias("_q"),
-    )
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "_o"], kind="stable")
-        table = TrackTable(conf)
-        out = []
-        for frame, rows in pdf.groupby("frame_index", sort=True):
-            got = table.step(int(frame), [np.asarray(q, dtype=float).reshape(4, 2) for q in rows["_q"]])
-            out += [(key[0], int(frame), int(d), i, ok, new, q.ravel().tolist(), c) for d, (i, ok, new, q, c) in zip(rows["det_id"], got)]
-        return pd.DataFrame(out, columns=["shot_id", "frame_index", "det_id", "track_id", "accepted", "created", "track_quad", "track_centroid_x"])
-
-    shot_type = cands.schema["shot_id"].dataType.simpleString()
-    return flat.groupBy("shot_id").applyInPandas(run, ASSIGNED.replace("shot_id string", f"shot_id {shot_type}"))
+        "shot_id", "frame_index", "det_id", F.flatten(F.transform("polygon", lambda p: F.array(p["x"], p["y"]))).cast("array<double>").alias("_q"), F.col(order).alias("_o"))
+    names = [c.split()[0] for c in ASSIGNED.split(", ")]
+    schema = T.StructType([flat.schema["shot_id"], *T.StructType.fromDDL(ASSIGNED).fields[1:]])
+
+    def run(batches):
+        shot = table = frame = None
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def close_frame():
+            got = table.step(int(frame), [np.asarray(q, dtype=float).reshape(4, 2) for _, q in held])
+            out.extend((shot, int(frame), int(d), i, ok, new, q.ravel().tolist(), c) for (d, _), (i, ok, new, q, c) in zip(held, got))
+            held.clear()
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.float64()), pa.float64()]
+            for s, f, d, q in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if held and (s != shot or f != frame):
+                    close_frame()
+                if table is None or s != shot:
+                    shot, table = s, TrackTable(conf)
+                frame = f
+                held.append((d, q))
+            if out:
+                yield batch_of(out)
+                out.clear()
+        if held:
+            close_frame()
+            yield batch_of(out)
+
+    return flat.repartition("shot_id").sortWithinPartitions("shot_id", "frame_index", "_o", "det_id").mapInArrow(run, schema)
 
 
 def ball_votes(cands: DataFrame, balls: DataFrame, order: str = "det_id") -> DataFrame:
@@ -195,10 +226,10 @@ def ball_votes(cands: DataFrame, balls: DataFrame, order: str = "det_id") -> Dat
     )
 
 
-def summarise_tracks(assigned: DataFrame, cands: DataFrame, votes: DataFrame | None = None, order: str = "det_id") -> DataFrame:
-    """One row per track: counts, sums and the best accepted candidate (the earliest wins ties)."""
+def summarise_tracks(assigned: DataFrame, cands: DataFrame, votes: DataFrame | None = None, order: str = "det_id", gated: bool = True) -> DataFrame:
+    """One row per track: counts, sums and the best candidate (the earliest wins ties), among the accepted ones if ``gated``."""
     rows = assigned.join(cands.select(*MASK, F.col(order).alias("_o"), "polygon", "score", "geometry_score", "support_score", "mask_area"), MASK)
-    best = F.when(F.col("accepted"), F.struct(F.col("score").alias("s"), (-F.col("frame_index")).alias("f"), (-F.col("_o")).alias("o")))
+    best = F.when(F.col("accepted") | F.lit(not gated), F.struct(F.col("score").alias("s"), (-F.col("frame_index")).alias("f"), (-F.col("_o")).alias("o")))
     pick = F.struct(
         F.col("score").alias("best_score"), F.col("frame_index").alias("best_frame"), F.col("polygon").alias("best_quad"),
         F.col("geometry_score").alias("best_geometry_score"), F.col("support_score").alias("best_support_score"))
@@ -226,6 +257,17 @@ def lane_quality(tracks: DataFrame) -> DataFrame:
         "quality_rank", F.row_number().over(w))
 
 
+def poster_tracks(assigned: DataFrame, cands: DataFrame, last_frames: DataFrame, votes: DataFrame | None = None, conf: Settings = POSTER, order: str = "det_id") -> DataFrame:
+    """Tracks of the poster rules, from an assignment under ``conf``: lifetimes and the best candidate of each, whatever its jump.
+
+    ``last_frames``: shot_id, last_frame, the last frame of the video.  A track lives from its first candidate until
+    ``stale_frames`` after the last one; ``alive`` says that it is still open at the end.  The choice of the poster sees living tracks only.
+    """
+    born = assigned.groupBy(*TRACK).agg(F.min("frame_index").alias("born_frame"))
+    tracks = summarise_tracks(assigned, cands, votes, order, gated=False).join(born, TRACK).join(last_frames.select("shot_id", "last_frame"), "shot_id")
+    return tracks.withColumn("gone_frame", F.col("last_seen_frame") + conf.stale_frames).withColumn("alive", F.col("gone_frame") > F.col("last_frame"))
+
+
 def poster_active_lane(tracks: DataFrame) -> DataFrame:
     """Older rule: most ball votes if any track has one, else the largest average area."""
     area = F.col("total_mask_area") / F.greatest(F.col("seen_count"), F.lit(1))
@@ -233,25 +275,36 @@ def poster_active_lane(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("shot_id").agg(F.max_by("track_id", key).alias("track_id"))
 
 
+#: Width of the x bins by which observations and balls meet lanes.
+BIN = 64.0
+
+
+def _bin(x: Column) -> Column:
+    return F.floor(x / BIN).cast("int")
+
+
 def match_observations(obs: DataFrame, tracks: DataFrame, variant: str = "production") -> DataFrame:
     """Which observations belong to which track of their shot.
 
-    Production: near top centre, or near right edge, or near centroid.  Poster: centroid only.
+    Production: near top centre, or near right edge, or near centroid.  Poster: centroid only.  Each rule is a band in x: a track
+    is sent to the bins that its band covers and an observation to its own, and a pair counts under the first rule that holds.
     """
     t = tracks.select(*TRACK, F.col("best_quad").alias("_t"), F.col("best_support_score").alias("_s"))
-    pair = obs.join(t, "shot_id")
     o, q = F.col("polygon"), F.col("_t")
-    centroid = F.abs(G.centroid_x(o) - G.centroid_x(q))
-    if variant == "poster":
-        near = centroid <= 90.0
-    else:
-        edge = lambda i: F.abs(G.corner(o, i)[0] - G.corner(q, i)[0])
-        near = (
-            (F.abs(G.top_centre_x(o) - G.top_centre_x(q)) <= 55.0)
-            | ((edge(1) <= 65.0) & (edge(2) <= 45.0))
-            | (centroid <= F.greatest(F.lit(90.0), F.col("_s") * 140.0))
-        )
-    return pair.where(near).drop("_t", "_s")
+    edge = lambda p, i: G.corner(p, i)[0]
+    centroid = (G.centroid_x, F.lit(90.0) if variant == "poster" else F.greatest(F.lit(90.0), F.col("_s") * 140.0), F.lit(True))
+    rules = [centroid] if variant == "poster" else [
+        (G.top_centre_x, F.lit(55.0), F.lit(True)),
+        (lambda p: edge(p, 1), F.lit(65.0), F.abs(edge(o, 2) - edge(q, 2)) <= 45.0),
+        centroid]
+    holds = [(F.abs(at(o) - at(q)) <= reach) & more for at, reach, more in rules]
+    own = F.array(*[F.struct(F.lit(i).alias("r"), _bin(at(o)).alias("b")) for i, (at, _, _) in enumerate(rules)])
+    covered = lambda i, at, reach: F.transform(F.sequence(_bin(at(q) - reach), _bin(at(q) + reach)), lambda b: F.struct(F.lit(i).alias("r"), b.alias("b")))
+    band = F.flatten(F.array(*[covered(i, at, reach) for i, (at, reach, _) in enumerate(rules)]))
+    sides = [df.select("*", F.explode(bins).alias("_n")).select("*", F.col("_n.r").alias("_r"), F.col("_n.b").alias("_b")).drop("_n") for df, bins in ((obs, own), (t.where("_t IS NOT NULL"), band))]
+    pair = sides[0].join(sides[1], ["shot_id", "_r", "_b"])
+    first = [holds[i] & ~functools.reduce(lambda a, b: a | b, holds[:i], F.lit(False)) for i in range(len(rules))]
+    return pair.where(functools.reduce(lambda a, b: a | b, [(F.col("_r") == i) & f for i, f in enumerate(first)])).drop("_t", "_s", "_r", "_b")
 
 
 def top_observations(obs: DataFrame, k: int = DEFAULT.observations_used, keys: Sequence[str] = TRACK) -> DataFrame:
@@ -364,16 +417,27 @@ def aggregate_pins_box(obs: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame
 def choose_contact(balls: DataFrame, quads: DataFrame, keys: Sequence[str] = ("shot_id", "track_id")) -> DataFrame:
     """Per frame and lane: inside the lane first, then lowest in the image, nearest the lane centre, largest.
 
-    ``balls``: shot_id, frame_index, det_id, contact_x, contact_y, area.  A
-    map-side minimum picks the ball, so a crowded frame is never gathered.
+    ``balls``: shot_id, frame_index, det_id, contact_x, contact_y, area.  Balls inside a lane are found by x bins; a frame
+    without one falls back on its lowest balls, the best of each x, which come as one short sorted array per frame.
     """
-    met = balls.join(quads.select(*keys, "polygon"), "shot_id")
-    key = F.struct(
-        F.when(G.point_in_polygon(F.col("contact_x"), F.col("contact_y"), F.col("polygon")), 0).otherwise(1).alias("a"),
-        (-F.col("contact_y")).alias("b"), F.abs(F.col("contact_x") - G.centroid_x(F.col("polygon"))).alias("c"),
-        (-F.col("area")).alias("d"), F.col("det_id").alias("e"))
-    best = met.groupBy(*keys, "frame_index").agg(F.min_by(F.struct("det_id", "contact_x", "contact_y"), key).alias("_b"))
-    return best.select(*keys, "frame_index", "_b.*")
+    lanes = quads.select(*keys, "polygon")
+    xs = F.transform("polygon", lambda p: p["x"])
+    spread = lanes.select("*", F.explode(F.sequence(_bin(F.array_min(xs)), _bin(F.array_max(xs)))).alias("_b"))
+    met = balls.withColumn("_b", _bin(F.col("contact_x"))).join(spread, ["shot_id", "_b"])
+    met = met.where(G.point_in_polygon(F.col("contact_x"), F.col("contact_y"), F.col("polygon")))
+    centre = F.abs(F.col("contact_x") - G.centroid_x(F.col("polygon")))
+    key = F.struct((-F.col("contact_y")).alias("b"), centre.alias("c"), (-F.col("area")).alias("d"), F.col("det_id").alias("e"))
+    inside = met.groupBy(*keys, "frame_index").agg(F.min_by(F.struct("det_id", "contact_x", "contact_y"), key).alias("_in"))
+    # the lowest balls of a frame: one per x (at most as many as the image has columns)
+    per_x = balls.groupBy("shot_id", "frame_index", "contact_x").agg(F.min(F.struct((-F.col("contact_y")).alias("y"), (-F.col("area")).alias("a"), "det_id")).alias("_m"))
+    lowest = per_x.groupBy("shot_id", "frame_index").agg(F.min("_m.y").alias("_y"))
+    low = per_x.join(lowest, FRAME).where(F.col("_m.y") == F.col("_y")).groupBy(*FRAME).agg(
+        F.collect_list(F.struct("contact_x", F.col("_m.y").alias("y"), F.col("_m.a").alias("a"), F.col("_m.det_id").alias("det_id"))).alias("_low"))
+    frames = low.join(lanes, "shot_id")  # as many rows as the result has
+    mid = G.centroid_x(F.col("polygon"))
+    nearest = F.array_min(F.transform("_low", lambda e: F.struct(F.abs(e["contact_x"] - mid).alias("c"), e["a"].alias("a"), e["det_id"].alias("det_id"), e["contact_x"].alias("contact_x"), (-e["y"]).alias("contact_y"))))
+    out = frames.select(*keys, "frame_index", nearest.alias("_l")).join(inside, [*keys, "frame_index"], "left")
+    return out.select(*keys, "frame_index", *[F.when(F.col("_in").isNotNull(), F.col(f"_in.{c}")).otherwise(F.col(f"_l.{c}")).alias(c) for c in ("det_id", "contact_x", "contact_y")])
 
 
 def project_ball(contacts: DataFrame, homographies: DataFrame, keys: Sequence[str] = ("shot_id", "track_id")) -> DataFrame:
@@ -471,7 +535,63 @@ def draws_needed(inlier_share: float, confidence: float = 0.99) -> int:
     return math.ceil(math.log(1 - confidence) / math.log(1 - inlier_share ** 4))
 
 
-def _best_draw(points: DataFrame, ranked: DataFrame, open_: DataFrame, k: list[str], first: int, last: int, threshold: float) -> DataFrame:
+#: Points of a key that vote in one stretch.
+STRETCH = 1 << 16
+
+
+def _stretch_votes(k: list[str], threshold: float):
+    """Votes of each stretch of points on all draws of its key: draws come first, then points, sorted by key and stretch."""
+
+    def run(batches):
+        now, draws, mats, votes, names = None, None, None, None, [*k, "_d", "_n"]
+
+        def done():
+            at = np.flatnonzero(votes)
+            return pa.RecordBatch.from_arrays([*[pa.array([v] * len(at), t) for v, t in zip(now[: len(k)], types)], pa.array(draws[at], pa.int32()), pa.array(votes[at])], names=names)
+
+        for batch in batches:
+            types = [batch.column(i).type for i in range(len(k))]
+            borders = _changes(batch, len(k) + 2)
+            for a, b in zip(borders, borders[1:]):
+                key = tuple(batch.column(i)[a].as_py() for i in range(len(k) + 1))
+                if key != now:
+                    if votes is not None:
+                        yield done()
+                    now, votes = key, None
+                if batch.column(len(k) + 1)[a].as_py() == 0:
+                    listed = batch.column(len(k) + 6)[a].as_py()
+                    draws, mats = np.array([d["_d"] for d in listed]), np.array([d["_w"] for d in listed], dtype=float)
+                    votes = np.zeros(len(draws), np.int64)
+                elif votes is not None:
+                    x, y, u, v = (batch.column(len(k) + 2 + i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in range(4))
+                    for i in range(0, len(x), 4096):
+                        votes += _votes(mats, *[c[i : i + 4096] for c in (x, y, u, v)], threshold)
+        if votes is not None:
+            yield done()
+
+    return run
+
+
+def _changes(batch: pa.RecordBatch, columns: int) -> list[int]:
+    """Where one of the first columns changes, with both ends."""
+    n = batch.num_rows
+    differ = np.zeros(max(0, n - 1), dtype=bool)
+    for i in range(columns):
+        c = batch.column(i)
+        one, two = c.slice(0, max(0, n - 1)), c.slice(1)
+        differ |= pc.fill_null(pc.not_equal(one, two), True).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(differ) + 1).tolist(), n] if n else []
+
+
+def _votes(mats: np.ndarray, x, y, u, v, threshold: float) -> np.ndarray:
+    h = mats[:, :, None]
+    with np.errstate(all="ignore"):
+        den = h[:, 6] * x + h[:, 7] * y + h[:, 8]
+        dx, dy = (h[:, 0] * x + h[:, 1] * y + h[:, 2]) / den - u, (h[:, 3] * x + h[:, 4] * y + h[:, 5]) / den - v
+        return ((np.abs(den) >= 1e-9) & (np.sqrt(dx * dx + dy * dy) <= threshold)).sum(axis=1)
+
+
+def _best_draw(ranked: DataFrame, open_: DataFrame, k: list[str], first: int, last: int, threshold: float) -> DataFrame:
     """The draw with the most votes of each open key: keys, _d, _n (votes), _w (matrix); keys without a usable draw are left out."""
     size = F.col("_count").cast("double")
     distinct = (size - 1) * (size - 2) * (size - 3) / (size * size * size)  # chance that four picks differ
@@ -480,7 +600,7 @@ def _best_draw(points: DataFrame, ranked: DataFrame, open_: DataFrame, k: list[s
     picks = open_.select(*k, "_count", F.explode(draws).alias("_d"))
     rank = lambda j: F.when(small, F.lit(j).cast("long")).otherwise(F.pmod(F.xxhash64(*k, "_d", F.lit(j)), F.col("_count")))
     picks = picks.withColumn("_p", F.array(*[rank(j) for j in range(4)])).where(F.size(F.array_distinct("_p")) == 4)
-    chosen = picks.select(*k, "_d", F.explode("_p").alias("_r")).join(ranked, [*k, "_r"])
+    chosen = picks.select(*k, "_d", F.explode("_p").alias("_r")).join(ranked.drop("_count"), [*k, "_r"])
     arr = lambda c: F.sort_array(F.collect_list(F.struct("_r", F.col(c).cast("double").alias("v"))))["v"]  # noqa: E731  four values
     quads = chosen.groupBy(*k, "_d").agg(*[arr(c).alias(c) for c in "xyuv"])
 
@@ -489,7 +609,14 @@ def _best_draw(points: DataFrame, ranked: DataFrame, open_: DataFrame, k: list[s
         return pd.Series([_trial_matrix(*[np.asarray(c, dtype=float) for c in row]) for row in zip(x, y, u, v)])
 
     hyp = cut(quads.select(*k, "_d", trial("x", "y", "u", "v").alias("_w")).where("_w IS NOT NULL"), "trials")
-    votes = points.join(hyp, k).where(_reproj(F.col("_w")) <= threshold).groupBy(*k, "_d").agg(F.count(F.lit(1)).alias("_n"))
+    # a key's draws (a bounded number) meet its points stretch by stretch; a stretch gives one row per draw, a point none
+    listed = hyp.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("_d", "_w"))).alias("_ws")).join(open_, k)
+    listed = listed.select(*k, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_count") - 1) / STRETCH))).alias("_at"), F.lit(0).alias("_role"), *[F.lit(None).cast("double").alias(c) for c in "xyuv"], "_ws")
+    points = ranked.join(open_.select(*k), k, "left_semi").select(
+        *k, F.floor(F.col("_r") / STRETCH).alias("_at"), F.lit(1).alias("_role"), *[F.col(c).cast("double").alias(c) for c in "xyuv"], F.lit(None).cast(listed.schema["_ws"].dataType).alias("_ws"))
+    met = listed.unionByName(points).repartition(*k, "_at").sortWithinPartitions(*k, "_at", "_role")
+    schema = T.StructType([*[ranked.schema[c] for c in k], T.StructField("_d", T.IntegerType()), T.StructField("_n", T.LongType())])
+    votes = met.mapInArrow(_stretch_votes(k, threshold), schema).groupBy(*k, "_d").agg(F.sum("_n").alias("_n"))
     top = votes.groupBy(*k).agg(F.max(F.struct("_n", (-F.col("_d")).alias("_m"))).alias("_top")).select(*k, (-F.col("_top")["_m"]).alias("_d"), F.col("_top")["_n"].alias("_n"))
     return top.join(hyp, [*k, "_d"])
 
@@ -500,20 +627,20 @@ def fit_homography(points: DataFrame, keys: Sequence[str] = ("shot_id",), thresh
     points: keys, point_id, x, y (source), u, v (target).  Every draw takes four
     points out of all points of its key by hashes of the key and the draw, and
     there are as many draws as the share of inliers found, or else the accepted one, needs.  Every point then votes
-    on every draw, and the winner's inliers enter an 8x8 least-squares system as sums.  Votes and
-    sums are map-side aggregates; no key is ever gathered.
+    on every draw, and the winner's inliers enter an 8x8 least-squares system as sums.  Places within a key come from one
+    range sort, votes are counted in stretches of ``STRETCH`` points and summed, so a key with any share of the points is spread
+    over tasks and a point is never multiplied by the draws.
 
     Output: keys, homography, inliers, points, inlier_ratio, reason (null when usable).
     """
     k = list(keys)
-    w = Window.partitionBy(*k).orderBy(F.xxhash64("point_id"), "point_id")
-    ranked = points.withColumn("_r", F.row_number().over(w) - 1)
+    ranked = cut(exact_ranks(points.select(*k, "point_id", *"xyuv"), k, [F.xxhash64("point_id"), F.col("point_id")]), "ranked-points")
     n = cut(points.groupBy(*k).agg(F.count(F.lit(1)).alias("_count")), "point-counts")
     open_, tops, done = n.where("_count >= 4"), [], 0
     # few draws find a large inlier share; only keys that did not reach it get the rest
     for share in sorted({max(0.5, min_inlier_ratio), min_inlier_ratio}, reverse=True):
         upto = draws_needed(share, confidence)
-        best = cut(_best_draw(points, ranked, open_, k, done + 1, upto, threshold), "draws")
+        best = cut(_best_draw(ranked, open_, k, done + 1, upto, threshold), "draws")
         tops.append(best)
         done = upto
         reached = best.join(open_, k).where(F.col("_n") >= share * F.col("_count")).select(*k)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlane.config import DEFAULT
+from shotlane.operators.scans import affine_scan
 from shotlane.operators.sequences import first_per_frame
 
 BODY = ["shot_id", "person_id", "joint_id"]
@@ -103,29 +104,21 @@ def collect_skeleton(joints: DataFrame, keys: Sequence[str] = ("shot_id", "frame
     )
 
 
-def ema(joints: DataFrame, alpha: float = DEFAULT.ema_alpha, keys: Sequence[str] = BODY, order: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+def ema(joints: DataFrame, alpha: float = DEFAULT.ema_alpha, keys: Sequence[str] = BODY, order: Sequence[str] | None = None) -> DataFrame:
     """Exponential moving average of each joint over the frames it is seen in; state survives gaps.
 
-    Repeats of a joint in a frame count once: the last by ``order`` (arrival, if the rows have such a column).  The fold
-    covers one joint of one shot, at most the frames of the video.
+    Where a joint may repeat in a frame, ``order`` names the columns of arrival and the last row counts; without it a
+    frame must hold a joint once.  Rows with a null coordinate are not seen.  The average is an affine scan, so a
+    joint may have any number of frames.
     """
     if alpha >= 1.0:
         return joints
     a = max(alpha, 0.01)
-    pts = first_per_frame(joints.select(*dict.fromkeys([*keys, "frame_index", "x", "y", "z", *order])), order=order, keys=list(keys), last=True)
-    series = pts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame_index", "x", "y", "z"))).alias("_s"))
-
-    def mix(prev, r, c):
-        return F.lit(a) * r[c] + F.lit(1.0 - a) * prev[c]
-
-    fold = F.aggregate(
-        F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), F.slice("_s", 1, 1),
-        lambda acc, r: F.array_append(acc, F.struct(
-            r["frame_index"].alias("frame_index"),
-            *[mix(F.element_at(acc, -1), r, c).alias(c) for c in "xyz"],
-        )),
-    )
-    return series.select(*keys, F.inline(fold)).select(*keys, "frame_index", "x", "y", "z")
+    pts = joints.select(*dict.fromkeys([*keys, "frame_index", "x", "y", "z", *(order or ())])).dropna(subset=["x", "y", "z"])
+    if order:
+        pts = first_per_frame(pts, order=order, keys=list(keys), last=True)
+    terms = {c: (F.lit(a) * F.col(c), F.col(c)) for c in "xyz"}
+    return affine_scan(pts, keys, "frame_index", F.lit(1.0 - a), terms)
 
 
 def last_person_wins(joints: DataFrame) -> DataFrame:

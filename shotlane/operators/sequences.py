@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlane.config import DEFAULT, Settings
+from shotlane.operators.scans import affine_scan
 
 SHOT = ["shot_id"]
 
@@ -125,35 +126,19 @@ def running_max(df: DataFrame, column: str, out: str, keys: Sequence[str] = SHOT
 def spread_flat(df: DataFrame, column: str, out: str, keys: Sequence[str] = SHOT, order: str = "frame_index") -> DataFrame:
     """Turn flat stretches of a non-decreasing series into even steps between their neighbours, then running max.
 
-    Each flat run starts from where the run before it ended, so the run ends are
-    found by one fold over the runs of the shot (never more than its frames).
+    Each flat run starts from where the run before it ended: an affine step from end to end, so the ends are a scan over the runs.
     """
     w = _by_frame(keys, order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new_run = F.when(F.abs(F.col(column) - F.lag(column).over(w)) < 1e-9, 0).otherwise(1)
     rows = df.withColumn("_run", new_run).withColumn("_run", F.sum("_run").over(upto))
     runs = rows.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"), F.min_by(column, order).alias("_v"))
-    rw = Window.partitionBy(*keys).orderBy("_run")
-    runs = runs.withColumn("_next", F.lead("_v").over(rw))
-
-    def end_of(prev: Column, r: Column) -> Column:
-        inner = (r["_n"] > 1) & r["_next"].isNotNull() & prev.isNotNull() & (r["_next"] > prev)
-        return F.when(inner, prev + (r["_next"] - prev) / (r["_n"] + 1) * r["_n"]).otherwise(r["_v"])
-
-    ends = F.aggregate(
-        F.col("_all"), F.array().cast("array<double>"),
-        lambda acc, r: F.array_append(acc, end_of(F.get(acc, F.size(acc) - 1), r)),
-    )
-    # one row per shot, then back to one row per run
-    per_shot = runs.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_run", "_n", "_v", "_next"))).alias("_all")
-    ).withColumn("_ends", ends)
-    starts = per_shot.select(*keys, F.posexplode("_ends").alias("_pos", "_end"), "_ends", "_all").select(
-        *keys, F.get("_all", F.col("_pos"))["_run"].alias("_run"),
-        F.get("_ends", F.col("_pos") - 1).alias("_from"),
-        F.get("_all", F.col("_pos"))["_n"].alias("_n"),
-        F.get("_all", F.col("_pos"))["_next"].alias("_next"),
-    )
+    runs = runs.withColumn("_next", F.lead("_v").over(Window.partitionBy(*keys).orderBy("_run")))
+    spreads = (F.col("_n") > 1) & F.col("_next").isNotNull() & (F.col("_next") > F.col("_v"))
+    share = F.col("_n") / (F.col("_n") + 1)  # of the way from the last end to the next value
+    term = F.when(spreads, share * F.col("_next")).otherwise(F.col("_v"))
+    ends = affine_scan(runs.where("_v IS NOT NULL"), keys, "_run", F.when(spreads, 1 - share).otherwise(0.0), {"_from": (term, F.col("_v"))})
+    starts = runs.join(ends.withColumn("_run", F.col("_run") + 1), [*keys, "_run"], "left").drop("_v")
     joined = rows.join(starts, [*keys, "_run"])
     k = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order))
     inner = (F.col("_n") > 1) & F.col("_next").isNotNull() & F.col("_from").isNotNull() & (F.col("_next") > F.col("_from"))

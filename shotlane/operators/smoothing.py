@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shotlane.config import DEFAULT, Settings
 from shotlane.operators import kernels
+from shotlane.operators.scans import stepwise
 from shotlane.operators.sequences import SHOT, first_per_frame
 
 
@@ -116,7 +117,7 @@ def resmooth_x(dense: DataFrame, samples: int | Column, conf: Settings = DEFAULT
 def clamp_hook_tail(dense: DataFrame, out: str = "x_m", keys: Sequence[str] = SHOT) -> DataFrame:
     """Freeze steps that reverse a committed hook in the last eighth.
 
-    Only that tail (at most an eighth of one shot) is folded; the head passes straight through.
+    Only that tail (at most an eighth of one shot) is walked, all tails of a batch at once; the head passes straight through.
     """
     whole = Window.partitionBy(*keys)
     w = whole.orderBy("frame_index")
@@ -136,14 +137,18 @@ def clamp_hook_tail(dense: DataFrame, out: str = "x_m", keys: Sequence[str] = SH
         F.first("_side").alias("_side"), F.sort_array(F.collect_list(F.struct("_i", "x_m"))).alias("_t"),
         F.sort_array(F.collect_list(F.struct("_i", *[c for c in dense.columns if c not in keys]))).alias("_r"),
     )
-    first = F.get(F.col("_t"), F.lit(0))["x_m"]
-    fold = F.aggregate(
-        F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), F.array(first),
-        lambda acc, r: F.array_append(acc, F.when(
-            (r["x_m"] - F.element_at(acc, -1)) * F.col("_side") < -1e-3, F.element_at(acc, -1)).otherwise(r["x_m"])),
-    )
+
+    @F.pandas_udf("array<double>")
+    def held(x: pd.Series, side: pd.Series) -> pd.Series:
+        sizes = np.array([len(v) for v in x], dtype=np.int64)
+        if not sizes.sum():
+            return pd.Series([np.zeros(0)] * len(sizes))
+        flat, way = np.concatenate(list(x)).astype(float), np.repeat(side.to_numpy(dtype=float), sizes)
+        step = lambda c, v, s: np.where((v - c) * s < -1e-3, c, v)  # noqa: E731  no state yet: nan, so the value
+        return pd.Series(np.split(stepwise(step, sizes, np.full(len(sizes), np.nan), flat, way), np.cumsum(sizes)[:-1]))
+
     kept = [c for c in dense.columns if c not in keys and c != out]
-    done = tail.withColumn("_c", fold).select(*keys, F.posexplode("_r").alias("_p", "_row"), "_c").select(
+    done = tail.withColumn("_c", held(F.col("_t.x_m").cast("array<double>"), F.col("_side").cast("double"))).select(*keys, F.posexplode("_r").alias("_p", "_row"), "_c").select(
         *keys, *[F.col("_row")[c].alias(c) for c in kept], F.get("_c", F.col("_p")).alias(out)
     )
     if out != "x_m":

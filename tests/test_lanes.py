@@ -1,8 +1,10 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shotlane.config import DEFAULT
+from shotlane.config import DEFAULT, POSTER
 from shotlane.functions import geometry as G
 from shotlane.operators import lanes as ln
 from shotlane.operators import masks as mk
@@ -30,45 +32,64 @@ def test_homography_maps_corners_and_inverts(spark):
     assert v[:2] / v[2] == pytest.approx([0.4, 7.0], abs=1e-9) and r["h"][8] == 1.0
 
 
-def plain_tracker(frames, conf=DEFAULT):
-    """Plain restatement: list of (frame, [quad]) to list of (track, accepted)."""
-    tracks, out = [], []
-    for f, quads in frames:
-        used = set()
-        for quad in quads:
-            c = np.array(quad)
-            best, near = None, conf.track_match_px
-            for k, t in enumerate(tracks):
-                if k not in used and abs(c[:, 0].mean() - t["cx"]) < near:
-                    best, near = k, abs(c[:, 0].mean() - t["cx"])
-            if best is None:
-                tracks.append({"q": c, "cx": c[:, 0].mean()})
-                # a new track may be matched again within its frame
-                out.append((len(tracks) - 1, True))
-                continue
-            used.add(best)
-            t = tracks[best]
-            ok = np.sqrt(((c - t["q"]) ** 2).sum(1)).max() < conf.track_jump_px
-            if ok:
-                t["q"] = np.trunc(0.3 * c + 0.7 * t["q"])
-            t["cx"] = t["q"][:, 0].mean()
-            out.append((best, bool(ok)))
-    return out
-
-
-def test_tracker_matches_restatement(spark):
-    rng = np.random.default_rng(3)
-    rows, frames = [], []
-    for f in range(40):
-        quads = []
-        for k in range(int(rng.integers(0, 4))):
-            x, y = int(rng.integers(0, 400)), int(rng.integers(0, 40))
-            quads.append(q(x + 20, y, x + 60, y, x + 90, y + 200, x, y + 200))
-        frames.append((f, quads))
-        rows += [("s", f, 10 * f + k, quad) for k, quad in enumerate(quads)]
-    df = spark.createDataFrame(rows, f"shot_id string, frame_index int, det_id long, polygon {QUAD}")
-    got = [(r["track_id"], r["accepted"]) for r in ln.track_lanes(df).orderBy("frame_index", "det_id").collect()]
-    assert got == plain_tracker(frames)
+def lane(x, y=0):
+    """A lane whose centre is at x + 45."""
+    return q(x + 20, y, x + 60, y, x + 90, y + 200, x, y + 200)
+
+
+def tracked(spark, *rows, **conf):
+    """(frame, quads): the assignment as (frame, track, accepted, created, x of the track's first corner), in order."""
+    flat = [("s", f, 10 * f + k, quad) for f, quads in rows for k, quad in enumerate(quads)]
+    df = spark.createDataFrame(flat, f"shot_id string, frame_index int, det_id long, polygon {QUAD}")
+    got = ln.track_lanes(df, replace(DEFAULT, **conf)).orderBy("frame_index", "det_id").collect()
+    return [(r["frame_index"], r["track_id"], r["accepted"], r["created"], r["track_quad"][0]) for r in got]
+
+
+def test_track_quad_follows_by_the_share_of_the_new_one_in_whole_pixels(spark):
+    # 0.3 * 35 + 0.7 * 20 = 24.5, cut to 24; then 0.3 * 35 + 0.7 * 24 = 27.3
+    assert tracked(spark, (0, [lane(0)]), (1, [lane(15)]), (2, [lane(15)])) == [(0, 0, True, True, 20.0), (1, 0, True, False, 24.0), (2, 0, True, False, 27.0)]
+
+
+def test_track_takes_but_does_not_follow_a_jumping_corner(spark):
+    # centre 79 px away: near enough; all corners 79 px away: too far to follow
+    assert tracked(spark, (0, [lane(0)]), (1, [lane(79)]), (2, [lane(80)])) == [(0, 0, True, True, 20.0), (1, 0, False, False, 20.0), (2, 1, True, True, 100.0)]
+
+
+def test_candidates_choose_in_order_and_a_track_takes_one_per_frame(spark):
+    got = tracked(spark, (0, [lane(0), lane(100)]), (1, [lane(60), lane(90)]), (2, [lane(200), lane(210)]))
+    # the first candidate is nearer to the second track, so the other one is left with the first track, 90 px away: a new one
+    assert [r[1:4] for r in got[:4]] == [(0, True, True), (1, True, True), (1, True, False), (2, True, True)]
+    # a track opened in a frame may take a later candidate of it
+    assert [r[1:4] for r in got[4:]] == [(3, True, True), (3, True, False)]
+
+
+def test_track_ends_after_stale_frames(spark):
+    # seen at 0, stale after 5 frames: still open when frame 5 comes, gone (at the end of frame 5) when frame 6 comes
+    assert [r[1] for r in tracked(spark, (0, [lane(0)]), (5, [lane(0)]), stale_frames=5)] == [0, 0]
+    assert [r[1] for r in tracked(spark, (0, [lane(0)]), (6, [lane(0)]), stale_frames=5)] == [0, 1]
+
+
+def test_poster_sees_living_tracks_and_the_best_candidate_whatever_its_jump(spark):
+    conf = replace(POSTER, stale_frames=5)
+    rows = [("s", 0, 1, lane(0), 0.9, 500.0), ("s", 8, 2, lane(400), 0.5, 10.0), ("s", 9, 3, lane(479), 0.8, 10.0)]
+    df = spark.createDataFrame(rows, f"shot_id string, frame_index int, det_id long, polygon {QUAD}, score double, mask_area double")
+    df = df.withColumn("geometry_score", F.lit(0.0)).withColumn("support_score", F.lit(0.0))
+    last = spark.createDataFrame([("s", 11)], "shot_id string, last_frame int")
+    got = {r["track_id"]: r for r in ln.poster_tracks(ln.track_lanes(df, conf), df, last, conf=conf).collect()}
+    assert (got[0]["born_frame"], got[0]["gone_frame"], got[0]["alive"]) == (0, 5, False) and (got[1]["gone_frame"], got[1]["alive"]) == (14, True)
+    assert got[1]["best_frame"] == 9 and got[1]["best_quad"][0]["x"] == 499.0  # not followed, but the best score
+    choice = ln.poster_active_lane(ln.poster_tracks(ln.track_lanes(df, conf), df, last, conf=conf).where("alive"))
+    assert [r["track_id"] for r in choice.collect()] == [1]  # the first track's area is larger, but it is gone
+
+
+def test_tracker_walks_a_long_shot(spark):
+    n = 60_000  # several Arrow batches; two lanes drift apart from each other and never meet
+    frames = spark.range(n).select(F.lit("s").alias("shot_id"), F.col("id").cast("int").alias("frame_index"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    x = F.col("k") * 300 + F.col("frame_index") / 2000.0 * (F.col("k") * 2 - 1)
+    at = lambda a, b: F.struct((x + a).alias("x"), F.lit(float(b)).alias("y"))
+    df = frames.select("shot_id", "frame_index", (F.col("frame_index") * 2 + F.col("k")).cast("long").alias("det_id"), F.array(at(20, 0), at(60, 0), at(90, 200), at(0, 200)).alias("polygon"))
+    got = ln.track_lanes(df.repartition(4)).groupBy("track_id", (F.col("det_id") % 2).alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("created").cast("int")).alias("c"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, n, 1), (1, 1, n, 1)]
 
 
 def test_components_touch_at_corners(spark):
