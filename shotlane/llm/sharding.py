@@ -6,7 +6,7 @@ stored as a numbered version.  Rebalancing edits a copy of the map: it moves as
 slots as it takes and stores the next version; records never change their slot.
 
 Equal texts share a slot, so copies stay together, unless they hold more than a ``1 / PIECES`` of a shard by
-bytes or rows; such a text is spread over several slots by doc_id.  There are at most
+bytes or rows; such a text is spread over several slots row by row, also where its rows have one doc_id.  There are at most
 2 * PIECES * shards of them, which bounds the broadcast.  The map has SLOTS rows, whatever the data.
 
 A row's ``slot`` is its place in its shard, gapless from 0: the rows of the
@@ -32,10 +32,10 @@ SLOTS, PIECES = 8192, 16
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the text's hash of every row, written once."""
+    """doc_id, size, text_crc32, the text's hash and a number of every row, written once."""
     h1, h2 = two_hashes(whole_text())
     size = F.octet_length(whole_text()).cast("long") + 8
-    return cut(docs.select("doc_id", size.alias("size"), F.crc32(F.encode(whole_text(), "UTF-8")).alias("text_crc32"), h1.alias("h1"), h2.alias("h2")), "digests")
+    return cut(docs.select("doc_id", size.alias("size"), F.crc32(F.encode(whole_text(), "UTF-8")).alias("text_crc32"), h1.alias("h1"), h2.alias("h2"), F.monotonically_increasing_id().alias("row_no")), "digests")
 
 
 def slotted(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -45,7 +45,7 @@ def slotted(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     copies = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     parts = F.greatest(F.ceil(F.col("bytes") / share(total[0])), F.ceil(F.col("n") / share(total[1]))).cast("int")
     wide = F.broadcast(copies.filter((F.col("n") > 1) & ((F.col("bytes") > share(total[0])) | (F.col("n") > share(total[1])))).select("h1", "h2", parts.alias("parts")))
-    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "row_no"), F.col("parts")).cast("int"))
     return rows.join(wide, ["h1", "h2"], "left").withColumn("vslot", F.pmod(F.xxhash64("h1", "h2", salt), F.lit(slots)).cast("int")).drop("parts")
 
 
@@ -112,6 +112,25 @@ def load_map(spark: SparkSession, base: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{base}/version={version}").withColumn("version", F.lit(version))
 
 
+def newest_version(spark: SparkSession, base: str) -> int:
+    return spark.read.parquet(base).agg(F.max("version")).first()[0]
+
+
+def rebalance(docs: DataFrame, shards: int, base: str, slots: int = SLOTS) -> DataFrame:
+    """Rows placed by the newest map under ``base`` edited for ``shards`` shards and today's bytes; the edit is stored as the next version.
+
+    Columns as of ``shard``.
+    """
+    spark = docs.sparkSession
+    version = newest_version(spark, base)
+    rows = slotted(digests(docs), shards, slots)
+    weights = cut(weigh(rows), "slot-weights")
+    old = {r["vslot"]: r["shard"] for r in load_map(spark, base, version).select("vslot", "shard").collect()}  # ``slots`` rows
+    pairs = [(r["vslot"], r["bytes"]) for r in weights.select("vslot", "bytes").collect()]
+    slot_map = store_map(spark, base, version + 1, weights, rebalanced(old, pairs, shards), slots)
+    return place(rows, slot_map).select("doc_id", "size", "text_crc32", "vslot", "shard", "slot", F.lit(version + 1).alias("map_version"))
+
+
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """``rows`` (of ``slotted``) plus shard and slot, the place in the shard."""
     at = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32"))
