@@ -37,7 +37,9 @@ from shotlane.session import cut
 _U = np.uint64
 #: Levels of a token: whole word, then its first so many bytes.
 LEVELS = (None, 6, 5, 4, 3)
-PER_CLASS, MODEL_TOKENS, PRIOR, DRIFT = 6_000, 100_000, 4.0, 2.0
+PER_CLASS, PRIOR, DRIFT = 12_000, 4.0, 2.0
+#: Documents with a token, by label; in all rows of the sample and in those that the trial model counts.
+COUNTS = ["toxic", "clean", "fit_toxic", "fit_clean"]
 RESULT = ["score", "predicted", "passages"]
 
 
@@ -157,31 +159,48 @@ def _evidence_step(model: Model):
     return start
 
 
-def _token_table(counts, n_toxic: int, n_clean: int) -> Model:
+def _token_table(tokens: list[dict[str, np.ndarray]], toxic: str, clean: str, n_toxic: int, n_clean: int) -> Model:
     """Scores from document counts by level: posterior log-odds, the shortest form first so that each has its prior ready.
 
     The prior of a token is the posterior of its shorter form without the token's own documents, so no document is counted twice.
+    ``tokens`` has, for each level, token (sorted), parent and the named counts.
     """
     share = n_toxic / max(1, n_toxic + n_clean)
     # counts weighted so that both classes are equally large
     weight_t, weight_c = 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)
-    known: dict[int, tuple[float, float, float]] = {}
     hashes, values = [], []
+    above = None
     for level in reversed(range(len(LEVELS))):
-        mine = counts[counts.level == level]
-        t, c = mine.toxic.to_numpy(float) * weight_t, mine.clean.to_numpy(float) * weight_c
-        above = np.array([known.get(p, (0.0, 0.0, 0.5)) for p in mine.parent]).reshape(-1, 3)
-        rest_t, rest_c = np.maximum(above[:, 0] - t, 0), np.maximum(above[:, 1] - c, 0)
-        prior = (rest_t + PRIOR * above[:, 2]) / (rest_t + rest_c + PRIOR)
+        mine = tokens[level]
+        t, c = mine[toxic] * weight_t, mine[clean] * weight_c
+        if above is None:
+            rest_t = rest_c = np.zeros(len(t))
+            from_above = np.full(len(t), 0.5)
+        else:
+            keys, up_t, up_c, up_prior = above
+            at = np.searchsorted(keys, mine["parent"])
+            rest_t, rest_c, from_above = np.maximum(up_t[at] - t, 0), np.maximum(up_c[at] - c, 0), up_prior[at]
+        prior = (rest_t + PRIOR * from_above) / (rest_t + rest_c + PRIOR)
         post = (t + PRIOR * prior) / (t + c + PRIOR)
-        known = dict(zip(mine.token.tolist(), zip(t.tolist(), c.tolist(), prior.tolist())))
-        keys = mine.token.to_numpy(np.int64).view(_U)
-        order = np.argsort(keys)
-        hashes.insert(0, keys[order])
-        values.insert(0, (np.log(post / (1 - post)) - DRIFT)[order])
+        above = mine["token"], t, c, prior
+        seen = t + c > 0
+        hashes.insert(0, mine["token"][seen])
+        values.insert(0, (np.log(post / (1 - post)) - DRIFT)[seen])
     return Model(hashes, values, -DRIFT, 1.0, 0.0, 0.0, 0.0)
 
 
+def _collected(sums: DataFrame) -> list[dict[str, np.ndarray]]:
+    """The counts of each level as arrays sorted by token; the labelled sample bounds them."""
+    out = []
+    for level in range(len(LEVELS)):
+        got = sums.filter(F.col("level") == level).select("token", "parent", *COUNTS).toArrow()
+        columns = {c: got[c].to_numpy() for c in got.column_names}
+        columns |= {c: columns[c].view(_U) for c in ("token", "parent")}
+        order = np.argsort(columns["token"])
+        out.append({c: x[order] for c, x in columns.items()})
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """A weighted logistic curve in one variable by Newton's method, with a small ridge."""
     a = b = 0.0
@@ -198,8 +217,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, model_tokens: int = MODEL_TOKENS) -> Model:
-    """The model from at most ``per_class`` training rows of each class; it holds at most ``model_tokens`` tokens, the most frequent in toxic documents."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+    """The model from at most ``per_class`` training rows of each class; it holds every token of them."""
     shares = dict(labels.filter(~held_out()).groupBy(F.col(label).cast("int")).count().collect())
     n1, n0 = shares.get(1, 0), shares.get(0, 0)
     nothing = Model([np.zeros(0, _U)] * len(LEVELS), [np.zeros(0)] * len(LEVELS), -DRIFT, 1.0, 0.0, 0.0, float(np.log(max(n1, 1e-9) / max(n0, 1e-9))) if n1 + n0 else -40.0)
@@ -213,14 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     counted = map_text(rows, ["label", "tune"], [StructField("tokens", ArrayType(token))], _count_step)
     fitting = (~F.col("tune")).cast("long")
     sums = counted.select("label", "tune", F.inline("tokens")).groupBy("level", "token").agg(
-        F.min("parent").alias("parent"), F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"),
-        F.sum(F.col("label") * fitting).alias("fit_toxic"), F.sum((1 - F.col("label")) * fitting).alias("fit_clean"))
+        F.min("parent").alias("parent"), F.sum("label").cast("int").alias("toxic"), F.sum(1 - F.col("label")).cast("int").alias("clean"),
+        F.sum(F.col("label") * fitting).cast("int").alias("fit_toxic"), F.sum((1 - F.col("label")) * fitting).cast("int").alias("fit_clean"))
     sizes = {(r["tune"], r["label"]): r["count"] for r in rows.groupBy("tune", "label").count().collect()}
     if len(sizes) < 4:
         return nothing
-    kept = sums.filter("toxic > 0").orderBy(F.desc("toxic"), "level", "token").limit(model_tokens).toPandas()
-    part = kept.drop(columns=["toxic", "clean"]).rename(columns={"fit_toxic": "toxic", "fit_clean": "clean"})
-    trial = _token_table(part[part.toxic > 0], sizes[False, 1], sizes[False, 0])
+    tokens = _collected(cut(sums, "toxic-tokens"))
+    trial = _token_table(tokens, "fit_toxic", "fit_clean", sizes[False, 1], sizes[False, 0])
     tuned = lambda: map_text(rows.filter("tune"), ["label"], [StructField("n", LongType()), StructField("best", DoubleType()), StructField("seen", DoubleType())], _evidence_step(trial)).toPandas()
     clean = tuned().query("label == 0")
     # extreme-value fit on clean documents: lambda S - ln(K n) is Gumbel; lambda from the spread of S between its median and its
@@ -233,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     y = seen.label.to_numpy(float)
     weight = np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, (1 - y).sum())) * len(y) / (n1 + n0)
     # the calibration is the trial's; the tokens are counted again over the whole sample
-    model = _token_table(kept, sizes[False, 1] + sizes[True, 1], sizes[False, 0] + sizes[True, 0])
+    model = _token_table(tokens, "toxic", "clean", sizes[False, 1] + sizes[True, 1], sizes[False, 0] + sizes[True, 0])
     model.lam, model.log_k = trial.lam, trial.log_k
     model.slope, model.offset = _logistic(seen.seen.to_numpy(float), y, weight)
     return model
