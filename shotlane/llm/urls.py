@@ -3,9 +3,12 @@
 1. A url becomes a set of tokens: scheme, host labels with their place from the right, path words, query keys, number shapes.
 2. Labels come from the given rules (host and path patterns, the longest fitting one decides): urls that a rule covers are labelled.
 3. Spark's FP-growth mines frequent token combinations together with the label; rules that conclude the label
-   are pruned by support, confidence and by any shorter rule that is as sure.
-4. Matching goes through an inverted index: a rule is listed under its rarest token; a url's
-   tokens look up rules, and the other tokens of the rule are then checked in the url's set.
+   are pruned by support, confidence and by any shorter rule that is as sure.  Before it, what can only repeat rules
+   is taken out, so that many tokens shared by the same urls don't make exponentially many sets: tokens with equal url sets
+   become one item (a url has it if it has any of them, the rules they would each have), and a token that is always on one label, or on every
+   url, makes its own rule and no longer one.
+4. Matching goes through an inverted index: a rule is listed under the tokens of its rarest item; a url's
+   tokens look up rules, and the other items of the rule are then checked in the url's set.
 5. A url without a given rule gets the verdict of its surest matched rule (by confidence, support, verdict and text, the largest first), else allow.
 
 Work is done once per distinct url.  Only DataFrame and ML operations; no Python runs in tasks.
@@ -16,6 +19,7 @@ with no labelled url no rules are mined.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -78,11 +82,32 @@ def tokens(url: str = "url") -> Column:
     return F.array_distinct(F.concat(scheme, hosts, segments, keys, leading, end))
 
 
+def items(rows: DataFrame, least: int) -> DataFrame:
+    """item (one of its tokens), tokens, n and the label's best: verdict and hits; from rows (row, verdict, tokens), items on ``least`` urls or more."""
+    each = rows.select("row", "verdict", F.explode("tokens").alias("token"))
+    mark = F.xxhash64("row")
+    by = each.groupBy("token", "verdict").agg(F.count("*").alias("hits"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("s"))
+    per = by.groupBy("token").agg(F.sum("hits").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"), F.max(F.struct("hits", "verdict")).alias("best")).filter(F.col("n") >= least)
+    same = per.groupBy("n", "x", "s").agg(F.array_sort(F.collect_list("token")).alias("tokens"), F.max("best").alias("best"))  # one url has them all, so they are few
+    return same.select(F.array_min("tokens").alias("item"), "tokens", "n", F.col("best.hits").alias("hits"), F.col("best.verdict").alias("verdict"))
+
+
 def mine(labelled: DataFrame, support: float | None = None, confidence: float = CONFIDENCE) -> DataFrame:
-    """Association rules (rule_id, antecedent, verdict, confidence, support) from rows (tokens, verdict); ``support`` is a share, None for that of LEAST_URLS."""
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), F.col("verdict")))).alias("items"))
-    n = baskets.count()
+    """Association rules (rule_id, antecedent, alternatives, verdict, confidence, support) from rows (tokens, verdict); ``support`` is a share, None for that of LEAST_URLS.
+
+    ``alternatives`` has, for each item of the antecedent, the tokens that stand for it.
+    """
+    rows = cut(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "verdict"), "labelled-urls")
+    n = rows.count()
     support = min(SUPPORT, LEAST_URLS / max(n, 1)) if support is None else support
+    every = cut(items(rows, math.ceil(support * n - 1e-9)), "url-items")
+    alone = F.col("hits") == F.col("n")
+    plain = (alone | (F.col("n") == n)) & (F.col("hits") >= confidence * F.col("n"))
+    sure = every.filter(plain).select(F.array("item").alias("antecedent"), "verdict", (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / F.lit(max(n, 1))).alias("support"))
+    mixed = every.filter(~alone & (F.col("n") < n)).select("item", F.explode("tokens").alias("token"))
+    label = F.concat(F.lit("label:"), F.col("verdict"))
+    met = rows.select("row", F.explode("tokens").alias("token")).join(mixed, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    baskets = rows.join(met, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(label)).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     sets = cut(model.freqItemsets, "itemsets")
     is_label = lambda x: x.startswith("label:")
@@ -90,22 +115,25 @@ def mine(labelled: DataFrame, support: float | None = None, confidence: float =
     bodies = split.filter("label IS NULL").select("antecedent", F.col("freq").alias("covered"))
     rules = split.filter("label IS NOT NULL AND size(antecedent) > 0").join(bodies, "antecedent").withColumn("confidence", F.col("freq") / F.col("covered")).filter(F.col("confidence") >= confidence)
     rules = rules.select("antecedent", F.substring("label", 7, 100).alias("verdict"), "confidence", (F.col("freq") / F.lit(max(n, 1))).alias("support"))
-    rules = cut(rules.withColumn("rule_id", F.xxhash64("antecedent", "verdict")), "rules")
-    # a rule is redundant if one of its tokens can go and the shorter rule is as sure
+    rules = cut(rules.unionByName(sure).withColumn("rule_id", F.xxhash64("antecedent", "verdict")), "rules")
+    # a rule is redundant if one of its items can go and the shorter rule is as sure
     shorter = rules.select("rule_id", "verdict", "confidence", F.explode("antecedent").alias("token"), "antecedent").select("rule_id", "verdict", "confidence", F.array_remove("antecedent", F.col("token")).alias("antecedent"))
-    sure = rules.select("antecedent", "verdict", F.col("confidence").alias("c"))
-    redundant = shorter.join(sure, ["antecedent", "verdict"]).filter("c >= confidence").select("rule_id").distinct()
-    return rules.join(redundant, "rule_id", "left_anti")
+    better = rules.select("antecedent", "verdict", F.col("confidence").alias("c"))
+    redundant = shorter.join(better, ["antecedent", "verdict"]).filter("c >= confidence").select("rule_id").distinct()
+    left = rules.join(redundant, "rule_id", "left_anti")
+    meant = left.select("rule_id", F.explode("antecedent").alias("item")).join(every.select("item", "tokens"), "item").groupBy("rule_id").agg(F.collect_list("tokens").alias("alternatives"))
+    return left.join(meant, "rule_id")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The surest rule of each url that has one: (url_id, verdict, confidence)."""
-    postings = rules.select("rule_id", F.explode("antecedent").alias("token"))
+    postings = rules.select("rule_id", F.posexplode("alternatives").alias("at", "meant")).select("rule_id", "at", "meant", F.explode("meant").alias("token"))
     seen = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rarest = postings.join(seen, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).getField("token").alias("token"))
-    index = cut(rules.join(rarest, "rule_id"), "url-index")
+    counted = postings.join(seen, "token", "left").groupBy("rule_id", "at", "meant").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = counted.groupBy("rule_id").agg(F.min(F.struct("n", "at", "meant")).getField("meant").alias("meant"))
+    index = cut(rules.join(rarest.select("rule_id", F.explode("meant").alias("token")), "rule_id"), "url-index")
     met = urls.select("url_id", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    fits = met.filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    fits = met.filter(F.forall("alternatives", lambda a: F.arrays_overlap(a, F.col("tokens"))))
     key = F.struct(F.col("confidence"), F.col("support"), F.col("verdict"), F.array_join("antecedent", " ").alias("rule"))
     return fits.groupBy("url_id").agg(F.max(key).alias("best")).select("url_id", F.col("best.verdict").alias("mined"), F.col("best.rule").alias("mined_rule"))
 
