@@ -37,6 +37,8 @@ from shotlane.session import cut
 SHINGLE, PERCENT = 4, 85
 #: Shingles of a block that one task may hold.
 BLOCK = 2_000_000
+#: Bits of the bitmap that spares the shuffle texts without a partner.
+MARKS = 1 << 23
 _U = np.uint64
 #: All bytes but blank and those from \x09 to \x0D.
 INSIDE = np.ones(256, dtype=bool)
@@ -125,9 +127,26 @@ def with_partner(rows: DataFrame) -> DataFrame:
     return sets.join(alone, "fp", "left").filter(F.coalesce("alone", F.lit(0)) <= most).select("fp", "n", F.col("k")[K1].alias(K1), F.col("k")[K2].alias(K2))
 
 
+def _marked(wanted: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of ``MARKS`` bits at most with a bit for each wanted row key; it only spares the shuffle rows, the join decides."""
+    place = F.pmod(F.col(K1), F.lit(MARKS))
+    return wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text and row key of the rows whose key is in ``wanted``; texts that a bitmap of the keys rules out are not shuffled."""
+    place = F.pmod(F.col(K1), F.lit(MARKS))
+    held = docs.select("text", *row_key()).withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)})
+    marked = F.broadcast(cut(_marked(wanted), "marks"))  # MARKS / 32,768 rows of 4 KB, whatever the data
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = held.join(marked, "bucket").filter(F.getbit(byte, F.col("bit") % 8) == 1)
+    # an inner join (keys are unique in ``wanted``): a semi join would be moved below the bitmap
+    return held.select("text", K1, K2).join(wanted.select(K1, K2), [K1, K2])
+
+
 def ordered_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """fp, n, df and t (shingles that other sets have too, rare first), and prefix, how many of them are among the set's first f + 1."""
-    texts = docs.select("text", *row_key()).join(wanted.select(K1, K2), [K1, K2], "left_semi")
+    texts = _wanted_texts(docs, wanted)
     fields = [StructField("fp", LongType()), StructField("n", LongType()), StructField("t", ArrayType(LongType()))]
     sets = cut(map_text(texts, [], fields, _set_step), "ngram-sets")
     if sets.count() > wanted.count():  # a row of the document table that is repeated whole
