@@ -117,10 +117,10 @@ def analyse_shots(runs: DataFrame, shots: DataFrame, conf: Settings = DEFAULT) -
     return ShotAnalysis(positions, kin, homs, health, trim_diagnostics(sq.first_per_frame(mine.drop("fps")), conf), rejects)
 
 
-def analyse_poses(joints: DataFrame, shots: DataFrame, conf: Settings = DEFAULT, smooth: bool = True) -> DataFrame:
-    """Joints before each shot's body stop frame, smoothed (the aggregate job asks for them raw)."""
+def analyse_poses(joints: DataFrame, shots: DataFrame, conf: Settings = DEFAULT, smooth: bool = True, order: Sequence[str] | None = None) -> DataFrame:
+    """Joints before each shot's body stop frame, smoothed (the aggregate job asks for them raw); ``order``: columns of arrival, where a joint may repeat in a frame."""
     cut_off = fr.cut_body_frames(joints, fr.frame_ranges(shots, conf, job="body"))
-    return ps.ema(cut_off, conf.ema_alpha) if smooth else cut_off.select(*ps.BODY, "frame_index", "x", "y", "z")
+    return ps.ema(cut_off, conf.ema_alpha, order=order) if smooth else cut_off.select(*ps.BODY, "frame_index", "x", "y", "z")
 
 
 def query_lane_ball(shots: DataFrame, runs: DataFrame, numbers: Sequence[int], names: Sequence[str], conf: Settings = DEFAULT) -> DataFrame:
