@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.core import query
-from catalog.motion import _FULL
+from catalog.motion import _FULL, cubic_steps, linear_steps
 from catalog.views import HEIGHT, WIDTH
 from shotlane.functions import geometry as G
 from shotlane.operators import dataset as ds
@@ -49,7 +49,7 @@ def _(t):
     return ev.lane_metrics(t.roll())
 
 
-@query("lane_metrics_cubic", f"shot_id || fraction frac_position {M6}")
+@query("lane_metrics_cubic", f"shot_id || fraction frac_position {M6}", "roll", cubic_steps("roll") + _profile("cu", "shot_id") + _fractions("pf", "shot_id") + "SELECT * FROM fr")
 def _(t):
     return ev.lane_metrics(t.roll(), "cubic")
 

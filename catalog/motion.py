@@ -278,19 +278,45 @@ def _(t):
     return sm.densify_linear(t.traj())
 
 
-@query("resample_linear", "shot_id grid_no || timestamp_s x_m y_m", "traj", """
-    b AS (SELECT shot_id, min(timestamp_s) AS t0, max(timestamp_s) AS t1, count(*) AS n FROM traj GROUP BY 1);;
-    g AS (SELECT *, unnest(generate_series(0, n * 3 - 1)) AS k FROM b WHERE n >= 3);;
-    q AS (SELECT shot_id, k, CASE WHEN k = n * 3 - 1 THEN t1 ELSE k * ((t1 - t0) / (n * 3 - 1)) + t0 END AS timestamp_s FROM g);;
-    s AS (SELECT shot_id, timestamp_s AS ta, x_m, y_m, lead(timestamp_s) OVER w AS tb, lead(x_m) OVER w AS xb, lead(y_m) OVER w AS yb FROM traj WINDOW w AS (PARTITION BY shot_id ORDER BY timestamp_s));;
-    z AS (SELECT q.*, ta, tb, x_m, xb, y_m, yb FROM q ASOF JOIN s ON q.shot_id = s.shot_id AND q.timestamp_s >= s.ta);;
-    SELECT shot_id, k AS grid_no, timestamp_s, CASE WHEN tb IS NULL THEN x_m ELSE x_m + (xb - x_m) * ((timestamp_s - ta) / (tb - ta)) END AS x_m, CASE WHEN tb IS NULL THEN y_m ELSE y_m + (yb - y_m) * ((timestamp_s - ta) / (tb - ta)) END AS y_m FROM z
-    UNION ALL SELECT shot_id, row_number() OVER (PARTITION BY shot_id ORDER BY timestamp_s) - 1, timestamp_s, x_m, y_m FROM traj WHERE shot_id IN (SELECT shot_id FROM b WHERE n < 3)""")
+def linear_steps(view: str, key: str = "shot_id", p: str = "li") -> str:
+    """``view`` resampled to straight lines, as view ``p`` (key, k, timestamp_s, x_m, y_m)."""
+    return f"""
+    {p}b AS (SELECT {key}, min(timestamp_s) AS t0, max(timestamp_s) AS t1, count(*) AS n FROM {view} GROUP BY 1);;
+    {p}g AS (SELECT *, unnest(generate_series(0, n * 3 - 1)) AS k FROM {p}b WHERE n >= 3);;
+    {p}q AS (SELECT {key}, k, CASE WHEN k = n * 3 - 1 THEN t1 ELSE k * ((t1 - t0) / (n * 3 - 1)) + t0 END AS timestamp_s FROM {p}g);;
+    {p}s AS (SELECT {key}, timestamp_s AS ta, x_m, y_m, lead(timestamp_s) OVER w AS tb, lead(x_m) OVER w AS xb, lead(y_m) OVER w AS yb FROM {view} WINDOW w AS (PARTITION BY {key} ORDER BY timestamp_s));;
+    {p}z AS (SELECT q.*, ta, tb, x_m, xb, y_m, yb FROM {p}q q ASOF JOIN {p}s s ON q.{key} = s.{key} AND q.timestamp_s >= s.ta);;
+    {p} AS (SELECT {key}, k, timestamp_s, CASE WHEN tb IS NULL THEN x_m ELSE x_m + (xb - x_m) * ((timestamp_s - ta) / (tb - ta)) END AS x_m, CASE WHEN tb IS NULL THEN y_m ELSE y_m + (yb - y_m) * ((timestamp_s - ta) / (tb - ta)) END AS y_m FROM {p}z
+      UNION ALL SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY timestamp_s) - 1, timestamp_s, x_m, y_m FROM {view} WHERE {key} IN (SELECT {key} FROM {p}b WHERE n < 3));; """
+
+
+def cubic_steps(view: str, key: str = "shot_id", p: str = "cu") -> str:
+    """``view`` resampled to natural cubics, as view ``p``: two recursions solve the tridiagonal equations of the second derivatives; up to three samples are not curved."""
+    return f"""
+    {p}p AS (SELECT {key}, timestamp_s AS t, x_m AS x, y_m AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n, lead(timestamp_s) OVER w - timestamp_s AS h, timestamp_s - lag(timestamp_s) OVER w AS hp,
+      lead(x_m) OVER w - x_m AS ax, x_m - lag(x_m) OVER w AS wx, lead(y_m) OVER w - y_m AS ay, y_m - lag(y_m) OVER w AS wy FROM {view} WINDOW w AS (PARTITION BY {key} ORDER BY timestamp_s));;
+    {p}f AS (SELECT {key}, i, n, 0e0 AS r, 0e0 AS dx, 0e0 AS dy FROM {p}p WHERE i = 0 UNION ALL
+      SELECT p.{key}, p.i, p.n, h / (2 * (hp + h) - hp * r), (6 * (ax / h - wx / hp) - hp * dx) / (2 * (hp + h) - hp * r), (6 * (ay / h - wy / hp) - hp * dy) / (2 * (hp + h) - hp * r)
+      FROM {p}f f JOIN {p}p p ON p.{key} = f.{key} AND p.i = f.i + 1 WHERE p.i < p.n - 1 AND p.n > 3);;
+    {p}m AS (SELECT {key}, i, 0e0 AS mx, 0e0 AS my FROM {p}p WHERE i = n - 1 UNION ALL
+      SELECT f.{key}, f.i, dx - r * mx, dy - r * my FROM {p}m m JOIN {p}f f ON f.{key} = m.{key} AND f.i = m.i - 1);;
+    {p}s AS (SELECT p.*, coalesce(a.mx, 0) AS mx, coalesce(a.my, 0) AS my, coalesce(b.mx, 0) AS nx, coalesce(b.my, 0) AS ny FROM {p}p p LEFT JOIN {p}m a ON a.{key} = p.{key} AND a.i = p.i LEFT JOIN {p}m b ON b.{key} = p.{key} AND b.i = p.i + 1);;
+    {p}b AS (SELECT {key}, min(t) AS t0, max(t) AS t1, count(*) AS c FROM {p}p GROUP BY 1);;
+    {p}g AS (SELECT *, unnest(generate_series(0, c * 3 - 1)) AS k FROM {p}b WHERE c >= 3);;
+    {p}q AS (SELECT {key}, k, CASE WHEN k = c * 3 - 1 THEN t1 ELSE k * ((t1 - t0) / (c * 3 - 1)) + t0 END AS u FROM {p}g);;
+    {p}z AS (SELECT q.k, q.u, u - s.t AS d, s.t + s.h - u AS e, s.* FROM {p}q q ASOF JOIN {p}s s ON q.{key} = s.{key} AND q.u >= s.t);;
+    {p} AS (SELECT {key}, k, u AS timestamp_s,
+      CASE WHEN h IS NULL THEN x ELSE (mx * e ** 3 + nx * d ** 3) / (6 * h) + (x / h - mx * h / 6) * e + ((x + ax) / h - nx * h / 6) * d END AS x_m,
+      CASE WHEN h IS NULL THEN y ELSE (my * e ** 3 + ny * d ** 3) / (6 * h) + (y / h - my * h / 6) * e + ((y + ay) / h - ny * h / 6) * d END AS y_m FROM {p}z
+      UNION ALL SELECT {key}, i, t, x, y FROM {p}p WHERE n < 3);; """
+
+
+@query("resample_linear", "shot_id grid_no || timestamp_s x_m y_m", "traj", linear_steps("traj") + "SELECT *, k AS grid_no FROM li")
 def _(t):
     return sm.resample(t.traj(), "linear")
 
 
-@query("resample_cubic", "shot_id grid_no || timestamp_s x_m y_m")
+@query("resample_cubic", "shot_id grid_no || timestamp_s x_m y_m", "traj", cubic_steps("traj") + "SELECT *, k AS grid_no FROM cu")
 def _(t):
     return sm.resample(t.traj(), "cubic")
 

@@ -346,8 +346,15 @@ def _(t):
     return mk.quad_from_boundaries(b, sizes).select("det_id", "reason", *flat())
 
 
-# class masks of a frame: components of overlapping boxes
-@query("mask_components", "shot_id frame_index components pixels largest", "runs")
+# all masks of a frame as one: each is connected in itself, so the parts are what masks that touch make of them
+@query("mask_components", "shot_id frame_index components pixels largest", "runs", """
+    ed AS (SELECT DISTINCT a.shot_id, a.frame_index, a.det_id AS u, b.det_id AS v FROM runs a JOIN runs b ON a.shot_id = b.shot_id AND a.frame_index = b.frame_index AND a.det_id <> b.det_id
+      AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x0 <= a.x1 + 1 AND b.x1 >= a.x0 - 1);;
+    rc AS (SELECT DISTINCT shot_id, frame_index, det_id AS u, det_id AS v FROM runs UNION SELECT rc.shot_id, rc.frame_index, rc.u, ed.v FROM rc JOIN ed ON ed.shot_id = rc.shot_id AND ed.frame_index = rc.frame_index AND ed.u = rc.v);;
+    cm AS (SELECT shot_id, frame_index, u AS det_id, min(v) AS c FROM rc GROUP BY 1, 2, 3);;
+    px AS (SELECT DISTINCT shot_id, frame_index, c, y, unnest(generate_series(x0, x1)) AS x FROM runs JOIN cm USING (shot_id, frame_index, det_id));;
+    ar AS (SELECT shot_id, frame_index, c, count(*) AS area FROM px GROUP BY 1, 2, 3);;
+    SELECT shot_id, frame_index, count(*) AS components, sum(area) AS pixels, max(area) AS largest FROM ar GROUP BY 1, 2""")
 def _(t):
     r = mk.union_masks(t.runs(), ["shot_id", "frame_index"])
     c = mk.mask_components(r, ["shot_id", "frame_index"])

@@ -226,22 +226,46 @@ def clean_trajectory(frames: np.ndarray, xs: np.ndarray, ys: np.ndarray, sigma:
     return every, clamp_hook(x, y), y
 
 
-def natural_cubic(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic through all points, zero curvature at both ends."""
+def curvatures(t: np.ndarray, v: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Second derivatives at the points of natural cubics (zero at both ends) through many series at once.
+
+    ``t`` and the rows of ``v`` hold the series one after another.  One elimination forth and back over places, all series that
+    reach a place together: linear in the points.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    longest, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
+    inner = lambda i: starts[: np.searchsorted(-longest, -(i + 2), side="right")] + i  # noqa: E731  series with a point after place i
     h = np.diff(t)
-    slope = np.diff(v) / h
-    n = t.size
-    a = np.zeros((n, n))
-    rhs = np.zeros(n)
-    a[0, 0] = a[-1, -1] = 1.0
-    i = np.arange(1, n - 1)
-    a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    rhs[1:-1] = 6 * np.diff(slope)
-    curv = np.linalg.solve(a, rhs)
-    k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
-    d, e = at - t[k], t[k + 1] - at
-    return (
-        (curv[k] * e ** 3 + curv[k + 1] * d ** 3) / (6 * h[k])
-        + (v[k] / h[k] - curv[k] * h[k] / 6) * e
-        + (v[k + 1] / h[k] - curv[k + 1] * h[k] / 6) * d
-    )
+    slope = np.diff(v, axis=0) / h[:, None]
+    ratio, curv = np.zeros(len(t)), np.zeros(v.shape)
+    last = int(longest[0]) - 2 if len(sizes) else 0
+    for i in range(1, last + 1):
+        at = inner(i)
+        pivot = 2 * (h[at - 1] + h[at]) - h[at - 1] * ratio[at - 1]
+        ratio[at] = h[at] / pivot
+        curv[at] = (6 * (slope[at] - slope[at - 1]) - h[at - 1, None] * curv[at - 1]) / pivot[:, None]
+    for i in range(last, 0, -1):
+        at = inner(i)
+        curv[at] -= ratio[at, None] * curv[at + 1]
+    return curv
+
+
+def natural_cubics(t: np.ndarray, v: np.ndarray, sizes: np.ndarray, factor: int, curved: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Even grids of ``factor`` times the points from the first to the last of each series, and the natural cubics there; series of at least three points."""
+    with np.errstate(divide="ignore", invalid="ignore"):  # repeated times have no cubic: NaN in their series
+        curv = curvatures(t, v, sizes) if curved else np.zeros(v.shape)
+        starts, many = np.cumsum(sizes) - sizes, sizes * factor
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        t0, t1 = t[starts], t[starts + sizes - 1]
+        at = place * np.repeat((t1 - t0) / (many - 1), many) + np.repeat(t0, many)
+        at[np.cumsum(many) - 1] = t1
+        # the interval of a grid point: knots and grid points in one order by (series, time), knots first
+        ids = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes)), many)
+        by = np.lexsort((np.repeat([0, 1], [len(t), len(at)]), np.concatenate([t, at]), np.concatenate(ids)))
+        knots = np.cumsum(by < len(t))
+        k = np.empty(len(at), np.int64)
+        k[by[by >= len(t)] - len(t)] = knots[by >= len(t)] - 1
+        k = np.minimum(k, np.repeat(starts + sizes - 2, many))
+        h, d, e = (t[k + 1] - t[k])[:, None], (at - t[k])[:, None], (t[k + 1] - at)[:, None]
+        out = (curv[k] * e ** 3 + curv[k + 1] * d ** 3) / (6 * h) + (v[k] / h - curv[k] * h / 6) * e + (v[k + 1] / h - curv[k + 1] * h / 6) * d
+    return at, out

@@ -370,44 +370,56 @@ def quad_from_boundaries(runs: DataFrame, sizes: DataFrame, keys: Sequence[str]
 
 # ---- components ------------------------------------------------------------
 
-def _components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
-    """Component number of each run; runs of neighbouring rows touching at least at a corner belong together."""
-    n = y.size
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    order = np.lexsort((x0, y))
-    rows: dict[int, list[int]] = {}
-    for i in order:
-        rows.setdefault(int(y[i]), []).append(int(i))
-    for row, mine in rows.items():
-        above = rows.get(row - 1, [])
-        k = 0
-        for i in mine:
-            while k < len(above) and x1[above[k]] < x0[i] - 1:
-                k += 1
-            j = k
-            while j < len(above) and x0[above[j]] <= x1[i] + 1:
-                parent[root(i)] = root(above[j])
-                j += 1
-        for a, b in zip(mine, mine[1:]):
-            if x0[b] <= x1[a] + 1:
-                parent[root(a)] = root(b)
-    return np.array([root(i) for i in range(n)], dtype=np.int32)
+def _touching(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of one mask that touch, at least at a corner; ``sizes`` masks one after another, each in order of (y, x0)."""
+    n = len(y)
+    starts = np.cumsum(sizes) - sizes
+    low, high = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
+    # one number line: a stretch for each image row of each mask, with an empty row between masks
+    heights = high - low + 2
+    row = y - np.repeat(low, sizes) + np.repeat(np.cumsum(heights) - heights, sizes)
+    left, width = x0.min(), x1.max() - x0.min() + 4
+    begin, end = row * width + (x0 - left + 1), row * width + (x1 - left + 1)
+    reach = np.maximum.accumulate(end)
+    side = np.flatnonzero(begin[1:] <= reach[:-1] + 1)
+    # in the row below: from the first run that may still reach this one to the last that begins in time
+    first, last = np.searchsorted(reach, begin + width - 1), np.searchsorted(begin, end + width + 1, side="right")
+    counts = np.maximum(last - first, 0)
+    above = np.repeat(np.arange(n), counts)
+    below = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+    real = end[below] >= begin[above] + width - 1
+    return np.concatenate([side, above[real]]), np.concatenate([side + 1, below[real]])
+
+
+def _components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The place in its mask of the first run of each run's component, for many masks at once."""
+    a, b = _touching(y, x0, x1, sizes)
+    label = np.arange(len(y))
+    while True:
+        low = np.minimum(label[a], label[b])
+        open_ = (label[a] != low) | (label[b] != low)
+        if not open_.any():
+            break
+        a, b, low = a[open_], b[open_], low[open_]  # a settled pair has one root for good
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    return label - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _component_ids(y: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
-    return pd.Series([_components(np.asarray(a), np.asarray(b), np.asarray(c)) for a, b, c in zip(y, x0, x1)])
+    """For masks as sorted arrays of runs; all masks of an Arrow batch are labelled together."""
+    if not len(y):
+        return pd.Series([], dtype=object)
+    sizes = y.map(len).to_numpy()
+    found = _components(*[np.concatenate(c.to_list()).astype(np.int64) for c in (y, x0, x1)], sizes)
+    return pd.Series(np.split(found.astype(np.int32), np.cumsum(sizes)[:-1]))
 
 
 def mask_components(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
-    """Runs with the number and area of their 8-connected component.
+    """Runs with the number (place of its first run) and area of their 8-connected component.
 
     Grouped by mask: the runs of one mask are bounded by its image.
     """

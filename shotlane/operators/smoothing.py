@@ -193,7 +193,7 @@ def resample(traj: DataFrame, mode: str, factor: int = 3, keys: Sequence[str] =
     """Even time grid with ``factor`` times the samples: none, linear or natural cubic.
 
     Fewer than three samples stay as they are; three samples make cubic fall back to linear.
-    Adds grid_no, 0-based.
+    Adds grid_no, 0-based.  Where a time repeats within a sequence, its cubic is NaN.
     """
     if mode not in ("none", "linear", "cubic"):
         raise ValueError(f"unknown resampling mode {mode!r}")
@@ -225,23 +225,30 @@ def resample(traj: DataFrame, mode: str, factor: int = 3, keys: Sequence[str] =
             few.withColumn("grid_no", F.col("grid_no").cast("int"))
         )
 
-    def run(t, a, b):
-        t = np.asarray(t, dtype=float)
-        if t.size < 3:
-            return np.arange(t.size, dtype=float), t, a, b
-        at = np.linspace(t[0], t[-1], t.size * factor)
-        if t.size < 4:
-            return np.arange(at.size, dtype=float), at, np.interp(at, t, a), np.interp(at, t, b)
-        return (np.arange(at.size, dtype=float), at,
-                kernels.natural_cubic(t, np.asarray(a, dtype=float), at), kernels.natural_cubic(t, np.asarray(b, dtype=float), at))
+    @F.pandas_udf("struct<g:array<int>,t:array<double>,a:array<double>,b:array<double>>")
+    def call(t: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        """All series of an Arrow batch at once."""
+        out = pd.DataFrame({"g": t.map(lambda s: np.arange(len(s))), "t": t, "a": a, "b": b})
+        sizes = t.map(len).to_numpy(dtype=np.int64)
+        for part, cubic in ((sizes == 3, False), (sizes > 3, True)):
+            if not part.any():
+                continue
+            n = sizes[part]
+            flat = [np.concatenate(c[part].to_list()).astype(float) for c in (t, a, b)]
+            # without curvature the cubic is the line
+            at, v = kernels.natural_cubics(flat[0], np.stack(flat[1:], axis=1), n, factor, curved=cubic)
+            cuts = np.cumsum(n * factor)[:-1]
+            grid = [np.arange(k * factor) for k in n]
+            for c, parts in (("g", grid), ("t", np.split(at, cuts)), ("a", np.split(v[:, 0], cuts)), ("b", np.split(v[:, 1], cuts))):
+                out[c] = out[c].astype(object)
+                out.loc[part, c] = pd.Series(parts, index=out.index[part], dtype=object)
+        return out
 
     cx, cy = columns
-    call = _kernel(run, 3, ["g", "t", "a", "b"])
     series = _series(traj, keys, time, [cx, cy])
     return series.select(*keys, call(time, cx, cy).alias("_k")).select(
         *keys, F.inline(F.arrays_zip(
-            F.col("_k.g").alias("grid_no"), F.col("_k.t").alias(time), F.col("_k.a").alias(cx), F.col("_k.b").alias(cy)))
-    ).withColumn("grid_no", F.col("grid_no").cast("int"))
+            F.col("_k.g").alias("grid_no"), F.col("_k.t").alias(time), F.col("_k.a").alias(cx), F.col("_k.b").alias(cy))))
 
 
 # ---- departure -------------------------------------------------------------

@@ -98,6 +98,28 @@ def test_components_touch_at_corners(spark):
     assert got == {(0, 0): 7, (1, 4): 7, (2, 8): 2, (0, 20): 2}
 
 
+def test_components_of_many_masks_against_a_flood_fill():
+    rng = np.random.default_rng(11)
+    runs, want, sizes = [], [], []
+    for density in (0.2, 0.35, 0.5, 0.7, 1.0) * 8:
+        grid = rng.random((int(rng.integers(1, 14)), int(rng.integers(1, 40)))) < density
+        grid[0, 0] = True
+        mine = [(y, x, x + int(np.argmin(np.append(grid[y, x:], False))) - 1) for y in range(grid.shape[0]) for x in range(grid.shape[1]) if grid[y, x] and not (x and grid[y, x - 1])]
+        label = np.where(grid, -1, -2)
+        for i, (y, x, _) in enumerate(mine):
+            todo = [(y, x)]
+            while todo:
+                r, c = todo.pop()
+                if 0 <= r < grid.shape[0] and 0 <= c < grid.shape[1] and label[r, c] == -1:
+                    label[r, c] = i
+                    todo += [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        want += [label[y, x] for y, x, _ in mine]
+        runs += mine
+        sizes.append(len(mine))
+    y, x0, x1 = (np.array(c) for c in zip(*runs))
+    assert mk._components(y, x0 - 7, x1 - 7, np.array(sizes)).tolist() == want
+
+
 def test_iou_of_nothing_and_of_overlap(spark):
     s = "shot_id string, frame_index int, class_name string, y int, x0 int, x1 int"
     a = spark.createDataFrame([("a", 0, "ball", 0, 0, 9), ("a", 0, "ball", 0, 5, 12)], s)

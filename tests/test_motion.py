@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shotlane.operators import kernels as kn
 from shotlane.operators import sequences as sq
@@ -144,11 +145,39 @@ def test_spline_spends_its_budget_and_follows_a_bend():
     assert ((fit - y) ** 2).sum() == pytest.approx(s, rel=2e-3)
 
 
-def test_natural_cubic_passes_through_points_and_keeps_lines():
-    t = np.array([0.0, 1.0, 2.5, 3.0, 5.0])
-    assert np.allclose(kn.natural_cubic(t, 2 * t + 1, np.linspace(0, 5, 11)), 2 * np.linspace(0, 5, 11) + 1)
-    v = np.array([0.0, 2.0, -1.0, 4.0, 3.0])
-    assert np.allclose(kn.natural_cubic(t, v, t), v)
+def test_natural_cubics_keep_lines_and_fit_the_tridiagonal_equations():
+    rng = np.random.default_rng(4)
+    sizes = np.array([5, 3, 40, 7, 5, 4])
+    parts = [np.cumsum(rng.uniform(0.1, 2.0, n)) for n in sizes]
+    t = np.concatenate(parts)
+    v = np.stack([rng.normal(size=t.size), 2 * t + 1], axis=1)
+    curv, starts = kn.curvatures(t, v, sizes), np.cumsum(sizes) - sizes
+    at, out = kn.natural_cubics(t, v, sizes, 3)
+    assert np.allclose(out[:, 1], 2 * at + 1)
+    for n, s, g in zip(sizes, starts, starts * 3):
+        h, m, y = np.diff(t[s : s + n]), curv[s : s + n, 0], v[s : s + n, 0]
+        assert m[0] == m[-1] == 0
+        assert np.allclose(h[:-1] * m[:-2] + 2 * (h[:-1] + h[1:]) * m[1:-1] + h[1:] * m[2:], 6 * np.diff(np.diff(y) / h))
+        assert np.allclose(at[g : g + 3 * n], np.linspace(t[s], t[s + n - 1], 3 * n))
+        assert np.allclose(out[[g, g + 3 * n - 1], 0], y[[0, -1]])
+    # a grid on the points gives the points back
+    even = np.arange(9.0)
+    found = kn.natural_cubics(even, np.stack([even ** 3 - even, -even], axis=1), np.array([9]), 9)
+    assert np.allclose(found[1][::10], np.stack([even ** 3 - even, -even], axis=1))
+
+
+def test_resample_cubic_of_a_long_sequence_and_of_short_ones(spark):
+    long = spark.range(30_000).select(F.lit("long").alias("shot_id"), (F.col("id") / 10.0).alias("timestamp_s"), (F.col("id") * 2.0).alias("x_m"), F.lit(1.0).alias("y_m"))
+    short = spark.createDataFrame([("two", 0.0, 1.0, 2.0), ("two", 1.0, 3.0, 4.0), ("three", 0.0, 0.0, 0.0), ("three", 1.0, 9.0, 0.0), ("three", 2.0, 0.0, 0.0), ("again", 1.0, 0.0, 0.0)]
+        + [("again", float(i), 0.0, 0.0) for i in range(4)], long.schema)
+    got = sm.resample(long.unionByName(short), "cubic").cache()
+    count = {r["shot_id"]: r["count"] for r in got.groupBy("shot_id").count().collect()}
+    assert count == {"long": 90_000, "two": 2, "three": 9, "again": 15}
+    assert got.where("shot_id = 'long' AND abs(x_m - 20 * timestamp_s) > 1e-6").count() == 0
+    three = [r["x_m"] for r in got.where("shot_id = 'three'").orderBy("grid_no").collect()]
+    assert np.allclose(three, np.interp(np.linspace(0, 2, 9), [0, 1, 2], [0, 9, 0]))
+    assert got.where("shot_id = 'two' AND x_m IN (1.0, 3.0)").count() == 2
+    got.unpersist()
 
 
 def test_hook_clamp_freezes_reversal():
