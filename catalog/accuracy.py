@@ -232,9 +232,39 @@ def _(t):
     return ev.accuracy(t.table("labels"), "quality", "toxic")
 
 
-@query("evaluate_summary", "| interpolation_mode fraction | " + " ".join(f"pred_{c[:-6]}" for c in _E8))
+# all modes at once: a profile's key is its episode and its mode
+_MODES = "CASE ek % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'linear' ELSE 'cubic' END AS interpolation_mode"
+_EVAL_ALL = linear_steps("pairs", "episode_idx") + cubic_steps("pairs", "episode_idx") + """em AS (SELECT episode_idx * 3 AS ek, timestamp_s, x_m, y_m FROM pairs
+      UNION ALL SELECT episode_idx * 3 + 1, timestamp_s, x_m, y_m FROM li UNION ALL SELECT episode_idx * 3 + 2, timestamp_s, x_m, y_m FROM cu);; """ + _profile("em", "ek") + _fractions("pf", "ek") + _TRUTH + """
+    tq AS (SELECT *, unnest([0.25e0, 0.5e0, 0.75e0, 1e0]) AS fraction FROM tf);;
+    tm AS (SELECT * FROM tq QUALIFY row_number() OVER (PARTITION BY episode_idx, fraction ORDER BY abs(s - s0 - fraction * len), seq) = 1);;
+    ts AS (SELECT episode_idx, abs(arg_max(l, seq) - arg_min(l, seq)) AS tb, arg_max(speed, seq) AS te FROM tf GROUP BY 1);;
+    fx AS (SELECT episode_idx, regr_slope(lane_s, x_m) AS xs, regr_slope(lane_s, y_m) AS ys, regr_slope(y, x_m) AS xl, regr_slope(y, y_m) AS yl FROM pairs GROUP BY 1 HAVING count(*) >= 4);;
+    pe AS (SELECT ek, ek // 3 AS episode_idx, any_value(primary_axis) AS pa, abs(arg_max(l, seq) - arg_min(l, seq)) AS pb, arg_max(speed, seq) AS pe FROM pf GROUP BY 1);;
+    ee AS (SELECT ek, episode_idx, abs(CASE WHEN pa = 0 THEN xs ELSE ys END) AS a, abs(CASE WHEN pa = 0 THEN yl ELSE xl END) AS b, pb * b - tb AS total_break_error, pe * a - te AS end_speed_error
+      FROM pe JOIN fx USING (episode_idx) JOIN ts USING (episode_idx));;
+    wr AS (SELECT ee.*, fraction, vel_s * a AS vel_s, vel_l * b AS vel_l, sqrt(pow(vel_s * a, 2) + pow(vel_l * b, 2)) AS speed, acc_s * a AS acc_s, acc_l * b AS acc_l, sqrt(pow(acc_s * a, 2) + pow(acc_l * b, 2)) AS accel_mag FROM fr JOIN ee USING (ek));;
+    er AS (SELECT """ + _MODES + ", wr.episode_idx, wr.fraction, " + ", ".join(f"wr.{m} - tm.{m} AS {m}_error" for m in _SPREAD) + """ FROM wr JOIN tm USING (episode_idx, fraction));;
+    ep AS (SELECT """ + _MODES + ", episode_idx, total_break_error, end_speed_error FROM ee);; "
+
+
+def _evaluated(t):
+    return jobs.evaluate(t.pairs().select("episode_idx", "frame_index", "timestamp_s", "x_m", "y_m"), _truth(t))
+
+
+@query("evaluate_summary", "| interpolation_mode fraction | " + " ".join(f"pred_{c[:-6]}" for c in _E8), "pairs", _EVAL_ALL + _SUMM.removeprefix(_ERRS) + "SELECT * FROM sm")
+def _(t):
+    return _evaluated(t).summary
+
+
+@query("evaluate_episodes", "episode_idx | interpolation_mode | total_break_error end_speed_error", "pairs", _EVAL_ALL + "SELECT * FROM ep")
+def _(t):
+    return _evaluated(t).episodes
+
+
+@query("evaluate_fractions_modes", f"episode_idx | interpolation_mode | fraction {' '.join(_E8[:6])}", "pairs", _EVAL_ALL + "SELECT * FROM er")
 def _(t):
-    return jobs.evaluate(t.pairs().select("episode_idx", "frame_index", "timestamp_s", "x_m", "y_m"), _truth(t)).summary
+    return _evaluated(t).fractions
 
 
 _EVAL_NONE = _CONV + _TRUTH + """tq AS (SELECT *, unnest([0.25e0, 0.5e0, 0.75e0, 1e0]) AS fraction FROM tf);;

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,19 +19,21 @@ METRICS = ("vel_s", "vel_l", "speed", "acc_s", "acc_l", "accel_mag")
 
 # ---- lane metrics ----------------------------------------------------------
 
+def _picks(values: Sequence[str], fractions: Sequence[float], s: str = "s", seq: str = "seq") -> Column:
+    """Aggregate: an array with the row nearest to each fraction of the way; rows carry _target0 and _length."""
+    row = F.struct(F.col(s).alias("frac_position"), *[F.col(v) for v in values])
+    near = lambda f: F.struct(F.abs(F.col(s) - F.col("_target0") - f * F.col("_length")).alias("d"), F.col(seq))
+    held = [min(max(float(f), 0.0), 1.0) for f in fractions]
+    return F.array(*[F.struct(F.lit(f).alias("fraction"), F.min_by(row, near(f)).alias("_r")) for f in held])
+
+
 def sample_at_fractions(traj: DataFrame, values: Sequence[str], start: Column, length: Column, fractions: Sequence[float] = FRACTIONS, keys: Sequence[str] = SHOT, s: str = "s", seq: str = "seq") -> DataFrame:
     """The sample nearest to each fraction of the way; the earliest of equal distances.
 
     One grouping with one minimum per fraction; start and length are per-shot expressions.
     """
-    picks = []
-    row = F.struct(F.col(s).alias("frac_position"), *[F.col(v) for v in values])
-    for f in fractions:
-        f = min(max(float(f), 0.0), 1.0)
-        near = F.struct(F.abs(F.col(s) - F.col("_target0") - f * F.col("_length")).alias("d"), F.col(seq))
-        picks.append(F.struct(F.lit(f).alias("fraction"), F.min_by(row, near).alias("_r")))
     rows = traj.withColumn("_target0", start).withColumn("_length", length)
-    return rows.groupBy(*keys).agg(F.array(*picks).alias("_f")).select(*keys, F.inline("_f")).select(*keys, "fraction", "_r.*")
+    return rows.groupBy(*keys).agg(_picks(values, fractions, s, seq).alias("_f")).select(*keys, F.inline("_f")).select(*keys, "fraction", "_r.*")
 
 
 def _with_motion(rows: DataFrame, dt: Column, keys: Sequence[str], s: str, l: str, order: str) -> DataFrame:
@@ -39,10 +42,8 @@ def _with_motion(rows: DataFrame, dt: Column, keys: Sequence[str], s: str, l: st
     return a.withColumn("speed", hypot(F.col("vel_s"), F.col("vel_l"))).withColumn("accel_mag", hypot(F.col("acc_s"), F.col("acc_l")))
 
 
-def motion_profile(traj: DataFrame, mode: str = "none", keys: Sequence[str] = SHOT) -> DataFrame:
-    """Oriented, evenly timed samples with velocity and acceleration; shots of fewer than two points or no length give none."""
+def _profiled(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     whole = Window.partitionBy(*keys)
-    grid = resample(traj, mode, keys=keys)
     rows = orient(grid, keys, order="grid_no")
     n = F.count(F.lit(1)).over(whole)
     dt = (F.max("timestamp_s").over(whole) - F.min("timestamp_s").over(whole)) / F.nullif(n - 1, F.lit(0))
@@ -53,6 +54,30 @@ def motion_profile(traj: DataFrame, mode: str = "none", keys: Sequence[str] = SH
     return _with_motion(rows, F.col("dt"), keys, "s", "l", "seq")
 
 
+def motion_profile(traj: DataFrame, mode: str = "none", keys: Sequence[str] = SHOT) -> DataFrame:
+    """Oriented, evenly timed samples with velocity and acceleration; shots of fewer than two points or no length give none."""
+    return _profiled(resample(traj, mode, keys=keys), keys)
+
+
+def motion_profiles(traj: DataFrame, modes: Sequence[str], keys: Sequence[str] = SHOT) -> DataFrame:
+    """The profiles of several interpolation modes as one table with column interpolation_mode; a mode named twice counts once."""
+    one = traj.select(*keys, "timestamp_s", "x_m", "y_m").repartition(*keys)  # the modes share this exchange
+    parts = [resample(one, m, keys=keys).withColumn("interpolation_mode", F.lit(m)) for m in dict.fromkeys(modes)]
+    # by key alone: the windows of a mode and the joins of an episode need no other exchange
+    return _profiled(reduce(DataFrame.unionByName, parts).repartition(*keys), ["interpolation_mode", *keys])
+
+
+def _at_ends() -> list[Column]:
+    return [F.abs(F.max_by("l", "seq") - F.min_by("l", "seq")).alias("total_break"), F.max_by("speed", "seq").alias("end_speed")]
+
+
+def episode_rows(profile: DataFrame, keys: Sequence[str], fractions: Sequence[float] = FRACTIONS) -> DataFrame:
+    """One row per key from one grouping: ``at`` (an array with the measures at each fraction), total_break, end_speed and primary_axis, if the profile has it."""
+    axis = [F.first("primary_axis").alias("primary_axis")] if "primary_axis" in profile.columns else []
+    rows = profile.withColumns({"_target0": F.col("_s0"), "_length": F.col("_len")})
+    return rows.groupBy(*keys).agg(_picks(METRICS, fractions).alias("at"), *_at_ends(), *axis)
+
+
 def lane_metrics(traj: DataFrame, mode: str = "none", fractions: Sequence[float] = FRACTIONS, keys: Sequence[str] = SHOT) -> DataFrame:
     """Position, velocity and acceleration at each lane fraction."""
     return sample_at_fractions(motion_profile(traj, mode, keys), METRICS, F.col("_s0"), F.col("_len"), fractions, keys)
@@ -61,20 +86,21 @@ def lane_metrics(traj: DataFrame, mode: str = "none", fractions: Sequence[float]
 def lane_summary(traj: DataFrame, mode: str = "none", keys: Sequence[str] = SHOT) -> DataFrame:
     """Total break, end speed, primary axis and direction per shot."""
     return motion_profile(traj, mode, keys).groupBy(*keys).agg(
-        F.abs(F.max_by("l", "seq") - F.min_by("l", "seq")).alias("total_break"),
-        F.max_by("speed", "seq").alias("end_speed"),
-        F.first("primary_axis").alias("primary_axis"), F.first("trajectory_reversed").alias("trajectory_reversed"))
+        *_at_ends(), F.first("primary_axis").alias("primary_axis"), F.first("trajectory_reversed").alias("trajectory_reversed"))
 
 
-def truth_metrics(truth: DataFrame, fractions: Sequence[float] = FRACTIONS, fps: float = 30.0, keys: Sequence[str] = EPISODE) -> tuple[DataFrame, DataFrame]:
-    """(fraction rows, summary rows) of the ground truth, in lane coordinates: lane_s along, y across."""
+def truth_profile(truth: DataFrame, fps: float = 30.0, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Ground truth rows with velocity and acceleration, in lane coordinates: lane_s along, y across."""
     whole = Window.partitionBy(*keys)
     rows = truth.withColumn("seq", F.col("global_frame_idx")).withColumn("s", F.col("lane_s")).withColumn("l", F.col("y"))
     rows = rows.withColumn("_s0", F.min("s").over(whole)).withColumn("_len", F.max("s").over(whole) - F.col("_s0"))
-    rows = _with_motion(rows, F.lit(1.0 / fps), keys, "s", "l", "seq")
-    summary = rows.groupBy(*keys).agg(
-        F.abs(F.max_by("l", "seq") - F.min_by("l", "seq")).alias("total_break"), F.max_by("speed", "seq").alias("end_speed"))
-    return sample_at_fractions(rows, METRICS, F.col("_s0"), F.col("_len"), fractions, keys), summary
+    return _with_motion(rows, F.lit(1.0 / fps), keys, "s", "l", "seq")
+
+
+def truth_metrics(truth: DataFrame, fractions: Sequence[float] = FRACTIONS, fps: float = 30.0, keys: Sequence[str] = EPISODE) -> tuple[DataFrame, DataFrame]:
+    """(fraction rows, summary rows) of the ground truth."""
+    rows = truth_profile(truth, fps, keys)
+    return sample_at_fractions(rows, METRICS, F.col("_s0"), F.col("_len"), fractions, keys), rows.groupBy(*keys).agg(*_at_ends())
 
 
 # ---- calibration -----------------------------------------------------------
@@ -100,6 +126,19 @@ def calibrate(pairs: DataFrame, keys: Sequence[str] = EPISODE, s: str = "s_bev",
     return out.withColumn("poor_fit", (F.col("rmse_s") > 1.0) | (F.col("rmse_l") > 0.5))
 
 
+def calibrate_axes(pred: DataFrame, truth: DataFrame, keys: Sequence[str] = EPISODE, min_matches: int = 4) -> DataFrame:
+    """Slopes of lane_s and y on both view axes (a_xs, a_ys, a_xl, a_yl) per episode with at least ``min_matches`` common frames, from one grouping.
+
+    Which of them hold depends on the primary axis, which may differ between interpolation modes; the fits do not.
+    """
+    met = pred.select(*keys, "frame_index", "x_m", "y_m").join(
+        truth.select(*keys, F.col("global_frame_idx").alias("frame_index"), "lane_s", "y"), [*keys, "frame_index"])
+    slope = lambda v, u, n: F.regr_slope(F.col(v), F.col(u)).alias(n)
+    return met.groupBy(*keys).agg(
+        slope("lane_s", "x_m", "a_xs"), slope("lane_s", "y_m", "a_ys"), slope("y", "x_m", "a_xl"), slope("y", "y_m", "a_yl"),
+        F.count(F.lit(1)).alias("matches")).where(F.col("matches") >= min_matches)
+
+
 def best_axis(pairs: DataFrame, keys: Sequence[str] = EPISODE, x: str = "bev_x", y: str = "bev_y", target: str = "x") -> DataFrame:
     """Which view axis follows the target better after a linear fit, by mean absolute error; x wins ties."""
     fits = pairs.groupBy(*keys).agg(*_fit(x, target, "x"), *_fit(y, target, "y"))
@@ -121,14 +160,16 @@ def residual_summary(df: DataFrame, column: str, keys: Sequence[str] = EPISODE)
 
 def convert_metrics(metrics: DataFrame, cal: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     """View units to world units with the calibration magnitudes; speed and acceleration sizes are taken anew."""
+    return _to_world(metrics.join(cal.select(*keys, "a_s", "a_l"), list(keys))).drop("a_s", "a_l")
+
+
+def _to_world(m: DataFrame) -> DataFrame:
     a, b = F.abs(F.col("a_s")), F.abs(F.col("a_l"))
-    m = metrics.join(cal.select(*keys, "a_s", "a_l"), list(keys))
-    m = (
+    return (
         m.withColumn("frac_position", F.col("frac_position") * a)
         .withColumn("vel_s", F.col("vel_s") * a).withColumn("vel_l", F.col("vel_l") * b)
         .withColumn("acc_s", F.col("acc_s") * a).withColumn("acc_l", F.col("acc_l") * b)
         .withColumn("speed", hypot(F.col("vel_s"), F.col("vel_l"))).withColumn("accel_mag", hypot(F.col("acc_s"), F.col("acc_l"))))
-    return m.drop("a_s", "a_l")
 
 
 def convert_summary(summary: DataFrame, cal: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -183,20 +224,49 @@ def episode_errors(pred: DataFrame, truth: DataFrame, keys: Sequence[str] = EPIS
         F.col("end_speed").alias("pred_end_speed"), "gt_end_speed", (F.col("end_speed") - F.col("gt_end_speed")).alias("end_speed_error"))
 
 
+PER_FRACTION = [f"{m}_error" for m in METRICS]
+PER_EPISODE = ["total_break_error", "end_speed_error"]
+
+
+def _stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.groupBy("interpolation_mode").agg(F.array(
+        F.struct(F.lit("averages").alias("stat"), *[F.avg(c).alias(c) for c in cols]),
+        F.struct(F.lit("mae").alias("stat"), *[F.avg(F.abs(F.col(c))).alias(c) for c in cols])).alias("_s")
+    ).select("interpolation_mode", F.inline("_s"))
+
+
+def _named(stats: DataFrame) -> DataFrame:
+    return stats.select("interpolation_mode", F.col("stat").alias("fraction"), *[
+        F.col(c).alias("pred_" + c.removesuffix("_error")) for c in (*PER_FRACTION, *PER_EPISODE)])
+
+
 def error_summary(fractions: DataFrame, episodes: DataFrame) -> DataFrame:
     """Mean and mean absolute error of the eight metrics per interpolation mode: rows "averages" and "mae"."""
-    per_frac = [f"{m}_error" for m in METRICS]
-    per_ep = ["total_break_error", "end_speed_error"]
-
-    def agg(df, cols):
-        return df.groupBy("interpolation_mode").agg(F.array(
-            F.struct(F.lit("averages").alias("stat"), *[F.avg(c).alias(c) for c in cols]),
-            F.struct(F.lit("mae").alias("stat"), *[F.avg(F.abs(F.col(c))).alias(c) for c in cols])).alias("_s")
-        ).select("interpolation_mode", F.inline("_s"))
-
-    out = agg(fractions, per_frac).join(agg(episodes, per_ep), ["interpolation_mode", "stat"])
-    return out.select("interpolation_mode", F.col("stat").alias("fraction"), *[
-        F.col(c).alias("pred_" + c.removesuffix("_error")) for c in (*per_frac, *per_ep)])
+    return _named(_stats(fractions, PER_FRACTION).join(_stats(episodes, PER_EPISODE), ["interpolation_mode", "stat"]))
+
+
+def report(pred: DataFrame, truth: DataFrame, modes: Sequence[str], keys: Sequence[str] = EPISODE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fraction errors, episode errors, summary) of all interpolation modes from one expanded profile.
+
+    pred: keys, frame_index, timestamp_s, x_m, y_m in view units; truth: keys, global_frame_idx, lane_s, y.  Episodes need
+    four common frames, and a prediction that has a length and a duration.  The rows of an episode stay in one array until the
+    end, so every join is of one row per episode, and a summary averages an episode's own errors over its equally many fraction rows.
+    """
+    each = ["interpolation_mode", *keys]
+    mine = episode_rows(motion_profiles(pred, modes, keys), each)
+    true = episode_rows(truth_profile(truth, keys=keys), keys)
+    true = true.select(*keys, F.col("at").alias("gt_at"), F.col("total_break").alias("gt_total_break"), F.col("end_speed").alias("gt_end_speed"))
+    along = F.col("primary_axis") == 0
+    ep = mine.join(calibrate_axes(pred, truth, keys), list(keys)).join(true, list(keys)).withColumns({
+        "a_s": F.when(along, F.col("a_xs")).otherwise(F.col("a_ys")), "a_l": F.when(along, F.col("a_yl")).otherwise(F.col("a_xl"))})
+    ep = ep.withColumns({"pred_total_break": F.col("total_break") * F.abs("a_l"), "pred_end_speed": F.col("end_speed") * F.abs("a_s")})
+    ep = ep.withColumns({f"{c}_error": F.col(f"pred_{c}") - F.col(f"gt_{c}") for c in ("total_break", "end_speed")})
+    rows = ep.select(*each, "a_s", "a_l", *PER_EPISODE, F.inline(F.arrays_zip("at", "gt_at")))
+    rows = _to_world(rows.select(*each, "a_s", "a_l", *PER_EPISODE, "at.fraction", "at._r.*", *[F.col("gt_at._r")[c].alias(f"gt_{c}") for c in METRICS]))
+    rows = rows.withColumns({f"{c}_error": F.col(c) - F.col(f"gt_{c}") for c in METRICS})
+    fractions = rows.select(*each, "fraction", "frac_position", *[F.col(c).alias(f"pred_{c}") for c in METRICS], *[f"gt_{c}" for c in METRICS], *PER_FRACTION)
+    episodes = ep.select(*each, *[p.format(c) for c in ("total_break", "end_speed") for p in ("pred_{}", "gt_{}", "{}_error")])
+    return fractions, episodes, _named(_stats(rows, [*PER_FRACTION, *PER_EPISODE]))
 
 
 def fraction_error_profile(fractions: DataFrame, first: Sequence[str] = EPISODE) -> DataFrame:

@@ -156,20 +156,4 @@ def evaluate(pred: DataFrame, truth: DataFrame, modes: Sequence[str] = ("none",
 
     pred: episode_idx, frame_index, timestamp_s, x_m, y_m (view units).
     """
-    keys = ev.EPISODE
-    t_frac, t_sum = ev.truth_metrics(truth)
-    fracs, eps = [], []
-    for mode in modes:
-        summary = ev.lane_summary(pred, mode, keys)
-        pairs = ev.join_ground_truth(pred.join(summary.select(*keys, "primary_axis"), keys), truth.select(*keys, "global_frame_idx", "lane_s", "y"), keys)
-        along = F.col("primary_axis") == 0
-        pairs = pairs.withColumn("s_bev", F.when(along, F.col("x_m")).otherwise(F.col("y_m"))).withColumn(
-            "l_bev", F.when(along, F.col("y_m")).otherwise(F.col("x_m")))
-        cal = ev.calibrate(pairs, keys)
-        tag = lambda df: df.withColumn("interpolation_mode", F.lit(mode))  # noqa: E731, B023
-        fracs.append(ev.fraction_errors(tag(ev.convert_metrics(ev.lane_metrics(pred, mode, keys=keys), cal, keys)), t_frac, keys))
-        eps.append(ev.episode_errors(tag(ev.convert_summary(summary, cal, keys)), t_sum, keys))
-    f, e = fracs[0], eps[0]
-    for a, b in zip(fracs[1:], eps[1:]):
-        f, e = f.unionByName(a), e.unionByName(b)
-    return Evaluation(f, e, ev.error_summary(f, e))
+    return Evaluation(*ev.report(pred, truth, modes))
