@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from catalog.core import query
+from catalog.motion import _KIN
 from shotlane.config import DEFAULT
 from shotlane.functions import text as tx
 from shotlane.operators import frames as fr
 from shotlane.operators import poses as ps
 from shotlane.operators import sequences as sq
 from shotlane.operators import store as st
+from shotlane.operators.kinematics import kinematics_per_quarter
 from shotlane.plans import jobs
 from shotlane.session import scratch_path
 
@@ -332,3 +334,32 @@ def _(t):
     e = t.table("events").select(
         F.col("user_id").alias("shot_id"), "event_id", F.expr(f"cast((unix_micros(cast(ts as timestamp)) - {BASE_US}) div 3600000000 as int)").alias("frame_index"))
     return sq.first_per_frame(e, order=("event_id",), last=True)
+
+
+# ---- from a job to the store -------------------------------------------------
+
+def _stored(t):
+    """Sections of every shot with points or joints, stored and read back; even shots have no whole section, so theirs is put together."""
+    traj, joints = t.traj(), t.joints()
+    runs = traj.select("shot_id").union(joints.select("shot_id")).distinct().select(
+        "shot_id", F.concat(F.lit("Run "), F.col("shot_id")).alias("name"), F.lit("v").alias("video_key"), F.lit("sd").alias("sd_key"), F.lit(30.0).alias("fps"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("updated_at"))
+    updates = st.section_updates(runs, traj, kinematics_per_quarter(traj), joints)
+    updates = updates.where((F.col("section") != "aggregated") | (F.regexp_extract("name", r"(\d+)", 1).cast("int") % 2 == 1))
+    rows = st.merge_run_sections(t.spark.createDataFrame([], st.RUN_SECTIONS), updates)
+    return st.merge_sections(rows).withColumn("shot_id", F.regexp_extract("slug", r"(\d+)", 1).cast("int")).withColumn("whole", (F.col("origin") == "aggregated").cast("int"))
+
+
+@query("stored_points", "shot_id whole pos || x y", "traj", "SELECT shot_id, shot_id % 2 AS whole, row_number() OVER (PARTITION BY shot_id ORDER BY frame_index) - 1 AS pos, x_m AS x, y_m AS y FROM traj")
+def _(t):
+    return _stored(t).select("shot_id", "whole", F.posexplode("ball_points").alias("pos", "p")).select("shot_id", "whole", "pos", "p.*")
+
+
+@query("stored_kinematics", "shot_id quarter sample_count || start_m end_m mean_speed_mps mean_acceleration_mps2", "traj", _KIN("traj"))
+def _(t):
+    return _stored(t).select("shot_id", F.inline("kinematics_table"))
+
+
+@query("stored_bodies", "shot_id pos joint_id || x y z", "joints", "SELECT *, dense_rank() OVER (PARTITION BY shot_id ORDER BY frame_index) - 1 AS pos FROM joints")
+def _(t):
+    return _stored(t).select("shot_id", F.posexplode("skeleton_points").alias("pos", "j")).select("shot_id", "pos", F.inline("j"))

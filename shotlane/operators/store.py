@@ -179,6 +179,36 @@ def union_answers(shots: DataFrame, runs: DataFrame) -> DataFrame:
     return shots.unionByName(runs, allowMissingColumns=True)
 
 
+def section_updates(runs: DataFrame, positions: DataFrame, kinematics: DataFrame, poses: DataFrame, homographies: DataFrame | None = None, health: DataFrame | None = None) -> DataFrame:
+    """Analysed shots as updates of their run's three sections, one row each, as ``merge_run_sections`` takes them.
+
+    runs: shot_id, name, video_key, sd_key, fps, updated_at, one row per shot.  positions: shot_id, frame_index, x_m, y_m;
+    kinematics: one row per quarter; poses: shot_id, frame_index, joint_id, x, y, z (by person_id, if there is one); homographies and health: one row per
+    shot.  What a shot lacks is an empty list.  A shot's rows are bounded by its frames; the texts are made after one join per part.
+    """
+    gathered = lambda df, *cols: df.groupBy("shot_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_v"))
+    points = gathered(positions, "frame_index", "x_m", "y_m").select(
+        "shot_id", F.transform("_v", lambda p: F.struct(p["x_m"].cast("double").alias("x"), p["y_m"].cast("double").alias("y"))).alias("ball_points"))
+    quarters = gathered(kinematics, "quarter", "start_m", "end_m", "mean_speed_mps", "mean_acceleration_mps2", F.col("sample_count").cast("int").alias("sample_count"))
+    person = [F.col("person_id")] if "person_id" in poses.columns else []
+    frames = poses.groupBy("shot_id", "frame_index").agg(F.sort_array(F.collect_list(F.struct(*person, "joint_id", "x", "y", "z"))).alias("_j"))
+    frames = frames.withColumn("_j", F.transform("_j", lambda j: F.struct(*[j[c].alias(c) for c in ("joint_id", "x", "y", "z")])))
+    bodies = gathered(frames, "frame_index", "_j").select("shot_id", F.col("_v._j").alias("skeleton_points"))
+    rows = runs.join(points, "shot_id", "left").join(quarters.withColumnRenamed("_v", "kinematics_table"), "shot_id", "left").join(bodies, "shot_id", "left")
+    lane = []
+    if homographies is not None:
+        rows = rows.join(homographies.select("shot_id", "is_trapezoid", "homography_frame"), "shot_id", "left")
+        lane = [F.coalesce("is_trapezoid", F.lit(False)).alias("is_trapezoid"), "homography_frame"]
+    if health is not None:
+        rows = rows.join(health.select("shot_id", F.struct(*[c for c in health.columns if c != "shot_id"]).alias("health")), "shot_id", "left")
+        lane.append("health")
+    full = lambda c, t: F.coalesce(F.col(c).cast(t), F.array().cast(t)).alias(c)
+    ball, table, body = full("ball_points", _POINTS), full("kinematics_table", _TABLE), full("skeleton_points", _BODY)
+    texts = {"aggregated": F.struct(ball, table, body), "laneballs": F.struct("fps", ball, table, *lane), "fourdbody": F.struct("fps", body)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.to_json(v).alias("payload")) for k, v in texts.items()])).alias("_s")
+    return rows.select("name", "video_key", "sd_key", "updated_at", each).select("name", "_s.*", "video_key", "sd_key", "updated_at")
+
+
 def run_section_answers(runs: DataFrame, section: str, schema: str) -> DataFrame:
     """One parsed section of each asked run; runs without it, or with an unreadable one, are left out."""
     rows = runs.where(F.col("section") == section).withColumn("_p", _parsed(F.col("payload"), schema)).where("_p is not null")

@@ -123,6 +123,11 @@ def analyse_poses(joints: DataFrame, shots: DataFrame, conf: Settings = DEFAULT,
     return ps.ema(cut_off, conf.ema_alpha, order=order) if smooth else cut_off.select(*ps.BODY, "frame_index", "x", "y", "z")
 
 
+def analysed_sections(runs: DataFrame, shots: ShotAnalysis, poses: DataFrame) -> DataFrame:
+    """The stored form of a job: updates for ``store.upsert_run_sections`` with points, kinematics, bodies and health of every run (shot_id, name, video_key, sd_key, fps, updated_at)."""
+    return st.section_updates(runs, shots.positions, shots.kinematics, poses, shots.homographies, shots.health)
+
+
 def query_lane_ball(shots: DataFrame, runs: DataFrame, numbers: Sequence[int], names: Sequence[str], conf: Settings = DEFAULT) -> DataFrame:
     a = st.shot_answers(st.query_shots(shots, numbers, "laneballs"), conf).drop("skeleton_points")
     return st.union_answers(a, st.run_section_answers(st.query_runs(runs, names), "laneballs", st.LANE_PAYLOAD))
