@@ -1,3 +1,4 @@
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -185,3 +186,12 @@ def test_whole_shot_from_drawn_masks(spark):
     assert all(abs(r["x_m"] - 1.0541 / 2) < 0.1 for r in pos) and pos[0]["y_m"] < 1.0 and pos[-1]["y_m"] > 17.0
     kin = out.kinematics.collect()
     assert sorted((r["shot_id"], r["quarter"]) for r in kin) == [(s, i) for s in ("none", "s") for i in (1, 2, 3, 4)]
+    runs_of = spark.createDataFrame([("s", "Run s", "v", "key", 30.0), ("none", "Run none", "v", None, 30.0)], "shot_id string, name string, video_key string, sd_key string, fps double")
+    poses = spark.createDataFrame([("s", f, j, float(j), float(f), 0.0) for f in (1, 0) for j in (2, 1)], "shot_id string, frame_index int, joint_id int, x double, y double, z double")
+    sections = jobs.analysed_sections(runs_of.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp")), out, poses)
+    held = {(r["name"], r["section"]): json.loads(r["payload"]) for r in sections.collect()}
+    assert len(held) == 6 and held["Run none", "laneballs"]["ball_points"] == [] and held["Run none", "laneballs"]["is_trapezoid"] is False
+    assert [p["y"] for p in held["Run s", "aggregated"]["ball_points"]] == [r["y_m"] for r in pos]
+    assert held["Run s", "laneballs"]["health"]["frames_with_lane"] == n and len(held["Run s", "laneballs"]["kinematics_table"]) == 4
+    assert [[j["joint_id"] for j in f] for f in held["Run s", "fourdbody"]["skeleton_points"]] == [[1, 2], [1, 2]]
+    assert [f[0]["y"] for f in held["Run s", "fourdbody"]["skeleton_points"]] == [0.0, 1.0]
