@@ -28,11 +28,15 @@ Texts that similar are some ten bits of a SimHash apart, out of reach of a ball,
 fingerprint has one bit of each of ``BITS`` minimum hashes of the shingle set: two texts differ in a bit with chance
 (1 - J) / 2.  Every 32-bit band of it is ball-hashed at radius two (one bit on each side), and every
 candidate is verified on the whole shingle sets.  Equal shingle sets are one node.  Bands hold their distinct values
-only, so a variant has at most 33 members, and a value's texts are linked to its smallest one.
+only, so a variant has at most 33 members, and a value's texts are linked to its smallest one.  That link is to a true partner only
+while members by chance are rare, so a band's key is lengthened with the number of sets (``key_bits``): some bits of another
+band are added, in several ways (a way per other band), so that a pair that differs in the bits of one way meets in the next.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,6 +51,8 @@ from shotlane.session import cut
 RADIUS, SHINGLE = 3, 3
 #: Of the stage: words of a shingle, similarity, bits of the fingerprint, and the distance that no pair as similar has (over six standard errors).
 STAGE_SHINGLE, SIMILAR, BITS, FAR = 5, 0.8, 256, 56
+#: Members that a variant may have by chance, and the share of the pairs meeting in a band that must meet in a lengthened key of it.
+CHANCE, KEPT = 0.25, 0.95
 _PART = 1 << 15
 
 
@@ -181,11 +187,27 @@ def _shingle_step():
 SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of set ids to verify, from distinct rows (fp, *SIGNATURE): star links within the ball of a band."""
+def key_bits(n_sets: int, similar: float = SIMILAR) -> tuple[int, int]:
+    """Bits to add to a band's key so that a variant has at most ``CHANCE`` members by chance, and in how many ways to add them."""
+    bits = max(0, math.ceil(math.log2(max(1, n_sets) * (1 + 32) / 2**32 / CHANCE)))
+    met = (1 - (1 - similar) / 2) ** bits
+    ways = 1 if met == 1 else math.ceil(math.log(1 - KEPT) / math.log(1 - met))
+    return bits, min(ways, BITS // 32 - 1)
+
+
+def candidate_pairs(sets: DataFrame, bits: int = 0, ways: int = 1) -> DataFrame:
+    """Pairs (u, v) of set ids to verify, from distinct rows (fp, *SIGNATURE): star links within the ball of a band's key.
+
+    A key is the band's number and way, ``bits`` low bits of another band (the way says which), and the 32 bits of the band, which alone are flipped.
+    """
     bands = [F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) if k == 0 else F.shiftrightunsigned(c, 32) for c in SIGNATURE for k in (0, 1)]
-    keyed_ = F.array([F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(b) for i, b in enumerate(bands)])
-    rows = cut(sets.select("fp", F.explode(keyed_).alias("w")), "bands")
+    n = len(bands)
+    keys = []
+    for i, b in enumerate(bands):
+        for way in range(ways):
+            more = bands[(i + 1 + way) % n].bitwiseAND(F.lit((1 << bits) - 1))
+            keys.append(F.lit((i * n + way) << 56).bitwiseOR(F.shiftleft(more, 32)).bitwiseOR(b))
+    rows = cut(sets.select("fp", F.explode(F.array(keys)).alias("w")), "bands")
     hubs = cut(rows.groupBy("w").agg(F.min("fp").alias("hub")), "band-hubs")
     # the texts of one value to its smallest; then values within two bits of each other, their smallest texts
     own = rows.join(hubs, "w").filter("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
@@ -201,7 +223,7 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     least = seen.groupBy("fp").agg(*[F.min(c).alias(c) for c in SIGNATURE], F.min(F.struct(K1, K2)).alias("k"))
     sets = cut(least.select("fp", *SIGNATURE, F.col("k")[K1].alias(K1), F.col("k")[K2].alias(K2)), "shingle-sets")
     spread = sets.filter("fp <> 0").select("fp", *SIGNATURE).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    pairs = candidate_pairs(spread)
+    pairs = candidate_pairs(spread, *key_bits(sets.count(), similar))
     of = lambda name: sets.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}{c}") for c in SIGNATURE])
     apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in SIGNATURE), F.lit(0))
     close = cut(pairs.join(of("u"), "u").join(of("v"), "v").filter(apart <= FAR).select("u", "v"), "close-pairs")

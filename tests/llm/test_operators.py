@@ -318,6 +318,54 @@ def test_near_dedup_stage_reaches_similar_texts(spark):
     assert sum(3 * i + 1 in left for i in range(60)) <= 5
 
 
+def test_candidates_hold_among_many_chance_members(spark):
+    rng = np.random.default_rng(11)
+    n, bands = 3000, neardup.BITS // 32
+    words = rng.integers(0, 1 << 32, (bands, 256), dtype=np.uint64)  # 256 values of a band: a dozen sets share each by chance
+    sign = np.stack([words[b][rng.integers(0, 256, n)] for b in range(bands)], axis=1).astype(np.uint32)
+    flips = np.packbits(rng.random((300, neardup.BITS)) < 0.1, axis=1).view(np.uint32)
+    sign = np.concatenate([sign, sign[:300] ^ flips])  # the partners of the first 300, at similarity 0.8
+    ids = rng.permutation(len(sign)) + 1
+    rows = [(int(i), *map(int, x)) for i, x in zip(ids, np.ascontiguousarray(sign).view(np.int64))]
+    df = spark.createDataFrame(rows, "fp long, " + ", ".join(f"{c} long" for c in neardup.SIGNATURE))
+    true = {tuple(sorted((int(ids[k]), int(ids[n + k])))) for k in range(300)}
+
+    def met(bits: int, ways: int) -> float:
+        found = {tuple(sorted(r)) for r in neardup.candidate_pairs(df, bits, ways).collect()}
+        return len(true & found) / len(true)
+
+    assert met(0, 1) < 0.7 < 0.9 <= met(6, 5)
+    assert neardup.key_bits(0) == neardup.key_bits(30_000_000) == (0, 1)
+    for size in (10**8, 10**9, 10**10, 4 * 10**10):
+        bits, ways = neardup.key_bits(size)
+        assert size * 33 / 2 ** (32 + bits) <= neardup.CHANCE and bits <= 24 and 1 - (1 - 0.9**bits) ** ways > 0.92
+
+
+def test_near_dedup_stage_is_brute_force_on_the_given_table(spark, texts):
+    sets = {d: neardup.shingles(t.encode()) for d, t in texts.items()}
+    held = {r["doc_id"]: r["root"] for r in neardup.similar_groups(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    pairs = found = wrong = 0
+    every = sorted(d for d in sets if len(sets[d]))
+    parent = {d: d for d in every}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(every):
+        for b in every[i + 1 :]:
+            if 5 * min(len(sets[a]), len(sets[b])) < 4 * max(len(sets[a]), len(sets[b])):
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= neardup.SIMILAR * (len(sets[a]) + len(sets[b]) - both):
+                parent[top(a)] = top(b)
+                pairs, found = pairs + 1, found + (held[a] == held[b])
+    for i, a in enumerate(every):
+        wrong += sum(held[a] == held[b] and top(a) != top(b) for b in every[i + 1 :])
+    assert pairs and found >= 0.95 * pairs and wrong == 0
+
+
 def test_odd_rows_and_empty_tables(spark, odd, empty, bench, labels):
     n = odd.count()
     for docs, rows in ((odd, n), (empty, 0)):
