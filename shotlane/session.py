@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,14 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{configured.rstrip('/')}/shotlane-{spark.sparkContext.applicationId}"
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths that ``scratch_path`` hands out inside, in order, so that a caller can ``release`` them."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    written = _written.get()
+    if written is not None:
+        written.append(path)
+    return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder; frames that read it can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete ``paths`` (or all that this application has written to the shared folder); frames that read them can't be used any more."""
+    for p in [shared_dir(spark)] if paths is None else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

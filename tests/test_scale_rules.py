@@ -15,7 +15,7 @@ from shotlane.operators import lanes as ln
 from shotlane.operators import masks as mk
 from shotlane.operators import poses as ps
 from shotlane.operators import store
-from shotlane.session import scratch_path
+from shotlane.session import cut, release, scratch, scratch_path
 
 REPO = Path(__file__).resolve().parents[1]
 
@@ -81,3 +81,14 @@ def test_kernels_by_hand():
     assert kn.spread_flat(np.array([])).size == 0 and np.allclose(kn.spread_flat(np.array([1.0, 1.0])), [1, 1])
     assert np.allclose(kn.anchor_ends(np.zeros(12), np.ones(12)), [0.5, 0.375, 0.25, 0.125, 0, 0, 0, 0, 0.125, 0.25, 0.375, 0.5])
     assert np.allclose(kn.anchor_ends(np.zeros(3), np.ones(3)), [0.5, 0.4375, 0.5])
+
+
+def test_scratch_of_a_block_is_released(spark):
+    outside = cut(spark.range(5), "outside")
+    with scratch() as paths:
+        inside = cut(spark.range(7), "inside")
+        assert inside.count() == 7
+    cut(spark.range(3), "later")
+    assert len(paths) == 1 and "inside" in paths[0]
+    release(spark, paths)
+    assert not os.path.exists(paths[0].removeprefix("file://")) and outside.count() == 5
