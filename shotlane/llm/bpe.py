@@ -21,7 +21,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
 
 from shotlane.llm.common import map_text, set_aside, without
 
@@ -114,20 +114,23 @@ def _codec(spark, path: str, pattern: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all) plus ``ids`` and ``n_tokens``."""
+    """``keep`` columns (all) plus ``ids``, ``n_tokens`` and ``intact`` (the ids were decoded and give the text again)."""
     held = _codec(docs.sparkSession, path, pattern)
 
     def start():
         codec = Codec(*held.value)
 
         def step(texts: pa.Array) -> list:
-            ids = [codec.encode(t or "") for t in texts.to_pylist()]
-            return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
+            held = [t or "" for t in texts.to_pylist()]
+            ids = [codec.encode(t) for t in held]
+            intact = [codec.decode(x) == t.encode() for x, t in zip(ids, held)]
+            return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(intact, pa.bool_())]
 
         return step
 
-    names = without(docs, ["ids", "n_tokens"])
-    return map_text(docs, [c for c in keep or names if c in names], [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())], start)
+    names = without(docs, ["ids", "n_tokens", "intact"])
+    fields = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("intact", BooleanType())]
+    return map_text(docs, [c for c in keep or names if c in names], fields, start)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
@@ -172,10 +175,10 @@ def decode(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """All columns of ``docs`` but those named ids and n_tokens, plus ids and n_tokens."""
+    """All columns of ``docs`` but those named ids, n_tokens and intact, plus these three."""
     held, back = set_aside(docs)
-    names = {"ids", "n_tokens"}
+    names = {"ids", "n_tokens", "intact"}
     kept = [c for c, name in zip(back, docs.columns) if name.lower() not in names]
     from pyspark.sql import functions as F
 
-    return encode(held, path, pattern, [*held.columns]).select(*kept, F.col("ids"), F.col("n_tokens"))
+    return encode(held, path, pattern, [*held.columns]).select(*kept, F.col("ids"), F.col("n_tokens"), F.col("intact"))

@@ -423,9 +423,31 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "bpe_tokens"]
     out = corpus_pipeline.run(spark, SMALL)
-    assert out.columns == [*docs.columns, "ids", "n_tokens"] and 0 < out.count() <= docs.count()
+    assert out.columns == [*docs.columns, "ids", "n_tokens", "intact"] and 0 < out.count() <= docs.count() and out.filter("intact").count() == out.count()
     left = {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     assert all(not hit for _, hit, _ in brute_contamination(left, items).values())
     fps = sorted(brute_fingerprint(t) for t in left.values())
     assert len(set(fps)) == len(fps)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    ids, item = [StructField("doc_id", LongType())], [StructField("item_id", LongType()), StructField("text", StringType())]
+    labels = StructType([*ids, StructField("quality", LongType()), StructField("toxic", LongType())])
+    for name, docs, known, items in (("odd", odd, [(3, None, None), (None, 1, 1), (4, 1, 0), (3, 1, 0), (6, 0, 1)], [(1, "zero one two three four five six seven eight nine ten"), (2, None), (None, "..."), (1, "")]), ("empty", empty, [], [])):
+        base = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{base}/documents.parquet")
+        spark.createDataFrame(known, labels).write.parquet(f"{base}/labels.parquet")
+        spark.createDataFrame(items, StructType(item)).write.parquet(f"{base}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, base)
+        rows = out.collect()
+        assert out.columns == [c for c in docs.columns if c != "ids"] + ["ids", "n_tokens", "intact"] and all(r["intact"] for r in rows)
+        if name == "empty":
+            assert not rows
+            continue
+        # nulls and empty texts are one group, equal texts another; whatever toxicity says of the rest, no other row is a copy or holds an item
+        texts = [r["text"] or "" for r in rows]
+        assert len(set(texts)) == len(texts) <= 6 and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert all(r["n_tokens"] == len(r["ids"]) and (r["n_tokens"] > 0) == bool(r["text"]) for r in rows)
