@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shotlane.session import cut
 
@@ -58,18 +58,20 @@ def map_text(df: DataFrame, keep: list[str], fields: list[StructField], start: C
     ``start()`` runs once per task and returns a function from an Arrow array of
     texts (nulls are empty) to one Arrow array per field.  Batches are cut into
     slices of about ``slice_bytes`` of text, so memory follows the longest text
-    and not the batch.
+    and not the batch.  A text that is kept travels once.
     """
-    held = df.select(*keep, whole_text().alias("__text"))
+    once = "text" in keep and df.schema["text"].dataType == StringType()
+    held = df.select(*keep) if once else df.select(*keep, whole_text().alias("__text"))
+    place = keep.index("text") if once else len(keep)
     out = StructType([held.schema[c] for c in keep] + fields)
     names = [*keep, *[f.name for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for a, b in slices(batch.column(len(keep)), slice_bytes):
+            for a, b in slices(batch.column(place), slice_bytes):
                 part = batch.slice(a, b - a)
-                new = step(part.column(len(keep)))
+                new = step(pc.fill_null(part.column(place), ""))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + list(new), names=names)
 
     return held.mapInArrow(run, out)
