@@ -17,8 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from itertools import chain
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
@@ -82,13 +83,16 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.map = {b: c for b, c in enumerate(byte_characters())}
-        self.ready: dict[str, list[int]] = {}
+        self.ready: dict[str, bytes] = {}  # ids as 32-bit numbers
 
-    def _encode_new(self, parts: list[str]) -> dict[str, list[int]]:
+    def _encode_new(self, parts: list[str]) -> dict[str, bytes]:
         mapped = [p.encode().decode("latin-1").translate(self.map) for p in parts]
-        return dict(zip(parts, self.pieces.encode(mapped, out_type=int, num_threads=1)))
+        return {p: array("i", ids).tobytes() for p, ids in zip(parts, self.pieces.encode(mapped, out_type=int, num_threads=1))}
 
     def encode(self, text: str) -> list[int]:
+        return self.ids(text).tolist()
+
+    def ids(self, text: str) -> np.ndarray:
         parts = self.find(text)
         ready = self.ready
         missing = [p for p in dict.fromkeys(parts) if p not in ready]
@@ -98,11 +102,12 @@ class Codec:
                 ready = self.ready = {p: ready[p] for p in set(parts) if p in ready}
             long = {p: ids for p, ids in new.items() if len(p) > CACHE_LENGTH}
             ready.update(new)
-            out = list(chain.from_iterable(map(ready.__getitem__, parts)))
+            out = b"".join(map(ready.__getitem__, parts))
             for p in long:
                 del ready[p]
-            return out
-        return list(chain.from_iterable(map(ready.__getitem__, parts)))
+        else:
+            out = b"".join(map(ready.__getitem__, parts))
+        return np.frombuffer(out, np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -122,9 +127,11 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
 
         def step(texts: pa.Array) -> list:
             held = [t or "" for t in texts.to_pylist()]
-            ids = [codec.encode(t) for t in held]
-            intact = [codec.decode(x) == t.encode() for x, t in zip(ids, held)]
-            return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(intact, pa.bool_())]
+            ids = [codec.ids(t) for t in held]
+            intact = [codec.decode(x.tolist()) == t.encode() for x, t in zip(ids, held)]
+            counts = np.array([len(x) for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), np.concatenate([np.zeros(0, np.int32), *ids]))
+            return [lists, pa.array(counts), pa.array(intact, pa.bool_())]
 
         return step
 
