@@ -9,16 +9,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotlane.config import DEFAULT, Settings
 from shotlane.functions import geometry as G
+from shotlane.operators import packs
+from shotlane.session import cut
 
 MASK = ["shot_id", "frame_index", "det_id"]
 CLASS = ["shot_id", "frame_index", "class_name"]
+RUN = ["y", "x0", "x1"]
 
 
 def _len() -> Column:
@@ -50,45 +53,82 @@ def mask_centroid(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
     )
 
 
+def _rows(ids: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (group, y, x), and the place of each sorted element's image row among all rows of all groups."""
+    line = packs.order_by(ids, y)
+    change = np.append(np.zeros(min(1, len(line)), bool), (np.diff(ids[line]) != 0) | (np.diff(y[line]) != 0))
+    row = np.empty(len(line), np.int64)
+    row[line] = np.cumsum(change)
+    by = packs.order_by(row, x)
+    return by, row[by]
+
+
+def _merged(ids: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Group, y, x0, x1 of the disjoint runs that overlapping or touching runs of a row make."""
+    y, x0, x1 = (c.astype(np.int64) for c in (y, x0, x1))
+    if not len(y):
+        return ids, y, x0, x1
+    by, row = _rows(ids, y, x0)
+    ids, y, x0, x1 = ids[by], y[by], x0[by], x1[by]
+    low, width = x0.min(), max(x1.max(), x0.max()) - x0.min() + 4
+    reach = np.maximum.accumulate(row * width + (x1 - low))
+    at = np.flatnonzero(np.append(True, row[1:] * width + (x0[1:] - low) > reach[:-1] + 1))
+    end = np.append(at[1:], len(y)) - 1
+    return ids[at], y[at], x0[at], reach[end] - row[at] * width + low
+
+
+def _union(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Disjoint runs of packed ones; what is held of a key never exceeds twice its union, however many masks overlap."""
+    fields = [T.StructField(c, packed.schema[c].dataType.elementType) for c in RUN]
+
+    def merged(g: packs.Groups):
+        of, *values = _merged(g.id, *g.flat)
+        return g.rows(of, *[packs.cast_down(v, f.dataType) for v, f in zip(values, fields)])
+
+    return packs.per_group(packed, keys, merged, fields, shrink=lambda g: g.repacked(*_merged(g.id, *g.flat)))
+
+
 def union_masks(runs: DataFrame, keys: Sequence[str] = CLASS) -> DataFrame:
     """Overlapping or touching runs of one (keys, row) merged into disjoint runs.
 
-    Runs are first reduced to the longest per left end, on the map side: at
-    most one row per pixel column is left, however many masks overlap.
+    Packed runs of a key meet in one exchange and are merged batch by batch.
     """
-    row = [*keys, "y"]
-    longest = runs.groupBy(*row, "x0").agg(F.max("x1").alias("x1"))
-    w = Window.partitionBy(*row).orderBy("x0")
-    reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = longest.withColumn("_new", F.when(F.col("x0") > F.coalesce(reach, F.lit(-2)) + 1, 1).otherwise(0))
-    grouped = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return grouped.groupBy(*row, "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
+    return _union(packs.pack(runs, keys, RUN), keys)
 
 
 def mask_iou(pred: DataFrame, truth: DataFrame, keys: Sequence[str] = CLASS) -> DataFrame:
     """Intersection over union of everything predicted and true in each key; 0 when both are empty.
 
-    intersection = |A| + |B| - |A or B|, so no run is ever paired with another:
-    one pass of edge events per row gives all three areas.
+    No run is ever paired with another: the runs of both sides of a key meet packed in one exchange, and one pass over
+    their edges gives all areas.
     """
-    row = [*keys, "y"]
-    sides = pred.select(*row, "x0", "x1", F.lit(0).alias("_s")).unionByName(truth.select(*row, "x0", "x1", F.lit(1).alias("_s")))
-    edges = sides.select(*row, F.inline(F.array(
-        F.struct(F.col("x0").alias("_x"), F.when(F.col("_s") == 0, 1).otherwise(0).alias("_p"), F.when(F.col("_s") == 1, 1).otherwise(0).alias("_t")),
-        F.struct((F.col("x1") + 1).alias("_x"), F.when(F.col("_s") == 0, -1).otherwise(0).alias("_p"), F.when(F.col("_s") == 1, -1).otherwise(0).alias("_t")),
-    )))
-    net = edges.groupBy(*row, "_x").agg(F.sum("_p").alias("_p"), F.sum("_t").alias("_t"))
-    w = Window.partitionBy(*row).orderBy("_x")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = net.select(
-        *keys, (F.lead("_x").over(w) - F.col("_x")).alias("_w"),
-        (F.sum("_p").over(upto) > 0).alias("_a"), (F.sum("_t").over(upto) > 0).alias("_b"),
-    )
-    inter = F.coalesce(F.sum(F.when(F.col("_a") & F.col("_b"), F.col("_w"))), F.lit(0))
-    union = F.coalesce(F.sum(F.when(F.col("_a") | F.col("_b"), F.col("_w"))), F.lit(0))
-    return spans.groupBy(*keys).agg(inter.alias("intersection"), union.alias("union_area")).withColumn(
-        "iou", F.when(F.col("union_area") > 0, F.col("intersection") / F.col("union_area")).otherwise(0.0)
-    )
+    sides = [df.select(*keys, *RUN, F.lit(i).cast("byte").alias("_s")) for i, df in enumerate((pred, truth))]
+    both = packs.pack(sides[0].unionByName(sides[1]), [*keys, "_s"], RUN)
+    both = both.withColumn("_s", F.array_repeat("_s", F.size("y"))).select(*keys, *RUN, "_s")
+
+    def areas(g: packs.Groups):
+        y, x0, x1 = (c.astype(np.int64) for c in g.flat[:3])
+        ids, at, step = np.concatenate([g.id, g.id]), np.concatenate([x0, x1 + 1]), np.repeat([1, -1], len(y))
+        by, _ = _rows(ids, np.concatenate([y, y]), at)
+        first = np.concatenate([g.flat[3], g.flat[3]])[by] == 0
+        # every row's steps sum to zero, so nothing is open between rows
+        a, b = np.cumsum(np.where(first, step[by], 0)) > 0, np.cumsum(np.where(first, 0, step[by])) > 0
+        width, ids = np.diff(at[by], append=0), ids[by]
+        sums = [np.bincount(ids[on], weights=width[on], minlength=g.count).astype(np.int64) for on in (a & b, a | b)]
+        return g.rows(np.arange(g.count), *map(pa.array, sums))
+
+    def shrink(g: packs.Groups):
+        parts = []
+        for s in (0, 1):
+            on = g.flat[3] == s
+            merged = _merged(g.id[on], *[c[on] for c in g.flat[:3]])
+            parts.append([*merged, np.full(len(merged[0]), s, np.int8)])
+        ids, *values = (np.concatenate(c) for c in zip(*parts))
+        by = np.argsort(ids, kind="stable")
+        return g.repacked(ids[by], *[v[by] for v in values])
+
+    met = packs.per_group(both, keys, areas, [packs.whole("intersection"), packs.whole("union_area")], shrink)
+    return met.withColumn("iou", F.when(F.col("union_area") > 0, F.col("intersection") / F.col("union_area")).otherwise(0.0))
 
 
 # ten thresholds from 0.5 in steps of 0.05, as a float range makes them
@@ -126,31 +166,71 @@ def polygon_runs(polys: DataFrame, keys: Sequence[str] = MASK, poly: str = "poly
     """Pixels whose centre is inside or on the polygon, as runs.
 
     Every row takes the even-odd spans just below and just above it, so that
-    top and bottom edges count; a row cut twice the same way is merged.
+    top and bottom edges count; a row cut twice the same way is merged.  The edges of all polygons of an Arrow batch are cut at once, and a
+    polygon's spans leave its task as one packed row.
     """
+    nan = lambda c: F.transform(poly, lambda p: F.coalesce(p[c].cast("double"), F.lit(float("nan"))))
     ys = F.transform(poly, lambda p: p["y"])
     top, bottom = F.ceil(F.array_min(ys)), F.floor(F.array_max(ys))
     if height is not None:
         top, bottom = F.greatest(top, F.lit(0)), F.least(bottom, G._c(height).cast("long") - 1)
-    rows = polys.select(*keys, F.col(poly).alias("_p"), *([G._c(width).alias("_w")] if width is not None else []),
-                        top.alias("_top"), bottom.alias("_bottom")).where("_top <= _bottom")
-    rows = rows.withColumn("y", F.explode(F.sequence("_top", "_bottom"))).withColumn("y", F.col("y").cast("int"))
-
-    def spans(upper: bool) -> Column:
-        xs = G.row_crossings(F.col("_p"), F.col("y").cast("double"), upper)
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(F.floor(F.size(xs) / 2) - 1, F.lit(0))),
-            lambda i: F.struct(
-                F.ceil(F.get(xs, (2 * i).cast("int")) - 1e-9).cast("int").alias("x0"),
-                F.floor(F.get(xs, (2 * i + 1).cast("int")) + 1e-9).cast("int").alias("x1")),
-        )
-
-    flat = rows.select(*keys, "y", *(["_w"] if width is not None else []),
-                       F.inline(F.array_distinct(F.concat(spans(True), spans(False)))))
-    flat = flat.where(F.col("x0").isNotNull() & F.col("x1").isNotNull())
+    wide = F.lit(np.iinfo(np.int32).max) if width is None else G._c(width).cast("int")
+    rows = polys.select(*keys, nan("x").alias("_x"), nan("y").alias("_y"), top.cast("long").alias("_top"), bottom.cast("long").alias("_bottom"), wide.alias("_w")).where("_top <= _bottom")
     if width is not None:
-        flat = flat.withColumn("x0", F.greatest("x0", F.lit(0))).withColumn("x1", F.least(F.col("x1"), F.col("_w").cast("int") - 1)).drop("_w")
-    return union_masks(flat.where("x0 <= x1"), keys)
+        rows = rows.dropna(subset=["_w"])
+    k, clip = len(keys), width is not None
+    schema = T.StructType([*[rows.schema[c] for c in keys], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in RUN]])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            top, bottom, w = (b.column(k + j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (2, 3, 4))
+            # at most so many rows of polygons at once
+            part = np.cumsum(bottom - top + 1) // (1 << 18)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                lists = [b.column(k + n).slice(i, j - i) for n in (0, 1)]
+                ids, y, x0, x1 = _spans(*[c.flatten().to_numpy() for c in lists], lists[0].value_lengths().to_numpy().astype(np.int64), top[i:j], bottom[i:j])
+                if clip:
+                    x0, x1 = np.maximum(x0, 0), np.minimum(x1, w[i:j][ids] - 1)
+                on = np.flatnonzero(x0 <= x1)
+                at = pa.array(np.searchsorted(ids[on], np.arange(j - i + 1)), pa.int32())
+                packed = [pa.ListArray.from_arrays(at, pa.array(v[on], pa.int32())) for v in (y, x0, x1)]
+                yield pa.RecordBatch.from_arrays([*[b.column(n).slice(i, j - i) for n in range(k)], *packed], names=schema.names)
+
+    names = [*keys, "_x", "_y", "_top", "_bottom", "_w"]
+    return _union(rows.select(*names).mapInArrow(run, schema), keys)
+
+
+def _spans(px: np.ndarray, py: np.ndarray, sizes: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Polygon, row, first and last pixel of the spans of many polygons, whose corners lie one after another, on rows top to bottom."""
+    ids = np.repeat(np.arange(len(sizes)), sizes)
+    after = np.arange(1, len(px) + 1)
+    after[np.cumsum(sizes)[sizes > 0] - 1] = (np.cumsum(sizes) - sizes)[sizes > 0]
+    qx, qy = px[after], py[after]
+    with np.errstate(invalid="ignore"):
+        edge = np.flatnonzero((py != qy) & ~np.isnan(py + qy))
+    low, high = np.minimum(py, qy)[edge], np.maximum(py, qy)[edge]
+    first, last = np.maximum(np.ceil(low), top[ids[edge]]).astype(np.int64), np.minimum(np.floor(high), bottom[ids[edge]]).astype(np.int64)
+    many = np.maximum(last - first + 1, 0)
+    which = np.repeat(np.arange(len(edge)), many)
+    y = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[which]
+    e = edge[which]
+    x = px[e] + (y - py[e]) * (qx[e] - px[e]) / (qy[e] - py[e])
+    out = []
+    for open_end in (high, low):
+        on = np.flatnonzero((y != open_end[which]) & ~np.isnan(x))
+        of, row, at = ids[e[on]], y[on], x[on]
+        by = np.lexsort((at, row, of))
+        of, row, at = of[by], row[by], at[by]
+        start = np.append(True, (np.diff(of) != 0) | (np.diff(row) != 0))[: len(of)]
+        place = np.arange(len(of)) - np.maximum.accumulate(np.where(start, np.arange(len(of)), 0))
+        second = np.flatnonzero(place % 2 == 1)
+        out.append((of[second], row[second], np.ceil(at[second - 1] - 1e-9).astype(np.int64), np.floor(at[second] + 1e-9).astype(np.int64)))
+    of, row, x0, x1 = (np.concatenate(c) for c in zip(*out))
+    by = np.argsort(of, kind="stable")
+    return of[by], row[by], x0[by], x1[by]
 
 
 # ---- trapezoid support -----------------------------------------------------
@@ -233,83 +313,152 @@ def evaluate_trapezoid(runs: DataFrame, polys: DataFrame, keys: Sequence[str] =
 
 # ---- row statistics without pixels -----------------------------------------
 
-def _row_percentiles(targets: DataFrame, runs: DataFrame, keys: Sequence[str], half: int, lo: float, hi: float, min_px: int) -> DataFrame:
-    """Percentiles of the pixel columns within ``half`` rows of each target row.
+def _pixel_percentiles(group: np.ndarray, x0: np.ndarray, x1: np.ndarray, count: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels, and two percentiles of the pixel columns, of each group of runs.
 
-    ``targets``: one row per mask with ``rows``, its array of target rows (at most 90).
-    Runs become +1/-1 edges; the depth between edges tells how many pixels each
-    column holds, and an order statistic is read from the running count.
+    Runs become +1/-1 edges; the depth between edges tells how many pixels each column holds, and an order statistic is
+    read from the running count.
     """
-    met = runs.select(*keys, "y", "x0", "x1").join(targets.select(*keys, "rows"), list(keys))
-    met = met.withColumn("row", F.explode(F.sequence(F.col("y") - half, F.col("y") + half))).where(F.array_contains("rows", F.col("row"))).drop("rows")
-    key = [*keys, "row"]
-    edges = met.select(*key, F.inline(F.array(
-        F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("d")))))
-    net = edges.groupBy(*key, "x").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*key).orderBy("x")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seg = net.withColumn("depth", F.sum("d").over(upto)).withColumn("_len", F.lead("x").over(w) - F.col("x")).where("depth > 0")
-    seg = (
-        seg.withColumn("_px", F.col("depth") * F.col("_len"))
-        .withColumn("_cum", F.sum("_px").over(upto)).withColumn("_n", F.sum("_px").over(Window.partitionBy(*key)))
-    )
-
-    def at(k: Column) -> Column:
-        before = F.col("_cum") - F.col("_px")
-        return F.max(F.when((k >= before) & (k < F.col("_cum")), F.col("x") + F.floor((k - before) / F.col("depth"))))
-
-    def percentile(p: float) -> Column:
-        pos = F.lit(p) * (F.col("_n") - 1)
-        a, b = at(F.floor(pos)), at(F.ceil(pos))
-        return a + (b - a) * F.max(pos - F.floor(pos))
-
-    return seg.groupBy(*key).agg(
-        F.first("_n").alias("pixels"), percentile(lo).alias("left_x"), percentile(hi).alias("right_x")
-    ).where(F.col("pixels") >= min_px)
+    ids, at = np.concatenate([group, group]), np.concatenate([x0, x1 + 1])
+    by = packs.order_by(ids, at)
+    ids, at = ids[by], at[by]
+    depth = np.cumsum(np.repeat([1, -1], len(group))[by])
+    px = depth * np.diff(at, append=0)
+    on = (depth > 0) & (px > 0)
+    ids, at, depth, px = ids[on], at[on], depth[on], px[on]
+    upto = np.cumsum(px)
+    n = np.bincount(ids, weights=px, minlength=count).astype(np.int64)
+    base = np.cumsum(n) - n
+
+    def pick(k: np.ndarray) -> np.ndarray:
+        want = base + np.clip(k, 0, None).astype(np.int64)
+        i = np.minimum(np.searchsorted(upto, want, side="right"), max(len(upto) - 1, 0))
+        return at[i] + (want - (upto[i] - px[i])) // depth[i] if len(upto) else np.zeros(count, np.int64)
+
+    out = []
+    for p in (low, high):
+        pos = p * (n - 1)
+        a, b = pick(np.floor(pos)), pick(np.ceil(pos))
+        out.append(a + (b - a) * (pos - np.floor(pos)))
+    return n, *out
 
 
 def scanline_boundaries(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
-    """Left and right border on up to 90 evenly spaced rows of each mask."""
-    span = runs.groupBy(*keys).agg(F.min("y").alias("a"), F.max("y").alias("b")).where("b - a >= 20")
-    rows = F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.lit(89)),
-        lambda i: F.when(i == 89, F.col("b")).otherwise(F.floor(i * ((F.col("b") - F.col("a")) / F.lit(89.0)) + F.col("a"))).cast("int")))
-    out = _row_percentiles(span.withColumn("rows", rows), runs, keys, 1, 0.01, 0.99, 12)
-    return out.withColumn("width", F.col("right_x") - F.col("left_x")).where("width >= 10").select(
-        *keys, F.col("row").alias("y"), "left_x", "right_x", "width")
+    """Left and right border on up to 90 evenly spaced rows of each mask (three rows pooled); none for masks without a key.
+
+    A mask's packed runs meet in one exchange; its rows are counted there.
+    """
+    kind = runs.schema["y"].dataType
+
+    def lines(g: packs.Groups):
+        y, x0, x1 = (c.astype(np.int64) for c in g.flat)
+        top, bottom = np.full(g.count, np.iinfo(np.int64).max), np.full(g.count, np.iinfo(np.int64).min)
+        np.minimum.at(top, g.id, y)
+        np.maximum.at(bottom, g.id, y)
+        tall = bottom - top >= 20
+        heights = np.where(tall, bottom - top + 1, 0)
+        base = np.cumsum(heights) - heights
+        wanted = np.zeros(int(heights.sum()), bool)
+        a, b = top[tall][:, None], bottom[tall][:, None]
+        i = np.arange(90)
+        rows = np.where(i == 89, b, np.floor(i * ((b - a) / 89.0) + a).astype(np.int64))
+        wanted[(base[tall][:, None] + rows - a).ravel()] = True
+        on = tall[g.id]
+        ids, y, x0, x1 = g.id[on], y[on], x0[on], x1[on]
+        place = (base[ids] + y - top[ids])[None, :] + np.array([[-1], [0], [1]])
+        inside = (place >= base[ids]) & (place < (base + heights)[ids])
+        inside[inside] = wanted[place[inside]]
+        _, which = np.nonzero(inside)
+        slot = place[inside]
+        number = np.cumsum(wanted) - 1
+        at = np.flatnonzero(wanted)
+        n, left, right = _pixel_percentiles(number[slot], x0[which], x1[which], len(at), 0.01, 0.99)
+        mask = np.repeat(np.arange(g.count), heights)[at]
+        keep = np.flatnonzero((n >= 12) & (right - left >= 10))
+        row = (at - base[mask] + top[mask])[keep]
+        return g.rows(mask[keep], packs.cast_down(row, kind), pa.array(left[keep], pa.float64()), pa.array(right[keep], pa.float64()), pa.array((right - left)[keep], pa.float64()))
+
+    return packs.per_group(packs.pack(runs.dropna(subset=list(keys)), keys, RUN), keys, lines, [runs.schema["y"], *map(packs.double, ("left_x", "right_x", "width"))])
+
+
+def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MASK, row: str = "target_y", by: Sequence[str] = ()) -> DataFrame:
+    """Left and right border around given rows of masks (nine rows pooled); absent with fewer than 8 pixels.
+
+    ``targets``: the row to look at, one per mask or one per mask and ``by``.  A mask meets its targets packed, and only its runs near them go on.
+    """
+    each = [*keys, *by]
+    want = targets.select(*each, F.rint(F.col(row)).cast("int").alias("_at"))
+    met = packs.pack(runs.dropna(subset=list(keys)), keys, RUN).join(want, list(keys))
+    near = met.select(*each, "_at", F.filter(F.arrays_zip(*RUN), lambda r: F.abs(r["y"] - F.col("_at")) <= 4).alias("_r")).where(F.size("_r") > 0)
+    near = near.select(*each, "_at", *[F.col(f"_r.{c}").alias(c) for c in RUN])
 
+    def ends(g: packs.Groups):
+        _, x0, x1 = (c.astype(np.int64) for c in g.flat)
+        n, left, right = _pixel_percentiles(g.id, x0, x1, g.count, 0.005, 0.995)
+        keep = np.flatnonzero(n >= 8)
+        return g.rows(keep, pa.array(left[keep], pa.float64()), pa.array(right[keep], pa.float64()))
 
-def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MASK, row: str = "target_y") -> DataFrame:
-    """Left and right border around one given row per mask (nine rows pooled); absent with fewer than 8 pixels."""
-    want = targets.withColumn("rows", F.array(F.rint(F.col(row)).cast("int")))
-    return _row_percentiles(want, runs, keys, 4, 0.005, 0.995, 8).select(*keys, F.col("row").alias("y"), "left_x", "right_x")
+    out = packs.per_group(near, [*each, "_at"], ends, [packs.double("left_x"), packs.double("right_x")])
+    return out.select(*each, F.col("_at").alias("y"), "left_x", "right_x")
 
 
 def robust_line(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", rounds: int = 4) -> DataFrame:
     """Line x = slope * y + intercept, refitted ``rounds`` times without points far from it.
 
     Far means over max(8, median + 3 * 1.4826 * max(MAD, 1)).  Keys with fewer
-    than 8 points, before any round, give no row.
+    than 8 points, before any round, give no row.  A key's points are gathered as two arrays; all keys of a batch are fitted at once.
     """
-    whole = Window.partitionBy(*keys)
-    rows = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).withColumn("_keep", F.lit(True))
-    rows = rows.withColumn("_ok", F.lit(True)).withColumn("_all", F.count(F.lit(1)).over(whole))
-    for _ in range(rounds):
-        kx, ky = F.when(F.col("_keep"), F.col("_x")), F.when(F.col("_keep"), F.col("_y"))
-        rows = (
-            rows.withColumn("_ok", F.col("_ok") & (F.count(kx).over(whole) >= 8))
-            .withColumn("_s", F.regr_slope(kx, ky).over(whole)).withColumn("_mx", F.avg(kx).over(whole)).withColumn("_my", F.avg(ky).over(whole))
-            .withColumn("_i", F.col("_mx") - F.col("_s") * F.col("_my"))
-            .withColumn("_r", F.abs(F.col("_x") - (F.col("_s") * F.col("_y") + F.col("_i"))))
-            .withColumn("_med", F.percentile(F.when(F.col("_keep"), F.col("_r")), F.lit(0.5)).over(whole))
-            .withColumn("_mad", F.percentile(F.when(F.col("_keep"), F.abs(F.col("_r") - F.col("_med"))), F.lit(0.5)).over(whole))
-            .withColumn("_keep", F.coalesce(F.col("_r") <= F.greatest(
-                F.lit(8.0), F.col("_med") + 3.0 * 1.4826 * F.greatest(F.col("_mad"), F.lit(1.0))), F.lit(False)))
-        )
-    return rows.where("_ok").groupBy(*keys).agg(
-        F.first("_s").alias("slope"), F.first("_i").alias("intercept"),
-        (F.sum(F.col("_keep").cast("int")) / F.first("_all")).alias("inlier_ratio"),
-    )
+    nan = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    packed = packs.pack(points.select(*keys, nan(x).alias("_x"), nan(y).alias("_y")), keys, ["_x", "_y"])
+
+    def fit(g: packs.Groups):
+        px, py = (c.astype(float) for c in g.flat)
+        keep, ok, m = np.ones(len(px), bool), np.ones(g.count, bool), g.count
+        slope = icpt = np.full(m, np.nan)
+
+        def mean(on, v):
+            n = np.bincount(g.id[on], minlength=m)
+            with np.errstate(all="ignore"):
+                return np.bincount(g.id[on], weights=v[on], minlength=m) / n
+
+        for _ in range(rounds):
+            has_x, has_y = keep & ~np.isnan(px), keep & ~np.isnan(py)
+            ok &= np.bincount(g.id[has_x], minlength=m) >= 8
+            both = has_x & has_y
+            cx, cy = mean(both, px), mean(both, py)
+            dx, dy = px - cx[g.id], py - cy[g.id]
+            low, high = np.full(m, np.inf), np.full(m, -np.inf)
+            np.minimum.at(low, g.id[both], py[both])
+            np.maximum.at(high, g.id[both], py[both])
+            sums = [np.bincount(g.id[both], weights=v[both], minlength=m) for v in (dx * dy, dy * dy)]
+            with np.errstate(all="ignore"):
+                slope = np.where(high > low, sums[0] / sums[1], np.nan)
+            icpt = mean(has_x, px) - slope * mean(has_y, py)
+            far = np.abs(px - (slope[g.id] * py + icpt[g.id]))
+            on = keep & ~np.isnan(far)
+            med = packs.quantiles(g.id[on], far[on], m, 0.5)[0]
+            mad = packs.quantiles(g.id[on], np.abs(far - med[g.id])[on], m, 0.5)[0]
+            # greatest() passes over nulls: without a deviation the floors hold
+            limit = np.fmax(8.0, med + 3.0 * 1.4826 * np.fmax(mad, 1.0))
+            with np.errstate(invalid="ignore"):
+                keep = far <= limit[g.id]
+        share = np.bincount(g.id[keep], minlength=m) / np.bincount(g.id, minlength=m)
+        at = np.flatnonzero(ok)
+        return g.rows(at, packs.nullable(slope[at]), packs.nullable(icpt[at]), pa.array(share[at], pa.float64()))
+
+    return packs.per_group(packed, list(keys), fit, [packs.double(c) for c in ("slope", "intercept", "inlier_ratio")])
+
+
+def _row_stats(scan: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number of scanned rows, the rows where the quad ends and the growth of the width, per mask."""
+
+    def stats(g: packs.Groups):
+        y, width = g.flat
+        top, bottom = packs.quantiles(g.id, y, g.count, 0.02, 0.995, times=2)
+        wide, narrow = packs.quantiles(g.id, width, g.count, 0.85, 0.15)
+        return g.rows(np.arange(g.count), pa.array(np.bincount(g.id, minlength=g.count), pa.int64()), *map(packs.nullable, (top, bottom, wide - narrow)))
+
+    return packs.per_group(packs.pack(scan, keys, ["y", "width"]), keys, stats, [packs.whole("_n"), *map(packs.double, ("_top", "_bot", "_growth"))])
 
 
 def quad_from_boundaries(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
@@ -318,16 +467,11 @@ def quad_from_boundaries(runs: DataFrame, sizes: DataFrame, keys: Sequence[str]
     ``sizes``: one row per mask with height and width.  Output: keys, height,
     width, polygon (null when rejected), reason (null when accepted).
     """
-    scan = scanline_boundaries(runs, keys)
-    ends = scan.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile("y", F.lit(0.02), F.lit(2)).alias("_top"), F.percentile("y", F.lit(0.995), F.lit(2)).alias("_bot"),
-        (F.percentile("width", F.lit(0.85)) - F.percentile("width", F.lit(0.15))).alias("_growth"),
-    )
-    sided = scan.select(*keys, F.explode(F.array(
-        F.struct(F.lit("left").alias("side"), F.col("left_x").alias("x"), F.col("y")),
-        F.struct(F.lit("right").alias("side"), F.col("right_x").alias("x"), F.col("y")),
-    )).alias("_p")).select(*keys, "_p.*")
-    lines = robust_line(sided, [*keys, "side"])
+    # read by three steps below: written once
+    scan = cut(scanline_boundaries(runs, keys), "scanlines")
+    ends = cut(_row_stats(scan, keys), "scan-ends")
+    left, right = (scan.select(*keys, F.lit(s).alias("side"), F.col(f"{s}_x").alias("x"), "y") for s in ("left", "right"))
+    lines = robust_line(left.unionByName(right), [*keys, "side"])
     part = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     lines = lines.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_lines"), F.min("inlier_ratio").alias("_inl"),
@@ -337,9 +481,7 @@ def quad_from_boundaries(runs: DataFrame, sizes: DataFrame, keys: Sequence[str]
     near = ends.select(*keys, F.explode(F.array(
         F.struct(F.lit("t").alias("e"), F.col("_top").alias("target_y")), F.struct(F.lit("b").alias("e"), F.col("_bot").alias("target_y")))).alias("_t")
     ).select(*keys, "_t.*")
-    met = boundary_near(
-        runs.join(near.select(*keys, "e", F.rint("target_y").cast("int").alias("_ty")), list(keys)).where(F.abs(F.col("y") - F.col("_ty")) <= 4),
-        near, [*keys, "e"])
+    met = boundary_near(runs, near, keys, by=["e"])
     pick = lambda e, c: F.max(F.when(F.col("e") == e, F.col(c)))
     met = met.groupBy(*keys).agg(
         pick("t", "left_x").alias("_tl"), pick("t", "right_x").alias("_tr"), pick("b", "left_x").alias("_bl"), pick("b", "right_x").alias("_br"))
@@ -408,14 +550,27 @@ def _components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, sizes: np.ndarray
     return label - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _component_ids(y: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
-    """For masks as sorted arrays of runs; all masks of an Arrow batch are labelled together."""
-    if not len(y):
-        return pd.Series([], dtype=object)
-    sizes = y.map(len).to_numpy()
-    found = _components(*[np.concatenate(c.to_list()).astype(np.int64) for c in (y, x0, x1)], sizes)
-    return pd.Series(np.split(found.astype(np.int32), np.cumsum(sizes)[:-1]))
+def _labelled(runs: DataFrame, keys: Sequence[str], keep, out: Sequence[str]) -> DataFrame:
+    """Runs of whole masks, in order of (y, x0), with ``component`` and ``component_area``; ``keep`` picks among the runs of many masks.
+
+    keep: (area of each run's component, its number, first run of each mask, place of each run's mask) to flags.
+    """
+    kinds = {c: runs.schema[c].dataType for c in RUN}
+    fields = {**{c: runs.schema[c] for c in RUN}, "component": T.StructField("component", T.IntegerType()), "component_area": packs.whole("component_area")}
+
+    def labelled(g: packs.Groups):
+        y, x0, x1 = (c.astype(np.int64) for c in g.flat)
+        by = np.lexsort((x1, x0, y, g.id))
+        ids, y, x0, x1 = g.id[by], y[by], x0[by], x1[by]
+        sizes = np.bincount(ids, minlength=g.count)
+        first = np.cumsum(sizes) - sizes
+        label = _components(y, x0, x1, sizes)
+        area = np.bincount(label + first[ids], weights=x1 - x0 + 1, minlength=len(y)).astype(np.int64)[label + first[ids]]
+        on = np.flatnonzero(keep(area, label, first, ids))
+        made = {**{c: packs.cast_down(v[on], kinds[c]) for c, v in zip(RUN, (y, x0, x1))}, "component": pa.array(label[on], pa.int32()), "component_area": pa.array(area[on])}
+        return g.rows(ids[on], *[made[c] for c in out])
+
+    return packs.per_group(packs.pack(runs, keys, RUN), keys, labelled, [fields[c] for c in out])
 
 
 def mask_components(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
@@ -423,31 +578,24 @@ def mask_components(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
 
     Grouped by mask: the runs of one mask are bounded by its image.
     """
-    g = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("_r"))
-    g = g.withColumn("_c", _component_ids(F.col("_r.y"), F.col("_r.x0"), F.col("_r.x1")))
-    flat = g.select(*keys, F.inline(F.arrays_zip(
-        F.col("_r.y").alias("y"), F.col("_r.x0").alias("x0"), F.col("_r.x1").alias("x1"), F.col("_c").alias("component"))))
-    return flat.withColumn("component_area", F.sum(_len()).over(Window.partitionBy(*keys, "component")))
+    return _labelled(runs, keys, lambda area, label, first, ids: np.ones(len(area), bool), [*RUN, "component", "component_area"])
 
 
 def significant_components(runs: DataFrame, conf: Settings = DEFAULT, keys: Sequence[str] = MASK) -> DataFrame:
     """Keep components of at least max(300, 3 % of the largest) pixels."""
-    c = mask_components(runs, keys)
-    largest = F.max("component_area").over(Window.partitionBy(*keys))
-    floor = F.greatest(F.lit(float(conf.component_min_area)), largest * F.lit(conf.component_min_ratio))
-    return c.withColumn("_f", floor).where(F.col("component_area") >= F.col("_f")).select(*keys, "y", "x0", "x1")
+    least, share = float(conf.component_min_area), conf.component_min_ratio
+    return _labelled(runs, keys, lambda area, label, first, ids: area >= np.maximum(least, np.maximum.reduceat(area, first) * share)[ids], RUN)
 
 
 def largest_component(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
     """Keep only the largest component; the topmost, leftmost one wins ties."""
-    c = mask_components(runs, keys)
-    whole = Window.partitionBy(*keys)
-    first = F.min(F.struct("y", "x0")).over(Window.partitionBy(*keys, "component"))
-    c = c.withColumn("_at", first).withColumn(
-        "_best", F.max(F.struct(F.col("component_area").alias("a"), (-F.col("_at.y")).alias("y"), (-F.col("_at.x0")).alias("x"))).over(whole))
-    return c.where(
-        (F.col("component_area") == F.col("_best.a")) & (F.col("_at.y") == -F.col("_best.y")) & (F.col("_at.x0") == -F.col("_best.x"))
-    ).select(*keys, "y", "x0", "x1")
+
+    def best(area, label, first, ids):
+        # a component's number is the place of its topmost, leftmost run
+        top = np.where(area == np.maximum.reduceat(area, first)[ids], label, len(label))
+        return label == np.minimum.reduceat(top, first)[ids]
+
+    return _labelled(runs, keys, best, RUN)
 
 
 # ---- top-down view ---------------------------------------------------------
@@ -463,48 +611,69 @@ def bev_centroid(runs: DataFrame, homographies: DataFrame, keys: Sequence[str] =
         c = mask_centroid(runs, keys).join(homographies, list(on))
         return c.withColumn("_p", G.project(F.col("cx"), F.col("cy"), F.col("homography"))).where("_p is not null").select(
             *keys, F.col("_p.x").alias("bev_x"), F.col("_p.y").alias("bev_y"))
+    extra = [c for c in on if c not in keys]
+    hom = homographies.select(*on, F.col("homography").cast("array<double>").alias("_h"), G.inverse3(F.col("homography")).cast("array<double>").alias("_i"))
+    hom = hom.where((F.size("_h") == 9) & ~F.exists(F.concat("_h", "_i"), lambda v: v.isNull()))
+    met = packs.pack(runs, [*keys, *extra], RUN).join(hom, list(on)).select(*keys, *RUN, "_h", "_i")
+    k, sums = len(keys), ["_u", "_v", "_n"]
+    schema = T.StructType([*[met.schema[c] for c in keys], *map(packs.whole, sums)])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y, x0, x1 = (b.column(k + j).flatten().to_numpy().astype(np.int64) for j in range(3))
+            ids = np.repeat(np.arange(b.num_rows), b.column(k).value_lengths().to_numpy())
+            mats = [b.column(k + j).flatten().to_numpy().reshape(-1, 9) for j in (3, 4)]
+            total = _warped_sums(ids, y, x0, x1, *mats, out_size)
+            at = pa.array(np.flatnonzero(total[2]))
+            yield pa.RecordBatch.from_arrays([*[b.column(j).take(at) for j in range(k)], *[pa.array(t).take(at) for t in total]], names=schema.names)
+
+    u, v, n = (F.sum(c) for c in sums)
+    return met.mapInArrow(run, schema).groupBy(*keys).agg((u / (2.0 * n)).alias("bev_x"), (v / n).alias("bev_y"))
+
+
+def _warped_sums(ids: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, mats: np.ndarray, inverses: np.ndarray, out_size: tuple[int, int]) -> list[np.ndarray]:
+    """Per packed mask: twice the sum of u, the sum of v and the count of its top-down pixels."""
     w, h = out_size
-    el = lambda m, n: [F.get(m, F.lit(k)).alias(f"{n}{k}") for k in range(9)]
-    hom = homographies.select(*on, *el(F.col("homography"), "_h"), *el(G.inverse3(F.col("homography")), "_i"))
-    met = runs.select(*keys, *[c for c in on if c not in keys], "y", "x0", "x1").join(hom, list(on))
-    H, I = ([F.col(f"_{n}{k}") for k in range(9)] for n in "hi")
-
-    def fwd(x: Column, y: Column) -> tuple[Column, Column]:
-        den = F.nullif(H[6] * x + H[7] * y + H[8], F.lit(0.0))
-        return (H[0] * x + H[1] * y + H[2]) / den, (H[3] * x + H[4] * y + H[5]) / den
-
-    ends = [fwd(F.col(x) + dx, F.col("y") + dy) for x, dx in (("x0", -0.5), ("x1", 0.5)) for dy in (-0.5, 0.5)]
-    met = met.withColumns({f"_v{k}": v for k, (_, v) in enumerate(ends)})
-    vs = [F.col(f"_v{k}") for k in range(4)]
-    lim = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(h - 1)).cast("int")
-    low, high = F.floor(F.least(*vs)), F.ceil(F.greatest(*vs))
-    rows = met.where((high >= 0) & (low <= h - 1)).withColumn("_v", F.explode(F.sequence(lim(low), lim(high))))
-    mu, mv = fwd((F.col("x0") + F.col("x1")) / 2.0, F.col("y").cast("double"))
-    rows = rows.withColumn("_side", F.signum(I[6] * mu + I[7] * mv + I[8]))
-    # source pixel conditions as a*u + b >= 0 (the upper ones strict), linear in u on one top-down row
-    v = F.col("_v")
-    den = (I[6], I[7] * v + I[8])
-
-    def edge(num, at: Column, upper: bool) -> tuple[Column, Column]:
-        sign = F.col("_side") * (-1 if upper else 1)
-        return sign * (num[0] - at * den[0]), sign * (num[1] - at * den[1])
-
-    sx, sy = (I[0], I[1] * v + I[2]), (I[3], I[4] * v + I[5])
-    conds = [(edge(sx, F.col("x0") - 0.5, False), False), (edge(sx, F.col("x1") + 0.5, True), True),
-             (edge(sy, F.col("y") - 0.5, False), False), (edge(sy, F.col("y") + 0.5, True), True)]
-    cols = {}
-    for k, ((a, b), _) in enumerate(conds):
-        cols[f"_a{k}"], cols[f"_b{k}"] = a, b
-    rows = rows.withColumns(cols)
-    lows, highs, fine = [F.lit(0)], [F.lit(w - 1)], F.lit(True)
-    for k, (_, strict) in enumerate(conds):
-        a, b = F.col(f"_a{k}"), F.col(f"_b{k}")
-        cut_at = -b / F.nullif(a, F.lit(0.0))
-        lows.append(F.when(a > 0, (F.floor(cut_at) + 1) if strict else F.ceil(cut_at)))
-        highs.append(F.when(a < 0, (F.ceil(cut_at) - 1) if strict else F.floor(cut_at)))
-        fine = fine & ((a != 0) | ((b > 0) if strict else (b >= 0)))
-    rows = rows.withColumn("_lo", F.greatest(*lows)).withColumn("_hi", F.least(*highs)).where(fine & (F.col("_lo") <= F.col("_hi")))
-    n = F.col("_hi") - F.col("_lo") + 1
-    total = F.sum(n)
-    return rows.groupBy(*keys).agg(
-        (F.sum((F.col("_lo") + F.col("_hi")) * n) / (2.0 * total)).alias("bev_x"), (F.sum(v * n) / total).alias("bev_y"))
+
+    def fwd(on, x, at):
+        H = mats[ids[on]].T
+        den = H[6] * x + H[7] * at + H[8]
+        den = np.where(den == 0, np.nan, den)
+        return (H[0] * x + H[1] * at + H[2]) / den, (H[3] * x + H[4] * at + H[5]) / den
+
+    every = np.arange(len(y))
+    total = [np.zeros(len(mats), np.int64) for _ in range(3)]
+    with np.errstate(all="ignore"):
+        ends = [fwd(every, x + dx, y + dy)[1] for x, dx in ((x0, -0.5), (x1, 0.5)) for dy in (-0.5, 0.5)]
+        low, high = np.floor(np.fmin.reduce(ends)), np.ceil(np.fmax.reduce(ends))
+        seen = np.flatnonzero((high >= 0) & (low <= h - 1))
+        first, last = (np.clip(c[seen], 0, h - 1).astype(np.int64) for c in (low, high))
+        many = last - first + 1
+        # top-down rows of at most so many at once
+        part = np.cumsum(many) // (1 << 18)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(seen)]
+        for i, j in zip(cuts, cuts[1:]):
+            size = many[i:j]
+            r = np.repeat(seen[i:j], size)
+            v = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[i:j], size)
+            inv = inverses[ids[r]].T
+            mu, mv = fwd(r, (x0[r] + x1[r]) / 2.0, y[r].astype(float))
+            side = np.sign(inv[6] * mu + inv[7] * mv + inv[8])
+            den = inv[6], inv[7] * v + inv[8]
+            lo, hi, fine = np.zeros(len(r)), np.full(len(r), w - 1.0), ~np.isnan(side)
+            # source pixel conditions as a*u + b >= 0 (the upper ones strict), linear in u on one top-down row
+            sx, sy = (inv[0], inv[1] * v + inv[2]), (inv[3], inv[4] * v + inv[5])
+            for num, at, strict in ((sx, x0[r] - 0.5, False), (sx, x1[r] + 0.5, True), (sy, y[r] - 0.5, False), (sy, y[r] + 0.5, True)):
+                sign = -side if strict else side
+                a, b = sign * (num[0] - at * den[0]), sign * (num[1] - at * den[1])
+                cut_at = -b / a
+                lo = np.where(a > 0, np.fmax(lo, np.floor(cut_at) + 1 if strict else np.ceil(cut_at)), lo)
+                hi = np.where(a < 0, np.fmin(hi, np.ceil(cut_at) - 1 if strict else np.floor(cut_at)), hi)
+                fine &= (a != 0) | (b > 0 if strict else b >= 0)
+            on = np.flatnonzero(fine & (lo <= hi))
+            lo, hi, of = lo[on].astype(np.int64), hi[on].astype(np.int64), ids[r[on]]
+            for t, c in zip(total, ((lo + hi) * (hi - lo + 1), v[on] * (hi - lo + 1), hi - lo + 1)):
+                np.add.at(t, of, c)
+    return total
