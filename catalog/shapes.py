@@ -213,18 +213,24 @@ def _(t):
     return mk.mask_iou(t.runs(), _truth_runs(t))
 
 
+def _frame_map(t):
+    """Both sides are cut to the classes that count before their masks meet."""
+    sides = [r.where(F.col("class_name").isin("lane", "ball")) for r in (t.runs(), _truth_runs(t))]
+    return mk.map_50_95(mk.mask_iou(*sides), t.det())
+
+
 _MAP = _IOU + """m AS (SELECT shot_id, frame_index, sum(len(list_filter(generate_series(0, 9), lambda k: intersection / union_area >= 0.5e0 + k * ((0.5e0 + 0.05e0) - 0.5e0)))) / 20e0 AS map_50_95 FROM u WHERE class_name IN ('lane', 'ball') GROUP BY ALL);;
     f AS (SELECT DISTINCT shot_id, frame_index FROM det);; fm AS (SELECT shot_id, frame_index, coalesce(map_50_95, 0e0) AS map_50_95 FROM f LEFT JOIN m USING (shot_id, frame_index));; """
 
 
 @query("map_50_95", "shot_id frame_index || map_50_95", "runs", _MAP + "SELECT * FROM fm")
 def _(t):
-    return mk.map_50_95(mk.mask_iou(t.runs(), _truth_runs(t)), t.det())
+    return _frame_map(t)
 
 
 @query("episode_map", "shot_id frames || map_50_95", "runs", _MAP + "SELECT shot_id, avg(map_50_95) AS map_50_95, count(*) AS frames FROM fm GROUP BY 1")
 def _(t):
-    return mk.episode_map(mk.map_50_95(mk.mask_iou(t.runs(), _truth_runs(t)), t.det()))
+    return mk.episode_map(_frame_map(t))
 
 
 @query("coverage_ratio", "shot_id frame_index lane_area || coverage", "runs", f"""
@@ -369,9 +375,11 @@ _PARTS = """pa AS (SELECT det_id, sum(x1 - x0 + 1) AS main, sum(CASE WHEN y - y0
 def _parts(t):
     from pyspark.sql import Window
 
-    r = t.runs().select("shot_id", "frame_index", "det_id", "y", "x0", "x1").withColumn("y0", F.min("y").over(Window.partitionBy("shot_id", "frame_index", "det_id")))
-    speck = r.where("y - y0 < 2").withColumn("x0", F.lit(310)).withColumn("x1", F.lit(315))
-    return r.unionByName(speck).drop("y0")
+    # a mask's first row, told by its detections before they become runs
+    d = t.det().withColumn("top", F.min("y0").over(Window.partitionBy("shot_id", "frame_index", "det_id")))
+    r = t.runs(d, "top").select("shot_id", "frame_index", "det_id", "y", "x0", "x1", "top")
+    both = F.when(F.col("y") - F.col("top") < 2, F.array(F.struct("x0", "x1"), F.struct(F.lit(310).alias("x0"), F.lit(315).alias("x1")))).otherwise(F.array(F.struct("x0", "x1")))
+    return r.select("shot_id", "frame_index", "det_id", "y", F.inline(both))
 
 
 @query("significant_components", "det_id area", "runs", _PARTS + """

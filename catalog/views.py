@@ -152,11 +152,12 @@ class Tables:
             num((i * 37) % 200).alias("x0"), num((i * 7) % 110).alias("y0"), num((i * 37) % 200 + 49 + i % 70).alias("x1"),
             num((i * 7) % 110 + 20 + i % 30).alias("y1"), (F.col("value") / F.lit(500.0)).alias("confidence"))
 
-    def runs(self) -> DataFrame:
-        d = self.det().withColumn("y", F.explode(F.sequence("y0", "y1")))
+    def runs(self, det: DataFrame | None = None, *more: str) -> DataFrame:
+        """Mask rows of the detections; ``more`` names columns of ``det`` to keep."""
+        d = (self.det() if det is None else det).withColumn("y", F.explode(F.sequence("y0", "y1")))
         return d.select(
             "shot_id", "frame_index", "det_id", "class_name", "y",
-            F.expr("cast(x0 + (y1 - y) div 2 as int)").alias("x0"), F.expr("cast(x1 - (y1 - y) div 3 as int)").alias("x1"))
+            F.expr("cast(x0 + (y1 - y) div 2 as int)").alias("x0"), F.expr("cast(x1 - (y1 - y) div 3 as int)").alias("x1"), *more)
 
     def quads(self) -> DataFrame:
         d = self.det().where("class_name = 'lane'")
