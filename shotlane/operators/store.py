@@ -68,7 +68,7 @@ def open_runs(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], RUN_SECTIONS)
 
 
-def _bucket_count(spark: SparkSession, path: str, asked: int | None) -> int:
+def bucket_count(spark: SparkSession, path: str, asked: int | None) -> int:
     """The store's number of buckets, kept beside its rows; the first upsert sets it and another number is refused."""
     try:
         stored = spark.read.schema("buckets int").parquet(f"{path}/_meta").first()[0]
@@ -90,7 +90,7 @@ def upsert_run_sections(spark: SparkSession, path: str, updates: DataFrame, buck
     is never read and overwritten by one job, and a retry finds the same rows.
     Updates carry their own updated_at, so applying a batch twice changes nothing.
     """
-    buckets = _bucket_count(spark, path, buckets)
+    buckets = bucket_count(spark, path, buckets)
     stamped = cut(updates.withColumn("bucket", F.pmod(F.xxhash64(slug("name")), F.lit(buckets)).cast("int")), "run-updates")
     touched = [r[0] for r in stamped.select("bucket").distinct().collect()]
     if not touched:

@@ -7,21 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotlane import schemas
-from shotlane.operators.store import upsert_run_sections
+from shotlane.operators.store import bucket_count, upsert_run_sections
+from shotlane.session import cut
 
 __all__ = ["upsert_run_sections", "save_shots", "write_labels", "write_eval", "write_summary", "format_eval"]
 
 
 def save_shots(df: DataFrame, path: str) -> None:
-    """Replace shot records by (source, shot_number); other records stay.  The last of repeated records wins by timestamp."""
-    keys = ["source", "shot_number"]
-    rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("timestamp", "id")).alias("_r")).select(*keys, "_r.*")
-    last.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """Replace shot records by (source, shot_number); other records stay.  The last of repeated records wins by timestamp.
+
+    Records lie in hash buckets, and only touched buckets are read and rewritten, so the files are as many as the buckets, not the shots.
+    """
+    spark, keys = df.sparkSession, ["source", "shot_number"]
+    buckets = bucket_count(spark, path, None)
+    columns = schemas.columns(schemas.SHOT_RECORD)
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    new = cut(df.select(*columns).withColumn("shot_number", F.col("shot_number").cast("int")).select("*", place), "shot-updates")
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    rows = new.withColumn("_new", F.lit(1))
+    old = _stored_shots(spark, path).where(F.col("bucket").isin(touched))
+    rows = rows.unionByName(old.withColumn("_new", F.lit(0)))
+    rest = [c for c in columns if c not in keys]
+    last = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), F.struct("_new", "timestamp", "id")).alias("_r")).select(*keys, "_r.*", "bucket")
+    staged = cut(last.select(*columns, "bucket"), "shot-merge")
+    staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _stored_shots(spark, path: str) -> DataFrame:
+    return spark.read.schema(f"{schemas.SHOT_RECORD}, bucket int").parquet(path)
 
 
 def load_shots(spark, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SHOT_RECORD).parquet(path)
+    return _stored_shots(spark, path).drop("bucket")
 
 
 def write_labels(df: DataFrame, path: str) -> None:
