@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,9 +63,9 @@ def bundle_frames(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def common_stems(rgb: DataFrame, inst: DataFrame, sem: DataFrame) -> DataFrame:
-    """Stems present in all three kinds, out of all stems seen."""
-    s = lambda df: df.select("stem")
-    return s(rgb).union(s(inst)).union(s(sem)).distinct().intersect(s(rgb)).intersect(s(inst)).intersect(s(sem))
+    """Stems present in all three kinds: each is counted once, from one grouping with a flag per kind."""
+    seen = reduce(DataFrame.unionByName, [df.select("stem", F.lit(1 << i).alias("_k")) for i, df in enumerate((rgb, inst, sem))])
+    return seen.groupBy("stem").agg(F.bit_or("_k").alias("_k")).where("_k = 7").select("stem")
 
 
 def parse_class_mapping(docs: DataFrame, text: str = "mapping_json", keys: Sequence[str] = ("stem",)) -> DataFrame:
