@@ -388,7 +388,7 @@ def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MAS
     """
     each = [*keys, *by]
     want = targets.select(*each, F.rint(F.col(row)).cast("int").alias("_at"))
-    met = packs.pack(runs.dropna(subset=list(keys)), keys, RUN).join(want, list(keys))
+    met = packs.pack(runs.dropna(subset=list(keys)), keys, RUN).join(want.hint("merge"), list(keys))
     near = met.select(*each, "_at", F.filter(F.arrays_zip(*RUN), lambda r: F.abs(r["y"] - F.col("_at")) <= 4).alias("_r")).where(F.size("_r") > 0)
     near = near.select(*each, "_at", *[F.col(f"_r.{c}").alias(c) for c in RUN])
 

@@ -35,7 +35,7 @@ def exact_ranks(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], o
         F.slice("_all", F.lit(1), i), F.lit(0).cast("long"), lambda acc, e: acc + e["_n"]).alias("_before")))
     offsets = whole.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(k)], count, F.inline(before))
     same = [marked[c].eqNullSafe(offsets[f"_k{i}"]) for i, c in enumerate(k)]
-    met = marked.join(offsets, [*same, marked["_p"] == offsets["_p"]])
+    met = marked.join(offsets.hint("merge"), [*same, marked["_p"] == offsets["_p"]])
     return met.select(*[marked[c] for c in rows.columns], (F.col("_o") - F.col("_first") + F.col("_before")).alias(out), count)
 
 
