@@ -6,14 +6,19 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shotlane.config import DEFAULT, Settings
 from shotlane.operators import kernels
 from shotlane.operators.scans import stepwise
 from shotlane.operators.sequences import SHOT, first_per_frame
 
+#: Series that a Python worker works on at once.
+TOGETHER = 256
+
 
 def _series(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """One row per sequence with one sorted array per column (``order`` first)."""
@@ -88,10 +93,22 @@ def smooth_spline(pos: DataFrame, column: str, out: str, conf: Settings = DEFAUL
         return every, kernels.smoothing_spline(f, v, f.size * sigma ** 2, every)
 
     series = _series(pos, keys, "frame_index", [column])
-    call = _kernel(run, 2, ["frame_index", out])
-    return series.select(*keys, call("frame_index", column).alias("_k")).select(
-        *keys, F.inline(F.arrays_zip(F.col("_k.frame_index").alias("frame_index"), F.col(f"_k.{out}").alias(out)))
-    ).withColumn("frame_index", F.col("frame_index").cast("int"))
+    kept = [series.schema[c] for c in keys]
+    schema = T.StructType([*kept, T.StructField("frame_index", T.IntegerType()), T.StructField(out, T.DoubleType())])
+
+    def curves(batches):
+        # a series gives a row per frame of its shot: a task holds those of so many series
+        for b in batches:
+            for i in range(0, b.num_rows, TOGETHER):
+                part = b.slice(i, TOGETHER)
+                f, v = (part.column(len(keys) + j) for j in (0, 1))
+                done = [run(*[np.asarray(c[r].values.to_numpy(zero_copy_only=False), dtype=float) for c in (f, v)]) for r in range(part.num_rows)]
+                of = pa.array(np.repeat(np.arange(part.num_rows), [len(e) for e, _ in done]))
+                frames, values = (np.concatenate(c) for c in zip(*done))
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(j).take(of) for j in range(len(keys))], pa.array(frames.astype(np.int32)), pa.array(values, mask=np.isnan(values))], names=schema.names)
+
+    return series.mapInArrow(curves, schema)
 
 
 def resmooth_x(dense: DataFrame, samples: int | Column, conf: Settings = DEFAULT, keys: Sequence[str] = SHOT) -> DataFrame:
@@ -228,20 +245,22 @@ def resample(traj: DataFrame, mode: str, factor: int = 3, keys: Sequence[str] =
     @F.pandas_udf("struct<g:array<int>,t:array<double>,a:array<double>,b:array<double>>")
     def call(t: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
         """All series of an Arrow batch at once."""
-        out = pd.DataFrame({"g": t.map(lambda s: np.arange(len(s))), "t": t, "a": a, "b": b})
+        out = pd.DataFrame({"g": t.map(lambda s: np.arange(len(s))), "t": t, "a": a, "b": b}).astype(object)
         sizes = t.map(len).to_numpy(dtype=np.int64)
-        for part, cubic in ((sizes == 3, False), (sizes > 3, True)):
-            if not part.any():
-                continue
-            n = sizes[part]
-            flat = [np.concatenate(c[part].to_list()).astype(float) for c in (t, a, b)]
-            # without curvature the cubic is the line
-            at, v = kernels.natural_cubics(flat[0], np.stack(flat[1:], axis=1), n, factor, curved=cubic)
-            cuts = np.cumsum(n * factor)[:-1]
-            grid = [np.arange(k * factor) for k in n]
-            for c, parts in (("g", grid), ("t", np.split(at, cuts)), ("a", np.split(v[:, 0], cuts)), ("b", np.split(v[:, 1], cuts))):
-                out[c] = out[c].astype(object)
-                out.loc[part, c] = pd.Series(parts, index=out.index[part], dtype=object)
+        for which, cubic in ((sizes == 3, False), (sizes > 3, True)):
+            places = np.flatnonzero(which)
+            # the steps of one elimination hold many numbers for every grid point: so many series at once
+            for i in range(0, len(places), TOGETHER):
+                part = places[i : i + TOGETHER]
+                n = sizes[part]
+                flat = [np.concatenate(c.iloc[part].to_list()).astype(float) for c in (t, a, b)]
+                # without curvature the cubic is the line
+                at, v = kernels.natural_cubics(flat[0], np.stack(flat[1:], axis=1), n, factor, curved=cubic)
+                cuts = np.cumsum(n * factor)[:-1]
+                parts = [[np.arange(k * factor) for k in n], np.split(at, cuts), np.split(v[:, 0].copy(), cuts), np.split(v[:, 1].copy(), cuts)]
+                for c, values in enumerate(parts):
+                    for row, value in zip(part, values):
+                        out.iat[row, c] = value
         return out
 
     cx, cy = columns
