@@ -177,7 +177,7 @@ def polygon_runs(polys: DataFrame, keys: Sequence[str] = MASK, poly: str = "poly
     wide = F.lit(np.iinfo(np.int32).max) if width is None else G._c(width).cast("int")
     rows = polys.select(*keys, nan("x").alias("_x"), nan("y").alias("_y"), top.cast("long").alias("_top"), bottom.cast("long").alias("_bottom"), wide.alias("_w")).where("_top <= _bottom")
     if width is not None:
-        rows = rows.dropna(subset=["_w"])
+        rows = packs.present(rows, ["_w"])
     k, clip = len(keys), width is not None
     schema = T.StructType([*[rows.schema[c] for c in keys], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in RUN]])
 
@@ -378,7 +378,7 @@ def scanline_boundaries(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFram
         row = (at - base[mask] + top[mask])[keep]
         return g.rows(mask[keep], packs.cast_down(row, kind), pa.array(left[keep], pa.float64()), pa.array(right[keep], pa.float64()), pa.array((right - left)[keep], pa.float64()))
 
-    return packs.per_group(packs.pack(runs.dropna(subset=list(keys)), keys, RUN), keys, lines, [runs.schema["y"], *map(packs.double, ("left_x", "right_x", "width"))])
+    return packs.per_group(packs.pack(packs.present(runs, keys), keys, RUN), keys, lines, [runs.schema["y"], *map(packs.double, ("left_x", "right_x", "width"))])
 
 
 def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MASK, row: str = "target_y", by: Sequence[str] = ()) -> DataFrame:
@@ -388,7 +388,7 @@ def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MAS
     """
     each = [*keys, *by]
     want = targets.select(*each, F.rint(F.col(row)).cast("int").alias("_at"))
-    met = packs.pack(runs.dropna(subset=list(keys)), keys, RUN).join(want.hint("merge"), list(keys))
+    met = packs.pack(packs.present(runs, keys), keys, RUN).join(want.hint("merge"), list(keys))
     near = met.select(*each, "_at", F.filter(F.arrays_zip(*RUN), lambda r: F.abs(r["y"] - F.col("_at")) <= 4).alias("_r")).where(F.size("_r") > 0)
     near = near.select(*each, "_at", *[F.col(f"_r.{c}").alias(c) for c in RUN])
 

@@ -7,6 +7,7 @@ batch, never all rows of its partition.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,18 @@ def starts(batch: pa.RecordBatch, columns: int) -> np.ndarray:
     return np.flatnonzero(np.append(n > 0, differ)).astype(np.int64)
 
 
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a null among the columns; NaN is a value."""
+    return reduce(lambda rows, c: rows.where(F.col(c).isNotNull()), columns, df)
+
+
 def pack(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Neighbouring rows of the same keys as one row with an array per column; a key may come in several such rows.
 
     Rows with a null among the columns hold nothing and go.
     """
     k, names = len(keys), [*keys, *columns]
-    rows = df.select(*names).dropna(subset=list(columns))
+    rows = present(df.select(*names), columns)
     schema = T.StructType([*[rows.schema[c] for c in keys], *[T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in columns]])
 
     def run(batches):
@@ -178,4 +184,4 @@ def cast_down(values: np.ndarray, like: T.DataType) -> pa.Array:
     return pa.array(values.astype(np.int64)).cast({T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.ShortType: pa.int16(), T.ByteType: pa.int8()}.get(type(like), pa.float64()))
 
 
-__all__ = ["Groups", "cast_down", "double", "nullable", "order_by", "pack", "per_group", "quantiles", "starts", "whole", "whole_groups"]
+__all__ = ["Groups", "cast_down", "double", "nullable", "order_by", "pack", "per_group", "present", "quantiles", "starts", "whole", "whole_groups"]

@@ -81,3 +81,9 @@ def test_quad_of_a_clean_mask_reads_its_scan_once(spark):
     (got,) = q.collect()
     assert got["reason"] is None and got["polygon"][0]["y"] == 11.0
     assert "Window" not in _plan(q)
+
+
+def test_points_without_a_place_count_against_the_line(spark):
+    rows = [(1, float(2 * i + 1) if i % 10 else None, float(i)) for i in range(40)]
+    (got,) = mk.robust_line(spark.createDataFrame(rows, "k int, x double, y double"), ["k"]).collect()
+    assert got["inlier_ratio"] == 0.9 and round(got["slope"], 9) == 2.0
