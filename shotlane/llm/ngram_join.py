@@ -4,7 +4,7 @@ A document's set is its distinct 4-word shingles (64-bit hashes).  Two sets link
 
 1. Equal sets are one node.  A first pass drops sets that can have no partner: with f = floor(0.15 * size), the 2f + 1
    smallest hashes of a set with a partner hold at most 2f - floor(0.15 * ceil(0.85 * size)) that no other set has there.
-   It is a count per hash with map-side combine, and leaves near copies and texts made of shared passages.
+   It is a count per hash (its first 40 bits) with map-side combine, and leaves near copies and texts made of shared passages.
 2. The rest are ordered globally, rare shingles first (document frequency, then hash).  Linked sets share one of their first
    f + 1 shingles; sets that share one are joined into blocks (connected components), so every link lies inside a block
    and every set is sent to one task once.
@@ -39,6 +39,8 @@ SHINGLE, PERCENT = 4, 85
 BLOCK = 2_000_000
 #: Bits of the bitmap that spares the shuffle texts without a partner.
 MARKS = 1 << 23
+#: Bits of a hash that the first pass does without: 40 are enough to tell hashes apart, and a chance meeting only keeps a set.
+SPARED = 24
 _U = np.uint64
 #: All bytes but blank and those from \x09 to \x0D.
 INSIDE = np.ones(256, dtype=bool)
@@ -119,7 +121,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
 def with_partner(rows: DataFrame) -> DataFrame:
     """fp, n and the row key of one text of every set that may have a partner; rows as of ``set_rows``."""
     heads = rows.filter("fp IS NOT NULL")
-    seen = heads.select("fp", F.explode("low").alias("t")).groupBy("t").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"))
+    seen = heads.select("fp", F.explode("low").alias("t")).select("fp", F.shiftleft(F.shiftright("t", SPARED), SPARED).alias("t")).groupBy("t").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"))
     alone = seen.filter("fp = other").groupBy("fp").agg(F.count("*").alias("alone"))
     sets = heads.groupBy("fp").agg(F.min("n_shingles").alias("n"), F.min(F.struct(K1, K2)).alias("k"))
     n = F.col("n")
@@ -151,9 +153,11 @@ def ordered_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sets = cut(map_text(texts, [], fields, _set_step), "ngram-sets")
     if sets.count() > wanted.count():  # a row of the document table that is repeated whole
         sets = cut(sets.dropDuplicates(["fp"]), "ngram-sets-once")
-    each = sets.select("fp", "n", F.explode("t").alias("t"))
+    each = sets.select("fp", F.explode("t").alias("t"))
     df = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = each.join(df, "t").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))  # a set is one document's
+    # a set is one document's; two lists of plain numbers are less to shuffle than one of structs
+    shared = each.join(df, "t").groupBy("fp").agg(F.collect_list("df").alias("df"), F.collect_list("t").alias("t"))
+    shared = shared.select("fp", F.sort_array(F.arrays_zip("df", "t")).alias("s")).join(sets.select("fp", "n"), "fp")
     prefix = (_spare(F.col("n")) + 1 - (F.col("n") - F.size("s"))).cast("int")
     return shared.select("fp", "n", F.col("s.df").alias("df"), F.col("s.t").alias("t"), prefix.alias("prefix")).filter("prefix > 0")
 
@@ -280,9 +284,9 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     posts = cut(sets.select("fp", F.explode(F.slice("t", 1, F.col("prefix"))).alias("t")), "prefixes")
     hubs = posts.groupBy("t").agg(F.min("fp").alias("hub"), F.max("fp").alias("most")).filter("hub < most")
     blocks = components(posts.join(hubs, "t").filter("fp > hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")))
-    of = sets.join(blocks.withColumnsRenamed({"node": "fp", "root": "g"}), "fp")
-    sizes = of.groupBy("g").agg(F.sum(F.size("t")).alias("shingles"))
-    of = cut(of.join(sizes, "g"), "blocks")
+    blocks = blocks.withColumnsRenamed({"node": "fp", "root": "g"})
+    sizes = sets.select("fp", F.size("t").alias("size")).join(blocks, "fp").groupBy("g").agg(F.sum("size").alias("shingles"))
+    of = cut(sets.join(blocks.join(sizes, "g"), "fp"), "blocks")
     found = group(of.filter(F.col("shingles") <= block).select("g", "fp", "n", "df", "t"))
     large = of.filter(F.col("shingles") > block)
     if not large.limit(1).count():

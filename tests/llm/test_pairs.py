@@ -234,3 +234,18 @@ def test_join_and_sql_agree_on_the_given_table(spark):
     want = sorted(con.sql(f"SELECT doc_id, n_shingles, component_id FROM ({SETS})").fetchall())
     got = ngram_join.joined(spark.read.parquet(f"{SMALL}/documents.parquet"), 60)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+
+
+def test_first_pass_tells_hashes_apart_by_forty_bits(spark):
+    far, near = (5 << 40) + 1, (5 << 40) + 2  # they differ in the last bits only
+    rows = spark.createDataFrame(
+        [(1, 1, 1, 101, 1, [far]), (2, 2, 2, 102, 1, [near]), (3, 3, 3, 103, 1, [9 << 40])], "doc_id long, __k1 long, __k2 long, fp long, n_shingles long, low array<long>")
+    assert sorted(r["fp"] for r in ngram_join.with_partner(rows).collect()) == [101, 102]
+
+
+def test_sets_move_as_plain_lists(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p q r s t u{i % 2}") for i in range(4)], "doc_id long, text string")
+    sets = ngram_join.ordered_sets(docs, ngram_join.with_partner(ngram_join.set_rows(docs)))
+    plan = sets._jdf.queryExecution().analyzed().toString()
+    assert "collect_list(struct" not in plan and "collect_list(t" in plan
+    assert [(r["n"], len(r["t"]), r["prefix"]) for r in sets.collect()] == [(18, 17, 2)] * 2
