@@ -2,6 +2,7 @@
 
 A mask is rows (key columns, y, x0, x1) with inclusive ends; runs of one mask
 do not overlap.  Measures are plain aggregates, so a mask is never drawn.
+Components, borders and trapezoids also take masks packed by ``packs.pack``.
 """
 
 from __future__ import annotations
@@ -149,9 +150,13 @@ def episode_map(frame_map: DataFrame, keys: Sequence[str] = ("shot_id",)) -> Dat
     return frame_map.groupBy(*keys).agg(F.avg("map_50_95").alias("map_50_95"), F.count(F.lit(1)).alias("frames"))
 
 
-def coverage_ratio(frames: DataFrame, lane_runs: DataFrame) -> DataFrame:
-    """Lane area over frame area per frame, capped at 1; ``frames`` holds every frame with its height and width."""
-    area = mask_area(lane_runs, ["shot_id", "frame_index"])
+def coverage_ratio(frames: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Lane area over frame area per frame, capped at 1; ``frames`` holds every frame with its height and width.
+
+    ``lanes``: mask rows, or masks with their ``area``.
+    """
+    key = ["shot_id", "frame_index"]
+    area = lanes.groupBy(*key).agg(F.sum("area").alias("area")) if "area" in lanes.columns else mask_area(lanes, key)
     return frames.join(area, ["shot_id", "frame_index"], "left").select(
         "shot_id", "frame_index", F.coalesce(F.col("area"), F.lit(0)).alias("lane_area"),
         F.least(F.coalesce(F.col("area"), F.lit(0)) / F.greatest(F.col("height") * F.col("width"), F.lit(1)), F.lit(1.0)).alias("coverage"),
@@ -252,7 +257,7 @@ def evaluate_trapezoid(runs: DataFrame, polys: DataFrame, keys: Sequence[str] =
     """Coverage, purity, band support and total score of one lane quad per mask.
 
     ``polys`` has keys, polygon, height, width.  The polygon side is one row per
-    mask, so the join is on the mask key alone; a run meets the quad's span on
+    mask, so the join is on the mask key alone, and masks meet it packed; a run meets the quad's span on
     its row, and the total and all band sums are aggregates of a single grouping.
     """
     n = conf.support_bands
@@ -264,7 +269,8 @@ def evaluate_trapezoid(runs: DataFrame, polys: DataFrame, keys: Sequence[str] =
     start = lambda i: F.greatest(F.floor(i * step + F.col("_b0")), F.lit(0))
     stop = lambda i: F.least(F.ceil(F.col("_b1").cast("double") if i == n - 1 else (i + 1) * step + F.col("_b0")), F.col("height"))
 
-    lanes = runs.select(*keys, "y", "x0", "x1").join(edge, list(keys))
+    met = packs.pack(runs, keys, RUN, nulls=True).join(edge, list(keys))
+    lanes = met.select(*edge.columns, F.inline(F.arrays_zip(*RUN)))
     first, last = _span_pixels(F.col("y"), F.col("width"))
     lanes = lanes.withColumn("_lo", first).withColumn("_hi", last)
     over = lanes.withColumn("_ov", F.when(F.col("_lo").isNull(), 0).otherwise(
@@ -348,7 +354,7 @@ def scanline_boundaries(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFram
 
     A mask's packed runs meet in one exchange; its rows are counted there.
     """
-    kind = runs.schema["y"].dataType
+    row_of = packs.element(runs.schema["y"])
 
     def lines(g: packs.Groups):
         y, x0, x1 = (c.astype(np.int64) for c in g.flat)
@@ -376,9 +382,9 @@ def scanline_boundaries(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFram
         mask = np.repeat(np.arange(g.count), heights)[at]
         keep = np.flatnonzero((n >= 12) & (right - left >= 10))
         row = (at - base[mask] + top[mask])[keep]
-        return g.rows(mask[keep], packs.cast_down(row, kind), pa.array(left[keep], pa.float64()), pa.array(right[keep], pa.float64()), pa.array((right - left)[keep], pa.float64()))
+        return g.rows(mask[keep], packs.cast_down(row, row_of.dataType), pa.array(left[keep], pa.float64()), pa.array(right[keep], pa.float64()), pa.array((right - left)[keep], pa.float64()))
 
-    return packs.per_group(packs.pack(packs.present(runs, keys), keys, RUN), keys, lines, [runs.schema["y"], *map(packs.double, ("left_x", "right_x", "width"))])
+    return packs.per_group(packs.pack(packs.present(runs, keys), keys, RUN), keys, lines, [row_of, *map(packs.double, ("left_x", "right_x", "width"))])
 
 
 def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MASK, row: str = "target_y", by: Sequence[str] = ()) -> DataFrame:
@@ -555,8 +561,7 @@ def _labelled(runs: DataFrame, keys: Sequence[str], keep, out: Sequence[str]) ->
 
     keep: (area of each run's component, its number, first run of each mask, place of each run's mask) to flags.
     """
-    kinds = {c: runs.schema[c].dataType for c in RUN}
-    fields = {**{c: runs.schema[c] for c in RUN}, "component": T.StructField("component", T.IntegerType()), "component_area": packs.whole("component_area")}
+    fields = {**{c: packs.element(runs.schema[c]) for c in RUN}, "component": T.StructField("component", T.IntegerType()), "component_area": packs.whole("component_area")}
 
     def labelled(g: packs.Groups):
         y, x0, x1 = (c.astype(np.int64) for c in g.flat)
@@ -567,7 +572,7 @@ def _labelled(runs: DataFrame, keys: Sequence[str], keep, out: Sequence[str]) ->
         label = _components(y, x0, x1, sizes)
         area = np.bincount(label + first[ids], weights=x1 - x0 + 1, minlength=len(y)).astype(np.int64)[label + first[ids]]
         on = np.flatnonzero(keep(area, label, first, ids))
-        made = {**{c: packs.cast_down(v[on], kinds[c]) for c, v in zip(RUN, (y, x0, x1))}, "component": pa.array(label[on], pa.int32()), "component_area": pa.array(area[on])}
+        made = {**{c: packs.cast_down(v[on], fields[c].dataType) for c, v in zip(RUN, (y, x0, x1))}, "component": pa.array(label[on], pa.int32()), "component_area": pa.array(area[on])}
         return g.rows(ids[on], *[made[c] for c in out])
 
     return packs.per_group(packs.pack(runs, keys, RUN), keys, labelled, [fields[c] for c in out])

@@ -37,13 +37,20 @@ def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(lambda rows, c: rows.where(F.col(c).isNotNull()), columns, df)
 
 
-def pack(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def element(field: T.StructField) -> T.StructField:
+    """The field of one element of a packed column; a plain column's is its own."""
+    return T.StructField(field.name, field.dataType.elementType) if isinstance(field.dataType, T.ArrayType) else field
+
+
+def pack(df: DataFrame, keys: Sequence[str], columns: Sequence[str], nulls: bool = False) -> DataFrame:
     """Neighbouring rows of the same keys as one row with an array per column; a key may come in several such rows.
 
-    Rows with a null among the columns hold nothing and go.
+    Rows with a null among the columns hold nothing and go, unless ``nulls``.  Rows that are packed already stay as they are.
     """
     k, names = len(keys), [*keys, *columns]
-    rows = present(df.select(*names), columns)
+    if all(isinstance(df.schema[c].dataType, T.ArrayType) for c in columns):
+        return df.select(*names)
+    rows = df.select(*names) if nulls else present(df.select(*names), columns)
     schema = T.StructType([*[rows.schema[c] for c in keys], *[T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in columns]])
 
     def run(batches):
@@ -184,4 +191,4 @@ def cast_down(values: np.ndarray, like: T.DataType) -> pa.Array:
     return pa.array(values.astype(np.int64)).cast({T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.ShortType: pa.int16(), T.ByteType: pa.int8()}.get(type(like), pa.float64()))
 
 
-__all__ = ["Groups", "cast_down", "double", "nullable", "order_by", "pack", "per_group", "present", "quantiles", "starts", "whole", "whole_groups"]
+__all__ = ["Groups", "cast_down", "double", "element", "nullable", "order_by", "pack", "per_group", "present", "quantiles", "starts", "whole", "whole_groups"]

@@ -14,6 +14,7 @@ from shotlane.operators import evaluate as ev
 from shotlane.operators import frames as fr
 from shotlane.operators import lanes as ln
 from shotlane.operators import masks as mk
+from shotlane.operators import packs
 from shotlane.operators import poses as ps
 from shotlane.operators import sequences as sq
 from shotlane.operators import store as st
@@ -44,13 +45,11 @@ def analyse_positions(raw: DataFrame, fps="fps", conf: Settings = DEFAULT) -> Da
     return kinematics_per_quarter(clean_positions(raw, fps, conf), conf)
 
 
-def _lane_candidates(lane_runs: DataFrame, shots: DataFrame, conf: Settings) -> DataFrame:
-    """Scored candidates with a reason for each rejected one."""
-    area = mk.mask_area(lane_runs)
-    top = ln.top_lane_masks(area, conf.max_lane_masks)
-    runs = lane_runs.join(top.select(*mk.MASK), mk.MASK)
-    # read by four steps below: written once instead of relabelled each time
-    clean = cut(mk.significant_components(runs, conf), "lane-masks")
+def _lane_candidates(lane_runs: DataFrame, top: DataFrame, shots: DataFrame, conf: Settings) -> DataFrame:
+    """Scored candidates (``top``: the masks that may be some) with a reason for each rejected one; masks are joined and written packed, not run by run."""
+    runs = packs.pack(lane_runs, mk.MASK, mk.RUN).join(top.select(*mk.MASK), mk.MASK)
+    # read by three steps below: written once instead of relabelled each time
+    clean = cut(packs.pack(mk.significant_components(runs, conf), mk.MASK, mk.RUN), "lane-masks")
     sizes = top.select(*mk.MASK, "lane_no").join(shots.select("shot_id", "height", "width"), "shot_id")
     quads = cut(mk.quad_from_boundaries(clean, sizes), "mask-quads")
     found = quads.where("polygon is not null").withColumn("polygon", G.order_quad(F.col("polygon"))).drop("reason")
@@ -71,8 +70,9 @@ def analyse_shots(runs: DataFrame, shots: DataFrame, conf: Settings = DEFAULT) -
     lane_runs = runs.where(F.col("class_name") == "lane")
     balls = mk.mask_boxes(runs.where(F.col("class_name") == "ball"))
     pins = mk.mask_boxes(runs.where(F.col("class_name") == "pins"))
+    top = cut(ln.top_lane_masks(mk.mask_area(lane_runs), conf.max_lane_masks), "top-masks")
     # candidates feed the tracker, the observations and the reject counts: made once
-    cands = cut(_lane_candidates(lane_runs, shots, conf), "candidates")
+    cands = cut(_lane_candidates(lane_runs, top, shots, conf), "candidates")
     passed = ln.penalise_nested(cands.where("reason is null"), order="lane_no")
     ok = passed.where(F.col("score") >= conf.min_trapezoid_score)
     late_rejects = passed.where(F.col("score") < conf.min_trapezoid_score).withColumn("reason", F.lit("below_min_score_after_nested"))
@@ -102,7 +102,7 @@ def analyse_shots(runs: DataFrame, shots: DataFrame, conf: Settings = DEFAULT) -
     mine = cut(sq.clip_positions(mine.select("shot_id", "frame_index", "timestamp_s", "x_m", "y_m", "fps"), conf), "active-positions")
     positions = cut(clean_positions(mine, "fps", conf), "clean-positions")
     every = shots.where("frames > 0").select("shot_id", "height", "width", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame_index"))
-    per_frame = mk.coverage_ratio(every, lane_runs.join(ln.top_lane_masks(mk.mask_area(lane_runs), conf.max_lane_masks).select(*mk.MASK), mk.MASK, "left_semi"))
+    per_frame = mk.coverage_ratio(every, top.where("det_id IS NOT NULL"))
     health = ln.health_report(shots, per_frame, active, mine)
     kin = kinematics_per_quarter(positions, conf)
     # a shot without positions still answers with four zero quarters

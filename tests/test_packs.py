@@ -87,3 +87,47 @@ def test_points_without_a_place_count_against_the_line(spark):
     rows = [(1, float(2 * i + 1) if i % 10 else None, float(i)) for i in range(40)]
     (got,) = mk.robust_line(spark.createDataFrame(rows, "k int, x double, y double"), ["k"]).collect()
     assert got["inlier_ratio"] == 0.9 and round(got["slope"], 9) == 2.0
+
+
+def test_packed_masks_give_what_their_runs_give(spark):
+    runs = _runs(spark, 2)
+    odd = spark.createDataFrame([(1, 1, 1, "lane", None, 3, 9), (1, 1, 1, "lane", 12, None, 9)], runs.schema)
+    runs = runs.unionByName(odd).select(*mk.MASK, *mk.RUN)
+    polys = runs.groupBy(*mk.MASK).agg(F.max("y").cast("double").alias("_b"))
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), y.alias("y"))
+    polys = polys.select(*mk.MASK, F.array(at(4.0, F.lit(2.0)), at(30.0, F.lit(2.0)), at(40.0, F.col("_b")), at(0.0, F.col("_b"))).alias("polygon"), F.lit(100).alias("height"), F.lit(60).alias("width"))
+    packed = packs.pack(runs, mk.MASK, mk.RUN, nulls=True).persist()
+    assert packed.selectExpr("sum(size(y))").first()[0] == runs.count() and packs.pack(packed, mk.MASK, mk.RUN).schema == packed.schema
+    sure = packs.pack(runs, mk.MASK, mk.RUN)
+    for f, p in ((lambda r: mk.evaluate_trapezoid(r, polys), packed), (mk.significant_components, sure), (mk.scanline_boundaries, sure)):
+        one, two = f(runs), f(p)
+        assert one.schema.simpleString() == two.schema.simpleString() and one.count() > 20
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    packed.unpersist()
+
+
+def test_shot_job_joins_and_writes_masks_packed(spark, monkeypatch):
+    from shotlane.plans import jobs
+
+    class Stop(Exception):
+        pass
+
+    def cut(df, label):
+        if label == "lane-masks":
+            raise Stop(df.count())
+        return df
+
+    monkeypatch.setattr(jobs, "cut", cut)
+    rows = [("s", f, f, "lane", y, 90 - y // 2, 110 + y // 2) for f in range(6) for y in range(10, 110)]
+    runs = spark.createDataFrame(rows, "shot_id string, frame_index int, det_id long, class_name string, y int, x0 int, x1 int").coalesce(1)
+    shots = spark.createDataFrame([("s", 30.0, 160, 320, 6, "key", None)], "shot_id string, fps double, height int, width int, frames int, sd_key string, contact_frame int")
+    with pytest.raises(Stop) as stop:
+        jobs.analyse_shots(runs, shots)
+    assert stop.value.args[0] <= 12
+
+
+def test_coverage_from_areas_is_that_from_runs(spark):
+    runs = _runs(spark, 3)
+    frames = runs.select("shot_id", "frame_index").distinct().withColumn("height", F.lit(100)).withColumn("width", F.lit(60))
+    one, two = (mk.coverage_ratio(frames, lanes).collect() for lanes in (runs, mk.mask_area(runs)))
+    assert sorted(map(str, one)) == sorted(map(str, two)) and any(r["lane_area"] > 0 for r in one)
