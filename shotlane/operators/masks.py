@@ -7,6 +7,7 @@ Components, borders and trapezoids also take masks packed by ``packs.pack``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,7 +19,6 @@ from pyspark.sql import types as T
 from shotlane.config import DEFAULT, Settings
 from shotlane.functions import geometry as G
 from shotlane.operators import packs
-from shotlane.session import cut
 
 MASK = ["shot_id", "frame_index", "det_id"]
 CLASS = ["shot_id", "frame_index", "class_name"]
@@ -247,10 +247,64 @@ def _corner_columns(poly: str) -> list[Column]:
     return [G.corner(F.col(poly), i)[k].alias(_XY[i][k]) for i in range(4) for k in (0, 1)]
 
 
-def _span_pixels(y: Column, width: Column) -> tuple[Column, Column]:
-    """First and last pixel of the quad in columns _x0.._y3 on row y."""
-    lo, hi = G.quad_span([(F.col(a), F.col(b)) for a, b in _XY], y.cast("double"))
-    return F.greatest(F.ceil(lo - 1e-9), F.when(lo.isNotNull(), F.lit(0))), F.least(F.floor(hi + 1e-9), F.when(hi.isNotNull(), width - 1))
+def _row_ends(ids: np.ndarray, y: np.ndarray, quads: tuple[np.ndarray, np.ndarray], width: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which rows ``y`` meet their quad (place ``ids``), and the first and last pixel there, as ``G.quad_span`` has the ends.
+
+    quads: corners x0, y0 .. y3 (rows) of all quads (columns), and which are no nulls.  A missing width holds no pixel back.
+    """
+    at, there = quads
+    low, high = np.full(len(y), np.nan), np.full(len(y), -np.inf)
+    met = np.zeros(len(y), bool)
+    with np.errstate(all="ignore"):
+        for i in range(4):
+            j = (i + 1) % 4
+            ax, ay, bx, by = at[2 * i], at[2 * i + 1], at[2 * j], at[2 * j + 1]
+            fine = there[[2 * i, 2 * i + 1, 2 * j, 2 * j + 1]].all(axis=0) & (by - ay != 0)
+            # a NaN is larger than any number
+            hit = np.flatnonzero(fine[ids] & (y >= np.fmin(ay, by)[ids]) & ~(y > np.maximum(ay, by)[ids]) & ~np.isnan(y))
+            of = ids[hit]
+            x = ax[of] + (y[hit] - ay[of]) * (bx - ax)[of] / (by - ay)[of]
+            low[hit], high[hit], met[hit] = np.fmin(low[hit], x), np.maximum(high[hit], x), True
+        first, last = _long(np.ceil(low - 1e-9)), _long(np.floor(high + 1e-9))
+    return met, np.maximum(first, 0.0), np.fmin(last, width[ids] - 1)
+
+
+def _long(v: np.ndarray) -> np.ndarray:
+    """Whole doubles as a cast to a long leaves them."""
+    return np.clip(np.where(np.isnan(v), 0.0, v), -(2.0 ** 63), 2.0 ** 63)
+
+
+def _band_sums(ids: np.ndarray, y: np.ndarray, px: np.ndarray, bands: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums of ``px`` on the rows [start, stop) of every band (rows) of every quad (columns)."""
+    start, stop = bands
+    if not len(y):
+        return np.zeros(start.shape)
+    low, high = y.min(), y.max() + 1
+    place = lambda ids, y: ids * (high - low + 1) + (y - low)
+    key = place(ids, y)
+    by = np.argsort(key, kind="stable")
+    key, upto = key[by], np.append(0.0, np.cumsum(px[by]))
+    below = lambda edge: upto[np.searchsorted(key, place(np.arange(edge.shape[1]), np.clip(edge, low, high)).ravel())].reshape(edge.shape)
+    return np.where(np.isnan(stop), 0.0, np.maximum(below(np.where(np.isnan(stop), low, stop)) - below(start), 0.0))
+
+
+_EDGE = ["width", "height", *[c for xy in _XY for c in xy], "_b0", "_b1"]
+
+
+def _edges(b: pa.RecordBatch, k: int, n: int) -> tuple:
+    """Quads, widths, the bands' rows and whether there are bands, from the columns of ``_EDGE`` that begin at ``k``."""
+    width, height, *corners, b0, b1 = (b.column(k + j).to_numpy(zero_copy_only=False).astype(float) for j in range(len(_EDGE)))
+    there = np.array([b.column(k + 2 + j).is_valid().to_numpy(zero_copy_only=False) for j in range(8)])
+    i = np.arange(n)[:, None]
+    with np.errstate(invalid="ignore"):
+        step = (b1 - b0) / float(n)
+        start = np.fmax(np.floor(i * step + b0), 0.0)
+        stop = np.fmin(np.ceil(np.where(i == n - 1, b1, (i + 1) * step + b0)), height)
+    return (np.array(corners), there), width, (start, stop), b1 > b0
+
+
+def _sizes(c: pa.Array) -> np.ndarray:
+    return c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def evaluate_trapezoid(runs: DataFrame, polys: DataFrame, keys: Sequence[str] = MASK, poly: str = "polygon", conf: Settings = DEFAULT) -> DataFrame:
@@ -258,53 +312,71 @@ def evaluate_trapezoid(runs: DataFrame, polys: DataFrame, keys: Sequence[str] =
 
     ``polys`` has keys, polygon, height, width.  The polygon side is one row per
     mask, so the join is on the mask key alone, and masks meet it packed; a run meets the quad's span on
-    its row, and the total and all band sums are aggregates of a single grouping.
+    its row, and the total and all band sums of the masks of an Arrow batch are worked out at once and leave it as one row per packed row.
     """
-    n = conf.support_bands
+    n, k = conf.support_bands, len(keys)
     top, bottom = F.least("_y0", "_y1"), F.greatest("_y2", "_y3")
-    # rows [start, stop) the bands divide; the join makes them plain columns for what follows
+    # rows [start, stop) the bands divide
     edge = polys.select(*keys, "width", "height", *_corner_columns(poly)).withColumn(
         "_b0", F.greatest(F.floor(top), F.lit(0))).withColumn("_b1", F.least(F.ceil(bottom), F.col("height") - 1))
-    step = (F.col("_b1") - F.col("_b0")) / F.lit(float(n))
-    start = lambda i: F.greatest(F.floor(i * step + F.col("_b0")), F.lit(0))
-    stop = lambda i: F.least(F.ceil(F.col("_b1").cast("double") if i == n - 1 else (i + 1) * step + F.col("_b0")), F.col("height"))
-
-    met = packs.pack(runs, keys, RUN, nulls=True).join(edge, list(keys))
-    lanes = met.select(*edge.columns, F.inline(F.arrays_zip(*RUN)))
-    first, last = _span_pixels(F.col("y"), F.col("width"))
-    lanes = lanes.withColumn("_lo", first).withColumn("_hi", last)
-    over = lanes.withColumn("_ov", F.when(F.col("_lo").isNull(), 0).otherwise(
-        F.greatest(F.least(F.col("x1"), F.col("_hi")) - F.greatest(F.col("x0"), F.col("_lo")) + 1, F.lit(0))).cast("long"))
-    y = F.col("y")
-    sums = over.groupBy(*keys).agg(
-        F.sum("_ov").alias("_inter"), F.sum(F.col("x1") - F.col("x0") + 1).alias("_lane"),
-        *[F.sum(F.when((y >= start(i)) & (y < stop(i)), F.col("_ov")).otherwise(0)).alias(f"_f{i}") for i in range(n)])
+    fills, areas = [f"_f{i}" for i in range(n)], [f"_a{i}" for i in range(n)]
+
+    def over(b: pa.RecordBatch):
+        y, x0, x1 = (b.column(k + j).flatten().to_numpy(zero_copy_only=False).astype(float) for j in range(3))
+        ids = np.repeat(np.arange(b.num_rows), _sizes(b.column(k)))
+        quads, width, bands, _ = _edges(b, k + 3, n)
+        met, first, last = _row_ends(ids, y, quads, width)
+        # a missing end of a run holds nothing back
+        px = np.where(met, np.trunc(np.maximum(np.fmin(x1, last) - np.fmax(x0, first) + 1, 0.0)), 0.0)
+        lane = np.nan_to_num(x1 - x0 + 1)
+        whole = [np.bincount(ids, weights=v, minlength=b.num_rows) for v in (px, lane)]
+        return [pa.array(v) for v in (*whole, *_band_sums(ids[met], y[met], px[met], bands))]
+
+    met = packs.pack(runs, keys, RUN, nulls=True).join(edge, list(keys)).select(*keys, *RUN, *_EDGE)
+    sums = packs.per_row(met, keys, over, [packs.double(c) for c in ("_inter", "_lane", *fills)])
+
+    def own(b: pa.RecordBatch):
+        quads, width, bands, banded = _edges(b, k, n)
+        ends = [b.column(k + len(_EDGE) + j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1)]
+        low, many = np.minimum(*ends), np.abs(ends[1] - ends[0]) + 1
+        # at most so many rows of quads at once
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // (1 << 18))) + 1).tolist(), b.num_rows]
+        area, parts = np.zeros(b.num_rows), np.zeros((n, b.num_rows))
+        for i, j in zip(cuts, cuts[1:]):
+            size = many[i:j]
+            ids = np.repeat(np.arange(j - i), size)
+            y = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[i:j], size)).astype(float)
+            met, first, last = _row_ends(ids, y, tuple(q[:, i:j] for q in quads), width[i:j])
+            px = np.where(met, np.maximum(last - first + 1, 0.0), 0.0)
+            area[i:j] = np.bincount(ids, weights=px, minlength=j - i)
+            parts[:, i:j] = _band_sums(ids, y, px, tuple(e[:, i:j] for e in bands))
+        return [pa.array(banded.astype(np.int64)), *[pa.array(v) for v in (area, *parts)]]
 
     # pixels of the quad itself, whole and per band, from one pass over its rows
-    rows = edge.withColumn("y", F.explode(F.sequence(
-        F.greatest(F.ceil(F.least("_y0", "_y1", "_y2", "_y3")), F.lit(0)),
-        F.greatest(F.least(F.floor(F.greatest("_y0", "_y1", "_y2", "_y3")), F.col("height") - 1), F.lit(0)))))
-    rows = rows.withColumn("_lo", first).withColumn("_hi", last)
-    rows = rows.withColumn("_px", F.coalesce(F.greatest(F.col("_hi") - F.col("_lo") + 1, F.lit(0)), F.lit(0)))
-    area = rows.groupBy(*keys).agg(
-        F.sum("_px").alias("_area"), F.max((F.col("_b1") > F.col("_b0")).cast("int")).alias("_banded"),
-        *[F.sum(F.when((y >= start(i)) & (y < stop(i)), F.col("_px")).otherwise(0)).alias(f"_a{i}") for i in range(n)])
-
-    fills = F.filter(
-        F.array(*[F.when((F.col("_banded") == 1) & (F.col(f"_a{i}") > 0), F.least(
-            F.coalesce(F.col(f"_f{i}"), F.lit(0)) / F.nullif(F.col(f"_a{i}"), F.lit(0)) / 0.55, F.lit(1.0))) for i in range(n)]),
-        lambda v: v.isNotNull())
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, e: a + e) / F.nullif(F.size(v), F.lit(0))
-    share = lambda v: F.size(F.filter(v, lambda e: e > 0.20)) / F.nullif(F.size(v), F.lit(0))
-    support = G.let(fills, lambda v: F.least(F.greatest(0.65 * mean(v) + 0.35 * share(v), F.lit(0.0)), F.lit(1.0)))
-    joined = polys.join(area, list(keys), "left").join(sums, list(keys), "left")
-    ok = (F.col("_area") > 0) & (F.coalesce(F.col("_lane"), F.lit(0)) > 0)
+    rows = edge.select(
+        *keys, *_EDGE, F.greatest(F.ceil(F.least("_y0", "_y1", "_y2", "_y3")), F.lit(0)).cast("long"),
+        F.greatest(F.least(F.floor(F.greatest("_y0", "_y1", "_y2", "_y3")), F.col("height") - 1), F.lit(0)).cast("long"))
+    area = packs.per_row(rows, keys, own, [packs.whole("_banded"), *[packs.double(c) for c in ("_area", *areas)]])
+    both = sums.unionByName(area, allowMissingColumns=True).groupBy(*keys).agg(
+        F.max("_banded").alias("_banded"), *[F.sum(c).alias(c) for c in ("_inter", "_lane", "_area", *fills, *areas)])
+
+    share = lambda i: F.least(F.coalesce(F.col(f"_f{i}"), F.lit(0.0)) / F.nullif(F.col(f"_a{i}"), F.lit(0.0)) / 0.55, F.lit(1.0))
+    joined = polys.join(both, list(keys), "left").withColumns({
+        f"_v{i}": F.when((F.col("_banded") == 1) & (F.col(f"_a{i}") > 0), share(i)) for i in range(n)}).drop(*fills, *areas)
+    add = lambda each: functools.reduce(lambda a, v: a + v, each)
+    filled = [F.col(f"_v{i}") for i in range(n)]
+    joined = joined.withColumns({
+        "_bands": add(v.isNotNull().cast("int") for v in filled), "_sum": add([F.lit(0.0), *[F.coalesce(v, F.lit(0.0)) for v in filled]]),
+        "_good": add(F.coalesce((v > 0.20).cast("int"), F.lit(0)) for v in filled)})
+    size = F.nullif(F.col("_bands"), F.lit(0))
+    support = F.least(F.greatest(0.65 * (F.col("_sum") / size) + 0.35 * (F.col("_good") / size), F.lit(0.0)), F.lit(1.0))
+    ok = (F.col("_area") > 0) & (F.coalesce(F.col("_lane"), F.lit(0.0)) > 0)
     cw = conf.coverage_weight
     out = (
-        joined.withColumn("support_score", F.when(F.size(fills) > 0, support).otherwise(0.0))
+        joined.withColumn("support_score", F.when(F.col("_bands") > 0, support).otherwise(0.0))
         .withColumn("_g", G.geometry_scores(F.col(poly), "height", "width"))
-        .withColumn("coverage", F.when(ok, F.col("_inter") / F.nullif(F.col("_lane"), F.lit(0))).otherwise(0.0))
-        .withColumn("purity", F.when(ok, F.col("_inter") / F.nullif(F.col("_area"), F.lit(0))).otherwise(0.0))
+        .withColumn("coverage", F.when(ok, F.col("_inter") / F.nullif(F.col("_lane"), F.lit(0.0))).otherwise(0.0))
+        .withColumn("purity", F.when(ok, F.col("_inter") / F.nullif(F.col("_area"), F.lit(0.0))).otherwise(0.0))
     )
     score = (
         0.55 * (cw * F.col("coverage") + (1.0 - cw) * F.col("purity"))
@@ -313,7 +385,7 @@ def evaluate_trapezoid(runs: DataFrame, polys: DataFrame, keys: Sequence[str] =
     return out.withColumn("score", F.when(ok, score).otherwise(0.0)).select(
         *polys.columns, "coverage", "purity", "support_score", "score",
         "_g.geometry_score", "_g.width_ratio", "_g.bottom_width", "_g.y_span_ratio",
-        F.coalesce(F.col("_lane"), F.lit(0)).cast("double").alias("mask_area"),
+        F.coalesce(F.col("_lane"), F.lit(0.0)).alias("mask_area"),
     )
 
 
@@ -349,6 +421,35 @@ def _pixel_percentiles(group: np.ndarray, x0: np.ndarray, x1: np.ndarray, count:
     return n, *out
 
 
+def _scan(ids: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, count: int) -> tuple[np.ndarray, ...]:
+    """Mask, row, left and right border on up to 90 evenly spaced rows of each mask (three rows pooled), in order of mask and row."""
+    top, bottom = np.full(count, np.iinfo(np.int64).max), np.full(count, np.iinfo(np.int64).min)
+    np.minimum.at(top, ids, y)
+    np.maximum.at(bottom, ids, y)
+    # a mask without runs has no rows (its bottom is not below its top)
+    tall = (bottom > top) & (bottom - top >= 20)
+    heights = np.where(tall, bottom - top + 1, 0)
+    base = np.cumsum(heights) - heights
+    wanted = np.zeros(int(heights.sum()), bool)
+    a, b = top[tall][:, None], bottom[tall][:, None]
+    i = np.arange(90)
+    rows = np.where(i == 89, b, np.floor(i * ((b - a) / 89.0) + a).astype(np.int64))
+    wanted[(base[tall][:, None] + rows - a).ravel()] = True
+    on = tall[ids]
+    ids, y, x0, x1 = ids[on], y[on], x0[on], x1[on]
+    place = (base[ids] + y - top[ids])[None, :] + np.array([[-1], [0], [1]])
+    inside = (place >= base[ids]) & (place < (base + heights)[ids])
+    inside[inside] = wanted[place[inside]]
+    _, which = np.nonzero(inside)
+    slot = place[inside]
+    number = np.cumsum(wanted) - 1
+    at = np.flatnonzero(wanted)
+    n, left, right = _pixel_percentiles(number[slot], x0[which], x1[which], len(at), 0.01, 0.99)
+    mask = np.repeat(np.arange(count), heights)[at]
+    keep = np.flatnonzero((n >= 12) & (right - left >= 10))
+    return mask[keep], (at - base[mask] + top[mask])[keep], left[keep], right[keep]
+
+
 def scanline_boundaries(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
     """Left and right border on up to 90 evenly spaced rows of each mask (three rows pooled); none for masks without a key.
 
@@ -357,36 +458,23 @@ def scanline_boundaries(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFram
     row_of = packs.element(runs.schema["y"])
 
     def lines(g: packs.Groups):
-        y, x0, x1 = (c.astype(np.int64) for c in g.flat)
-        top, bottom = np.full(g.count, np.iinfo(np.int64).max), np.full(g.count, np.iinfo(np.int64).min)
-        np.minimum.at(top, g.id, y)
-        np.maximum.at(bottom, g.id, y)
-        tall = bottom - top >= 20
-        heights = np.where(tall, bottom - top + 1, 0)
-        base = np.cumsum(heights) - heights
-        wanted = np.zeros(int(heights.sum()), bool)
-        a, b = top[tall][:, None], bottom[tall][:, None]
-        i = np.arange(90)
-        rows = np.where(i == 89, b, np.floor(i * ((b - a) / 89.0) + a).astype(np.int64))
-        wanted[(base[tall][:, None] + rows - a).ravel()] = True
-        on = tall[g.id]
-        ids, y, x0, x1 = g.id[on], y[on], x0[on], x1[on]
-        place = (base[ids] + y - top[ids])[None, :] + np.array([[-1], [0], [1]])
-        inside = (place >= base[ids]) & (place < (base + heights)[ids])
-        inside[inside] = wanted[place[inside]]
-        _, which = np.nonzero(inside)
-        slot = place[inside]
-        number = np.cumsum(wanted) - 1
-        at = np.flatnonzero(wanted)
-        n, left, right = _pixel_percentiles(number[slot], x0[which], x1[which], len(at), 0.01, 0.99)
-        mask = np.repeat(np.arange(g.count), heights)[at]
-        keep = np.flatnonzero((n >= 12) & (right - left >= 10))
-        row = (at - base[mask] + top[mask])[keep]
-        return g.rows(mask[keep], packs.cast_down(row, row_of.dataType), pa.array(left[keep], pa.float64()), pa.array(right[keep], pa.float64()), pa.array((right - left)[keep], pa.float64()))
+        mask, row, left, right = _scan(g.id, *(c.astype(np.int64) for c in g.flat), g.count)
+        return g.rows(mask, packs.cast_down(row, row_of.dataType), *[pa.array(v, pa.float64()) for v in (left, right, right - left)])
 
     return packs.per_group(packs.pack(packs.present(runs, keys), keys, RUN), keys, lines, [row_of, *map(packs.double, ("left_x", "right_x", "width"))])
 
 
+def _near(ids: np.ndarray, x0: np.ndarray, x1: np.ndarray, count: int) -> tuple[np.ndarray, ...]:
+    """Groups of runs with at least 8 pixels, and their left and right border."""
+    n, left, right = _pixel_percentiles(ids, x0, x1, count, 0.005, 0.995)
+    keep = np.flatnonzero(n >= 8)
+    return keep, left[keep], right[keep]
+
+
+#: Rows above and below a target whose runs are pooled.
+NEAR = 4
+
+
 def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MASK, row: str = "target_y", by: Sequence[str] = ()) -> DataFrame:
     """Left and right border around given rows of masks (nine rows pooled); absent with fewer than 8 pixels.
 
@@ -395,19 +483,53 @@ def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MAS
     each = [*keys, *by]
     want = targets.select(*each, F.rint(F.col(row)).cast("int").alias("_at"))
     met = packs.pack(packs.present(runs, keys), keys, RUN).join(want.hint("merge"), list(keys))
-    near = met.select(*each, "_at", F.filter(F.arrays_zip(*RUN), lambda r: F.abs(r["y"] - F.col("_at")) <= 4).alias("_r")).where(F.size("_r") > 0)
+    near = met.select(*each, "_at", F.filter(F.arrays_zip(*RUN), lambda r: F.abs(r["y"] - F.col("_at")) <= NEAR).alias("_r")).where(F.size("_r") > 0)
     near = near.select(*each, "_at", *[F.col(f"_r.{c}").alias(c) for c in RUN])
 
     def ends(g: packs.Groups):
-        _, x0, x1 = (c.astype(np.int64) for c in g.flat)
-        n, left, right = _pixel_percentiles(g.id, x0, x1, g.count, 0.005, 0.995)
-        keep = np.flatnonzero(n >= 8)
-        return g.rows(keep, pa.array(left[keep], pa.float64()), pa.array(right[keep], pa.float64()))
+        keep, left, right = _near(g.id, *(c.astype(np.int64) for c in g.flat[1:]), g.count)
+        return g.rows(keep, pa.array(left, pa.float64()), pa.array(right, pa.float64()))
 
     out = packs.per_group(near, [*each, "_at"], ends, [packs.double("left_x"), packs.double("right_x")])
     return out.select(*each, F.col("_at").alias("y"), "left_x", "right_x")
 
 
+def _fitted(ids: np.ndarray, px: np.ndarray, py: np.ndarray, m: int, rounds: int = 4) -> tuple[np.ndarray, ...]:
+    """Which of ``m`` groups have a line, slope, intercept and share of inliers (see ``robust_line``)."""
+    keep, ok = np.ones(len(px), bool), np.ones(m, bool)
+    slope = icpt = np.full(m, np.nan)
+
+    def mean(on, v):
+        n = np.bincount(ids[on], minlength=m)
+        with np.errstate(all="ignore"):
+            return np.bincount(ids[on], weights=v[on], minlength=m) / n
+
+    for _ in range(rounds):
+        has_x, has_y = keep & ~np.isnan(px), keep & ~np.isnan(py)
+        ok &= np.bincount(ids[has_x], minlength=m) >= 8
+        both = has_x & has_y
+        cx, cy = mean(both, px), mean(both, py)
+        dx, dy = px - cx[ids], py - cy[ids]
+        low, high = np.full(m, np.inf), np.full(m, -np.inf)
+        np.minimum.at(low, ids[both], py[both])
+        np.maximum.at(high, ids[both], py[both])
+        sums = [np.bincount(ids[both], weights=v[both], minlength=m) for v in (dx * dy, dy * dy)]
+        with np.errstate(all="ignore"):
+            slope = np.where(high > low, sums[0] / sums[1], np.nan)
+        icpt = mean(has_x, px) - slope * mean(has_y, py)
+        far = np.abs(px - (slope[ids] * py + icpt[ids]))
+        on = keep & ~np.isnan(far)
+        med = packs.quantiles(ids[on], far[on], m, 0.5)[0]
+        mad = packs.quantiles(ids[on], np.abs(far - med[ids])[on], m, 0.5)[0]
+        # greatest() passes over nulls: without a deviation the floors hold
+        limit = np.fmax(8.0, med + 3.0 * 1.4826 * np.fmax(mad, 1.0))
+        with np.errstate(invalid="ignore"):
+            keep = far <= limit[ids]
+    with np.errstate(invalid="ignore"):
+        share = np.bincount(ids[keep], minlength=m) / np.bincount(ids, minlength=m)
+    return ok, slope, icpt, share
+
+
 def robust_line(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", rounds: int = 4) -> DataFrame:
     """Line x = slope * y + intercept, refitted ``rounds`` times without points far from it.
 
@@ -418,80 +540,53 @@ def robust_line(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "
     packed = packs.pack(points.select(*keys, nan(x).alias("_x"), nan(y).alias("_y")), keys, ["_x", "_y"])
 
     def fit(g: packs.Groups):
-        px, py = (c.astype(float) for c in g.flat)
-        keep, ok, m = np.ones(len(px), bool), np.ones(g.count, bool), g.count
-        slope = icpt = np.full(m, np.nan)
-
-        def mean(on, v):
-            n = np.bincount(g.id[on], minlength=m)
-            with np.errstate(all="ignore"):
-                return np.bincount(g.id[on], weights=v[on], minlength=m) / n
-
-        for _ in range(rounds):
-            has_x, has_y = keep & ~np.isnan(px), keep & ~np.isnan(py)
-            ok &= np.bincount(g.id[has_x], minlength=m) >= 8
-            both = has_x & has_y
-            cx, cy = mean(both, px), mean(both, py)
-            dx, dy = px - cx[g.id], py - cy[g.id]
-            low, high = np.full(m, np.inf), np.full(m, -np.inf)
-            np.minimum.at(low, g.id[both], py[both])
-            np.maximum.at(high, g.id[both], py[both])
-            sums = [np.bincount(g.id[both], weights=v[both], minlength=m) for v in (dx * dy, dy * dy)]
-            with np.errstate(all="ignore"):
-                slope = np.where(high > low, sums[0] / sums[1], np.nan)
-            icpt = mean(has_x, px) - slope * mean(has_y, py)
-            far = np.abs(px - (slope[g.id] * py + icpt[g.id]))
-            on = keep & ~np.isnan(far)
-            med = packs.quantiles(g.id[on], far[on], m, 0.5)[0]
-            mad = packs.quantiles(g.id[on], np.abs(far - med[g.id])[on], m, 0.5)[0]
-            # greatest() passes over nulls: without a deviation the floors hold
-            limit = np.fmax(8.0, med + 3.0 * 1.4826 * np.fmax(mad, 1.0))
-            with np.errstate(invalid="ignore"):
-                keep = far <= limit[g.id]
-        share = np.bincount(g.id[keep], minlength=m) / np.bincount(g.id, minlength=m)
+        ok, slope, icpt, share = _fitted(g.id, *(c.astype(float) for c in g.flat), g.count, rounds)
         at = np.flatnonzero(ok)
         return g.rows(at, packs.nullable(slope[at]), packs.nullable(icpt[at]), pa.array(share[at], pa.float64()))
 
     return packs.per_group(packed, list(keys), fit, [packs.double(c) for c in ("slope", "intercept", "inlier_ratio")])
 
 
-def _row_stats(scan: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number of scanned rows, the rows where the quad ends and the growth of the width, per mask."""
-
-    def stats(g: packs.Groups):
-        y, width = g.flat
-        top, bottom = packs.quantiles(g.id, y, g.count, 0.02, 0.995, times=2)
-        wide, narrow = packs.quantiles(g.id, width, g.count, 0.85, 0.15)
-        return g.rows(np.arange(g.count), pa.array(np.bincount(g.id, minlength=g.count), pa.int64()), *map(packs.nullable, (top, bottom, wide - narrow)))
-
-    return packs.per_group(packs.pack(scan, keys, ["y", "width"]), keys, stats, [packs.whole("_n"), *map(packs.double, ("_top", "_bot", "_growth"))])
-
-
-def quad_from_boundaries(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
+def _row_stats(ids: np.ndarray, y: np.ndarray, width: np.ndarray, count: int) -> tuple[np.ndarray, ...]:
+    """Number of scanned rows, the rows where the quad ends and the growth of the width, per mask; NaN without a row."""
+    top, bottom = packs.quantiles(ids, y, count, 0.02, 0.995, times=2)
+    wide, narrow = packs.quantiles(ids, width, count, 0.85, 0.15)
+    return np.bincount(ids, minlength=count), top, bottom, wide - narrow
+
+
+def _measured(g: packs.Groups) -> pa.RecordBatch:
+    """Scan lines, their ends, a line through either border and the borders near both ends, of the masks of one batch."""
+    m = g.count
+    y, x0, x1 = (c.astype(np.int64) for c in g.flat)
+    mask, row, left, right = _scan(g.id, y, x0, x1, m)
+    n, top, bottom, growth = _row_stats(mask, row, right - left, m)
+    side = np.concatenate([mask, mask + m])
+    ok, slope, icpt, share = _fitted(side, np.concatenate([left, right]), np.concatenate([row, row]).astype(float), 2 * m)
+    slope, icpt, share = (np.where(ok, v, np.nan) for v in (slope, icpt, share))
+    ends = []
+    for target in (top, bottom):
+        with np.errstate(invalid="ignore"):
+            on = np.abs(y - np.rint(target)[g.id]) <= NEAR
+        keep, *borders = _near(g.id[on], x0[on], x1[on], m)
+        for border in borders:
+            ends.append(np.full(m, np.nan))
+            ends[-1][keep] = border
+    lines = [v for i in (0, 1) for v in (slope[i * m : (i + 1) * m], icpt[i * m : (i + 1) * m])]
+    values = [top, bottom, growth, np.fmin(share[:m], share[m:]), *lines, *ends]
+    return g.rows(np.arange(m), pa.array(n, pa.int64()), pa.array(ok[:m].astype(np.int64) + ok[m:]), *map(packs.nullable, values))
+
+
+def quad_from_boundaries(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = MASK, whole: bool = False) -> DataFrame:
     """Lane quad from the mask borders, or the reason there is none.
 
     ``sizes``: one row per mask with height and width.  Output: keys, height,
     width, polygon (null when rejected), reason (null when accepted).
+    The steps of ``scanline_boundaries``, ``robust_line`` and ``boundary_near`` follow each other on the masks of a batch, so a
+    mask crosses the network once, or not at all where each packed row is a ``whole`` mask, and leaves as one row.
     """
-    # read by three steps below: written once
-    scan = cut(scanline_boundaries(runs, keys), "scanlines")
-    ends = cut(_row_stats(scan, keys), "scan-ends")
-    left, right = (scan.select(*keys, F.lit(s).alias("side"), F.col(f"{s}_x").alias("x"), "y") for s in ("left", "right"))
-    lines = robust_line(left.unionByName(right), [*keys, "side"])
-    part = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    lines = lines.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_lines"), F.min("inlier_ratio").alias("_inl"),
-        part("left", "slope").alias("_ls"), part("left", "intercept").alias("_li"),
-        part("right", "slope").alias("_rs"), part("right", "intercept").alias("_ri"),
-    )
-    near = ends.select(*keys, F.explode(F.array(
-        F.struct(F.lit("t").alias("e"), F.col("_top").alias("target_y")), F.struct(F.lit("b").alias("e"), F.col("_bot").alias("target_y")))).alias("_t")
-    ).select(*keys, "_t.*")
-    met = boundary_near(runs, near, keys, by=["e"])
-    pick = lambda e, c: F.max(F.when(F.col("e") == e, F.col(c)))
-    met = met.groupBy(*keys).agg(
-        pick("t", "left_x").alias("_tl"), pick("t", "right_x").alias("_tr"), pick("b", "left_x").alias("_bl"), pick("b", "right_x").alias("_br"))
-    j = sizes.join(ends, list(keys), "left").join(lines, list(keys), "left").join(met, list(keys), "left")
+    fields = [packs.whole("_n"), packs.whole("_lines"), *map(packs.double, ("_top", "_bot", "_growth", "_inl", "_ls", "_li", "_rs", "_ri", "_tl", "_tr", "_bl", "_br"))]
+    met = packs.per_group(packs.pack(packs.present(runs, keys), keys, RUN), keys, _measured, fields, whole=whole)
+    j = sizes.join(met, list(keys), "left")
     on = lambda s, y: F.col(f"_{s}s") * F.col(y) + F.col(f"_{s}i")
     # a border found only on one of its two sides cannot happen: both come from the same pixels
     j = (
@@ -556,10 +651,11 @@ def _components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, sizes: np.ndarray
     return label - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _labelled(runs: DataFrame, keys: Sequence[str], keep, out: Sequence[str]) -> DataFrame:
+def _labelled(runs: DataFrame, keys: Sequence[str], keep, out: Sequence[str], packed: bool = False) -> DataFrame:
     """Runs of whole masks, in order of (y, x0), with ``component`` and ``component_area``; ``keep`` picks among the runs of many masks.
 
     keep: (area of each run's component, its number, first run of each mask, place of each run's mask) to flags.
+    ``packed``: the runs of a mask stay one row; masks without a run go.
     """
     fields = {**{c: packs.element(runs.schema[c]) for c in RUN}, "component": T.StructField("component", T.IntegerType()), "component_area": packs.whole("component_area")}
 
@@ -573,9 +669,14 @@ def _labelled(runs: DataFrame, keys: Sequence[str], keep, out: Sequence[str]) ->
         area = np.bincount(label + first[ids], weights=x1 - x0 + 1, minlength=len(y)).astype(np.int64)[label + first[ids]]
         on = np.flatnonzero(keep(area, label, first, ids))
         made = {**{c: packs.cast_down(v[on], fields[c].dataType) for c, v in zip(RUN, (y, x0, x1))}, "component": pa.array(label[on], pa.int32()), "component_area": pa.array(area[on])}
-        return g.rows(ids[on], *[made[c] for c in out])
+        if not packed:
+            return g.rows(ids[on], *[made[c] for c in out])
+        some, at = np.unique(ids[on], return_index=True)
+        cuts = pa.array(np.append(at, len(on)), pa.int32())
+        return g.rows(some, *[pa.ListArray.from_arrays(cuts, made[c]) for c in out])
 
-    return packs.per_group(packs.pack(runs, keys, RUN), keys, labelled, [fields[c] for c in out])
+    kinds = [T.StructField(c, T.ArrayType(fields[c].dataType)) if packed else fields[c] for c in out]
+    return packs.per_group(packs.pack(runs, keys, RUN), keys, labelled, kinds)
 
 
 def mask_components(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
@@ -586,10 +687,10 @@ def mask_components(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
     return _labelled(runs, keys, lambda area, label, first, ids: np.ones(len(area), bool), [*RUN, "component", "component_area"])
 
 
-def significant_components(runs: DataFrame, conf: Settings = DEFAULT, keys: Sequence[str] = MASK) -> DataFrame:
-    """Keep components of at least max(300, 3 % of the largest) pixels."""
+def significant_components(runs: DataFrame, conf: Settings = DEFAULT, keys: Sequence[str] = MASK, packed: bool = False) -> DataFrame:
+    """Keep components of at least max(300, 3 % of the largest) pixels; ``packed``: one row per mask."""
     least, share = float(conf.component_min_area), conf.component_min_ratio
-    return _labelled(runs, keys, lambda area, label, first, ids: area >= np.maximum(least, np.maximum.reduceat(area, first) * share)[ids], RUN)
+    return _labelled(runs, keys, lambda area, label, first, ids: area >= np.maximum(least, np.maximum.reduceat(area, first) * share)[ids], RUN, packed)
 
 
 def largest_component(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:

@@ -132,8 +132,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], k: int, shrink: Callable[[Gr
         yield Groups(_joined(held), k)
 
 
-def per_group(packed: DataFrame, keys: Sequence[str], fn: Callable[[Groups], pa.RecordBatch], fields: Sequence[T.StructField], shrink: Callable[[Groups], pa.RecordBatch] | None = None) -> DataFrame:
-    """``fn`` over the whole groups of packed rows: keys and ``fields``.  One exchange, sorted by key."""
+def per_group(packed: DataFrame, keys: Sequence[str], fn: Callable[[Groups], pa.RecordBatch], fields: Sequence[T.StructField], shrink: Callable[[Groups], pa.RecordBatch] | None = None, whole: bool = False) -> DataFrame:
+    """``fn`` over the whole groups of packed rows: keys and ``fields``.  One exchange, sorted by key; none where every row is a ``whole`` group."""
     k = len(keys)
     schema = T.StructType([*[packed.schema[c] for c in keys], *fields])
 
@@ -143,7 +143,20 @@ def per_group(packed: DataFrame, keys: Sequence[str], fn: Callable[[Groups], pa.
             if out.num_rows:
                 yield out.rename_columns(schema.names)
 
-    return packed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return (packed if whole else packed.repartition(*keys).sortWithinPartitions(*keys)).mapInArrow(run, schema)
+
+
+def per_row(rows: DataFrame, keys: Sequence[str], fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: Sequence[T.StructField]) -> DataFrame:
+    """``fn`` over the batches as they lie, one value per row for each of ``fields``: keys and ``fields``."""
+    k = len(keys)
+    schema = T.StructType([*[rows.schema[c] for c in keys], *fields])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(k)], *fn(b)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 # ---- numbers of many groups at once ------------------------------------------
@@ -191,4 +204,4 @@ def cast_down(values: np.ndarray, like: T.DataType) -> pa.Array:
     return pa.array(values.astype(np.int64)).cast({T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.ShortType: pa.int16(), T.ByteType: pa.int8()}.get(type(like), pa.float64()))
 
 
-__all__ = ["Groups", "cast_down", "double", "element", "nullable", "order_by", "pack", "per_group", "present", "quantiles", "starts", "whole", "whole_groups"]
+__all__ = ["Groups", "cast_down", "double", "element", "nullable", "order_by", "pack", "per_group", "per_row", "present", "quantiles", "starts", "whole", "whole_groups"]

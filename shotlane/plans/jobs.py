@@ -48,10 +48,10 @@ def analyse_positions(raw: DataFrame, fps="fps", conf: Settings = DEFAULT) -> Da
 def _lane_candidates(lane_runs: DataFrame, top: DataFrame, shots: DataFrame, conf: Settings) -> DataFrame:
     """Scored candidates (``top``: the masks that may be some) with a reason for each rejected one; masks are joined and written packed, not run by run."""
     runs = packs.pack(lane_runs, mk.MASK, mk.RUN).join(top.select(*mk.MASK), mk.MASK)
-    # read by three steps below: written once instead of relabelled each time
-    clean = cut(packs.pack(mk.significant_components(runs, conf), mk.MASK, mk.RUN), "lane-masks")
+    # read by two steps below, one row per mask: written once instead of relabelled each time
+    clean = cut(mk.significant_components(runs, conf, packed=True), "lane-masks")
     sizes = top.select(*mk.MASK, "lane_no").join(shots.select("shot_id", "height", "width"), "shot_id")
-    quads = cut(mk.quad_from_boundaries(clean, sizes), "mask-quads")
+    quads = cut(mk.quad_from_boundaries(clean, sizes, whole=True), "mask-quads")
     found = quads.where("polygon is not null").withColumn("polygon", G.order_quad(F.col("polygon"))).drop("reason")
     scored = ln.validate_candidates(mk.evaluate_trapezoid(clean, found, conf=conf), conf)
     bad = quads.where("polygon is null").select(*mk.MASK, "lane_no", "height", "width", "reason")
