@@ -129,9 +129,10 @@ def _order_rows(poly: Column) -> Column:
     def left_right(pair: Column) -> Column:
         return F.array_sort(F.transform(pair, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y"))))
 
-    top, bottom = left_right(F.slice(by_y, 1, 2)), left_right(F.slice(by_y, 3, 2))
-    picks = [F.get(top, F.lit(0)), F.get(top, F.lit(1)), F.get(bottom, F.lit(1)), F.get(bottom, F.lit(0))]
-    return F.array(*[point(trunc(p["x"]), trunc(p["y"])) for p in picks])
+    # each step is worked out once: nothing inside a lambda is shared
+    sides = let(by_y, lambda rows: F.array(left_right(F.slice(rows, 1, 2)), left_right(F.slice(rows, 3, 2))))
+    picks = let(sides, lambda s: F.array(*[F.get(F.get(s, F.lit(j)), F.lit(i)) for j, i in ((0, 0), (0, 1), (1, 1), (1, 0))]))
+    return F.transform(picks, lambda p: point(trunc(p["x"]), trunc(p["y"])))
 
 
 def point_in_polygon(px: Column, py: Column, poly: Column) -> Column:
@@ -196,12 +197,15 @@ def valid_vanishing_point(q: Column, h, w) -> Column:
     (tlx, tly), (trx, try_), (brx, bry), (blx, bly) = (corner(q, i) for i in range(4))
     w = _c(w)
     ldx, ldy, rdx, rdy = blx - tlx, bly - tly, brx - trx, bry - try_
-    det = ldx * rdy - rdx * ldy
-    t = ((trx - tlx) * rdy - (try_ - tly) * rdx) / F.nullif(det, F.lit(0.0))
-    vx, vy = tlx + t * ldx, tly + t * ldy
-    return F.when(F.abs(det) < 1e-6, F.lit(True)).otherwise(
-        ~((vy > tly) | (vx < -w) | (vx > 2 * w))
-    )
+    terms = F.array(tlx, tly, ldx, ldy, ldx * rdy - rdx * ldy, (trx - tlx) * rdy - (try_ - tly) * rdx)
+
+    # in steps, each worked out once: written out in full, the code is too long for the JVM to compile
+    def passes(v: Column) -> Column:
+        x, y, dx, dy, det, over = (v[k] for k in range(6))
+        point_ = let(over / F.nullif(det, F.lit(0.0)), lambda t: F.array(x + t * dx, y + t * dy))
+        return F.when(F.abs(det) < 1e-6, F.lit(True)).otherwise(let(point_, lambda p: ~((p[1] > y) | (p[0] < -w) | (p[0] > 2 * w))))
+
+    return let(terms, passes)
 
 
 def geometry_scores(q: Column, h, w) -> Column:

@@ -7,7 +7,6 @@ Components, borders and trapezoids also take masks packed by ``packs.pack``.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -360,20 +359,23 @@ def evaluate_trapezoid(runs: DataFrame, polys: DataFrame, keys: Sequence[str] =
     both = sums.unionByName(area, allowMissingColumns=True).groupBy(*keys).agg(
         F.max("_banded").alias("_banded"), *[F.sum(c).alias(c) for c in ("_inter", "_lane", "_area", *fills, *areas)])
 
-    share = lambda i: F.least(F.coalesce(F.col(f"_f{i}"), F.lit(0.0)) / F.nullif(F.col(f"_a{i}"), F.lit(0.0)) / 0.55, F.lit(1.0))
-    joined = polys.join(both, list(keys), "left").withColumns({
-        f"_v{i}": F.when((F.col("_banded") == 1) & (F.col(f"_a{i}") > 0), share(i)) for i in range(n)}).drop(*fills, *areas)
-    add = lambda each: functools.reduce(lambda a, v: a + v, each)
-    filled = [F.col(f"_v{i}") for i in range(n)]
-    joined = joined.withColumns({
-        "_bands": add(v.isNotNull().cast("int") for v in filled), "_sum": add([F.lit(0.0), *[F.coalesce(v, F.lit(0.0)) for v in filled]]),
-        "_good": add(F.coalesce((v > 0.20).cast("int"), F.lit(0)) for v in filled)})
-    size = F.nullif(F.col("_bands"), F.lit(0))
-    support = F.least(F.greatest(0.65 * (F.col("_sum") / size) + 0.35 * (F.col("_good") / size), F.lit(0.0)), F.lit(1.0))
+    def support(b: pa.RecordBatch):
+        banded, inter, lane, area, *bands = (b.column(k + j).to_numpy(zero_copy_only=False).astype(float) for j in range(4 + 2 * n))
+        total, count, good = (np.zeros(b.num_rows) for _ in range(3))
+        with np.errstate(all="ignore"):
+            for fill, own in zip(bands[:n], bands[n:]):
+                on = (banded == 1) & (own > 0)
+                v = np.where(on, np.fmin(np.nan_to_num(fill) / own / 0.55, 1.0), 0.0)
+                total, count, good = total + v, count + on, good + (v > 0.20)
+            score = np.clip(0.65 * (total / count) + 0.35 * (good / count), 0.0, 1.0)
+        return [*map(packs.nullable, (inter, lane, area)), pa.array(np.where(count > 0, score, 0.0))]
+
+    measured = packs.per_row(both, keys, support, [packs.double(c) for c in ("_inter", "_lane", "_area", "_support")])
+    joined = polys.join(measured, list(keys), "left")
     ok = (F.col("_area") > 0) & (F.coalesce(F.col("_lane"), F.lit(0.0)) > 0)
     cw = conf.coverage_weight
     out = (
-        joined.withColumn("support_score", F.when(F.col("_bands") > 0, support).otherwise(0.0))
+        joined.withColumn("support_score", F.coalesce("_support", F.lit(0.0)))
         .withColumn("_g", G.geometry_scores(F.col(poly), "height", "width"))
         .withColumn("coverage", F.when(ok, F.col("_inter") / F.nullif(F.col("_lane"), F.lit(0.0))).otherwise(0.0))
         .withColumn("purity", F.when(ok, F.col("_inter") / F.nullif(F.col("_area"), F.lit(0.0))).otherwise(0.0))

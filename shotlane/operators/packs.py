@@ -171,10 +171,24 @@ def order_by(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
     return np.lexsort((minor, major))
 
 
+def _sorted(group: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of each group in order, group after group; NaN comes last."""
+    if sizes.size * int(sizes.max(initial=0)) > 4 * len(values) + (1 << 16):
+        return values[np.lexsort((values, group))]
+    if (np.diff(group) < 0).any():
+        values = values[np.argsort(group, kind="stable")]
+    # groups of about one size are the rows of a table
+    inside = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    table = np.full(inside.shape, np.nan)
+    table[inside] = values
+    table.sort(axis=1)
+    return table[inside]
+
+
 def quantiles(group: np.ndarray, values: np.ndarray, count: int, *shares: float, times: int = 1) -> list[np.ndarray]:
     """Interpolated quantiles of the values of each group, each value counted ``times``; NaN for a group without values."""
-    by = np.lexsort((values, group))
-    v, n = values[by].astype(float), np.bincount(group, minlength=count)
+    n = np.bincount(group, minlength=count)
+    v = _sorted(group, values.astype(float), n)
     base = np.cumsum(n) - n
     out = []
     for q in shares:

@@ -51,8 +51,10 @@ def _lane_candidates(lane_runs: DataFrame, top: DataFrame, shots: DataFrame, con
     # read by two steps below, one row per mask: written once instead of relabelled each time
     clean = cut(mk.significant_components(runs, conf, packed=True), "lane-masks")
     sizes = top.select(*mk.MASK, "lane_no").join(shots.select("shot_id", "height", "width"), "shot_id")
-    quads = cut(mk.quad_from_boundaries(clean, sizes, whole=True), "mask-quads")
-    found = quads.where("polygon is not null").withColumn("polygon", G.order_quad(F.col("polygon"))).drop("reason")
+    # the corners are ordered before they are written, not by each of their readers
+    ordered = F.when(F.col("polygon").isNotNull(), G.order_quad(F.col("polygon")))
+    quads = cut(mk.quad_from_boundaries(clean, sizes, whole=True).withColumn("polygon", ordered), "mask-quads")
+    found = quads.where("polygon is not null").drop("reason")
     scored = ln.validate_candidates(mk.evaluate_trapezoid(clean, found, conf=conf), conf)
     bad = quads.where("polygon is null").select(*mk.MASK, "lane_no", "height", "width", "reason")
     return scored.unionByName(bad, allowMissingColumns=True)
@@ -73,7 +75,8 @@ def analyse_shots(runs: DataFrame, shots: DataFrame, conf: Settings = DEFAULT) -
     top = cut(ln.top_lane_masks(mk.mask_area(lane_runs), conf.max_lane_masks), "top-masks")
     # candidates feed the tracker, the observations and the reject counts: made once
     cands = cut(_lane_candidates(lane_runs, top, shots, conf), "candidates")
-    passed = ln.penalise_nested(cands.where("reason is null"), order="lane_no")
+    # read by the tracker, the votes, the tracks, the observations and the frames of the best
+    passed = cut(ln.penalise_nested(cands.where("reason is null"), order="lane_no"), "passed")
     ok = passed.where(F.col("score") >= conf.min_trapezoid_score)
     late_rejects = passed.where(F.col("score") < conf.min_trapezoid_score).withColumn("reason", F.lit("below_min_score_after_nested"))
     rejects = ln.reject_counts(cands.unionByName(late_rejects.select(*cands.columns)))
