@@ -498,38 +498,50 @@ def boundary_near(runs: DataFrame, targets: DataFrame, keys: Sequence[str] = MAS
 
 def _fitted(ids: np.ndarray, px: np.ndarray, py: np.ndarray, m: int, rounds: int = 4) -> tuple[np.ndarray, ...]:
     """Which of ``m`` groups have a line, slope, intercept and share of inliers (see ``robust_line``)."""
-    keep, ok = np.ones(len(px), bool), np.ones(m, bool)
-    slope = icpt = np.full(m, np.nan)
+    keep, ok, slope, icpt = np.ones(len(px), bool), np.ones(m, bool), np.full(m, np.nan), np.full(m, np.nan)
+    # a round on the same points as the one before gives the same line: only groups that lost or regained a point go on
+    open_, at, of = np.arange(m), np.arange(len(px)), ids
+    for _ in range(rounds):
+        enough, slope[open_], icpt[open_], kept = _fit_round(of, px[at], py[at], keep[at], len(open_))
+        ok[open_] &= enough
+        moved = np.bincount(of[kept != keep[at]], minlength=len(open_)) > 0
+        keep[at] = kept
+        open_, at, of = open_[moved], at[moved[of]], (np.cumsum(moved) - 1)[of[moved[of]]]
+        if not len(open_):
+            break
+    with np.errstate(invalid="ignore"):
+        share = np.bincount(ids[keep], minlength=m) / np.bincount(ids, minlength=m)
+    return ok, slope, icpt, share
+
+
+def _fit_round(ids: np.ndarray, px: np.ndarray, py: np.ndarray, keep: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+    """Which groups have points enough, the lines through their kept points, and which points lie near their line."""
 
     def mean(on, v):
         n = np.bincount(ids[on], minlength=m)
         with np.errstate(all="ignore"):
             return np.bincount(ids[on], weights=v[on], minlength=m) / n
 
-    for _ in range(rounds):
-        has_x, has_y = keep & ~np.isnan(px), keep & ~np.isnan(py)
-        ok &= np.bincount(ids[has_x], minlength=m) >= 8
-        both = has_x & has_y
-        cx, cy = mean(both, px), mean(both, py)
-        dx, dy = px - cx[ids], py - cy[ids]
-        low, high = np.full(m, np.inf), np.full(m, -np.inf)
-        np.minimum.at(low, ids[both], py[both])
-        np.maximum.at(high, ids[both], py[both])
-        sums = [np.bincount(ids[both], weights=v[both], minlength=m) for v in (dx * dy, dy * dy)]
-        with np.errstate(all="ignore"):
-            slope = np.where(high > low, sums[0] / sums[1], np.nan)
-        icpt = mean(has_x, px) - slope * mean(has_y, py)
-        far = np.abs(px - (slope[ids] * py + icpt[ids]))
-        on = keep & ~np.isnan(far)
-        med = packs.quantiles(ids[on], far[on], m, 0.5)[0]
-        mad = packs.quantiles(ids[on], np.abs(far - med[ids])[on], m, 0.5)[0]
-        # greatest() passes over nulls: without a deviation the floors hold
-        limit = np.fmax(8.0, med + 3.0 * 1.4826 * np.fmax(mad, 1.0))
-        with np.errstate(invalid="ignore"):
-            keep = far <= limit[ids]
+    has_x, has_y = keep & ~np.isnan(px), keep & ~np.isnan(py)
+    enough = np.bincount(ids[has_x], minlength=m) >= 8
+    both = has_x & has_y
+    cx, cy = mean(both, px), mean(both, py)
+    dx, dy = px - cx[ids], py - cy[ids]
+    low, high = np.full(m, np.inf), np.full(m, -np.inf)
+    np.minimum.at(low, ids[both], py[both])
+    np.maximum.at(high, ids[both], py[both])
+    sums = [np.bincount(ids[both], weights=v[both], minlength=m) for v in (dx * dy, dy * dy)]
+    with np.errstate(all="ignore"):
+        slope = np.where(high > low, sums[0] / sums[1], np.nan)
+    icpt = mean(has_x, px) - slope * mean(has_y, py)
+    far = np.abs(px - (slope[ids] * py + icpt[ids]))
+    on = keep & ~np.isnan(far)
+    med = packs.quantiles(ids[on], far[on], m, 0.5)[0]
+    mad = packs.quantiles(ids[on], np.abs(far - med[ids])[on], m, 0.5)[0]
+    # greatest() passes over nulls: without a deviation the floors hold
+    limit = np.fmax(8.0, med + 3.0 * 1.4826 * np.fmax(mad, 1.0))
     with np.errstate(invalid="ignore"):
-        share = np.bincount(ids[keep], minlength=m) / np.bincount(ids, minlength=m)
-    return ok, slope, icpt, share
+        return enough, slope, icpt, far <= limit[ids]
 
 
 def robust_line(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", rounds: int = 4) -> DataFrame:

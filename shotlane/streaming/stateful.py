@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shotlane.config import DEFAULT, Settings
 from shotlane.operators.dataset import top_checkpoints
-from shotlane.operators.lanes import TrackTable
+from shotlane.operators.lanes import TrackTable, flat_quad
 from shotlane.operators.sequences import NON_FINITE, non_finite
 from shotlane.operators.store import upsert_run_sections
 
@@ -92,8 +92,8 @@ class _Tracks(StatefulProcessor):
             if frame is not None and f <= frame:
                 out += [(key[0], int(f), int(d), None, None, None, None, None, True) for d in part["det_id"]]
                 continue
-            got = table.step(int(f), [np.asarray(q, dtype=float).reshape(4, 2) for q in part["corners"]])
-            out += [(key[0], int(f), int(d), i, ok, new, q.ravel().tolist(), c, False) for d, (i, ok, new, q, c) in zip(part["det_id"], got)]
+            got = table.step(int(f), [flat_quad(q) for q in part["corners"]])
+            out += [(key[0], int(f), int(d), i, ok, new, q, c, False) for d, (i, ok, new, q, c) in zip(part["det_id"], got)]
             frame = int(f)
         if frame is not None:
             self.state.update((frame, table.next_id, json.dumps(table.dump())))
